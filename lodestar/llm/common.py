@@ -66,3 +66,36 @@ def flat_bytes(column):
     data = column.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
+
+
+#: A side is broadcast only when its measured size is below this.
+BROADCAST_BYTES = 16 << 20
+
+
+def sized_broadcast(df: DataFrame, text: str | None = None, row_bytes: int = 64) -> DataFrame:
+    """df marked for broadcast if its rows (and the bytes of column `text`), measured, are small; else left to a shuffled join."""
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(text)) if text else F.lit(0)).first()
+    return F.broadcast(df) if rows * row_bytes + (size or 0) <= BROADCAST_BYTES else df
+
+
+def running_total(rows: DataFrame, group: str, key: str, ties: list[str], value: str, n: int, span: int) -> DataFrame:
+    """rows with `before`: the sum of `value` over the rows of the group that sort before by (key, ties).
+
+    key is a long in 0..span-1, spread evenly; n is about the number of rows. No window holds more than a few
+    hundred rows of a group: rows are summed in ranges of the key, the ranges' totals are run up by the same
+    function, and only within a range does a window sort rows.
+    """
+    from pyspark.sql import Window as W
+
+    if n <= 4096:
+        order = W.partitionBy(group).orderBy(key, *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return rows.withColumn("before", F.sum(value).over(order) - F.col(value))
+    parts = max(1, n // 128)
+    width = -(-span // parts)
+    cut = rows.withColumn("_range", F.expr(f"{key} div {width}L"))
+    sums = cut.groupBy(group, "_range").agg(F.sum(value).alias("_sum"))
+    bases = running_total(sums, group, "_range", [], "_sum", parts, parts).select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.col("before").alias("_base"))
+    order = W.partitionBy(group, "_range").orderBy(key, *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inner = cut.withColumn("_in", F.sum(value).over(order) - F.col(value))
+    both = inner.join(bases, (F.col(group) == F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return both.withColumn("before", F.col("_in") + F.col("_base")).drop("_range", "_in", "_g", "_r", "_base")

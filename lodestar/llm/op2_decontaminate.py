@@ -8,15 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestar.llm.common import table, written
+from lodestar.llm.common import sized_broadcast, table, written
 
 #: Characters of a word after lower-casing A-Z.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Rarest terms of a window whose posting lists are intersected before the exact check.
 PROBES = 3
-#: A side is broadcast only when its measured size is below this.
-BROADCAST_BYTES = 16 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -25,12 +23,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
 
 
-def _sized(df: DataFrame, column: str) -> DataFrame:
-    """df marked for broadcast if its rows, measured, are small; otherwise as it is, for a shuffled join."""
-    rows, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(column))).first()
-    return F.broadcast(df) if rows * 64 + (size or 0) <= BROADCAST_BYTES else df
-
-
 def phrases(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct windows of the benchmark: phrase, n (its words), words, items (ids of the items that hold it, as strings)."""
     base = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -49,13 +41,13 @@ def _identified(docs: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): how often each of `terms` occurs in all documents."""
     words = docs.select(F.explode(tokens(F.col("text"))).alias("term"))
-    return words.join(_sized(terms, "term"), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return words.join(sized_broadcast(terms, "term"), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The positional index of `terms`: (term, doc_id, th, pos), written to the shared folder."""
     words = _identified(docs).select("doc_id", "th", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-    return written(words.join(_sized(terms, "term"), "term").select("term", "doc_id", "th", "pos"), "postings", sort=["term"])
+    return written(words.join(sized_broadcast(terms, "term"), "term").select("term", "doc_id", "th", "pos"), "postings", sort=["term"])
 
 
 def plan_probes(docs: DataFrame, found: DataFrame, probes: int = PROBES) -> DataFrame:
@@ -77,7 +69,7 @@ def _candidates(docs: DataFrame, found: DataFrame, *, exact: bool) -> DataFrame:
     """(doc_id, th, phrase, n, items, start): starts where the posting lists of the probes meet after offset adjustment."""
     plan = written(plan_probes(docs, found, PROBES if exact else 1), "probes")
     index = postings(docs, plan.select("term").distinct())
-    met = index.join(_sized(plan, "phrase"), "term").withColumn("start", F.col("pos") - F.col("off"))
+    met = index.join(sized_broadcast(plan, "phrase"), "term").withColumn("start", F.col("pos") - F.col("off"))
     if not exact:
         return met.select("doc_id", "th", "phrase", "n", "items", "start")
     return (
