@@ -24,13 +24,13 @@ def tokens(text: Column) -> Column:
 
 
 def phrases(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct windows of the benchmark: phrase, n (its words), words, items (ids of the items that hold it, as strings)."""
+    """Distinct windows of the benchmark: phrase, n (its words), words, items (ids of the items that hold it, as strings), pid (a hash)."""
     base = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))
     cut = base.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("words"))
     return cut.groupBy(F.array_join("words", " ").alias("phrase")).agg(
         F.first("words").alias("words"), F.max(F.size("words")).alias("n"), F.array_sort(F.collect_set("item")).alias("items")
-    )
+    ).withColumn("pid", F.xxhash64("phrase"))
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -51,42 +51,44 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def plan_probes(docs: DataFrame, found: DataFrame, probes: int = PROBES) -> DataFrame:
-    """(phrase, n, items, term, off, probes): the rarest terms of every phrase whose terms all occur in the documents."""
-    spread = found.select("phrase", "n", "items", F.posexplode("words").alias("off", "term"))
+    """(pid, term, off, probes): the rarest terms of every phrase whose terms all occur in the documents."""
+    spread = found.select("pid", "n", F.posexplode("words").alias("off", "term"))
     counts = term_counts(docs, spread.select("term").distinct())
     rated = spread.join(counts.withColumnRenamed("n", "freq"), "term")
-    whole = W.partitionBy("phrase")
+    whole = W.partitionBy("pid", "n")
     return (
         rated.withColumn("there", F.count(F.lit(1)).over(whole))
-        .where("there = n")  # a term that occurs nowhere rules the phrase out
+        .where("there >= n")  # a term that occurs nowhere rules the phrase out
         .withColumn("rank", F.row_number().over(whole.orderBy("freq", "term", "off")))
         .where(F.col("rank") <= probes)
-        .select("phrase", "n", "items", "term", "off", "rank", F.least("n", F.lit(probes)).alias("probes"))
+        .select("pid", "term", "off", F.least("n", F.lit(probes)).alias("probes"))
     )
 
 
 def _candidates(docs: DataFrame, found: DataFrame, *, exact: bool) -> DataFrame:
-    """(doc_id, th, phrase, n, items, start): starts where the posting lists of the probes meet after offset adjustment."""
+    """(doc_id, th, pid, start): starts where the posting lists of the probes meet after offset adjustment."""
     plan = written(plan_probes(docs, found, PROBES if exact else 1), "probes")
     index = postings(docs, plan.select("term").distinct())
-    met = index.join(sized_broadcast(plan, "phrase"), "term").withColumn("start", F.col("pos") - F.col("off"))
+    met = index.join(sized_broadcast(plan, "term"), "term").withColumn("start", F.col("pos") - F.col("off"))
     if not exact:
-        return met.select("doc_id", "th", "phrase", "n", "items", "start")
-    return (
-        met.where("start >= 0")
-        .groupBy("doc_id", "th", "phrase", "start")
-        .agg(F.count(F.lit(1)).alias("lists"), F.first("probes").alias("probes"), F.first("n").alias("n"), F.first("items").alias("items"))
-        .where("lists = probes")
-        .drop("lists", "probes")
-    )
+        return met.select("doc_id", "th", "pid", "start")
+    lists = met.where("start >= 0").groupBy("doc_id", "th", "pid", "start").agg(F.count(F.lit(1)).alias("lists"), F.max("probes").alias("probes"))
+    return lists.where("lists >= probes").drop("lists", "probes")
 
 
-def _with_text(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Every document row with its words `w` and its candidates `c` (null if none)."""
-    per = candidates.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "phrase", "items")).alias("c"))
-    per = per.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "c")
-    base = _identified(docs)
-    return base.join(per, base.doc_id.eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")), "left").select("doc_id", tokens(F.col("text")).alias("w"), "c")
+def _with_text(docs: DataFrame, found: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Every row of docs with its candidates `_c`, an array of (start, n, phrase, items), null if none."""
+    full = candidates.join(sized_broadcast(found.drop("words"), "phrase"), "pid")
+    per = full.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "phrase", "items")).alias("_c"))
+    per = per.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "_c")
+    base = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = base.join(per, base.doc_id.eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left")
+    return both.drop("_d", "_h", "_hash")
+
+
+def _same(c: Column) -> Column:
+    """Whether the words `_w` at a candidate's start are its phrase."""
+    return F.array_join(F.slice("_w", c["start"] + 1, c["n"]), " ") == c["phrase"]
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -95,17 +97,18 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     Null text has no words; documents without hits stay with an empty array; an empty benchmark hits nothing;
     repeated documents each get their own row; columns besides doc_id and text are ignored.
     """
-    found = _with_text(docs, _candidates(docs, phrases(benchmark, window), exact=True))
-    same = lambda c: F.array_join(F.slice("w", c["start"] + 1, c["n"]), " ") == c["phrase"]
-    return found.select("doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.col("c").isNotNull(), F.filter("c", same)).alias("hits"))
+    docs, found = docs.select("doc_id", "text"), written(phrases(benchmark, window), "phrases")
+    both = _with_text(docs, found, _candidates(docs, found, exact=True)).select("doc_id", tokens(F.col("text")).alias("_w"), "_c")
+    return both.select("doc_id", F.size("_w").cast("long").alias("n_words"), F.filter("_c", _same).alias("hits"))
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 5) -> DataFrame:
     """(doc_id, phrase, start): all distinct words of the window occur, in any order, within n + 2 * slack words around start."""
-    found = _with_text(docs, _candidates(docs, phrases(benchmark, window), exact=False)).where("c is not null")
-    region = lambda c: F.slice("w", F.greatest(c["start"] - slack, F.lit(0)) + 1, c["n"] + 2 * slack)
+    docs, found = docs.select("doc_id", "text"), written(phrases(benchmark, window), "phrases")
+    both = _with_text(docs, found, _candidates(docs, found, exact=False)).where("_c is not null").select("doc_id", tokens(F.col("text")).alias("_w"), "_c")
+    region = lambda c: F.slice("_w", F.greatest(c["start"] - slack, F.lit(0)) + 1, c["n"] + 2 * slack)
     near = lambda c: F.size(F.array_except(F.split(c["phrase"], " "), region(c))) == 0
-    hits = found.select("doc_id", F.explode(F.filter("c", near)).alias("h"))
+    hits = both.select("doc_id", F.explode(F.filter("_c", near)).alias("h"))
     return hits.select("doc_id", "h.phrase", F.greatest("h.start", F.lit(0)).alias("start")).distinct()
 
 
@@ -129,14 +132,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
     A row goes if its (doc_id, text) has a hit; nulls and repeated rows as in phrase_matches.
     """
-    base = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = _candidates(docs, phrases(benchmark, window), exact=True)
-    per = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "phrase")).alias("_c"))
-    per = per.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "_c")
-    both = base.join(per, base.doc_id.eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left")
+    found = written(phrases(benchmark, window), "phrases")
+    both = _with_text(docs, found, _candidates(docs, found, exact=True))
     both = both.withColumn("_w", F.when(F.col("_c").isNotNull(), tokens(F.col("text"))))
-    same = lambda c: F.array_join(F.slice("_w", c["start"] + 1, c["n"]), " ") == c["phrase"]
-    return both.where(~F.coalesce(F.exists("_c", same), F.lit(False))).select(*docs.columns)
+    return both.where(~F.coalesce(F.exists("_c", _same), F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
