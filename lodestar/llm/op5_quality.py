@@ -20,8 +20,9 @@ SAMPLE = 4000
 KEEP_GRADE, KEEP_AT = 1, 0.5
 #: Byte classes of a word's ending: letters and non-ASCII are alike, so are digits, other marks stand for themselves.
 _CLASS = np.arange(256, dtype=np.uint64) + np.uint64(1000)
-_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_CLASS[[*range(97, 123), *range(128, 256)]] = 1
 _CLASS[48:58] = 2
+_CLASS[65:91] = 3
 
 
 @dataclass
@@ -36,9 +37,12 @@ class OrdinalModel:
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text number): two features of each word, itself and the classes of its last three bytes."""
+    """(bucket, text number): two features of each word, itself, and the classes of its last three bytes with whether it repeats the word before."""
     h, start, stop, text = word_hashes(raw, offsets)
     ends = Prefix(_CLASS[raw] * np.uint64(0x9E3779B97F4A7C15), 1).of(np.maximum(stop - 3, start), stop)
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[1:] == h[:-1]) & (text[1:] == text[:-1])
+    ends += again * np.uint64(0xD6E8FEB86659FD93)
     low = np.uint64(buckets // 2 - 1)
     return np.concatenate([(h & low).astype(np.int64), (ends & low).astype(np.int64) + buckets // 2]), np.concatenate([text, text])
 
