@@ -78,3 +78,25 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, which: int = 0) -> tuple[n
     """(hash, start, stop, text number) of every word."""
     start, stop, text = word_spans(raw, offsets)
     return Prefix(bytes_symbols(raw, which), which).of(start, stop), start, stop, text
+
+
+def shingles(raw: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of every run of k words; a text of fewer words, but not none, has one of all its words."""
+    h, _, _, text = word_hashes(raw, offsets)
+    texts = len(offsets) - 1
+    count = np.bincount(text, minlength=texts)
+    first = np.concatenate([[0], np.cumsum(count)])
+    runs = np.where(count > 0, np.maximum(count - k + 1, 1), 0)
+    of = np.repeat(np.arange(texts), runs)
+    start = np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs) + first[of]
+    return Prefix(h, 1).of(start, np.minimum(start + k, first[of + 1])), of
+
+
+def counted(keys: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, group, count) of the distinct pairs, sorted by group, then key."""
+    if not len(keys):
+        return keys, group, np.empty(0, np.int64)
+    order = np.lexsort((keys, group))
+    k, g = keys[order], group[order]
+    new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1])]))
+    return k[new], g[new], np.diff(np.concatenate([new, [len(k)]]))
