@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import op1_html, op2_decontaminate, op3_toxicity, op4_suffixes, op5_quality, op6_substrings, op7_near_duplicates, op8_chat, op9_mix
+from lodestar.llm import op1_html, op10_embeddings, op2_decontaminate, op3_toxicity, op4_suffixes, op5_quality, op6_substrings, op7_near_duplicates, op8_chat, op9_mix
 
 QUERIES = {
     "op1_html": op1_html.op1_html,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_near_duplicates": op7_near_duplicates.op7_near_duplicates,
     "op8_chat_rotation": op8_chat.op8_chat_rotation,
     "op9_mix": op9_mix.op9_mix,
+    "op10_embeddings": op10_embeddings.op10_embeddings,
 }
-SQL = {"op2_decontaminate": op2_decontaminate.SQL, "op4_suffixes": op4_suffixes.SQL, "op6_substrings": op6_substrings.SQL, "op8_chat_rotation": op8_chat.SQL}
+SQL = {"op10_embeddings": op10_embeddings.SQL, "op2_decontaminate": op2_decontaminate.SQL, "op4_suffixes": op4_suffixes.SQL, "op6_substrings": op6_substrings.SQL, "op8_chat_rotation": op8_chat.SQL}
