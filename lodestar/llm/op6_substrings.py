@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import sized_broadcast, table, written
-from lodestar.llm.repeats import Windows, covered, digested, named, repeated, sampled
+from lodestar.llm.repeats import LAST_ID, Windows, covered, digested, named, repeated, sampled
 
 #: Windows of 35 words, named by the 12 consecutive words of least hash in them.
 WINDOWS = Windows(35, 12, words=True)
@@ -85,3 +87,35 @@ k AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FI
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
+
+
+def removed(docs: DataFrame) -> DataFrame:
+    """docs with the repeated words taken out of text, and n_chars, if there is one, set to what is left.
+
+    A document that loses nothing keeps its text as it is; else its kept words are joined by one space, also if none is left.
+    Null texts stay null, repeated rows stay rows; all columns stay.
+    """
+    ranges = repeats(docs.select("doc_id", "text"))
+    per = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("low", "high")).alias("_l"))
+    per = written(per.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("_l.low").alias("low"), F.col("_l.high").alias("high")), "lists")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row).select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("th"))
+    both = rows.join(sized_broadcast(per), (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    both = both.select("row", F.when(F.col("low").isNotNull(), F.col("row.text")).alias("text"), "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[str | None] = []
+            for text, low, high in zip(batch.column("text"), batch.column("low"), batch.column("high"), strict=True):
+                if not text.is_valid:
+                    out.append(None)
+                    continue
+                words = text.as_py().encode().split()
+                gone = covered(low.values.to_numpy(), high.values.to_numpy(), WINDOWS.size, len(words))
+                out.append(b" ".join([w for w, g in zip(words, gone, strict=True) if not g]).decode())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "left"])
+
+    got = both.mapInArrow(run, f"row {both.schema['row'].dataType.simpleString()}, left string")
+    text = F.coalesce("left", F.col("row.text"))
+    new = {"text": text, "n_chars": F.coalesce(F.length("left").cast("long"), F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return got.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
