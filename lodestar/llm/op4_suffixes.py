@@ -117,8 +117,10 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, i, h[2 * i - 1 : 2 * i] AS b, CASE WHEN 2 * i + 98 <= length(h) THEN h[2 * i - 1 : 2 * i + 98] END AS win
-      FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM d)),
+q AS (SELECT doc_id, 200 * k AS o, substr(h, 400 * k + 1, 498) AS s, least(200, length(h) // 2 - 200 * k) AS n
+      FROM (SELECT doc_id, h, unnest(range(0, length(h) // 400 + 1)) AS k FROM d)),
+p AS (SELECT doc_id, o + j AS i, substr(s, 2 * j - 1, 2) AS b, CASE WHEN 2 * j + 98 <= length(s) THEN md5_number(substr(s, 2 * j - 1, 100)) END AS win
+      FROM (SELECT doc_id, o, s, unnest(range(1, n + 1)) AS j FROM q)),
 c AS (SELECT doc_id, i, b, CASE WHEN win IS NOT NULL AND min(doc_id) OVER (PARTITION BY win) < doc_id THEN 1 ELSE 0 END AS rep FROM p),
 m AS (SELECT doc_id, i, b, max(rep) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM c),
 s AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) AS before FROM m),
