@@ -72,10 +72,30 @@ def flat_bytes(column):
 BROADCAST_BYTES = 16 << 20
 
 
-def sized_broadcast(df: DataFrame, text: str | None = None, row_bytes: int = 64) -> DataFrame:
-    """df marked for broadcast if its rows (and the bytes of column `text`), measured, are small; else left to a shuffled join."""
-    rows, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(text)) if text else F.lit(0)).first()
-    return F.broadcast(df) if rows * row_bytes + (size or 0) <= BROADCAST_BYTES else df
+def sized_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its rows, measured with their texts and arrays, take at most `most` bytes; else left to a shuffled join."""
+    size = F.lit(16)
+    for field in df.schema.fields:
+        kind, col = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(col), F.lit(0)) + 16
+        elif kind == "array":
+            nested = field.dataType.elementType.typeName()
+            inner = F.aggregate(col, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16) if nested == "string" else F.size(col) * 16
+            size = size + F.coalesce(inner, F.lit(0)) + 32
+        else:
+            size = size + 8
+    total = df.agg(F.sum(size.cast("long"))).first()[0]
+    return F.broadcast(df) if (total or 0) <= most else df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def running_total(rows: DataFrame, group: str, key: str, ties: list[str], value: str, n: int, span: int) -> DataFrame:

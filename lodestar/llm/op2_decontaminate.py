@@ -41,13 +41,13 @@ def _identified(docs: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): how often each of `terms` occurs in all documents."""
     words = docs.select(F.explode(tokens(F.col("text"))).alias("term"))
-    return words.join(sized_broadcast(terms, "term"), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return words.join(sized_broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The positional index of `terms`: (term, doc_id, th, pos), written to the shared folder."""
     words = _identified(docs).select("doc_id", "th", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-    return written(words.join(sized_broadcast(terms, "term"), "term").select("term", "doc_id", "th", "pos"), "postings", sort=["term"])
+    return written(words.join(sized_broadcast(terms), "term").select("term", "doc_id", "th", "pos"), "postings", sort=["term"])
 
 
 def plan_probes(docs: DataFrame, found: DataFrame, probes: int = PROBES) -> DataFrame:
@@ -69,7 +69,7 @@ def _candidates(docs: DataFrame, found: DataFrame, *, exact: bool) -> DataFrame:
     """(doc_id, th, pid, start): starts where the posting lists of the probes meet after offset adjustment."""
     plan = written(plan_probes(docs, found, PROBES if exact else 1), "probes")
     index = postings(docs, plan.select("term").distinct())
-    met = index.join(sized_broadcast(plan, "term"), "term").withColumn("start", F.col("pos") - F.col("off"))
+    met = index.join(sized_broadcast(plan), "term").withColumn("start", F.col("pos") - F.col("off"))
     if not exact:
         return met.select("doc_id", "th", "pid", "start")
     lists = met.where("start >= 0").groupBy("doc_id", "th", "pid", "start").agg(F.count(F.lit(1)).alias("lists"), F.max("probes").alias("probes"))
@@ -78,7 +78,7 @@ def _candidates(docs: DataFrame, found: DataFrame, *, exact: bool) -> DataFrame:
 
 def _with_text(docs: DataFrame, found: DataFrame, candidates: DataFrame) -> DataFrame:
     """Every row of docs with its candidates `_c`, an array of (start, n, phrase, items), null if none."""
-    full = candidates.join(sized_broadcast(found.drop("words"), "phrase"), "pid")
+    full = candidates.join(sized_broadcast(found.drop("words")), "pid")
     per = full.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "phrase", "items")).alias("_c"))
     per = per.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "_c")
     base = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))

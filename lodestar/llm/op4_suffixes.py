@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import table, written
-from lodestar.llm.repeats import LAST_ID, Windows, covered, digested, named, repeated, sampled
+from lodestar.llm.common import discard, table, written
+from lodestar.llm.repeats import Windows, copies, covered, digested, named, once, sampled
 
 #: Matches of 50 bytes; a level holds the suffixes that start at sampled positions, one or more in any 50 bytes.
 WINDOWS = Windows(50, 16, words=False)
@@ -52,53 +52,53 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class SuffixLevels:
-    """Levels of sorted suffixes, each twice as many batches as the next; a new batch merges with those of its own size."""
+    """Levels of sorted suffixes, each of twice as many batches as the next; a new batch merges with those of its own size."""
 
     def __init__(self, windows: Windows = WINDOWS):
-        self.windows, self.levels, self.heavy = windows, [], None
+        self.windows, self.levels, self.heavy, self.across = windows, [], None, []
 
-    def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
-        """Sort a batch's suffixes, merge-scan them with the levels, and return (id, place) of those met in several documents.
+    def add(self, texts: DataFrame) -> None:
+        """Sort the suffixes of a batch (id, th, text) and merge-scan them with the levels.
 
-        The suffixes of past levels that the batch meets are among them. The scan of the levels that are due to be merged
-        writes the merged level at once, unless this is the last batch.
+        One sorted pass over the batch and the levels due to be merged marks the suffixes met in several documents and is
+        the merged level. Larger levels are scanned against the batch alone.
         """
-        texts = named(docs)
         if self.heavy is None:
             self.heavy = heavy_keys(texts, self.windows)
         due, size = [], 1
         while self.levels and self.levels[-1][0] == size:
-            due.append(self.levels.pop())
+            due.append(self.levels.pop()[1])
             size *= 2
-        rows = sampled(texts, self.windows, self.heavy)
-        for _, level in due:
+        rows = batch = sampled(texts, self.windows, self.heavy)
+        for level in due:
             rows = rows.union(level.select("key", "id", "place"))
-        bigger = [level for _, level in self.levels]
-        scanned = self._merged(rows)
-        if not last:
-            self.levels.append((size, written(scanned, "level")))
-            scanned = self.levels[-1][1]
-        met = scanned.where("met").select("id", "place")
-        for level in bigger:
-            met = met.union(self._merged(rows.union(level.select("key", "id", "place"))).where("met").select("id", "place"))
-        return met.select("id", F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("place"))
+        for _, level in self.levels:
+            self.across.append(written(self._merged(batch.union(level.select("key", "id", "place"))).where("met").select("id", "place"), "met"))
+        self.levels.append((size, written(self._merged(rows), "level")))
+        discard(*due)
+
+    def met(self) -> DataFrame:
+        """(id, place) of all suffixes met in several documents so far."""
+        out = self.levels[0][1].where("met").select("id", "place")
+        for _, level in self.levels[1:]:
+            out = out.union(level.where("met").select("id", "place"))
+        for rows in self.across:
+            out = out.union(rows)
+        return out.select("id", F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("place"))
 
     @staticmethod
     def _merged(rows: DataFrame) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_scan, "key long, id long, place long, met boolean")
 
 
-def repeats(docs: DataFrame, windows: Windows = WINDOWS, batches: int = BATCHES) -> DataFrame:
-    """(id, th, low, high): ranges of windows that also start in a document with a smaller id."""
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    cuts = [int(x) for x in docs.select(ids.alias("id")).approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)]
+def candidates(texts: DataFrame, windows: Windows = WINDOWS, batches: int = BATCHES) -> DataFrame:
+    """(id, place) of the suffixes met in several documents; the batches are added in the order of id."""
+    cuts = [int(x) for x in texts.select("id").approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)]
     edges = [-(1 << 63), *sorted(set(cuts)), None]
-    levels, met = SuffixLevels(windows), None
+    levels = SuffixLevels(windows)
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        batch = docs.where((ids >= lo) if hi is None else (ids >= lo) & (ids < hi))
-        found = levels.add(batch, last=hi is None)
-        met = found if met is None else met.union(found)
-    return repeated(docs, written(met, "met"), windows, earlier=True)
+        levels.add(texts.where(F.col("id") >= lo) if hi is None else texts.where((F.col("id") >= lo) & (F.col("id") < hi)))
+    return levels.met()
 
 
 def _digest(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[int, int, int, str]:
@@ -111,8 +111,10 @@ def _digest(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[int, int, i
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    docs = table(spark, sf_dir, "documents")
-    return digested(docs, repeats(docs), _digest, [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = copies(named(docs), earlier=True)
+    columns = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")]
+    return digested(docs, candidates(once(named(docs), known)), known, WINDOWS, _digest, columns, earlier=True)
 
 
 SQL = """

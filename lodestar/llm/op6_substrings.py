@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import sized_broadcast, table, written
-from lodestar.llm.repeats import LAST_ID, Windows, covered, digested, named, repeated, sampled
+from lodestar.llm.repeats import LAST_ID, Windows, copies, covered, digested, named, once, repeated, sampled, with_lists
 
 #: Windows of 35 words, named by the 12 consecutive words of least hash in them.
 WINDOWS = Windows(35, 12, words=True)
@@ -25,9 +25,9 @@ class FingerprintIndex:
     def __init__(self, windows: Windows = WINDOWS):
         self.windows, self.runs = windows, []
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Store a batch as a run; returns (key, n) of its keys that repeat, within the batch or with any earlier run (merge joins)."""
-        batch = sampled(named(docs), self.windows).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    def add(self, texts: DataFrame) -> DataFrame:
+        """Store a batch (id, text) as a run; returns (key, n) of its keys that repeat, within the batch or with any earlier run (merge joins)."""
+        batch = sampled(texts, self.windows).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         batch = written(batch, "run", sort=["key"])
         seen = batch
         for run in self.runs:
@@ -46,20 +46,18 @@ class FingerprintIndex:
         self.runs = [written(merged.groupBy("key").agg(F.sum("n").alias("n")), "run", sort=["key"])]
 
 
-def repeats(docs: DataFrame, windows: Windows = WINDOWS, batches: int = BATCHES) -> DataFrame:
-    """(id, th, low, high): ranges of repeated windows of each document.
+def candidates(texts: DataFrame, windows: Windows = WINDOWS, batches: int = BATCHES) -> DataFrame:
+    """(id, place) of the runs whose fingerprint repeats.
 
-    The batches enter the index in turn; keys known to repeat, from any of them, select the runs of all documents
-    that are then verified.
+    The batches enter the index in turn; keys known to repeat, from any of them, select the runs of all documents.
     """
     index = FingerprintIndex(windows)
     keys = None
     for i in range(batches):
-        found = index.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i)).select("key")
+        found = index.add(texts.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == i)).select("key")
         keys = found if keys is None else keys.union(found)
     keys = written(keys.distinct(), "keys")
-    candidates = sampled(named(docs), windows).join(sized_broadcast(keys), "key").select("id", "place")
-    return repeated(docs, candidates, windows, earlier=False)
+    return sampled(texts, windows).join(sized_broadcast(keys), "key").select("id", "place")
 
 
 def _digest(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[int, int, str]:
@@ -73,8 +71,10 @@ def _digest(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[int, int, s
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    docs = table(spark, sf_dir, "documents")
-    return digested(docs, repeats(docs), _digest, [("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = copies(named(docs), earlier=False)
+    columns = [("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")]
+    return digested(docs, candidates(once(named(docs), known)), known, WINDOWS, _digest, columns, earlier=False)
 
 
 SQL = r"""
@@ -95,7 +95,12 @@ def removed(docs: DataFrame) -> DataFrame:
     A document that loses nothing keeps its text as it is; else its kept words are joined by one space, also if none is left.
     Null texts stay null, repeated rows stay rows; all columns stay.
     """
-    ranges = repeats(docs.select("doc_id", "text"))
+    bare = named(docs.select("doc_id", "text"))
+    known = copies(bare, earlier=False)
+    first = once(bare, known)
+    texts = written(with_lists(first, candidates(first), by=["id"], lists=["place"], how="inner"), "texts")
+    whole = known.where("gone").select("id", "th", F.lit(0).cast("long").alias("low"), F.lit(LAST_ID).alias("high"))
+    ranges = repeated(texts, WINDOWS, earlier=False).union(whole)
     per = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("low", "high")).alias("_l"))
     per = written(per.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("_l.low").alias("low"), F.col("_l.high").alias("high")), "lists")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
@@ -111,7 +116,11 @@ def removed(docs: DataFrame) -> DataFrame:
                     out.append(None)
                     continue
                 words = text.as_py().encode().split()
-                gone = covered(low.values.to_numpy(), high.values.to_numpy(), WINDOWS.size, len(words))
+                most = len(words) - WINDOWS.size
+                if most < 0:  # a copy too short for a window
+                    out.append(None)
+                    continue
+                gone = covered(low.values.to_numpy(), np.minimum(high.values.to_numpy(), most), WINDOWS.size, len(words))
                 out.append(b" ".join([w for w, g in zip(words, gone, strict=True) if not g]).decode())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "left"])
 

@@ -80,7 +80,7 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
 def placed(sized: DataFrame, goals: DataFrame) -> DataFrame:
     """sized with sid, source_size, target and `before`: where the document starts in its source's shuffled stream."""
     names = goals.select(F.col("source").alias("_s"), "sid", "source_size", "target", "docs")
-    rows = sized.join(sized_broadcast(names, "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "docs")
+    rows = sized.join(sized_broadcast(names), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "docs")
     n = goals.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
     return running_total(rows, "sid", "h", ["doc_id", "size"], "size", int(n), SPAN)
 

@@ -104,6 +104,21 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
+def copies(texts: DataFrame, *, earlier: bool) -> DataFrame:
+    """(id, th, gone, again) of texts that occur more than once, written: gone if all windows of the row count as repeated,
+    again if the row need not be looked at since the text's first row stands for it. Texts go by a 128-bit hash."""
+    two = F.xxhash64(F.lit(1), F.col("text"))
+    marked = texts.select("id", "th", two.alias("t2"))
+    sets = marked.groupBy("th", "t2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = F.col("id") > F.col("least")
+    return written(marked.join(sets, ["th", "t2"]).select("id", "th", (later if earlier else F.lit(True)).alias("gone"), later.alias("again")).distinct(), "copies")
+
+
+def once(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """texts without the rows that known, of copies(), marks as again."""
+    return texts.join(sized_broadcast(known.where("again").select("id", "th")), ["id", "th"], "left_anti")
+
+
 def sampled(texts: DataFrame, w: Windows, heavy: np.ndarray | None = None) -> DataFrame:
     """(key, id, place) of every run; for runs of a heavy key, known to be in many documents, the key is scattered and place is -1 - place."""
 
@@ -123,10 +138,10 @@ def sampled(texts: DataFrame, w: Windows, heavy: np.ndarray | None = None) -> Da
 
 
 def with_lists(texts: DataFrame, rows: DataFrame, *, by: list[str], lists: list[str], how: str) -> DataFrame:
-    """texts joined with arrays of the rows of each document; the rows are broadcast only if they are, measured, small."""
+    """texts joined with arrays of the rows of each document; the arrays are broadcast only if they are, measured, small."""
     per = rows.groupBy(*by).agg(F.collect_list(F.struct(*lists)).alias("_l"))
-    per = per.select(*by, *[F.col(f"_l.{c}").alias(c) for c in lists])
-    return texts.join(sized_broadcast(written(per, "lists"), None, 64) if how == "left" else written(per, "lists"), by, how)
+    per = written(per.select(*by, *[F.col(f"_l.{c}").alias(c) for c in lists]), "lists")
+    return texts.join(sized_broadcast(per), by, how)
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -174,16 +189,15 @@ def _window_rows(w: Windows) -> Callable:
     return run
 
 
-def repeated(docs: DataFrame, candidates: DataFrame, w: Windows, *, earlier: bool) -> DataFrame:
-    """(id, th, low, high): windows low..high of the document repeat. candidates: (id, place) of the runs to be judged.
+def repeated(texts: DataFrame, w: Windows, *, earlier: bool) -> DataFrame:
+    """(id, th, low, high): windows low..high of the document repeat. texts: a written table (id, th, text, place) of the
+    documents with the places of their runs to be judged.
 
     earlier: a window counts if it also starts in a document with a smaller id; else if it also starts anywhere else.
     Halves of runs are grouped by key and span with map-side combine. All windows of a half repeat if its span does;
     keys with several spans are judged by window, one half for each span standing for its equals.
     """
-    texts = with_lists(named(docs), candidates, by=["id"], lists=["place"], how="inner")
-    texts = written(texts, "candidates")
-    halves = written(texts.mapInArrow(_half_rows(w), "key long, span long, id long, th long, low long, high long"), "halves")
+    halves = written(texts.select("id", "th", "text", "place").mapInArrow(_half_rows(w), "key long, span long, id long, th long, low long, high long"), "halves")
     spans = halves.groupBy("key", "span").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most"), F.min(F.struct("id", "th", "low")).alias("rep"))
     spans = written(spans, "spans")
     keys = spans.groupBy("key").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"), F.min("least").alias("l"), F.max("most").alias("m"))
@@ -212,12 +226,35 @@ def covered(low: np.ndarray, high: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def digested(docs: DataFrame, ranges: DataFrame, each: Callable, columns: list[tuple[str, str]]) -> DataFrame:
-    """doc_id and what each(text bytes, low, high) returns, for every row of docs. columns: (name, Spark type)."""
+def digested(docs: DataFrame, candidates: DataFrame, known: DataFrame, w: Windows, each: Callable, columns: list[tuple[str, str]], *, earlier: bool) -> DataFrame:
+    """doc_id and what each(text bytes, low, high) returns, for every row of docs. columns: (name, Spark type).
+
+    The texts are joined once with the candidates (id, place) and copies. Documents without candidates and those that are
+    gone as a whole are finished in that pass; only texts with candidates are written and read again for the exact steps.
+    """
     base = named(docs).withColumn("doc_id", F.when(F.col("id") != LAST_ID, F.col("id")))
-    lists = with_lists(base, ranges, by=["id", "th"], lists=["low", "high"], how="left")
+    base = base.join(sized_broadcast(known), ["id", "th"], "left")
+    names, kinds = [c for c, _ in columns], ", ".join(f"{c} {t}" for c, t in columns)
+    none = np.empty(0, np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(text: bytes) -> tuple:
+        n = len(text.split()) if w.words else len(text)
+        return each(text, np.array([0]), np.array([n - w.size])) if n >= w.size else each(text, none, none)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in packets(batch, "text", 4 << 20):
+                part = batch.slice(a, b - a)
+                gone = pc.fill_null(part.column("gone"), False).to_pylist()
+                bare = part.column("place").is_null().to_pylist()
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                out = [whole(t) if g else each(t, none, none) if n else (None,) * len(names) for t, g, n in zip(texts, gone, bare, strict=True)]
+                left = pa.array([None if n else t.decode() for t, n in zip(texts, bare, strict=True)], pa.string())
+                done = pa.array([g or n for g, n in zip(gone, bare, strict=True)])
+                cols = [part.column(c) for c in ("doc_id", "id", "th", "place")]
+                yield pa.RecordBatch.from_arrays([*cols, left, done, *[pa.array(x, pa.string() if t == "string" else pa.int64()) for x, (_, t) in zip(zip(*out, strict=True), columns, strict=True)]], ["doc_id", "id", "th", "place", "text", "done", *names])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in packets(batch, "text", 4 << 20):
                 part = batch.slice(a, b - a)
@@ -226,6 +263,13 @@ def digested(docs: DataFrame, ranges: DataFrame, each: Callable, columns: list[t
                 cut = np.searchsorted(row, np.arange(len(part) + 1))
                 texts = part.column("text").cast(pa.binary())
                 out = [each(t.as_py(), low[cut[i] : cut[i + 1]], high[cut[i] : cut[i + 1]]) for i, t in enumerate(texts)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x) for x in zip(*out, strict=True)]], ["doc_id", *[c for c, _ in columns]])
-
-    return lists.select("doc_id", "text", "low", "high").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in [("doc_id", "long"), *columns]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x) for x in zip(*out, strict=True)]], ["doc_id", *names])
+
+    both = with_lists(base, candidates, by=["id"], lists=["place"], how="left").withColumn("again", F.coalesce("again", F.lit(False)))
+    both = both.select("doc_id", "id", "th", F.when(~F.col("again"), F.col("place")).alias("place"), "text", "gone")
+    split = written(both.mapInArrow(first, f"doc_id long, id long, th long, place array<long>, text string, done boolean, {kinds}"), "texts")
+    some = split.where("place is not null").select("doc_id", "id", "th", "text", "place", "done")
+    ranges = repeated(some, w, earlier=earlier)
+    lists = with_lists(some.where("not done").select("doc_id", "id", "th", "text"), ranges, by=["id", "th"], lists=["low", "high"], how="left")
+    rest = lists.select("doc_id", "text", "low", "high").mapInArrow(second, f"doc_id long, {kinds}")
+    return split.where("done").select("doc_id", *names).union(rest)
