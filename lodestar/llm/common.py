@@ -39,7 +39,7 @@ def n_words(text) -> object:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def packets(batch, column: str, limit: int = 1 << 20):
+def packets(batch, column: str, limit: int = 1 << 18):
     """Slices (start, stop) of an Arrow batch that hold about `limit` bytes of text each."""
     import numpy as np
     import pyarrow.compute as pc

@@ -243,7 +243,7 @@ def digested(docs: DataFrame, candidates: DataFrame, known: DataFrame, w: Window
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in packets(batch, "text", 4 << 20):
+            for a, b in packets(batch, "text", 1 << 20):
                 part = batch.slice(a, b - a)
                 gone = pc.fill_null(part.column("gone"), False).to_pylist()
                 bare = part.column("place").is_null().to_pylist()
@@ -256,7 +256,7 @@ def digested(docs: DataFrame, candidates: DataFrame, known: DataFrame, w: Window
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in packets(batch, "text", 4 << 20):
+            for a, b in packets(batch, "text", 1 << 20):
                 part = batch.slice(a, b - a)
                 low, row = _flat(part.column("low"))
                 high, _ = _flat(part.column("high"))
