@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from lodestar.llm.common import flat_bytes, packets, sized_broadcast, table, written
+from lodestar.llm.common import discard, flat_bytes, packets, sized_broadcast, table, written
 from lodestar.llm.graph import components
 from lodestar.llm.words import counted, mixed, shingles
 
@@ -17,8 +18,8 @@ from lodestar.llm.words import counted, mixed, shingles
 WORDS, SIMILAR = 5, 0.8
 #: Two texts of similarity 0.8 miss each other in all bands with a chance of (1 - 0.8 ** ROWS) ** BANDS, 3 in 100,000.
 BANDS, ROWS = 20, 4
-#: Rounds that link bucket members to one hub each; what they leave apart is then compared pair by pair.
-STARS = 3
+#: Rounds that link bucket members to another hub each; what they leave apart is then looked up pair by pair.
+STARS = 1
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -98,7 +99,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the pairs whose texts are similar enough."""
     for batch in batches:
-        for lo, hi in packets(batch, "text_a", 1 << 19):
+        for lo, hi in packets(batch, "text_a"):
             part = batch.slice(lo, hi - lo)
             (ka, ga), (kb, gb) = (shingles(*flat_bytes(part.column(c)), WORDS) for c in ("text_a", "text_b"))
             key, group = np.concatenate([ka, kb]), np.concatenate([ga, gb])
@@ -112,13 +113,64 @@ def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield part.select(["a", "b"]).filter(pa.array((most > 0) & (least >= SIMILAR * most - 1e-9)))
 
 
+def _texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the nodes (doc_id), one text each, written."""
+    some = docs.select("doc_id", "text").join(sized_broadcast(nodes), "doc_id")
+    return written(some.groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar; the texts of the nodes concerned are gathered once."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.select("doc_id", "text").join(sized_broadcast(nodes), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+    texts = _texts(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), docs)
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return written(pairs.join(left, "a").join(right, "b").mapInArrow(_similarities, "a long, b long"), "links")
+    links = written(pairs.join(left, "a").join(right, "b").mapInArrow(_similarities, "a long, b long"), "links")
+    discard(texts)
+    return links
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, u): the shingles of each text, numbered so that the bag is a set."""
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy()
+        for a, b in packets(batch, "text"):
+            key, text, weight = counted(*shingles(*flat_bytes(batch.column("text").slice(a, b - a)), WORDS))
+            at = np.repeat(np.arange(len(key)), weight)
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(weight) - weight, weight)
+            unit = mixed(key[at] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][text[at]]), pa.array(unit.view(np.int64))], ["node", "u"])
+
+
+def _bounds(named: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables (node, n, useful), (node, u) and (u, df): a node's shingles, how many of them occur in another component too,
+    all shingles of the nodes kept, and in how many nodes each useful one is.
+
+    A link to another component shares only useful shingles. Similarity s of texts of n and m shingles needs
+    s / (1 + s) * (n + m) shared ones, so nodes and pairs with fewer are left out without losing a link.
+    """
+    nodes = named.select("node", "c").distinct()
+    texts = _texts(nodes.select(F.col("node").alias("doc_id")), docs)
+    units = written(texts.mapInArrow(_units, "node long, u long"), "units")
+    discard(texts)
+    useful = units.join(nodes, "node").groupBy("u").agg(F.min("c").alias("l"), F.max("c").alias("m"), F.count(F.lit(1)).alias("df")).where("l < m")
+    useful = written(useful.select("u", "df"), "useful")
+    some = units.join(useful, "u").groupBy("node").agg(F.count(F.lit(1)).alias("useful"))
+    bounds = units.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(some, "node").where(F.col("useful") >= SIMILAR * F.col("n") - 1e-6)
+    return written(bounds, "bounds"), units, useful
+
+
+def _probed(few: DataFrame, every: DataFrame, units: DataFrame, useful: DataFrame) -> DataFrame:
+    """(x, y) in different components that may be similar. few: (x, cx, nx, ux); every: (y, cy, ny, uy).
+
+    If y shares t of the ux useful shingles of x, it has one of any ux - t + 1 of them, so the rarest ones are looked up.
+    """
+    rank = F.row_number().over(W.partitionBy("x").orderBy("df", "u"))
+    mine = few.join(units.withColumnRenamed("node", "x"), "x").join(useful, "u").withColumn("rank", rank)
+    mine = mine.where(F.col("rank") <= F.col("ux") - F.ceil(SIMILAR * F.col("nx") - 1e-6) + 1)
+    theirs = every.join(units.withColumnRenamed("node", "y"), "y").withColumnRenamed("u", "u2")
+    shared = F.ceil(SIMILAR / (1 + SIMILAR) * (F.col("nx") + F.col("ny")) - 1e-6)
+    near = (F.col("u") == F.col("u2")) & (F.col("cx") != F.col("cy")) & (F.col("rank") <= F.col("ux") - shared + 1) & (F.col("uy") >= shared)
+    return mine.join(theirs, near).select("x", "y")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -129,8 +181,9 @@ def classes(docs: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives no rows.
 
     Nodes that share a band key are candidates. A large bucket is not expanded into pairs: its members are compared
-    with one hub, the components found so far are taken together, and other hubs follow for what stays apart. Members
-    of different components that still share a bucket are then compared pair by pair, so that no link is lost.
+    with one hub, the components found so far are taken together, and another hub follows for what stays apart. Members
+    of different components that still share a bucket are then looked up by their rarest shareable shingles, and what
+    can share enough is compared pair by pair, so that no link is lost.
     """
     found = sketches(docs)
     copies = written(found.where("some").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "nodes")
@@ -138,29 +191,34 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = keys.groupBy("k").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("k", "least")
     members = written(keys.join(shared, "k"), "buckets")
     same = found.where("some").join(copies.select("h1", "h2", "node"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    pairs = members.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    tried = pairs = written(pairs, "pairs")
-    links = _verified(pairs, docs)
+    tried = written(members.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    links = _verified(tried, docs)
+    bounds = units = useful = None
     for star in range(STARS + 1):
         known = written(components(links), "classes")
         named = members.join(known.withColumnRenamed("component", "c"), "node", "left").select("k", "node", F.coalesce("c", "node").alias("c"))
+        if bounds is not None:
+            named = named.join(bounds, "node")
         apart = named.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("k")
         named = written(named.join(apart, "k"), "apart")
-        major = named.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max(F.struct("n", "c")).alias("m")).select("k", F.col("m.c").alias("major"))
+        if named.isEmpty():
+            break
+        if bounds is None:
+            bounds, units, useful = _bounds(named, docs)
+            named = written(named.join(bounds, "node"), "apart")
+        major = named.groupBy("k", "c").agg(F.count(F.lit(1)).alias("size")).groupBy("k").agg(F.max(F.struct("size", "c")).alias("m")).select("k", F.col("m.c").alias("major"))
         split = named.join(major, "k")
-        few = split.where("c <> major").select("k", F.col("node").alias("x"), F.col("c").alias("cx"), "major")
+        few = split.where("c <> major").select("k", "major", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("useful").alias("ux"))
         if star < STARS:
-            hubs = split.where("c = major").groupBy("k").agg(F.min_by("node", F.xxhash64(F.lit(star), F.col("node"))).alias("y"))
-            pairs = few.join(hubs, "k").select("x", "y")
+            hub = F.min(F.struct("n", F.xxhash64("node").alias("h"), "node"))
+            pairs = few.join(split.where("c = major").groupBy("k").agg(hub.alias("s")).select("k", F.col("s.node").alias("y")), "k").select("x", "y")
         else:
-            all_ = named.select("k", F.col("node").alias("y"), F.col("c").alias("cy"))
-            pairs = few.join(all_, "k").where("cx <> cy").select("x", "y")
+            every = named.select(F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("useful").alias("uy")).distinct()
+            pairs = _probed(written(few.drop("k", "major").distinct(), "few"), written(every, "every"), units, useful)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            if star < STARS:
-                continue
-            break
+            continue
         links = links.union(_verified(pairs, docs))
         tried = tried.union(pairs)
     known = components(links.union(same)).select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
