@@ -14,10 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import flat_bytes, packets, sized_broadcast, written
+from lodestar.llm.common import discard, flat_bytes, packets, sized_broadcast, written
 from lodestar.llm.words import Prefix, bytes_symbols, word_hashes
 
 #: Documents without an id come last.
@@ -198,15 +198,21 @@ def repeated(texts: DataFrame, w: Windows, *, earlier: bool) -> DataFrame:
     keys with several spans are judged by window, one half for each span standing for its equals.
     """
     halves = written(texts.select("id", "th", "text", "place").mapInArrow(_half_rows(w), "key long, span long, id long, th long, low long, high long"), "halves")
-    spans = halves.groupBy("key", "span").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most"), F.min(F.struct("id", "th", "low")).alias("rep"))
-    spans = written(spans, "spans")
-    keys = spans.groupBy("key").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"), F.min("least").alias("l"), F.max("most").alias("m"))
-    keys = keys.where("l < m" if earlier else "all > 1").select("key", "kinds")
-    judged = halves.join(spans.join(keys, "key"), ["key", "span"])
-    over: Column = F.col("id") > F.col("least") if earlier else F.col("n") > 1
-    stands = (F.col("id") == F.col("least")) if earlier else (F.col("n") == 1) | (F.struct("id", "th", "low") == F.col("rep"))
-    judged = judged.select("id", "th", "low", "high", over.alias("over"), (stands & (F.col("kinds") > 1)).alias("open"))
-    judged = written(judged.where("over or open"), "judged")
+    keys = halves.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("l"), F.max("id").alias("m"), F.min("span").alias("s0"), F.max("span").alias("s1"))
+    keys = keys.where("l < m" if earlier else "n > 1").select("key", "l", (F.col("s0") != F.col("s1")).alias("many"))
+    met = written(halves.join(keys, "key"), "met")
+    discard(halves)
+    plain = met.where("not many and id > l" if earlier else "not many").select("id", "th", "low", "high", F.lit(True).alias("over"), F.lit(False).alias("open"))
+    many = met.where("many").select("key", "span", "id", "th", "low", "high")
+    if earlier:
+        spans = many.groupBy("key", "span").agg(F.min("id").alias("least"))
+        over, stands = F.col("id") > F.col("least"), F.col("id") == F.col("least")
+    else:
+        spans = many.groupBy("key", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "low")).alias("rep"))
+        over, stands = F.col("n") > 1, (F.col("n") == 1) | (F.struct("id", "th", "low") == F.col("rep"))
+    judged = many.join(spans, ["key", "span"]).select("id", "th", "low", "high", over.alias("over"), stands.alias("open"))
+    judged = written(plain.union(judged), "judged")
+    discard(met)
     open_ = judged.where("open").select("id", "th", "low", "high")
     single = with_lists(texts.select("id", "th", "text"), open_, by=["id", "th"], lists=["low", "high"], how="inner")
     single = written(single.mapInArrow(_window_rows(w), "w1 long, w2 long, id long, th long, low long"), "windows")
