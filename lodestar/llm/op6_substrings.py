@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import sized_broadcast, table, written
+from lodestar.llm.common import table, written
 from lodestar.llm.repeats import LAST_ID, Windows, copies, covered, digested, named, once, repeated, sampled, with_lists
 
 #: Windows of 35 words, named by the 12 consecutive words of least hash in them.
@@ -57,7 +57,7 @@ def candidates(texts: DataFrame, windows: Windows = WINDOWS, batches: int = BATC
         found = index.add(texts.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == i)).select("key")
         keys = found if keys is None else keys.union(found)
     keys = written(keys.distinct(), "keys")
-    return sampled(texts, windows).join(sized_broadcast(keys), "key").select("id", "place")
+    return sampled(texts, windows).join(keys, "key").select("id", "place")
 
 
 def _digest(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[int, int, str]:
@@ -105,7 +105,7 @@ def removed(docs: DataFrame) -> DataFrame:
     per = written(per.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("_l.low").alias("low"), F.col("_l.high").alias("high")), "lists")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row).select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("th"))
-    both = rows.join(sized_broadcast(per), (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    both = rows.join(per, (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     both = both.select("row", F.when(F.col("low").isNotNull(), F.col("row.text")).alias("text"), "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,10 +138,10 @@ def sampled(texts: DataFrame, w: Windows, heavy: np.ndarray | None = None) -> Da
 
 
 def with_lists(texts: DataFrame, rows: DataFrame, *, by: list[str], lists: list[str], how: str) -> DataFrame:
-    """texts joined with arrays of the rows of each document; the arrays are broadcast only if they are, measured, small."""
+    """texts joined with arrays of the rows of each document; how they meet is left to the planner."""
     per = rows.groupBy(*by).agg(F.collect_list(F.struct(*lists)).alias("_l"))
     per = written(per.select(*by, *[F.col(f"_l.{c}").alias(c) for c in lists]), "lists")
-    return texts.join(sized_broadcast(per), by, how)
+    return texts.join(per, by, how)
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
