@@ -119,3 +119,14 @@ def running_total(rows: DataFrame, group: str, key: str, ties: list[str], value:
     inner = cut.withColumn("_in", F.sum(value).over(order) - F.col(value))
     both = inner.join(bases, (F.col(group) == F.col("_g")) & (F.col("_range") == F.col("_r")))
     return both.withColumn("before", F.col("_in") + F.col("_base")).drop("_range", "_in", "_g", "_r", "_base")
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): whole rows as structs, so that no column of theirs clashes with an operator's own."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+
+
+def unwrapped(rows: DataFrame) -> DataFrame:
+    """The columns of `row`."""
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in rows.schema["row"].dataType.names])

@@ -150,9 +150,9 @@ def _compare(cosine: float):
             out.append(pd.DataFrame({"a": ids2, "b": 0, "n": close.T @ left["mult"].to_numpy()}))
         x, y = np.nonzero(np.triu(close) if own else close)
         kept = _forest(x, y + (0 if own else len(ids)), len(ids) + (0 if own else len(ids2)))
-        out.append(pd.DataFrame({"a": ids[x[kept]], "b": ids2[y[kept]], "n": 0}))
+        out.append(pd.DataFrame({"a": ids[x[kept]], "b": ids2[y[kept]], "n": -1}))  # a link, not a count
         both = pd.concat(out)
-        return both[(both["n"] > 0) | (both["b"] != 0) | (both["a"] == 0)].astype("int64")
+        return both[both["n"] != 0].astype("int64")
 
     return run
 
@@ -196,8 +196,8 @@ def near(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     left = pairs.join(cut.withColumnsRenamed({"leaf": "u", "block": "bu"}), [*_GROUP, "u", "bu"])
     right = _again(pairs).where("u < v or bu < bv").join(_again(cut).withColumnsRenamed({"leaf": "v", "block": "bv"}), [*_GROUP, "v", "bv"])
     met = written(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compare(cosine), "a long, b long, n long"), "met")
-    counts = met.groupBy("a").agg(F.sum("n").alias("others")).select(F.col("a").alias("node"), "others")
-    known = components(met.where("n = 0").select("a", "b")).select("node", F.col("component").alias("c"))
+    counts = met.where("n > 0").groupBy("a").agg(F.sum("n").alias("others")).select(F.col("a").alias("node"), "others")
+    known = components(met.where("n < 0").select("a", "b")).select("node", F.col("component").alias("c"))
     result = nodes.join(counts, "node", "left").join(known, "node", "left")
     result = result.select(*[F.col(c).alias(f"_{c}") for c in equal], (F.coalesce("others", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("c", "node").alias("c"))
     every = base.withColumn("_ok", usable).join(result, (F.col("label") == F.col("_label")) & (F.col("e") == F.col("_e")) & F.col("_ok"), "left")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestar.llm.common import sized_broadcast, table, written
+from lodestar.llm.common import sized_broadcast, table, unwrapped, wrapped, written
 
 #: Characters of a word after lower-casing A-Z.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -132,10 +132,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
     A row goes if its (doc_id, text) has a hit; nulls and repeated rows as in phrase_matches.
     """
-    found = written(phrases(benchmark, window), "phrases")
-    both = _with_text(docs, found, _candidates(docs, found, exact=True))
+    docs, found = wrapped(docs), written(phrases(benchmark, window), "phrases")
+    both = _with_text(docs, found, _candidates(docs.select("doc_id", "text"), found, exact=True))
     both = both.withColumn("_w", F.when(F.col("_c").isNotNull(), tokens(F.col("text"))))
-    return both.where(~F.coalesce(F.exists("_c", _same), F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unwrapped(both.where(~F.coalesce(F.exists("_c", _same), F.lit(False))))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

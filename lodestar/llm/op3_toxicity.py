@@ -61,9 +61,11 @@ def word_terms(text: str | None) -> Counter:
 class ToxicityModel:
     weights: dict[str, float]
     exceptions: list[str]
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(8))
-    scale: np.ndarray = field(default_factory=lambda: np.ones(8))
-    coef: np.ndarray = field(default_factory=lambda: np.array([-2.0] + [0.0] * 8))
+    mean: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    scale: np.ndarray = field(default_factory=lambda: np.ones(4))
+    low: np.ndarray = field(default_factory=lambda: np.full(4, -np.inf))
+    high: np.ndarray = field(default_factory=lambda: np.full(4, np.inf))
+    coef: np.ndarray = field(default_factory=lambda: np.array([-2.0] + [0.0] * 4))
 
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
@@ -76,7 +78,7 @@ class ToxicityModel:
         return found
 
     def measure(self, found: ahocorasick.Automaton, text: str | None) -> list[float]:
-        """Weighted hits by length, their logarithms with and without repeats, and the length's; hits inside an exception don't count."""
+        """Logarithms of the weighted hits by length, of the hits with and without repeats, and of the length; hits inside an exception don't count."""
         s = folded(text)
         hits, spared = [], []
         if len(found):
@@ -91,25 +93,33 @@ class ToxicityModel:
         total = sum(self.weights[t] * n for t, n in each.items())
         capped = sum(self.weights[t] * min(n, 3) for t, n in each.items())
         words = len(s.split())
-        x = [10 * total / (words + 20), math.log1p(total), math.log1p(capped), math.log1p(words)]
-        return x + [v * v for v in x]
+        return [math.log1p(100 * total / (words + 20)), math.log1p(total), math.log1p(capped), math.log1p(words)]
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        x = np.clip(x, self.low, self.high)  # no further than the rows of the fit
         z = self.coef[0] + ((x - self.mean) / self.scale) @ self.coef[1:]
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def _calibrated(model: ToxicityModel, x: np.ndarray, y: np.ndarray) -> ToxicityModel:
-    """Logistic regression by Newton steps with a small ridge."""
+    """Logistic regression by Newton steps with a small ridge. More hits never lower a score: features of hits whose
+    coefficient would be negative are left out one by one."""
     if len(y) == 0 or y.min() == y.max():
         return model
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
-    z = np.c_[np.ones(len(x)), (x - model.mean) / model.scale]
-    w = np.zeros(z.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.5 * np.eye(len(w)), z.T @ (y - p) - 0.5 * w)
-    model.coef = w
+    model.mean, model.scale, model.low, model.high = x.mean(0), np.maximum(x.std(0), 0.1), x.min(0), x.max(0)
+    full = np.c_[np.ones(len(x)), (x - model.mean) / model.scale]
+    used = list(range(full.shape[1]))
+    while True:
+        z, w = full[:, used], np.zeros(len(used))
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+            w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.5 * np.eye(len(w)), z.T @ (y - p) - 0.5 * w)
+        low = [(c, k) for c, k in zip(w, used, strict=True) if k in (1, 2, 3) and c < 0]
+        if not low:
+            break
+        used.remove(min(low)[1])
+    model.coef = np.zeros(full.shape[1])
+    model.coef[used] = w
     return model
 
 
@@ -161,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     got = rows.mapInArrow(measured, "toxic int, x array<double>").toPandas()
     counts.unpersist()
     rows.unpersist()
-    x = np.array(got["x"].tolist(), float).reshape(-1, 8)
+    x = np.array(got["x"].tolist(), float).reshape(-1, 4)
     order = np.lexsort(x.T)
     return _calibrated(model, x[order], got["toxic"].to_numpy(float)[order])
 
@@ -172,7 +182,7 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = model.automaton()
         for batch in batches:
-            xs = np.array([model.measure(found, t.as_py()) for t in batch.column("text")], float).reshape(-1, 8)
+            xs = np.array([model.measure(found, t.as_py()) for t in batch.column("text")], float).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(xs))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")

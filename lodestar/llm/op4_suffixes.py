@@ -93,7 +93,8 @@ class SuffixLevels:
 
 def candidates(texts: DataFrame, windows: Windows = WINDOWS, batches: int = BATCHES) -> DataFrame:
     """(id, place) of the suffixes met in several documents; the batches are added in the order of id."""
-    cuts = [int(x) for x in texts.select("id").approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)]
+    parts = [i / batches for i in range(1, batches)]
+    cuts = [int(x) for x in texts.select("id").approxQuantile("id", parts, 0.01)] if parts else []
     edges = [-(1 << 63), *sorted(set(cuts)), None]
     levels = SuffixLevels(windows)
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):

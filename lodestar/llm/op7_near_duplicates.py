@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestar.llm.common import discard, flat_bytes, packets, sized_broadcast, table, written
+from lodestar.llm.common import discard, flat_bytes, packets, sized_broadcast, table, unwrapped, wrapped, written
 from lodestar.llm.graph import components
 from lodestar.llm.words import counted, mixed, shingles
 
@@ -233,9 +233,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept(docs: DataFrame) -> DataFrame:
     """The documents but for all but one of each class, with their columns; rows with a null id stay; of rows that repeat an id one stays."""
-    drop = written(classes(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")), "gone")
-    left = docs.join(sized_broadcast(drop), docs.doc_id == F.col("_gone"), "left_anti")
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
-    if again.isEmpty():
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    rows = wrapped(docs)
+    drop = written(classes(rows.select("doc_id", "text")).where("doc_id <> class_id").select(F.col("doc_id").alias("gone")), "gone")
+    left = rows.join(sized_broadcast(drop), F.col("doc_id") == F.col("gone"), "left_anti")
+    again = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
+    if not again.isEmpty():
+        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    return unwrapped(left)
