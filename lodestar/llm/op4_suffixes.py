@@ -86,6 +86,11 @@ class SuffixLevels:
             out = out.union(rows)
         return out.select("id", F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("place"))
 
+    def drop(self) -> None:
+        """Delete the stored levels, for when no batch is to come."""
+        discard(*[level for _, level in self.levels], *self.across)
+        self.levels, self.across = [], []
+
     @staticmethod
     def _merged(rows: DataFrame) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_scan, "key long, id long, place long, met boolean")
@@ -99,7 +104,9 @@ def candidates(texts: DataFrame, windows: Windows = WINDOWS, batches: int = BATC
     levels = SuffixLevels(windows)
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         levels.add(texts.where(F.col("id") >= lo) if hi is None else texts.where((F.col("id") >= lo) & (F.col("id") < hi)))
-    return levels.met()
+    met = written(levels.met(), "met")
+    levels.drop()
+    return met
 
 
 def _digest(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[int, int, int, str]:
