@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,6 +26,13 @@ ASIDES = frozenset(
     "masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related reply replies respond search share sharing "
     "shared sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets complementary contentinfo modal overlay".split()
 )
+#: Elements that may hold an article, elements of text, those that are paragraphs, and boxes that frame a page rather than an article.
+HOLDERS = frozenset(["", *"html body div section td center".split()])
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table figure figcaption hr".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())
+FRAME = frozenset("nav header footer menu".split())
+#: Share of a page's text that the element around its article holds.
+MOST = 0.6
 BESIDE = frozenset("nav header footer aside form menu dialog fieldset search".split())
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -37,61 +45,156 @@ LABELLED = (
     ((0, "<div id='menu'><ul><li><a>_</a></li><li><a>_</a></li></ul></div>"), (1, "<div class='content'><h1>_ _ _</h1><p>_ _ _ _ _ _ _ _ _</p><blockquote>_ _ _ _</blockquote><p>_ _ _ _ _ _ _</p><pre>_ _</pre></div>"), (0, "<div class='comments'><p>_ _ _ _ _</p><form><input>_ _</form></div><div class='sidebar'><p>_ _ _</p></div>")),
     ((0, "<p>_ _ _</p>"), (1, "<article><h1>_ _</h1><p>_ _ _ _ _ _ _ _ _</p></article>"), (0, "<div>_ _ _ _</div>")),
     ((0, "<div class='cookie notice'><p>_ _ _ _ _ _</p></div><form><label>_</label></form>"), (1, "<section><h1>_ _ _</h1><p>_ _ _ _ _ _ _ _<br>_ _ _ _</p><table><tr><td>_ _</td><td>_</td></tr></table></section>"), (0, "<section class='related'><a>_ _ _</a><a>_ _</a></section><footer><a>_</a> _ _</footer>")),
+    ((0, "<nav><a>_</a><a>_</a></nav>"), (1, "<article><h1><a>_ _ _</a></h1><p>_ _ _ _ _ _ <a>_</a> _ _</p><aside><p>_ _ _</p></aside><p>_ _ _ _ _ _ _</p><p><a>_ _</a></p></article>"), (0, "<footer><a>_</a> _ _</footer>")),
+    ((0, "<div id='menu'><ul><li><a>_</a></li></ul></div>"), (1, "<div class='content'><h1><a>_ _</a></h1><p>_ _ _ _ _ _ _ _ _</p><div class='ad'>_ _ _ _</div><p>_ _ _ _ _ _ _</p><form><label>_</label></form><p>_ _ _ _ _</p><p><a>_ _</a></p></div>"), (0, "<div class='sidebar'><p>_ _ _</p></div>")),
 )
 
 
 class _Open:
-    """An element that is open while a page is read."""
+    """An element that is open while a page is read. box is the outermost element around it that stands beside an article."""
 
-    __slots__ = ("name", "parent", "beside", "hidden", "link", "main")
+    __slots__ = ("name", "parent", "depth", "named", "box", "hidden", "link", "main")
 
     def __init__(self, name: str, attributes: str, parent: _Open | None):
-        named = {w for m in _NAMES.findall(attributes) for w in _WORD.findall("".join(m).lower())} if attributes else ()
-        own = name in BESIDE or not ASIDES.isdisjoint(named)
+        given = ["".join(m).lower() for m in _NAMES.findall(attributes)] if attributes else []
+        words = {w for g in given for w in _WORD.findall(g)}
+        own = name in BESIDE or not ASIDES.isdisjoint(words)
         if own and name in ("body", "html", "main", "article"):  # a page-wide class says nothing about its text
             own = False
         self.main = name in ("article", "main") or (parent is not None and parent.main)
         if own and name == "header" and self.main:  # an article's own heading
             own = False
-        self.name, self.parent = name, parent
-        self.beside = own or (parent is not None and parent.beside)
+        self.name, self.parent, self.named = name, parent, tuple(given)
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.box = parent.box if parent is not None and parent.box is not None else self if own else None
         self.hidden = name in HIDDEN or (parent is not None and parent.hidden)
         self.link = name == "a" or (parent is not None and parent.link)
 
     def kind(self) -> str:
-        if self.beside:
+        if self.box is not None:
             return "inset" if self.main else "beside"
-        return "link" if self.link else "body" if self.main else "loose"
+        if self.link:
+            return "cited" if self.main else "link"
+        return "body" if self.main else "loose"
+
+    def above(self, depth: int) -> _Open:
+        """This element or the one around it at the depth."""
+        at = self
+        while at.depth > depth:
+            at = at.parent
+        return at
+
+    def within(self, other: _Open) -> bool:
+        return self.depth >= other.depth and self.above(other.depth) is other
+
+    def wide(self) -> bool:
+        """Whether it is the page rather than a part of it."""
+        return self.name in ("", "html", "body")
+
+
+def _container(found: list[tuple]) -> _Open | None:
+    """The innermost element that may hold an article and holds most of the words that are neither links nor beside it."""
+    inside: Counter = Counter()
+    total = 0
+    for text, kind, _, at in found:
+        if kind in ("loose", "body"):
+            words = text.count(" ") + 1
+            total += words
+            while at is not None:
+                if at.name in HOLDERS:
+                    inside[at] += words
+                at = at.parent
+    held = [at for at, n in inside.items() if n >= MOST * total]
+    return max(held, key=lambda at: at.depth) if held else None
+
+
+def _unmarked(found: list[tuple]) -> list[tuple]:
+    """The blocks of a page that marks no article: text is body, and so are links of the element that holds most of the text.
+
+    A box is an inset if its parent's text goes on after it: within that element, or between siblings that are alike.
+    Where the page itself is that element, its links count if they stand in paragraphs or headings.
+    """
+    holder = _container(found)
+    plain = [i for i, (_, kind, _, _) in enumerate(found) if kind not in ("beside", "inset")]
+    known: dict[_Open, bool] = {}
+
+    def inset(box: _Open, i: int) -> bool:
+        if box not in known:
+            k, parent = bisect_left(plain, i), box.parent
+            near = [found[plain[j]][3] for j in (k - 1, k) if 0 <= j < len(plain)]
+            goes_on = len(near) == 2 and all(x.within(parent) for x in near)
+            if goes_on:
+                held = holder is not None and parent.within(holder)
+                a, b = (x.above(parent.depth + 1) for x in near)
+                level = [x is parent or x.name in TEXTUAL or x.name in INLINE for x in (a, b)]
+                alike = all(level) or (not any(level) and (a.name, a.named) == (b.name, b.named))
+                goes_on = (held and not parent.wide()) or (alike and (held or box.name not in FRAME))
+            known[box] = goes_on
+        return known[box]
+
+    def cited(at: _Open) -> bool:
+        if holder is None or not at.within(holder):
+            return False
+        if not holder.wide():
+            return True
+        names = []
+        while at is not holder:
+            if at.name not in INLINE:
+                names.append(at.name)
+            at = at.parent
+        return bool(names) and all(n in PARAGRAPHS for n in names)
+
+    out = []
+    for i, (text, kind, tags, at) in enumerate(found):
+        if kind == "loose":
+            kind = "body"
+        elif kind == "beside" and inset(at.box, i):
+            kind = "inset"
+        elif kind == "link" and cited(at):
+            kind = "cited"
+        out.append((text, kind, [(t, x) for t, x in tags if x.box is None or not inset(x.box, i)], at))
+    return out
 
 
 def blocks(page: str) -> list[tuple[str, str, list[str]]]:
-    """(text, kind of the words, tags before them) of the page's blocks, in order. A block is the text between two tags that break lines.
+    """(text, kind of the words, tags before them, with a < before their names) of the page's blocks, in order. A block is the text between two tags that break lines.
 
-    Kind is by the open elements: beside the article, an inset within it, link, body, or loose for text outside the article of a page that marks one. Unclosed and stray tags are taken as browsers do, roughly: a new
+    Kind is by the open elements: beside the article, an inset within it, cited for links within it, link for others, body, or loose for text outside the article of a page that marks one. Tags of insets and of elements that are never
+    shown are left out. Unclosed and stray tags are taken as browsers do, roughly: a new
     paragraph ends an open one, an end tag closes up to its element, and one without an open element is passed over.
     """
-    found: list[tuple[str, str, list[str]]] = []
+    found: list[tuple] = []
+    root = _Open("", "", None)
     stack: list[_Open] = []
     text: list[str] = []
     kinds: Counter = Counter()
-    tags: list[str] = []
+    places: dict[str, _Open] = {}
+    tags: list[tuple[str, _Open]] = []
     pos, n = 0, len(page)
 
     def flush() -> None:
         if text:
             words = html.unescape("".join(text)).split()
             if words:
-                found.append((" ".join(words), kinds.most_common(1)[0][0], tags.copy()))
+                kind = kinds.most_common(1)[0][0]
+                found.append((" ".join(words), kind, tags.copy(), places[kind]))
                 tags.clear()
             text.clear()
             kinds.clear()
+            places.clear()
 
     def add(part: str) -> None:
-        at = stack[-1] if stack else None
-        if part and not (at and at.hidden):
+        at = stack[-1] if stack else root
+        if part and not at.hidden:
             text.append(part)
             if not part.isspace():
-                kinds[at.kind() if at else "loose"] += len(part)
+                kind = at.kind()
+                kinds[kind] += len(part)
+                places.setdefault(kind, at)
+
+    def mark(tag: str, at: _Open) -> None:
+        if not at.hidden and not (at.main and at.box is not None):
+            tags.append((tag, at))
 
     while pos < n:
         m = _MARK.search(page, pos)
@@ -108,26 +211,31 @@ def blocks(page: str) -> list[tuple[str, str, list[str]]]:
             continue
         if name not in INLINE:
             flush()
-            tags.append(("/" if ending else "") + name)
         if ending:
+            at = stack[-1] if stack else root
             if any(x.name == name for x in stack):
-                while stack.pop().name != name:
+                while (at := stack.pop()).name != name:
                     pass
+            if name not in INLINE:
+                mark("/" + name, at)
             continue
         if name in CLOSES_P and any(x.name == "p" for x in stack):
             while stack and stack.pop().name != "p":
                 pass
         if name == "li" and stack and stack[-1].name == "li":
             stack.pop()
+        at = _Open(name, m[2], stack[-1] if stack else root)
+        if name not in INLINE:
+            mark(name, at)
         if name not in VOID and not m[2].endswith("/"):
-            stack.append(_Open(name, m[2], stack[-1] if stack else None))
+            stack.append(at)
             if name in ("script", "style", "textarea", "title", "noscript"):  # their content is not markup
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, pos)
                 pos = end.start() if end else n
     flush()
-    if not any(kind == "body" for _, kind, _ in found):  # no element says where the article is
-        found = [(text, "body" if kind == "loose" else kind, tags) for text, kind, tags in found]
-    return found
+    if not any(kind == "body" for _, kind, _, _ in found):  # no element says where the article is
+        found = _unmarked(found)
+    return [(text, kind, ["<" + t for t, _ in tags]) for text, kind, tags, _ in found]
 
 
 def learn(pages: tuple = LABELLED) -> dict[str, float]:
@@ -136,11 +244,11 @@ def learn(pages: tuple = LABELLED) -> dict[str, float]:
     for page in pages:
         for good, piece in page:
             for text, kind, tags in blocks(piece):
-                kind = "loose" if kind == "body" and not good else kind
+                kind = {"body": "loose", "cited": "link"}.get(kind, kind) if not good else kind
                 (inside if good else outside)[kind] += len(text.split())
                 (inside if good else outside).update(tags)
     odds = lambda k: math.log((inside[k] + 0.5) / (outside[k] + 0.5))
-    weights = {k: odds(k) for k in ("body", "link", "beside", "loose")} | {"inset": 0.0}
+    weights = {k: odds(k) for k in ("body", "cited", "link", "beside", "loose")} | {"inset": 0.0}
     share = lambda k: (outside[k] + 0.5) / (inside[k] + outside[k] + 1)
     return weights | {k: -0.2 * share(k) for k in inside | outside if k not in weights} | {"": -0.1}
 
@@ -153,6 +261,8 @@ def main_text(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
     found = blocks(page or "")
     best, at, score, start = 0.0, (0, 0), 0.0, 0
     for i, (text, kind, tags) in enumerate(found):
+        if kind == "inset":  # left out of the text, hence no reason to end the run
+            continue
         cost = sum(weights.get(t, weights[""]) for t in tags)
         if score + cost <= 0:
             score, start, cost = 0.0, i, 0.0

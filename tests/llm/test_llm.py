@@ -61,6 +61,23 @@ def test_html_keeps_the_article_only():
     assert [op1_html.main_text(x) for x in (None, "", "<nav>x</nav>", "plain", "<p>" + "w " * 20000)] == ["", "", "", "plain", " ".join(["w"] * 20000)]
 
 
+def test_html_keeps_links_and_text_around_boxes():
+    """Links that open or end the article stay, and a box within it, however long, ends nothing."""
+    text = op1_html.main_text
+    assert text("<nav><a>x</a></nav><article><h1><a>Title</a></h1><p>One two</p><p><a>Source</a></p></article><footer><a>y</a></footer>") == "Title One two Source"
+    assert text("<div id=menu><a>x</a></div><div class=content><h1><a>Title</a></h1><p>One two</p><p><a>Source</a></p></div><ul><li><a>y</a></ul>") == "Title One two Source"
+    assert text("<body><ul><li><a>x</a></ul><h1><a>Title</a></h1><p>One two</p><p><a>Source</a></p></body>") == "Title One two Source"
+    a, b = "a " * 39 + "a", "b " * 59 + "b"
+    for box in ("<div class=ad>" + "w " * 90 + "</div>", "<form><label>" + "w " * 90 + "</label></form>", "<ul class=related>" + "<li><a>w</a></li>" * 900 + "</ul>", "<div class=promo>" + "<hr>" * 5000 + "w</div>"):
+        for p in ("p", "div"):
+            inner = f"<{p}>{a}</{p}>{box}<{p}>{b}</{p}>"
+            for page in (f"<div class=content>{inner}</div>", f"<body><nav>x</nav>{inner}<footer>y</footer></body>", f"<article>{inner}</article>", f"<div id=menu>x y</div><div class=content><div>{inner}</div></div>"):
+                assert text(page) == f"{a} {b}"
+    assert text(f"<p>{a}</p><div class=ad>" + "w " * 90 + f"</div><p>{b}</p>") == f"{a} {b}"
+    # what stands beyond a frame of the page is not of the article
+    assert text(f"<body><div class=top>tag line</div><nav>{a}</nav><div class=content><p>{a}</p><p>{b}</p></div><footer>{b}</footer><div class=end>rights</div></body>") == f"{a} {b}"
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, "u", None, "z"), (1, "u", "<p>é</p>", "z"), (None, None, "", "z")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in op1_html.extract(rows).collect()) == [("", 0), ("", 0), ("é", 1)]
