@@ -90,9 +90,14 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "h1", "h2")] + [pa.array(some), lists], ["doc_id", "h1", "h2", "some", "bands"])
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """docs with (h1, h2), a 128-bit name of the text."""
+    return docs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), F.col("text"))})
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, h1, h2, some, bands): a 128-bit name of the text, whether it has words, and its band keys; written to the shared folder."""
-    base = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), F.col("text")).alias("h2"), F.coalesce("text", F.lit("")).alias("text"))
+    base = _hashed(docs.where("doc_id is not null").select("doc_id", "text")).select("doc_id", "h1", "h2", F.coalesce("text", F.lit("")).alias("text"))
     return written(base.mapInArrow(_sketched, "doc_id long, h1 long, h2 long, some boolean, bands array<long>"), "sketches")
 
 
@@ -113,17 +118,18 @@ def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield part.select(["a", "b"]).filter(pa.array((most > 0) & (least >= SIMILAR * most - 1e-9)))
 
 
-def _texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of the nodes (doc_id), one text each, written."""
-    some = docs.select("doc_id", "text").join(sized_broadcast(nodes), "doc_id")
-    return written(some.groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+def _texts(nodes: DataFrame, copies: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes (node), written. Each text is taken from the least doc_id that has it."""
+    names = ["doc_id", "h1", "h2"]
+    some = _hashed(docs.select("doc_id", "text")).join(sized_broadcast(written(nodes.join(copies.select("node", *names), "node"), "wanted")), names)
+    return written(some.groupBy("node").agg(F.max("text").alias("text")), "texts")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, copies: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar; the texts of the nodes concerned are gathered once."""
-    texts = _texts(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), docs)
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), copies, docs)
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     links = written(pairs.join(left, "a").join(right, "b").mapInArrow(_similarities, "a long, b long"), "links")
     discard(texts)
     return links
@@ -132,7 +138,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, u): the shingles of each text, numbered so that the bag is a set."""
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
+        ids = batch.column("node").to_numpy()
         for a, b in packets(batch, "text"):
             key, text, weight = counted(*shingles(*flat_bytes(batch.column("text").slice(a, b - a)), WORDS))
             at = np.repeat(np.arange(len(key)), weight)
@@ -141,7 +147,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][text[at]]), pa.array(unit.view(np.int64))], ["node", "u"])
 
 
-def _bounds(named: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _bounds(named: DataFrame, copies: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables (node, n, useful), (node, u) and (u, df): a node's shingles, how many of them occur in another component too,
     all shingles of the nodes kept, and in how many nodes each useful one is.
 
@@ -149,7 +155,7 @@ def _bounds(named: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, Da
     s / (1 + s) * (n + m) shared ones, so nodes and pairs with fewer are left out without losing a link.
     """
     nodes = named.select("node", "c").distinct()
-    texts = _texts(nodes.select(F.col("node").alias("doc_id")), docs)
+    texts = _texts(nodes.select("node"), copies, docs)
     units = written(texts.mapInArrow(_units, "node long, u long"), "units")
     discard(texts)
     useful = units.join(nodes, "node").groupBy("u").agg(F.min("c").alias("l"), F.max("c").alias("m"), F.count(F.lit(1)).alias("df")).where("l < m")
@@ -173,26 +179,28 @@ def _probed(few: DataFrame, every: DataFrame, units: DataFrame, useful: DataFram
     return mine.join(theirs, near).select("x", "y")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id): class_id is the smallest doc_id that links of similarity >= 0.8 lead to.
+def text_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, class_id, c1, c2) of every distinct doc_id and text: the text's name, and the least doc_id and text of its class, which stand for it.
 
-    Texts without words (null, empty, white space) link with nothing; equal texts are one node; null ids and their rows
-    are left out; a doc_id with several texts has the class of its largest text's links and of all its copies; other
-    columns are ignored; an empty table gives no rows.
+    Texts without words (null, empty, white space) link with nothing; equal texts are one node, whatever their ids;
+    texts that share a doc_id are apart unless they are similar; null ids and their rows are left out; other columns
+    are ignored; an empty table gives no rows. Classes of unrelated texts may have the same class_id where a doc_id
+    repeats; (class_id, c1, c2) tells them apart.
 
-    Nodes that share a band key are candidates. A large bucket is not expanded into pairs: its members are compared
+    Nodes are numbers given to the 128-bit names. Nodes that share a band key are candidates. A large bucket is not
+    expanded into pairs: its members are compared
     with one hub, the components found so far are taken together, and another hub follows for what stays apart. Members
     of different components that still share a bucket are then looked up by their rarest shareable shingles, and what
     can share enough is compared pair by pair, so that no link is lost.
     """
     found = sketches(docs)
-    copies = written(found.where("some").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "nodes")
+    copies = found.where("some").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands"))
+    copies = written(copies.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = copies.select("node", F.explode("bands").alias("k"))
     shared = keys.groupBy("k").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("k", "least")
     members = written(keys.join(shared, "k"), "buckets")
-    same = found.where("some").join(copies.select("h1", "h2", "node"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     tried = written(members.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = _verified(tried, docs)
+    links = _verified(tried, copies, docs)
     bounds = units = useful = None
     for star in range(STARS + 1):
         known = written(components(links), "classes")
@@ -204,7 +212,7 @@ def classes(docs: DataFrame) -> DataFrame:
         if named.isEmpty():
             break
         if bounds is None:
-            bounds, units, useful = _bounds(named, docs)
+            bounds, units, useful = _bounds(named, copies, docs)
             named = written(named.join(bounds, "node"), "apart")
         major = named.groupBy("k", "c").agg(F.count(F.lit(1)).alias("size")).groupBy("k").agg(F.max(F.struct("size", "c")).alias("m")).select("k", F.col("m.c").alias("major"))
         split = named.join(major, "k")
@@ -219,24 +227,39 @@ def classes(docs: DataFrame) -> DataFrame:
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        links = links.union(_verified(pairs, docs))
+        links = links.union(_verified(pairs, copies, docs))
         tried = tried.union(pairs)
-    known = components(links.union(same)).select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
-    ids = found.select("doc_id").distinct()
-    return ids.join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    known = written(components(links), "classes")
+    least = F.min(F.struct("doc_id", "h1", "h2"))
+    stands = known.join(copies, "node").groupBy("component").agg(least.alias("least"))
+    own = F.struct("doc_id", "h1", "h2")
+    linked = known.join(stands, "component").select("node", "least")
+    names = copies.join(linked, "node", "left").select("h1", "h2", F.coalesce("least", own).alias("least"))
+    rows = found.select("doc_id", "h1", "h2").distinct().join(names, ["h1", "h2"], "left").withColumn("least", F.coalesce("least", own))
+    return rows.select("doc_id", "h1", "h2", F.col("least.doc_id").alias("class_id"), F.col("least.h1").alias("c1"), F.col("least.h2").alias("c2"))
+
+
+#: Whether a row of text_classes stands for its class.
+STANDS = "doc_id = class_id AND h1 = c1 AND h2 = c2"
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id) of every distinct doc_id and text, as in text_classes: class_id is the smallest doc_id that links of similarity >= 0.8 lead to."""
+    return text_classes(docs).select("doc_id", "class_id")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, class_id and kept (the one document of its class that stays)."""
-    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    """doc_id, class_id and kept (the one document of its class that stays) of every distinct doc_id and text."""
+    return text_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.expr(STANDS).alias("kept"))
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The documents but for all but one of each class, with their columns; rows with a null id stay; of rows that repeat an id one stays."""
-    rows = wrapped(docs)
-    drop = written(classes(rows.select("doc_id", "text")).where("doc_id <> class_id").select(F.col("doc_id").alias("gone")), "gone")
-    left = rows.join(sized_broadcast(drop), F.col("doc_id") == F.col("gone"), "left_anti")
-    again = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
+    """The documents but for all but one of each class, with their columns; rows with a null id stay; of rows that repeat an id and its text one stays."""
+    names = ["doc_id", "h1", "h2"]
+    rows = _hashed(wrapped(docs))
+    drop = written(text_classes(rows.select("doc_id", "text")).where(f"NOT ({STANDS})").select(*names), "gone")
+    left = rows.join(sized_broadcast(drop), names, "left_anti")
+    again = rows.where("doc_id is not null").groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not again.isEmpty():
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+        left = left.where("doc_id is not null").dropDuplicates(names).unionByName(left.where("doc_id is null"))
     return unwrapped(left)

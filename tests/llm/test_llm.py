@@ -292,6 +292,22 @@ def test_near_duplicates_equal_brute_force(spark, empty):
     assert op7_near_duplicates.classes(empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Texts that share an id are judged each by its own words, and so are copies of them under other ids."""
+    a, b, c, d = (prose(80) for _ in range(4))
+    near = lambda t: t + " tail"
+    rows = [(1, a), (1, b), (1, b), (2, near(a)), (3, near(b)), (4, a), (5, c), (5, near(c)), (6, None), (6, ""), (6, d), (7, near(d)), (8, b), (9, prose(80))]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    left = [(r.doc_id, r.text) for r in op7_near_duplicates.kept(docs).collect()]
+    of_c = [r for r in left if r[0] == 5]
+    assert len(of_c) == 1 and of_c[0][1] in (c, near(c))
+    assert Counter(r for r in left if r[0] != 5) == Counter([(1, a), (1, b), (6, None), (6, ""), (6, d), rows[-1]])
+    got = Counter((r.doc_id, r.class_id) for r in op7_near_duplicates.classes(docs).collect())
+    assert got == Counter({(1, 1): 2, (2, 1): 1, (3, 1): 1, (4, 1): 1, (5, 5): 2, (6, 6): 3, (7, 6): 1, (8, 1): 1, (9, 9): 1})
+    names = {(r.doc_id, r.class_id, r.c1) for r in op7_near_duplicates.text_classes(docs.where("doc_id in (1, 2, 3, 4, 8)")).collect()}
+    assert len({c1 for _, _, c1 in names}) == 2 and {frozenset(i for i, _, x in names if x == c1) for _, _, c1 in names} == {frozenset({1, 2, 4}), frozenset({1, 3, 8})}
+
+
 def test_bag_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     keys = rng.integers(1, 1 << 62, 60).astype(np.uint64)
