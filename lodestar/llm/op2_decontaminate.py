@@ -66,12 +66,13 @@ def plan_probes(docs: DataFrame, found: DataFrame, probes: int = PROBES) -> Data
 
 
 def _candidates(docs: DataFrame, found: DataFrame, *, exact: bool) -> DataFrame:
-    """(doc_id, th, pid, start): starts where the posting lists of the probes meet after offset adjustment."""
+    """(doc_id, th, pid, start): starts where the posting lists of the probes meet after offset adjustment; if not exact, the places of each phrase's rarest term."""
     plan = written(plan_probes(docs, found, PROBES if exact else 1), "probes")
     index = postings(docs, plan.select("term").distinct())
-    met = index.join(sized_broadcast(plan), "term").withColumn("start", F.col("pos") - F.col("off"))
+    met = index.join(sized_broadcast(plan), "term")
     if not exact:
-        return met.select("doc_id", "th", "pid", "start")
+        return met.select("doc_id", "th", "pid", F.col("pos").alias("start"))
+    met = met.withColumn("start", F.col("pos") - F.col("off"))
     lists = met.where("start >= 0").groupBy("doc_id", "th", "pid", "start").agg(F.count(F.lit(1)).alias("lists"), F.max("probes").alias("probes"))
     return lists.where("lists >= probes").drop("lists", "probes")
 
@@ -103,13 +104,19 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 5) -> DataFrame:
-    """(doc_id, phrase, start): all distinct words of the window occur, in any order, within n + 2 * slack words around start."""
+    """(doc_id, phrase, start): all distinct words of the window occur, in any order, within the n + 2 * slack words from start.
+
+    Each occurrence of the window's rarest term gives the first such stretch that contains it.
+    """
     docs, found = docs.select("doc_id", "text"), written(phrases(benchmark, window), "phrases")
     both = _with_text(docs, found, _candidates(docs, found, exact=False)).where("_c is not null").select("doc_id", tokens(F.col("text")).alias("_w"), "_c")
-    region = lambda c: F.slice("_w", F.greatest(c["start"] - slack, F.lit(0)) + 1, c["n"] + 2 * slack)
-    near = lambda c: F.size(F.array_except(F.split(c["phrase"], " "), region(c))) == 0
-    hits = both.select("doc_id", F.explode(F.filter("_c", near)).alias("h"))
-    return hits.select("doc_id", "h.phrase", F.greatest("h.start", F.lit(0)).alias("start")).distinct()
+    size = lambda c: c["n"] + 2 * slack
+    first = lambda c: F.greatest(c["start"] - size(c) + 1, F.lit(0))
+    whole = lambda c, start, length: F.size(F.array_except(F.split(c["phrase"], " "), F.slice("_w", start + 1, length))) == 0
+    starts = lambda c: F.filter(F.sequence(first(c), c["start"]), lambda i: whole(c, i, size(c)))
+    near = F.filter("_c", lambda c: whole(c, first(c), 2 * size(c) - 1))  # before any stretch is tested: all stretches together
+    hits = both.select("doc_id", F.explode(F.transform(near, lambda c: F.struct(c["phrase"].alias("phrase"), F.get(starts(c), F.lit(0)).alias("start")))).alias("h"))
+    return hits.select("doc_id", "h.phrase", "h.start").where("start is not null").distinct()
 
 
 def digest(matches: DataFrame) -> DataFrame:

@@ -119,6 +119,30 @@ def test_proximity(spark):
     assert {r.doc_id for r in op2_decontaminate.proximity_matches(docs, bench, slack=3).collect()} == {1}
 
 
+def test_proximity_equals_brute_force(spark):
+    """Windows of ten words reversed, shuffled and spread, with the rarest word at either end."""
+    rng = random.Random(5)
+    item = [f"w{i}" for i in range(12)]
+    rows = [item[:10][::-1], item[::-1], ["z"] * 7 + item[:10][::-1] + ["z"] * 9, item[1:11], item[:9]]
+    for i in range(40):
+        w = item[: rng.choice([10, 11, 12])]
+        rng.shuffle(w)
+        for _ in range(rng.randint(0, 12)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice(["z", "w3", "w7"]))
+        rows.append(w)
+    rows += [["w1", "w2", "w3"]] * 9  # so that w0, the first of its window, is rare
+    slack, want = 2, set()
+    for doc, w in enumerate(rows):
+        for k in range(3):
+            win = set(item[k : k + 10])
+            if any(win <= set(w[i : i + 10 + 2 * slack]) for i in range(len(w))):
+                want.add((doc, " ".join(item[k : k + 10])))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = op2_decontaminate.proximity_matches(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"), slack=slack).collect()
+    assert {(r.doc_id, r.phrase) for r in got} == want and (0, " ".join(item[:10])) in want
+    assert all(set(r.phrase.split()) <= set(rows[r.doc_id][r.start : r.start + 10 + 2 * slack]) for r in got)
+
+
 # 3
 
 
