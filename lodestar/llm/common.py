@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Whether shuffle files go when their query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the test tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,7 +34,12 @@ def written(df: DataFrame, name: str, *, sort: list[str] | None = None) -> DataF
     """Write df to the shared folder and read it back: cuts the lineage so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+    kept = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the shuffle files of a written table serve nothing any more
+    try:
+        (df.sortWithinPartitions(*sort) if sort else df).write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
     return spark.read.schema(df.schema).parquet(path)
 
 

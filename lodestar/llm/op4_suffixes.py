@@ -11,71 +11,140 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import discard, table, written
-from lodestar.llm.repeats import Windows, copies, covered, digested, named, once, sampled
+from lodestar.llm.repeats import GATHER, LAST_ID, Windows, copies, digested, named, once, portions, repeated
+from lodestar.llm.words import mixed
 
-#: Matches of 50 bytes; a level holds the suffixes that start at sampled positions, one or more in any 50 bytes.
+#: Matches of 50 bytes. Suffixes start at sampled positions, one or more in any 50 bytes, and every match of 50 bytes
+#: holds one such position with the 16 bytes after it: suffixes that are to match agree in as many bytes.
 WINDOWS = Windows(50, 16, words=False)
-#: Batches that the query adds, in the order of doc_id.
-BATCHES = 2
-#: Documents sampled to find heavy suffixes, and in how many of them one must occur.
-HEAVY_SAMPLE, HEAVY_DOCS = 4000, 12
-
-
-def heavy_keys(texts: DataFrame, windows: Windows) -> np.ndarray:
-    """Keys of suffixes in HEAVY_DOCS or more documents of a sample of about HEAVY_SAMPLE. They only decide the layout:
-    a heavy key is known to be in several documents, so its rows are candidates without meeting in one task."""
+#: Batches that the query adds, in the order of doc_id: two merge, and the third is scanned against them.
+BATCHES = 3
+#: Documents of the first batch from whose suffixes the ranges are cut, about.
+RANGE_SAMPLE = 2000
+_NAMES = ("range", "p1", "p2", "id", "place", "met", "aside")
+_KINDS = "range int, p1 long, p2 long, id long, place long, met boolean, aside boolean"
+
+
+def _heads(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 16 bytes from each position on as two numbers that sort as the bytes do."""
+    out = []
+    for k in (0, 8):
+        head = np.zeros(len(at), np.uint64)
+        for i in range(8):
+            head = (head << np.uint64(8)) | raw[at + (k + i)]
+        out.append((head ^ np.uint64(1 << 63)).view(np.int64))
+    return out[0], out[1]
+
+
+def suffixes(texts: DataFrame, windows: Windows, edges: list[float]) -> DataFrame:
+    """(range, p1, p2, id, place, met, aside): sampled suffixes by their first 16 bytes. place is the first window of the run sampled there.
+
+    Where a task finds suffixes of several documents with the same 16 bytes, all are met; the first stays to meet those of
+    other tasks, and the others are put aside: they need no order and are spread over the ranges.
+    """
+    cuts = np.array(edges, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, rows = [], 0
+
+        def out() -> pa.RecordBatch:
+            p1, p2, ids, place = (np.concatenate(c) for c in zip(*have, strict=True))
+            order = np.lexsort((place, ids, p2, p1))
+            p1, p2, ids, place = p1[order], p2[order], ids[order], place[order]
+            new = np.ones(len(p1), bool)
+            new[1:] = (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])
+            at = np.flatnonzero(new)
+            size = np.diff(np.append(at, len(p1)))
+            met = np.repeat(ids[at] != ids[at + size - 1], size) if len(at) else new
+            aside = met & ~new
+            ranges = np.where(aside, mixed((ids * 31 + place).view(np.uint64)) % np.uint64(len(cuts) + 1), np.searchsorted(cuts, p1, side="right")).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ranges, p1, p2, ids, place, met, aside)], list(_NAMES))
+
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for p in portions(batch.column("text"), windows):
+                runs = p.runs()
+                have.append((*_heads(np.frombuffer(p.text, np.uint8), runs.sample), ids[p.row[runs.text]], runs.place()))
+                rows += len(runs.low)
+                if rows >= GATHER:
+                    yield out()
+                    have, rows = [], 0
+        if have:
+            yield out()
+
+    return texts.select("id", "text").mapInArrow(run, _KINDS)
+
+
+def range_edges(texts: DataFrame, windows: Windows, parts: int) -> list[int]:
+    """parts - 1 heads that cut the suffixes of a sample of the texts evenly; all tables of a family are cut alike."""
     n = texts.count()
-    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // HEAVY_SAMPLE))) == 0)
-    keys = sampled(some, windows).groupBy("key").agg(F.approx_count_distinct("id").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
-    found = keys.where(f"n >= {HEAVY_DOCS} and a < b").select("key").toPandas()["key"].to_numpy(np.int64)  # at most the sample's rows / HEAVY_DOCS
-    return np.sort(found.view(np.uint64))
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // RANGE_SAMPLE))) == 0)
+    at = suffixes(some, windows, []).select(F.col("p1").cast("double").alias("p")).approxQuantile("p", [i / parts for i in range(1, parts)], 0.001)
+    return [int(x) for x in at]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mark, in rows sorted by (key, id), those whose key is in documents of different ids; heavy rows (place < 0) always."""
-    rest = [np.empty(0, np.int64)] * 3
+    """Mark, in suffixes sorted by their bytes and ids, those with a neighbour of another document that agrees in all 16 bytes.
 
-    def judged(key: np.ndarray, ids: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-        size = np.diff(np.concatenate([new, [len(key)]]))
-        several = ids[new] != ids[new + size - 1] if len(key) else np.empty(0, bool)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids, place, np.repeat(several, size) | (place < 0))], ["key", "id", "place", "met"])
+    One suffix is kept from batch to batch. It stands for those of its document with the same bytes, which are marked when
+    there are several of them, whatever follows.
+    """
+    held, several = None, False
+
+    def out(cols: list[np.ndarray], met: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols[:5], met, cols[6])], list(_NAMES))
 
     for batch in batches:
-        cols = [np.concatenate([r, batch.column(c).to_numpy()]) for r, c in zip(rest, ("key", "id", "place"), strict=True)]
-        if not len(cols[0]):
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in _NAMES]
+        aside = cols[6]
+        if aside.any():
+            yield out([c[aside] for c in cols], cols[5][aside])
+            cols = [c[~aside] for c in cols]
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        _, p1, p2, ids, _, known, _ = cols
+        if not len(p1):
             continue
-        last = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last key may go on in the next batch
-        yield judged(*[c[:last] for c in cols])
-        rest = [c[last:] for c in cols]
-    yield judged(*rest)
+        common = np.zeros(len(p1), bool)  # whether all 16 bytes agree with the suffix before
+        common[1:] = ((p1[1:] ^ p1[:-1]) | (p2[1:] ^ p2[:-1])) == 0
+        at = np.flatnonzero(~common)
+        size = np.diff(np.append(at, len(p1)))
+        some = (ids[at] != ids[at + size - 1]) | np.logical_or.reduceat(known, at)
+        some[0] |= several
+        met = np.repeat(some, size)
+        last = at[-1]
+        met[last + 1 :] = True
+        stays = np.ones(len(p1), bool)
+        stays[last] = False
+        yield out([c[stays] for c in cols], met[stays])
+        held, several = [c[last : last + 1] for c in cols], bool(some[-1])
+    if held is not None:
+        yield out(held, held[5] | several)
 
 
 class SuffixLevels:
     """Levels of sorted suffixes, each of twice as many batches as the next; a new batch merges with those of its own size."""
 
     def __init__(self, windows: Windows = WINDOWS):
-        self.windows, self.levels, self.heavy, self.across = windows, [], None, []
+        self.windows, self.levels, self.edges, self.across = windows, [], None, []
 
     def add(self, texts: DataFrame) -> None:
-        """Sort the suffixes of a batch (id, th, text) and merge-scan them with the levels.
-
-        One sorted pass over the batch and the levels due to be merged marks the suffixes met in several documents and is
-        the merged level. Larger levels are scanned against the batch alone.
-        """
-        if self.heavy is None:
-            self.heavy = heavy_keys(texts, self.windows)
-        due, size = [], 1
+        """Sort the suffixes of a batch (id, th, text), merge-scan them with the levels, and merge levels of equal size."""
+        if self.edges is None:
+            self.parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            self.edges = range_edges(texts, self.windows, self.parts)
+        new = self._scanned(suffixes(texts, self.windows, self.edges), "level")
+        size, due = 1, new
         while self.levels and self.levels[-1][0] == size:
-            due.append(self.levels.pop()[1])
-            size *= 2
-        rows = batch = sampled(texts, self.windows, self.heavy)
-        for level in due:
-            rows = rows.union(level.select("key", "id", "place"))
+            past = self.levels.pop()[1]
+            merged = self._scanned(past.union(due), "level")
+            discard(*[past] + ([due] if due is not new else []))
+            due, size = merged, 2 * size
         for _, level in self.levels:
-            self.across.append(written(self._merged(batch.union(level.select("key", "id", "place"))).where("met").select("id", "place"), "met"))
-        self.levels.append((size, written(self._merged(rows), "level")))
-        discard(*due)
+            self.across.append(self._scanned(level.where("not aside").union(new.where("not aside")), "met", met=True))
+        if due is not new:
+            discard(new)
+        self.levels.append((size, due))
 
     def met(self) -> DataFrame:
         """(id, place) of all suffixes met in several documents so far."""
@@ -84,20 +153,21 @@ class SuffixLevels:
             out = out.union(level.where("met").select("id", "place"))
         for rows in self.across:
             out = out.union(rows)
-        return out.select("id", F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("place"))
+        return out.distinct()
 
     def drop(self) -> None:
         """Delete the stored levels, for when no batch is to come."""
         discard(*[level for _, level in self.levels], *self.across)
         self.levels, self.across = [], []
 
-    @staticmethod
-    def _merged(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_scan, "key long, id long, place long, met boolean")
+    def _scanned(self, rows: DataFrame, name: str, *, met: bool = False) -> DataFrame:
+        """rows brought into the order of suffixes within their ranges, and scanned once; met: (id, place) of the met ones only."""
+        done = rows.repartitionById(self.parts, "range").sortWithinPartitions("p1", "p2", "id", "place").mapInArrow(_scan, _KINDS)
+        return written(done.where("met").select("id", "place") if met else done, name)
 
 
 def candidates(texts: DataFrame, windows: Windows = WINDOWS, batches: int = BATCHES) -> DataFrame:
-    """(id, place) of the suffixes met in several documents; the batches are added in the order of id."""
+    """(id, place), written, of the suffixes met in several documents; the batches are added in the order of id."""
     parts = [i / batches for i in range(1, batches)]
     cuts = [int(x) for x in texts.select("id").approxQuantile("id", parts, 0.01)] if parts else []
     edges = [-(1 << 63), *sorted(set(cuts)), None]
@@ -109,20 +179,36 @@ def candidates(texts: DataFrame, windows: Windows = WINDOWS, batches: int = BATC
     return met
 
 
-def _digest(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[int, int, int, str]:
-    if not len(low):
-        return len(text), 0, 0, hashlib.sha256(text).hexdigest()
-    gone = covered(low, high, WINDOWS.size, len(text))
-    begins = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return len(text), int(gone.sum()), begins, hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()
+def _digest(text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[int, int, int, str]:
+    if len(stop) and stop[-1] == LAST_ID:
+        n = len(text) if len(text) >= WINDOWS.size else 0
+        start, stop = (np.array([0]), np.array([n])) if n else (start[:0], stop[:0])
+    name, at = hashlib.sha256(), 0
+    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
+        name.update(text[at:a])
+        at = b
+    name.update(text[at:])
+    return len(text), int((stop - start).sum()), len(start), name.hexdigest()
 
 
-def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+def deduped(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs.
+
+    A null text is empty; an empty table gives no rows; a null doc_id counts as larger than all others; rows of one id don't
+    match each other; of texts that occur twice or more all but those of the smallest id go as a whole if they have 50
+    bytes; a text of any length is worked on in pieces. Strings are taken as equal by a 128-bit cryptographic digest.
+    """
+    docs = docs.select("doc_id", "text")
     known = copies(named(docs), earlier=True)
+    first = once(named(docs), known)
+    ranges = repeated(first, candidates(first, batches=batches), WINDOWS, earlier=True)
     columns = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")]
-    return digested(docs, candidates(once(named(docs), known)), known, WINDOWS, _digest, columns, earlier=True)
+    return digested(docs, ranges, known, WINDOWS, _digest, columns)
+
+
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated bytes of all documents, as in deduped()."""
+    return deduped(table(spark, sf_dir, "documents"))
 
 
 SQL = """

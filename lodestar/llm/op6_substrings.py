@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import table, written
-from lodestar.llm.repeats import LAST_ID, Windows, copies, covered, digested, named, once, repeated, sampled, with_lists
+from lodestar.llm.common import discard, sized_broadcast, table, written
+from lodestar.llm.repeats import LAST_ID, Windows, copies, digested, merged, named, once, repeated, sampled, with_lists, word_lists
 
 #: Windows of 35 words, named by the 12 consecutive words of least hash in them.
 WINDOWS = Windows(35, 12, words=True)
 #: Batches that the query adds to the index one after the other, and the runs from which on they are compacted.
-BATCHES, MOST_RUNS = 2, 4
+BATCHES, MOST_RUNS = 5, 4
 
 
 class FingerprintIndex:
@@ -26,55 +26,94 @@ class FingerprintIndex:
         self.windows, self.runs = windows, []
 
     def add(self, texts: DataFrame) -> DataFrame:
-        """Store a batch (id, text) as a run; returns (key, n) of its keys that repeat, within the batch or with any earlier run (merge joins)."""
+        """Store a batch (id, text) as a run; returns (key), written, of its keys that repeat, within the batch or with any earlier run (merge joins)."""
         batch = sampled(texts, self.windows).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         batch = written(batch, "run", sort=["key"])
         seen = batch
         for run in self.runs:
             past = run.select("key", F.col("n").alias("past"))
             seen = seen.join(past, "key", "left").select("key", (F.col("n") + F.coalesce("past", F.lit(0))).alias("n"))
+        found = written(seen.where("n > 1").select("key"), "keys")
         self.runs.append(batch)
         if len(self.runs) > MOST_RUNS:
             self.compact()
-        return seen.where("n > 1")
+        return found
 
     def compact(self) -> None:
         """Merge all runs into one."""
         merged = self.runs[0]
         for run in self.runs[1:]:
             merged = merged.union(run)
-        self.runs = [written(merged.groupBy("key").agg(F.sum("n").alias("n")), "run", sort=["key"])]
+        past, self.runs = self.runs, [written(merged.groupBy("key").agg(F.sum("n").alias("n")), "run", sort=["key"])]
+        discard(*past)
+
+    def drop(self) -> None:
+        """Delete the runs, for when no batch is to come."""
+        discard(*self.runs)
+        self.runs = []
 
 
 def candidates(texts: DataFrame, windows: Windows = WINDOWS, batches: int = BATCHES) -> DataFrame:
-    """(id, place) of the runs whose fingerprint repeats.
+    """(id, place), written, of the runs of windows whose fingerprint repeats.
 
     The batches enter the index in turn; keys known to repeat, from any of them, select the runs of all documents.
     """
-    index = FingerprintIndex(windows)
-    keys = None
+    index, found = FingerprintIndex(windows), []
     for i in range(batches):
-        found = index.add(texts.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == i)).select("key")
-        keys = found if keys is None else keys.union(found)
-    keys = written(keys.distinct(), "keys")
-    return sampled(texts, windows).join(keys, "key").select("id", "place")
-
-
-def _digest(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[int, int, str]:
-    words = text.split()
-    kept, removed = words, 0
-    if len(low):
-        gone = covered(low, high, WINDOWS.size, len(words))
-        kept, removed = [w for w, g in zip(words, gone, strict=True) if not g], int(gone.sum())
-    return len(words), removed, hashlib.sha256(b" ".join(kept)).hexdigest()
+        found.append(index.add(texts.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == i)))
+    index.drop()
+    keys = found[0]
+    for more in found[1:]:
+        keys = keys.union(more)
+    places = written(sampled(texts, windows).join(written(keys.distinct(), "keys"), "key").select("id", "place"), "places")
+    discard(*found)
+    return places
+
+
+def passages(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, th, low, high) of repeated windows of the texts (id, th, text), and the texts that are copies, of copies()."""
+    known = copies(texts, earlier=False)
+    first = once(texts, known)
+    return repeated(first, candidates(first), WINDOWS, earlier=False), known
+
+
+def _kept(text: bytes, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """(words, kept words) of the text, part by part: those outside start..stop-1. A copy too short for a window keeps all."""
+    base = 0
+    for words in word_lists(text):
+        n = len(words)
+        if len(stop) and stop[-1] == LAST_ID:
+            yield n, [] if base or n >= WINDOWS.size else words
+        else:
+            left, at = [], 0
+            for a, b in zip(start, stop, strict=True):
+                if b > base and a < base + n:
+                    left += words[at : max(a - base, at)]
+                    at = min(b - base, n)
+            yield n, left + words[at:]
+        base += n
+
+
+def _digest(text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[int, int, str]:
+    total = left = 0
+    name = hashlib.sha256()
+    for n, words in _kept(text, start, stop):
+        name.update((b" " if left and words else b"") + b" ".join(words))
+        total, left = total + n, left + len(words)
+    return total, total - left, name.hexdigest()
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256."""
+    """doc_id, n_words, n_removed, kept_sha256 of every row.
+
+    A null text has no words; an empty table gives no rows; a null doc_id is kept and its text judged like the others;
+    of texts that occur twice or more all words go if they have a window; a text of any length is worked on in pieces.
+    Windows are taken as equal if their words are, by a 128-bit cryptographic digest.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    known = copies(named(docs), earlier=False)
+    ranges, known = passages(named(docs))
     columns = [("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")]
-    return digested(docs, candidates(once(named(docs), known)), known, WINDOWS, _digest, columns, earlier=False)
+    return digested(docs, ranges, known, WINDOWS, _digest, columns)
 
 
 SQL = r"""
@@ -95,33 +134,25 @@ def removed(docs: DataFrame) -> DataFrame:
     A document that loses nothing keeps its text as it is; else its kept words are joined by one space, also if none is left.
     Null texts stay null, repeated rows stay rows; all columns stay.
     """
-    bare = named(docs.select("doc_id", "text"))
-    known = copies(bare, earlier=False)
-    first = once(bare, known)
-    texts = written(with_lists(first, candidates(first), by=["id"], lists=["place"], how="inner"), "texts")
-    whole = known.where("gone").select("id", "th", F.lit(0).cast("long").alias("low"), F.lit(LAST_ID).alias("high"))
-    ranges = repeated(texts, WINDOWS, earlier=False).union(whole)
-    per = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("low", "high")).alias("_l"))
-    per = written(per.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("_l.low").alias("low"), F.col("_l.high").alias("high")), "lists")
+    ranges, known = passages(named(docs.select("doc_id", "text")))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row).select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("th"))
-    both = rows.join(per, (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th")), "left")
-    both = both.select("row", F.when(F.col("low").isNotNull(), F.col("row.text")).alias("text"), "low", "high")
+    both = with_lists(rows.join(sized_broadcast(known.select("id", "th", "gone")), ["id", "th"], "left"), ranges, by=["id", "th"], lists=["low", "high"], how="left")
+    hit = F.col("low").isNotNull() | F.coalesce("gone", F.lit(False))
+    both = both.select("row", F.when(hit, F.col("row.text")).alias("text"), "low", "high", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[str | None] = []
-            for text, low, high in zip(batch.column("text"), batch.column("low"), batch.column("high"), strict=True):
+            for text, low, high, gone in zip(batch.column("text"), batch.column("low"), batch.column("high"), batch.column("gone"), strict=True):
                 if not text.is_valid:
                     out.append(None)
                     continue
-                words = text.as_py().encode().split()
-                most = len(words) - WINDOWS.size
-                if most < 0:  # a copy too short for a window
-                    out.append(None)
-                    continue
-                gone = covered(low.values.to_numpy(), np.minimum(high.values.to_numpy(), most), WINDOWS.size, len(words))
-                out.append(b" ".join([w for w, g in zip(words, gone, strict=True) if not g]).decode())
+                whole = text.as_py().encode()
+                cut = (np.array([0]), np.array([LAST_ID])) if gone.as_py() else merged(low.values.to_numpy(), high.values.to_numpy(), WINDOWS.size)
+                parts = [(n, words) for n, words in _kept(whole, *cut)]
+                left = [w for _, words in parts for w in words]
+                out.append(None if len(left) == sum(n for n, _ in parts) else b" ".join(left).decode())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "left"])
 
     got = both.mapInArrow(run, f"row {both.schema['row'].dataType.simpleString()}, left string")

@@ -3,11 +3,14 @@
 A window is `size` consecutive symbols of one text. The `gram` symbols of least hash in it are its sample; neighbouring
 windows with the same sample form a run. Equal windows have equal samples, so a window can only repeat if its sample
 does: about 2 / (size - gram + 2) of the positions are sampled, sorted and compared instead of all.
-Candidates are then judged exactly by 128-bit hashes of what a run spans, and window by window where runs differ.
+Candidates are then judged by blake2b digests of the very bytes or words that they cover: first whole runs, cut in
+halves, then window by window where runs differ. The fast hashes of words.py only choose what is compared.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,10 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import discard, flat_bytes, packets, sized_broadcast, written
-from lodestar.llm.words import Prefix, bytes_symbols, word_hashes
+from lodestar.llm.words import Prefix, bytes_symbols, mixed, word_hashes
 
 #: Documents without an id come last.
 LAST_ID = (1 << 63) - 1
+#: A text of more than twice as many bytes is worked on in pieces of this size, so that memory doesn't grow with it.
+PIECE = 1 << 20
+#: Rows that a task gathers before it combines equal ones.
+GATHER = 1 << 18
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BREAK, _WORD = re.compile(rb"[ \t-\r]"), re.compile(rb"[^ \t-\r]+")
 
 
 @dataclass(frozen=True)
@@ -30,74 +39,139 @@ class Windows:
     gram: int
     words: bool
 
-    def symbols(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols, where each text's symbols start, one more at the end)."""
-        if not self.words:
-            return bytes_symbols(raw), offsets
-        h, _, _, text = word_hashes(raw, offsets)
-        return h, np.searchsorted(text, np.arange(len(offsets)))
 
-    def runs(self, sym: np.ndarray, first: np.ndarray) -> Runs:
+class Portion:
+    """Whole texts or one piece of a text: symbols in flat positions, first[i] where those of the i-th start, row[i] its
+    number in the batch and base[i] the number of its first symbol in its text."""
+
+    def __init__(self, windows: Windows, raw: np.ndarray, offsets: np.ndarray, row: np.ndarray, base: np.ndarray):
+        self.windows, self.row, self.base = windows, row, base
+        if windows.words:
+            self.sym, start, stop, text = word_hashes(raw, offsets)
+            self.first = np.searchsorted(text, np.arange(len(offsets)))
+            size = stop - start
+            self._stop = np.cumsum(size + 1) - 1  # words joined by one space
+            self._start = self._stop - size
+            joined = np.full(int(self._stop[-1]) if len(size) else 0, 32, np.uint8)
+            number = np.repeat(np.arange(len(size)), size)
+            within = np.arange(len(number)) - np.repeat(np.cumsum(size) - size, size)
+            joined[self._start[number] + within] = raw[start[number] + within]
+            self.text = joined.tobytes()
+        else:
+            self.sym, self.first = bytes_symbols(raw), offsets
+            self.text = raw.tobytes()
+
+    def digests(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit names of what the symbols start..stop-1 spell."""
+        if self.windows.words:
+            start, stop = self._start[start], self._stop[stop - 1]
+        text, digest = self.text, hashlib.blake2b
+        names = [digest(text[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+        both = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+    def runs(self) -> Runs:
         """Runs of windows with the same sample, in flat positions."""
-        n = len(sym)
-        spans, grams = Prefix(sym, 0), Prefix(sym, 1)
-        none = np.empty(0, np.int64)
-        if n < self.size:
-            return Runs(self, spans, grams, none, none, none, none, first)
-        at = np.arange(n - self.gram + 1)
-        keys = grams.of(at, at + self.gram)
-        bits = np.uint64((1 << int(n).bit_length()) - 1)
-        least = (keys & ~bits) | at.astype(np.uint64)
-        width, have = self.size - self.gram + 1, 1
+        w, sym, first, n = self.windows, self.sym, self.first, len(self.sym)
+        grams, none = Prefix(sym, 1), np.empty(0, np.int64)
+        if n < w.size:
+            return Runs(self, grams, none, none, none, none)
+        at = np.arange(n - w.gram + 1)
+        low32 = np.uint64((1 << 32) - 1)
+        least = (grams.of(at, at + w.gram) & ~low32) | at.astype(np.uint64)  # of equal grams the first
+        width, have = w.size - w.gram + 1, 1
         while have < width:  # least over `have` positions from each on
             step = min(have, width - have)
             least = np.minimum(least[: len(least) - step], least[step:])
             have += step
         of = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(least)]
-        start = np.flatnonzero(np.arange(len(least)) + self.size <= first[of + 1])
-        sample = (least[start] & bits).astype(np.int64)
+        start = np.flatnonzero(np.arange(len(least)) + w.size <= first[of + 1])
+        sample = (least[start] & low32).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (sample[1:] != sample[:-1]) | (start[1:] != start[:-1] + 1)])) if len(start) else none
         end = np.concatenate([new[1:], [len(start)]]) - 1 if len(start) else none
-        return Runs(self, spans, grams, start[new], start[end], sample[new], of[start[new]], first)
+        return Runs(self, grams, start[new], start[end], sample[new], of[start[new]])
+
+    def flat(self, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which, flat position) of the places of this portion among (row in the batch, symbol number of the text)."""
+        text = np.minimum(np.searchsorted(self.row, row), len(self.row) - 1)
+        at = place - self.base[text]
+        some = np.flatnonzero((self.row[text] == row) & (at >= 0) & (at < self.first[text + 1] - self.first[text]))
+        return some, at[some] + self.first[text[some]]
 
 
 @dataclass
 class Runs:
-    windows: Windows
-    spans: Prefix
+    portion: Portion
     grams: Prefix
     low: np.ndarray
     high: np.ndarray
     sample: np.ndarray
     text: np.ndarray
-    first: np.ndarray
 
     def keys(self) -> np.ndarray:
-        return self.grams.of(self.sample, self.sample + self.windows.gram)
+        return self.grams.of(self.sample, self.sample + self.portion.windows.gram)
 
     def place(self) -> np.ndarray:
         """Number of the run's first window in its text."""
-        return self.low - self.first[self.text]
+        return self.portion.base[self.text] + self.low - self.portion.first[self.text]
 
     def halves(self, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(key, span, text, low, high) of the chosen runs, cut where the sample passes the middle of the window.
+        """(key, d1, d2, text, low, high) of the chosen runs, cut where the sample passes the middle of the window.
 
         All windows of a half share more than half their symbols around the sample, whose hash is the half's key.
-        span names all that the half's windows cover, and where the sample lies in it.
+        (d1, d2) names all that the half's windows cover.
         """
-        w, mid = self.windows, (self.windows.size - self.windows.gram) // 2
-        out = []
+        p, w = self.portion, self.portion.windows
+        mid, out = (w.size - w.gram) // 2, []
         for right in (True, False):
             low = np.maximum(self.low[chosen], self.sample[chosen] - mid) if right else self.low[chosen]
             high = self.high[chosen] if right else np.minimum(self.high[chosen], self.sample[chosen] - mid - 1)
             some = low <= high
             low, high, s, text = low[some], high[some], self.sample[chosen][some], self.text[chosen][some]
             key = self.grams.of(s, s + w.size - mid) if right else self.grams.of(s - mid - 1, s + w.gram)
-            span = self.spans.of(low, high + w.size) + (s - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            out.append((key ^ np.uint64(0x55 if right else 0), span, text, low - self.first[text], high - self.first[text]))
+            move = p.base[text] - p.first[text]
+            out.append(((key ^ np.uint64(0x55 if right else 0)).view(np.int64), *p.digests(low, high + w.size), text, low + move, high + move))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _pieces(text: bytes, w: Windows) -> Iterator[tuple[int, bytes]]:
+    """(number of the first symbol, bytes) of pieces of a long text; each window starts and lies in one of them."""
+    if not w.words:
+        for a in range(0, max(len(text) - w.size + 1, 1), PIECE):
+            yield a, text[a : a + PIECE + w.size - 1]
+        return
+    a = base = 0
+    while a < len(text):
+        cut = _BREAK.search(text, a + PIECE)
+        b = end = cut.start() if cut else len(text)
+        for _, m in zip(range(w.size - 1), _WORD.finditer(text, b), strict=False):
+            end = m.end()
+        yield base, text[a:end]
+        base += len(text[a:b].split())
+        a = b
+
+
+def word_lists(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, those of one piece after the other."""
+    a = 0
+    while a < len(text):
+        cut = _BREAK.search(text, a + PIECE)
+        b = cut.start() if cut else len(text)
+        yield text[a:b].split()
+        a = b
+
+
+def portions(column: pa.Array, w: Windows) -> Iterator[Portion]:
+    """The texts of an Arrow column, many short ones or a piece of a long one at a time."""
+    for a, b in packets(pa.RecordBatch.from_arrays([column], ["text"]), "text", min(1 << 18, PIECE)):
+        raw, offsets = flat_bytes(column.slice(a, b - a))
+        if b > a + 1 or len(raw) <= 2 * PIECE:
+            yield Portion(w, raw, offsets, np.arange(a, b), np.zeros(b - a, np.int64))
+        else:
+            for base, part in _pieces(raw.tobytes(), w):
+                yield Portion(w, np.frombuffer(part, np.uint8), np.array([0, len(part)]), np.array([a]), np.array([base]))
+
+
 def named(docs: DataFrame) -> DataFrame:
     """(id, th, text): a document's id, last if null, its text's hash and its text, empty if null."""
     text = F.coalesce("text", F.lit(""))
@@ -106,12 +180,11 @@ def named(docs: DataFrame) -> DataFrame:
 
 def copies(texts: DataFrame, *, earlier: bool) -> DataFrame:
     """(id, th, gone, again) of texts that occur more than once, written: gone if all windows of the row count as repeated,
-    again if the row need not be looked at since the text's first row stands for it. Texts go by a 128-bit hash."""
-    two = F.xxhash64(F.lit(1), F.col("text"))
-    marked = texts.select("id", "th", two.alias("t2"))
-    sets = marked.groupBy("th", "t2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again if the row need not be looked at since the text's first row stands for it. Texts go by their SHA-256."""
+    marked = texts.select("id", "th", F.unhex(F.sha2("text", 256)).alias("sha"))
+    sets = marked.groupBy("sha").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = F.col("id") > F.col("least")
-    return written(marked.join(sets, ["th", "t2"]).select("id", "th", (later if earlier else F.lit(True)).alias("gone"), later.alias("again")).distinct(), "copies")
+    return written(marked.join(sets, "sha").select("id", "th", (later if earlier else F.lit(True)).alias("gone"), later.alias("again")).distinct(), "copies")
 
 
 def once(texts: DataFrame, known: DataFrame) -> DataFrame:
@@ -119,20 +192,15 @@ def once(texts: DataFrame, known: DataFrame) -> DataFrame:
     return texts.join(sized_broadcast(known.where("again").select("id", "th")), ["id", "th"], "left_anti")
 
 
-def sampled(texts: DataFrame, w: Windows, heavy: np.ndarray | None = None) -> DataFrame:
-    """(key, id, place) of every run; for runs of a heavy key, known to be in many documents, the key is scattered and place is -1 - place."""
+def sampled(texts: DataFrame, w: Windows) -> DataFrame:
+    """(key, id, place) of every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            for a, b in packets(batch, "text"):
-                runs = w.runs(*w.symbols(*flat_bytes(batch.column("text").slice(a, b - a))))
-                key, place, doc = runs.keys(), runs.place(), ids[a:b][runs.text]
-                if heavy is not None and len(heavy):
-                    often = heavy[np.minimum(np.searchsorted(heavy, key), len(heavy) - 1)] == key
-                    key = np.where(often, key + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), key)
-                    place = np.where(often, -1 - place, place)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(place)], ["key", "id", "place"])
+            for p in portions(batch.column("text"), w):
+                runs = p.runs()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (runs.keys().view(np.int64), ids[p.row[runs.text]], runs.place())], ["key", "id", "place"])
 
     return texts.select("id", "text").mapInArrow(run, "key long, id long, place long")
 
@@ -140,8 +208,7 @@ def sampled(texts: DataFrame, w: Windows, heavy: np.ndarray | None = None) -> Da
 def with_lists(texts: DataFrame, rows: DataFrame, *, by: list[str], lists: list[str], how: str) -> DataFrame:
     """texts joined with arrays of the rows of each document; how they meet is left to the planner."""
     per = rows.groupBy(*by).agg(F.collect_list(F.struct(*lists)).alias("_l"))
-    per = written(per.select(*by, *[F.col(f"_l.{c}").alias(c) for c in lists]), "lists")
-    return texts.join(per, by, how)
+    return texts.join(per.select(*by, *[F.col(f"_l.{c}").alias(c) for c in lists]), by, how)
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -151,131 +218,206 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(column)), sizes)
 
 
-def _half_rows(w: Windows) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in packets(batch, "text"):
-                part = batch.slice(a, b - a)
-                sym, first = w.symbols(*flat_bytes(part.column("text")))
-                runs = w.runs(sym, first)
-                place, row = _flat(part.column("place"))
-                mark = np.zeros(len(sym) + 1, bool)
-                flat = place + first[row]
-                mark[flat[flat <= len(sym)]] = True
-                key, span, text, low, high = runs.halves(mark[runs.low])
-                ids, th = part.column("id").to_numpy()[text], part.column("th").to_numpy()[text]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), span.view(np.int64), ids, th, low, high)], ["key", "span", "id", "th", "low", "high"])
+#: Columns of rows to be judged: key, the digest of what windows low..high of document (id, th) cover, and how many such
+#: rows this one stands for, 2 for more; rows known to repeat (over) pass through under a key of their own.
+_NAMES = ("key", "d1", "d2", "id", "th", "low", "high", "n", "over")
+_KINDS = "key long, d1 long, d2 long, id long, th long, low long, high long, n long, over boolean"
 
-    return run
 
+def _ordered(cols: list[np.ndarray]) -> list[np.ndarray]:
+    order = np.lexsort(tuple(cols[k] for k in (5, 4, 3, 2, 1, 0)))
+    return [c[order] for c in cols]
+
+
+def _starts(cols: list[np.ndarray], by: int) -> np.ndarray:
+    """Where the first `by` columns change."""
+    n = len(cols[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in cols[:by]:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _combined(cols: list[np.ndarray], *, earlier: bool) -> list[np.ndarray]:
+    """Rows of a task with those marked over whose like, in the same task, already shows that they repeat."""
+    cols = _ordered(cols)
+    at = _starts(cols, 3)
+    size = np.diff(np.append(at, len(cols[0])))
+    if earlier:
+        over = cols[3] > np.repeat(cols[3][at], size)
+    else:
+        over = np.repeat(size > 1, size)
+        over[at] = False
+        double = at[size > 1]  # the first stays to meet rows of other tasks, and is over itself
+        cols = [np.concatenate([c, c[double]]) for c in cols]
+        cols[7][double] = 2
+        over = np.concatenate([over, np.ones(len(double), bool)])
+    spread = mixed((cols[3] * 31 + cols[5] * 7 + cols[4]).view(np.uint64)).view(np.int64)
+    cols[0] = np.where(over, spread, cols[0])
+    cols[1], cols[2] = np.where(over, 0, cols[1]), np.where(over, 0, cols[2])
+    return [*cols[:8], over]
+
+
+def _gathered(each: Callable, *, earlier: bool) -> Callable:
+    """A mapInArrow function that combines what each(batch) yields, some hundred thousand rows at a time."""
 
-def _window_rows(w: Windows) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, rows = [], 0
+
+        def out() -> pa.RecordBatch:
+            cols = [np.concatenate(c) for c in zip(*have, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in _combined(cols, earlier=earlier)], list(_NAMES))
+
         for batch in batches:
-            for a, b in packets(batch, "text"):
-                part = batch.slice(a, b - a)
-                sym, first = w.symbols(*flat_bytes(part.column("text")))
-                low, row = _flat(part.column("low"))
-                high, _ = _flat(part.column("high"))
-                count = high - low + 1
-                text = np.repeat(row, count)
-                at = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-                flat = np.unique(first[text] + at)
-                text = np.searchsorted(first, flat, side="right") - 1
-                one, two = (Prefix(sym, i).of(flat, flat + w.size).view(np.int64) for i in (0, 1))
-                ids, th = part.column("id").to_numpy()[text], part.column("th").to_numpy()[text]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two, ids, th, flat - first[text])], ["w1", "w2", "id", "th", "low"])
+            for cols in each(batch):
+                have.append(cols)
+                rows += len(cols[0])
+                if rows >= GATHER:
+                    yield out()
+                    have, rows = [], 0
+        if have:
+            yield out()
 
     return run
 
 
-def repeated(texts: DataFrame, w: Windows, *, earlier: bool) -> DataFrame:
-    """(id, th, low, high): windows low..high of the document repeat. texts: a written table (id, th, text, place) of the
-    documents with the places of their runs to be judged.
+def _half_rows(w: Windows) -> Callable:
+    def each(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        place, row = _flat(batch.column("place"))
+        ids, ths = batch.column("id").to_numpy(), batch.column("th").to_numpy()
+        for p in portions(batch.column("text"), w):
+            mark = np.zeros(len(p.sym) + 1, bool)
+            mark[p.flat(row, place)[1]] = True
+            runs = p.runs()
+            key, d1, d2, text, low, high = runs.halves(mark[runs.low])
+            at = p.row[text]
+            yield [key, d1, d2, ids[at], ths[at], low, high, np.ones(len(key), np.int64)]
 
-    earlier: a window counts if it also starts in a document with a smaller id; else if it also starts anywhere else.
-    Halves of runs are grouped by key and span with map-side combine. All windows of a half repeat if its span does;
-    keys with several spans are judged by window, one half for each span standing for its equals.
+    return each
+
+
+def _window_rows(w: Windows) -> Callable:
+    def each(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        low, row = _flat(batch.column("low"))
+        high, _ = _flat(batch.column("high"))
+        ids, ths = batch.column("id").to_numpy(), batch.column("th").to_numpy()
+        for p in portions(batch.column("text"), w):
+            some, flat = p.flat(row, low)
+            count = high[some] - low[some] + 1
+            flat = np.unique(np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(flat, count))
+            text = np.searchsorted(p.first, flat, side="right") - 1
+            d1, d2 = p.digests(flat, flat + w.size)
+            at, place = p.row[text], flat - p.first[text] + p.base[text]
+            yield [d1, d2, np.zeros(len(flat), np.int64), ids[at], ths[at], place, place, np.ones(len(flat), np.int64)]
+
+    return each
+
+
+def _judge(*, earlier: bool) -> Callable:
+    """A mapInArrow function over rows sorted by (key, d1, d2, id, th, low): those that repeat (over) and those that stand
+    for their equals against other digests of the key (open). It keeps one row from batch to batch, whatever the key's size.
+
+    The first and last key of a task may go on in its neighbours and count as having several digests.
     """
-    halves = written(texts.select("id", "th", "text", "place").mapInArrow(_half_rows(w), "key long, span long, id long, th long, low long, high long"), "halves")
-    keys = halves.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("l"), F.max("id").alias("m"), F.min("span").alias("s0"), F.max("span").alias("s1"))
-    keys = keys.where("l < m" if earlier else "n > 1").select("key", "l", (F.col("s0") != F.col("s1")).alias("many"))
-    met = written(halves.join(keys, "key"), "met")
-    discard(halves)
-    plain = met.where("not many and id > l" if earlier else "not many").select("id", "th", "low", "high", F.lit(True).alias("over"), F.lit(False).alias("open"))
-    many = met.where("many").select("key", "span", "id", "th", "low", "high")
-    if earlier:
-        spans = many.groupBy("key", "span").agg(F.min("id").alias("least"))
-        over, stands = F.col("id") > F.col("least"), F.col("id") == F.col("least")
-    else:
-        spans = many.groupBy("key", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "low")).alias("rep"))
-        over, stands = F.col("n") > 1, (F.col("n") == 1) | (F.struct("id", "th", "low") == F.col("rep"))
-    judged = many.join(spans, ["key", "span"]).select("id", "th", "low", "high", over.alias("over"), stands.alias("open"))
-    judged = written(plain.union(judged), "judged")
-    discard(met)
-    open_ = judged.where("open").select("id", "th", "low", "high")
-    single = with_lists(texts.select("id", "th", "text"), open_, by=["id", "th"], lists=["low", "high"], how="inner")
-    single = written(single.mapInArrow(_window_rows(w), "w1 long, w2 long, id long, th long, low long"), "windows")
-    again = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
-    again = again.where("least < most" if earlier else "n > 1").select("w1", "w2", "least")
-    found = single.join(again, ["w1", "w2"])
-    if earlier:
-        found = found.where("id > least")
-    return judged.where("over").select("id", "th", "low", "high").union(found.select("id", "th", "low", F.col("low").alias("high")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, several = None, True
 
-def covered(low: np.ndarray, high: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Mask of n symbols: those in a window low..high."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, low, 1)
-    np.add.at(edge, np.minimum(high + size, n), -1)
-    return np.cumsum(edge[:n]) > 0
+        def out(cols: list[np.ndarray], over: np.ndarray, open_: np.ndarray) -> pa.RecordBatch:
+            some = np.flatnonzero(over | open_)
+            return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (*cols[3:7], over, open_)], ["id", "th", "low", "high", "over", "open"])
 
+        for batch in batches:
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in _NAMES]
+            known = cols.pop()
+            if known.any():
+                yield out([c[known] for c in cols], np.ones(int(known.sum()), bool), np.zeros(int(known.sum()), bool))
+                cols = [c[~known] for c in cols]
+            if not len(cols[0]):
+                continue
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+            n = len(cols[0])
+            span, key = _starts(cols, 3), _starts(cols, 1)
+            size = np.diff(np.append(span, n))
+            of_key = np.searchsorted(key, span, side="right") - 1
+            many = np.bincount(of_key, minlength=len(key)) > 1
+            many[0] |= several
+            multi = np.repeat(many[of_key], size)
+            if earlier:
+                least = np.repeat(cols[3][span], size)
+                over, open_ = cols[3] > least, (cols[3] == least) & multi
+                open_[span[-1] + 1 :] = (cols[3] == least)[span[-1] + 1 :]
+            else:
+                total = np.add.reduceat(cols[7], span)
+                over, open_ = np.repeat(total > 1, size), np.zeros(n, bool)
+                open_[span] = multi[span]
+                cols[7] = cols[7].copy()
+                cols[7][span[-1]] = min(int(total[-1]), 2)
+            stays = np.ones(n, bool)
+            stays[span[-1]] = False  # the last digest may go on: its first row waits
+            yield out([c[stays] for c in cols], over[stays], open_[stays])
+            held, several = [c[span[-1] : span[-1] + 1] for c in cols], bool(several and len(key) == 1) or int((of_key == of_key[-1]).sum()) > 1
+        if held is not None:
+            yield out(held, (held[7] > 1) & (not earlier), np.ones(1, bool))
 
-def digested(docs: DataFrame, candidates: DataFrame, known: DataFrame, w: Windows, each: Callable, columns: list[tuple[str, str]], *, earlier: bool) -> DataFrame:
-    """doc_id and what each(text bytes, low, high) returns, for every row of docs. columns: (name, Spark type).
+    return run
 
-    The texts are joined once with the candidates (id, place) and copies. Documents without candidates and those that are
-    gone as a whole are finished in that pass; only texts with candidates are written and read again for the exact steps.
+
+_RANGES = "id long, th long, low long, high long, over boolean, open boolean"
+_ORDER = ("key", "d1", "d2", "id", "th", "low")
+
+
+def repeated(texts: DataFrame, candidates: DataFrame, w: Windows, *, earlier: bool) -> DataFrame:
+    """(id, th, low, high), written: windows low..high of the document repeat. texts: (id, th, text); candidates: (id, place)
+    of the runs to be judged.
+
+    earlier: a window counts if it also starts in a document with a smaller id; else if it also starts anywhere else.
+    Rows are sorted by key and digest and scanned; equal rows of a task are combined before, and ranges of (key, digest)
+    split a hot key. All windows of a half repeat if its digest does; where a key has several digests, one half of each is
+    taken apart into windows, which are sorted and scanned in the same way.
     """
+    lists = with_lists(texts, candidates, by=["id"], lists=["place"], how="inner")
+    halves = written(lists.select("id", "th", "text", "place").mapInArrow(_gathered(_half_rows(w), earlier=earlier), _KINDS), "halves")
+    judged = written(halves.repartitionByRange("key", "d1").sortWithinPartitions(*_ORDER).mapInArrow(_judge(earlier=earlier), _RANGES), "judged")
+    discard(halves)
+    single = with_lists(texts, judged.where("open").select("id", "th", "low", "high"), by=["id", "th"], lists=["low", "high"], how="inner")
+    single = single.select("id", "th", "text", "low", "high").mapInArrow(_gathered(_window_rows(w), earlier=earlier), _KINDS)
+    found = single.repartition("key").sortWithinPartitions(*_ORDER).mapInArrow(_judge(earlier=earlier), _RANGES).where("over")
+    ranges = written(judged.where("over").union(found).select("id", "th", "low", "high"), "ranges")
+    discard(judged)
+    return ranges
+
+
+def merged(low: np.ndarray, high: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, stop) of the maximal stretches of symbols that windows low..high cover."""
+    if not len(low):
+        return low, high
+    order = np.argsort(low, kind="stable")
+    start, stop = low[order], np.maximum.accumulate((high + size)[order])
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > stop[:-1]]))
+    return start[new], stop[np.append(new[1:], len(start)) - 1]
+
+
+def digested(docs: DataFrame, ranges: DataFrame, known: DataFrame, w: Windows, each: Callable, columns: list[tuple[str, str]]) -> DataFrame:
+    """doc_id and what each(text bytes, start, stop) returns, for every row of docs; start, stop are the stretches to be
+    removed, LAST_ID as stop for the whole text of a copy. columns: (name, Spark type)."""
     base = named(docs).withColumn("doc_id", F.when(F.col("id") != LAST_ID, F.col("id")))
-    base = base.join(sized_broadcast(known), ["id", "th"], "left")
+    base = base.join(sized_broadcast(known.select("id", "th", "gone")), ["id", "th"], "left")
+    base = with_lists(base, ranges, by=["id", "th"], lists=["low", "high"], how="left")
     names, kinds = [c for c, _ in columns], ", ".join(f"{c} {t}" for c, t in columns)
-    none = np.empty(0, np.int64)
-
-    def whole(text: bytes) -> tuple:
-        n = len(text.split()) if w.words else len(text)
-        return each(text, np.array([0]), np.array([n - w.size])) if n >= w.size else each(text, none, none)
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in packets(batch, "text", 1 << 20):
-                part = batch.slice(a, b - a)
-                gone = pc.fill_null(part.column("gone"), False).to_pylist()
-                bare = part.column("place").is_null().to_pylist()
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                out = [whole(t) if g else each(t, none, none) if n else (None,) * len(names) for t, g, n in zip(texts, gone, bare, strict=True)]
-                left = pa.array([None if n else t.decode() for t, n in zip(texts, bare, strict=True)], pa.string())
-                done = pa.array([g or n for g, n in zip(gone, bare, strict=True)])
-                cols = [part.column(c) for c in ("doc_id", "id", "th", "place")]
-                yield pa.RecordBatch.from_arrays([*cols, left, done, *[pa.array(x, pa.string() if t == "string" else pa.int64()) for x, (_, t) in zip(zip(*out, strict=True), columns, strict=True)]], ["doc_id", "id", "th", "place", "text", "done", *names])
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in packets(batch, "text", 1 << 20):
-                part = batch.slice(a, b - a)
-                low, row = _flat(part.column("low"))
-                high, _ = _flat(part.column("high"))
-                cut = np.searchsorted(row, np.arange(len(part) + 1))
-                texts = part.column("text").cast(pa.binary())
-                out = [each(t.as_py(), low[cut[i] : cut[i + 1]], high[cut[i] : cut[i + 1]]) for i, t in enumerate(texts)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x) for x in zip(*out, strict=True)]], ["doc_id", *names])
-
-    both = with_lists(base, candidates, by=["id"], lists=["place"], how="left").withColumn("again", F.coalesce("again", F.lit(False)))
-    both = both.select("doc_id", "id", "th", F.when(~F.col("again"), F.col("place")).alias("place"), "text", "gone")
-    split = written(both.mapInArrow(first, f"doc_id long, id long, th long, place array<long>, text string, done boolean, {kinds}"), "texts")
-    some = split.where("place is not null").select("doc_id", "id", "th", "text", "place", "done")
-    ranges = repeated(some, w, earlier=earlier)
-    lists = with_lists(some.where("not done").select("doc_id", "id", "th", "text"), ranges, by=["id", "th"], lists=["low", "high"], how="left")
-    rest = lists.select("doc_id", "text", "low", "high").mapInArrow(second, f"doc_id long, {kinds}")
-    return split.where("done").select("doc_id", *names).union(rest)
+            low, row = _flat(batch.column("low"))
+            high, _ = _flat(batch.column("high"))
+            cut = np.searchsorted(row, np.arange(len(batch) + 1))
+            gone = pc.fill_null(batch.column("gone"), False).to_pylist()
+            out = []
+            for i, text in enumerate(batch.column("text").cast(pa.binary())):
+                some = slice(cut[i], cut[i + 1])
+                out.append(each(text.as_py(), *((np.array([0]), np.array([LAST_ID])) if gone[i] else merged(low[some], high[some], w.size))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.string() if t == "string" else pa.int64()) for x, (_, t) in zip(zip(*out, strict=True), columns, strict=True)]], ["doc_id", *names]) if out else pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([], pa.string() if t == "string" else pa.int64()) for _, t in columns]], ["doc_id", *names])
+
+    return base.select("doc_id", "text", "low", "high", "gone").mapInArrow(run, f"doc_id long, {kinds}")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Fixed random constants of the hashes.
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Words of more bytes are hashed by blake2b.
+LONG = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -77,7 +81,10 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, which: int = 0) -> tuple[np.ndarray, ...]:
     """(hash, start, stop, text number) of every word."""
     start, stop, text = word_spans(raw, offsets)
-    return Prefix(bytes_symbols(raw, which), which).of(start, stop), start, stop, text
+    h = Prefix(bytes_symbols(raw, which), which).of(start, stop)
+    for i in np.flatnonzero(stop - start > LONG):  # sums of powers modulo 2 ** 64 only tell short words apart
+        h[i] = np.frombuffer(hashlib.blake2b(raw[start[i] : stop[i]].tobytes(), digest_size=8, person=bytes([which])).digest(), np.uint64)[0]
+    return h, start, stop, text
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
