@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -128,37 +129,39 @@ class SuffixLevels:
     def __init__(self, windows: Windows = WINDOWS):
         self.windows, self.levels, self.edges, self.across = windows, [], None, []
 
-    def add(self, texts: DataFrame) -> None:
-        """Sort the suffixes of a batch (id, th, text), merge-scan them with the levels, and merge levels of equal size."""
+    def add(self, texts: DataFrame, *, last: bool = False) -> None:
+        """Merge-scan the suffixes of a batch (id, th, text) with the levels: those of its own size become one with it, larger
+        ones are scanned against it. Of the last batch only what is met is kept, and one pass meets all levels."""
         if self.edges is None:
             self.parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             self.edges = range_edges(texts, self.windows, self.parts)
-        new = self._scanned(suffixes(texts, self.windows, self.edges), "level")
-        size, due = 1, new
+        new = suffixes(texts, self.windows, self.edges)
+        if last:
+            for _, level in self.levels:
+                new = new.union(level)
+            self.across.append(self._scanned(new, "met", met=True))
+            return
+        size, due = 1, []
         while self.levels and self.levels[-1][0] == size:
-            past = self.levels.pop()[1]
-            merged = self._scanned(past.union(due), "level")
-            discard(*[past] + ([due] if due is not new else []))
-            due, size = merged, 2 * size
+            due.append(self.levels.pop()[1])
+            size *= 2
         for _, level in self.levels:
-            self.across.append(self._scanned(level.where("not aside").union(new.where("not aside")), "met", met=True))
-        if due is not new:
-            discard(new)
-        self.levels.append((size, due))
+            self.across.append(self._scanned(new.union(level.where("not aside")), "met", met=True))
+        for level in due:
+            new = new.union(level)
+        self.levels.append((size, self._scanned(new, "level")))
+        discard(*due)
 
     def met(self) -> DataFrame:
-        """(id, place) of all suffixes met in several documents so far."""
-        out = self.levels[0][1].where("met").select("id", "place")
-        for _, level in self.levels[1:]:
-            out = out.union(level.where("met").select("id", "place"))
-        for rows in self.across:
-            out = out.union(rows)
-        return out.distinct()
-
-    def drop(self) -> None:
-        """Delete the stored levels, for when no batch is to come."""
-        discard(*[level for _, level in self.levels], *self.across)
-        self.levels, self.across = [], []
+        """(id, place) of all suffixes met in several documents so far, some of them twice."""
+        found = [level.where("met").select("id", "place") for _, level in self.levels] + self.across
+        return reduce(DataFrame.union, found)
+
+    def finished(self) -> DataFrame:
+        """met(), written, after a last batch that met all levels, which are deleted."""
+        discard(*[level for _, level in self.levels])
+        self.levels = []
+        return self.met() if len(self.across) == 1 else written(self.met(), "met")
 
     def _scanned(self, rows: DataFrame, name: str, *, met: bool = False) -> DataFrame:
         """rows brought into the order of suffixes within their ranges, and scanned once; met: (id, place) of the met ones only."""
@@ -173,10 +176,8 @@ def candidates(texts: DataFrame, windows: Windows = WINDOWS, batches: int = BATC
     edges = [-(1 << 63), *sorted(set(cuts)), None]
     levels = SuffixLevels(windows)
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        levels.add(texts.where(F.col("id") >= lo) if hi is None else texts.where((F.col("id") >= lo) & (F.col("id") < hi)))
-    met = written(levels.met(), "met")
-    levels.drop()
-    return met
+        levels.add(texts.where(F.col("id") >= lo) if hi is None else texts.where((F.col("id") >= lo) & (F.col("id") < hi)), last=hi is None)
+    return levels.finished()
 
 
 def _digest(text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[int, int, int, str]:

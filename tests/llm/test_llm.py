@@ -302,6 +302,8 @@ def test_levels_merge_geometrically(spark):
         levels.add(named(spark.createDataFrame([(i, PASSAGE * 2 + prose(30))], "doc_id long, text string")))
         sizes.append([n for n, _ in levels.levels])
     assert sizes == [[1], [2], [2, 1], [4], [4, 1]] and levels.met().count() > 0
+    levels.add(named(spark.createDataFrame([(9, PASSAGE)], "doc_id long, text string")), last=True)
+    assert {r.id for r in levels.finished().collect()} == {0, 1, 2, 3, 4, 9}
 
 
 # 7
