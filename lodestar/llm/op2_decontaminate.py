@@ -10,17 +10,20 @@ from pyspark.sql import Window as W
 
 from lodestar.llm.common import sized_broadcast, table, unwrapped, wrapped, written
 
-#: Characters of a word after lower-casing A-Z.
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words after lower-casing A-Z: all ASCII but digits and a-z.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Rarest terms of a window whose posting lists are intersected before the exact check.
+#: Rarest terms of a window whose posting lists are intersected, one after the other, before the exact check.
 PROBES = 3
+#: Documents without an id come last.
+LAST_ID = (1 << 63) - 1
+_DOC = ["id", "th"]
 
 
 def tokens(text: Column) -> Column:
     """Words of a text column; null has none."""
     low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
+    return F.array_remove(F.split(low, BETWEEN), "")
 
 
 def phrases(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -34,8 +37,8 @@ def phrases(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """A document is named by its id and its text's hash, so that repeated ids with different texts stay apart."""
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    """docs with (id, th): a document is named by its id, last if null, and its text's hash, so that repeated ids with different texts stay apart."""
+    return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "th": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -45,62 +48,56 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The positional index of `terms`: (term, doc_id, th, pos), written to the shared folder."""
-    words = _identified(docs).select("doc_id", "th", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-    return written(words.join(sized_broadcast(terms), "term").select("term", "doc_id", "th", "pos"), "postings", sort=["term"])
+    """The positional index of `terms` over docs (id, th, text): (term, id, th, pos), written to the shared folder."""
+    words = docs.select("id", "th", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
+    return written(words.join(sized_broadcast(terms), "term").select("term", "id", "th", "pos"), "postings", sort=["term"])
 
 
 def plan_probes(docs: DataFrame, found: DataFrame, probes: int = PROBES) -> DataFrame:
-    """(pid, term, off, probes): the rarest terms of every phrase whose terms all occur in the documents."""
+    """(pid, term, off, rank, n), written: the rarest terms of every phrase whose terms all occur in the documents, the rarest of rank 1."""
     spread = found.select("pid", "n", F.posexplode("words").alias("off", "term"))
     counts = term_counts(docs, spread.select("term").distinct())
     rated = spread.join(counts.withColumnRenamed("n", "freq"), "term")
     whole = W.partitionBy("pid", "n")
-    return (
+    plan = (
         rated.withColumn("there", F.count(F.lit(1)).over(whole))
         .where("there >= n")  # a term that occurs nowhere rules the phrase out
         .withColumn("rank", F.row_number().over(whole.orderBy("freq", "term", "off")))
         .where(F.col("rank") <= probes)
-        .select("pid", "term", "off", F.least("n", F.lit(probes)).alias("probes"))
     )
+    return written(plan.select("pid", "term", "off", "rank", "n"), "probes")
 
 
 def _candidates(docs: DataFrame, found: DataFrame, *, exact: bool) -> DataFrame:
-    """(doc_id, th, pid, start): starts where the posting lists of the probes meet after offset adjustment; if not exact, the places of each phrase's rarest term."""
-    plan = written(plan_probes(docs, found, PROBES if exact else 1), "probes")
+    """(id, th, pid, n, start), written: starts where the posting lists of the probes meet after offset adjustment; if not exact, the places of each phrase's rarest term.
+
+    The list of the rarest term gives the first starts; each further list is only asked for the places that are left.
+    """
+    plan = plan_probes(docs, found, PROBES if exact else 1)
     index = postings(docs, plan.select("term").distinct())
-    met = index.join(sized_broadcast(plan), "term")
+    met = index.join(sized_broadcast(plan.where("rank = 1").drop("rank")), "term")
     if not exact:
-        return met.select("doc_id", "th", "pid", F.col("pos").alias("start"))
-    met = met.withColumn("start", F.col("pos") - F.col("off"))
-    lists = met.where("start >= 0").groupBy("doc_id", "th", "pid", "start").agg(F.count(F.lit(1)).alias("lists"), F.max("probes").alias("probes"))
-    return lists.where("lists >= probes").drop("lists", "probes")
-
-
-def _with_text(docs: DataFrame, found: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Every row of docs with its candidates `_c`, an array of (start, n, phrase, items), null if none."""
-    full = candidates.join(sized_broadcast(found.drop("words")), "pid")
-    per = full.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "phrase", "items")).alias("_c"))
-    per = per.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "_c")
-    base = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = base.join(per, base.doc_id.eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left")
-    return both.drop("_d", "_h", "_hash")
-
-
-def _same(c: Column) -> Column:
-    """Whether the words `_w` at a candidate's start are its phrase."""
-    return F.array_join(F.slice("_w", c["start"] + 1, c["n"]), " ") == c["phrase"]
+        return written(met.select(*_DOC, "pid", "n", F.col("pos").alias("start")), "starts")
+    met = written(met.select(*_DOC, "pid", "n", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0"), "starts")
+    for k in range(2, PROBES + 1):
+        probe = sized_broadcast(plan.where(F.col("rank") == k).select("pid", "term", "off"))
+        asked = met.join(probe, "pid").withColumn("pos", F.col("start") + F.col("off"))
+        left = asked.join(index, [*_DOC, "term", "pos"], "left_semi").select(*met.columns)
+        met = written(left.union(met.where(F.col("n") < k)), "starts")  # shorter windows have no such term
+    return met
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Every document row with n_words and hits, an array of (start, n, phrase, items): exact occurrences of benchmark windows.
+    """(id, th, start, n, items), written: exact occurrences of benchmark windows in the distinct documents, n words from start on.
 
-    Null text has no words; documents without hits stay with an empty array; an empty benchmark hits nothing;
-    repeated documents each get their own row; columns besides doc_id and text are ignored.
+    Null text has no words; an empty benchmark hits nothing; columns besides doc_id and text are ignored.
     """
-    docs, found = docs.select("doc_id", "text"), written(phrases(benchmark, window), "phrases")
-    both = _with_text(docs, found, _candidates(docs, found, exact=True)).select("doc_id", tokens(F.col("text")).alias("_w"), "_c")
-    return both.select("doc_id", F.size("_w").cast("long").alias("n_words"), F.filter("_c", _same).alias("hits"))
+    docs, found = _identified(docs.select("doc_id", "text")), written(phrases(benchmark, window), "phrases")
+    starts = _candidates(docs, found, exact=True).groupBy(*_DOC).agg(F.collect_set(F.struct("start", "n")).alias("c"))
+    some = docs.select(*_DOC, "text").join(sized_broadcast(written(starts, "lists")), _DOC).groupBy(*_DOC).agg(F.first("text").alias("text"), F.first("c").alias("c"))
+    read = some.select(*_DOC, tokens(F.col("text")).alias("w"), F.explode("c").alias("c"))
+    said = read.select(*_DOC, "c.start", "c.n", F.array_join(F.slice("w", F.col("c.start") + 1, F.col("c.n")), " ").alias("phrase"))
+    return written(said.join(sized_broadcast(found.select("phrase", F.col("n").alias("size"), "items")), "phrase").where("n = size").select(*_DOC, "start", "n", "items"), "hits")
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 5) -> DataFrame:
@@ -108,8 +105,10 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     Each occurrence of the window's rarest term gives the first such stretch that contains it.
     """
-    docs, found = docs.select("doc_id", "text"), written(phrases(benchmark, window), "phrases")
-    both = _with_text(docs, found, _candidates(docs, found, exact=False)).where("_c is not null").select("doc_id", tokens(F.col("text")).alias("_w"), "_c")
+    docs, found = _identified(docs.select("doc_id", "text")), written(phrases(benchmark, window), "phrases")
+    full = _candidates(docs, found, exact=False).drop("n").join(sized_broadcast(found.drop("words", "items")), "pid")
+    per = full.groupBy(*_DOC).agg(F.collect_list(F.struct("start", "n", "phrase")).alias("_c"))
+    both = docs.join(sized_broadcast(written(per, "lists")), _DOC).select("doc_id", tokens(F.col("text")).alias("_w"), "_c")
     size = lambda c: c["n"] + 2 * slack
     first = lambda c: F.greatest(c["start"] - size(c) + 1, F.lit(0))
     whole = lambda c, start, length: F.size(F.array_except(F.split(c["phrase"], " "), F.slice("_w", start + 1, length))) == 0
@@ -119,35 +118,35 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     return hits.select("doc_id", "h.phrase", "h.start").where("start is not null").distinct()
 
 
-def digest(matches: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    hits = F.coalesce("hits", F.array())
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1))))
-    out = matches.select(
-        "doc_id", "n_words",
-        F.when(F.size("hits") > 0, F.size(covered)).otherwise(0).cast("long").alias("n_hit"),
-        F.when(F.size("hits") > 0, F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))).otherwise(F.array().cast("array<string>")).alias("items"),
-    )
-    return out.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+def digest(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, by hits of phrase_matches().
+
+    Documents without hits have zeros; repeated documents each get their own row; a null doc_id stays null.
+    """
+    places = hits.select(*_DOC, F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("at")).distinct().groupBy(*_DOC).agg(F.count(F.lit(1)).alias("n_hit"))
+    items = hits.select(*_DOC, F.explode("items").alias("item")).distinct().groupBy(*_DOC).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    per = written(places.join(items, _DOC).select(*_DOC, "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("sha")), "digests")
+    base = _identified(docs.select("doc_id", "text")).select("doc_id", *_DOC, F.size(tokens(F.col("text"))).cast("long").alias("n_words"))
+    zero = F.lit(0).cast("long")
+    return base.join(sized_broadcast(per), _DOC, "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
+        F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents no benchmark window occurs in, with all their columns.
 
-    A row goes if its (doc_id, text) has a hit; nulls and repeated rows as in phrase_matches.
+    A row goes if its (doc_id, text) has a hit; nulls and repeated rows as in digest().
     """
-    docs, found = wrapped(docs), written(phrases(benchmark, window), "phrases")
-    both = _with_text(docs, found, _candidates(docs.select("doc_id", "text"), found, exact=True))
-    both = both.withColumn("_w", F.when(F.col("_c").isNotNull(), tokens(F.col("text"))))
-    return unwrapped(both.where(~F.coalesce(F.exists("_c", _same), F.lit(False))))
+    hit = written(phrase_matches(docs, benchmark, window).select(*_DOC).distinct(), "contaminated")
+    return unwrapped(_identified(wrapped(docs)).join(sized_broadcast(hit), _DOC, "left_anti"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark hits of every document."""
-    return digest(phrase_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    """Benchmark hits of every document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    docs = table(spark, sf_dir, "documents")
+    return digest(docs, phrase_matches(docs, table(spark, sf_dir, "benchmark")))
 
 
 SQL = r"""

@@ -104,13 +104,23 @@ def brute_hits(text, items):
 def test_decontamination_equals_brute_force(spark, docs, empty):
     items = [(1, " ".join(PASSAGE.split()[5:30])), (10, "One"), (2, None), (3, ""), (4, "never seen terms at all"), (5, "X" * 3000), (6, PASSAGE.upper())]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(map(tuple, op2_decontaminate.digest(op2_decontaminate.phrase_matches(docs, bench)).select("n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()))
+    got = sorted(map(tuple, op2_decontaminate.digest(docs, op2_decontaminate.phrase_matches(docs, bench)).select("n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()))
     want = sorted(brute_hits(r.text, items) for r in docs.collect())
     assert got == want
     clean = op2_decontaminate.decontaminated(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(not w[4] for w in want)
     assert op2_decontaminate.decontaminated(docs, bench.limit(0)).count() == docs.count()
-    assert op2_decontaminate.phrase_matches(empty, bench).count() == 0
+    assert op2_decontaminate.digest(empty, op2_decontaminate.phrase_matches(empty, bench)).count() == 0
+
+
+def test_decontamination_of_a_hot_phrase(spark):
+    """One phrase in most documents, many times in one, and words that differ in case and marks only."""
+    hot = "the same ten words stand in nearly every text here"
+    items = [(1, hot), (2, hot + " indeed"), (3, "Ünü and " + hot), (4, "short")]
+    rows = [(i % 50, f"{prose(3)} {hot.upper() if i % 3 else hot}, {prose(3)}") for i in range(80)] + [(60, (hot + ". ") * 200), (61, "Ünü and " + hot), (62, "ünü and " + hot), (63, "a-short!")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, op2_decontaminate.digest(docs, op2_decontaminate.phrase_matches(docs, bench)).collect()))
+    assert got == sorted((d, *brute_hits(t, items)) for d, t in rows)
 
 
 def test_proximity(spark):
