@@ -203,7 +203,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
     links = _verified(tried, copies, docs)
     bounds = units = useful = None
     for star in range(STARS + 1):
-        known = written(components(links), "classes")
+        known = components(links)
         named = members.join(known.withColumnRenamed("component", "c"), "node", "left").select("k", "node", F.coalesce("c", "node").alias("c"))
         if bounds is not None:
             named = named.join(bounds, "node")
@@ -229,7 +229,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
             continue
         links = links.union(_verified(pairs, copies, docs))
         tried = tried.union(pairs)
-    known = written(components(links), "classes")
+    known = components(links)
     least = F.min(F.struct("doc_id", "h1", "h2"))
     stands = known.join(copies, "node").groupBy("component").agg(least.alias("least"))
     own = F.struct("doc_id", "h1", "h2")
