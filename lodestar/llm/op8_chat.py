@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lodestar.llm.common import table
 
-#: Turns rendered into one output row; a longer dialogue continues in the next part.
-PART_TURNS = 64
+#: Turns in one chunk of a rendering, at most; only longer dialogues have several chunks.
+CHUNK = 64
 
 
 def _spans(masked: bool) -> Column:
-    """Fold the segments of a part into `start-end` marks, in code points of the part's text."""
+    """Fold the segments of a chunk into `start-end` marks, in code points of the whole rendering."""
 
     def step(acc: Column, s: Column) -> Column:
         start = acc["at"] + F.length(s["head"])
@@ -21,71 +22,92 @@ def _spans(masked: bool) -> Column:
         marks = F.when(take, F.concat(acc["marks"], F.array(F.concat(start.cast("string"), F.lit("-"), end.cast("string"))))).otherwise(acc["marks"])
         return F.struct((end + F.length(s["tail"])).alias("at"), marks.alias("marks"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("marks"))
+    zero = F.struct(F.col("start").alias("at"), F.array().cast("array<string>").alias("marks"))
     return F.aggregate("segments", zero, step, lambda acc: F.array_join(acc["marks"], ","))
 
 
 def rotate(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text",
-           part_turns: int = PART_TURNS, open_tag: str = "<|", close_tag: str = "|>", end_tag: str = "<|end|>\n") -> DataFrame:
-    """One row per dialogue, participant and part of `part_turns` turn numbers.
+           chunk: int = CHUNK, open_tag: str = "<|", close_tag: str = "|>", end_tag: str = "<|end|>\n") -> DataFrame:
+    """The rendering of every dialogue from the perspective of each of its participants.
 
-    Columns: conv_id, perspective (the participant who becomes the assistant), part, n_turns, n_own, text,
+    Columns: conv_id, perspective (the participant who becomes the assistant), part, start, n_turns, n_own, text,
     loss_spans (code-point ranges of the assistant's words, where the mask is 1) and context_spans.
     Others appear as `user name=<speaker>`.
-    Null conversations form one dialogue of their own; a null speaker is named `unknown`; a null text is empty;
-    a null turn sorts first, in part 0. Equal turns go by speaker, then text; repeated rows stay.
-    An empty table gives no rows; other columns are ignored.
 
-    A dialogue is cut by turn number so that no group holds more than a part of one dialogue; participants
-    are found by a distinct aggregate with map-side combine and joined back, which adaptive execution can split.
+    There is one rendering, of the whole dialogue; `chunk` only says how it is stored. A dialogue of up to `chunk` turns
+    is one row. A longer one is stored in parts 0, 1, ... whose texts, joined in order, are the rendering; start and the
+    spans count from the beginning of the rendering, so that nothing hangs on where it is cut. No group that is collected
+    holds more than `chunk` turns, however many there are, and whatever their numbers.
+
+    A turn without a conversation is a dialogue of its own. A null speaker is named `unknown`; a null text is empty;
+    a null turn sorts first. Equal turns go by speaker, then text; repeated rows stay. Marks that texts and names hold
+    are broken by a space (`< |`), so that no turn can forge another's. An empty table gives no rows; other columns are ignored.
     """
+    broken = lambda c: F.replace(F.replace(c, F.lit(open_tag), F.lit(" ".join(open_tag))), F.lit(close_tag), F.lit(" ".join(close_tag)))
     base = turns.select(
         F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"),
-        F.coalesce(F.col(speaker), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("body"),
+        broken(F.coalesce(F.col(speaker), F.lit("unknown"))).alias("speaker"), broken(F.coalesce(F.col(text), F.lit(""))).alias("body"),
+    )
+    mine_tag, tail = f"{open_tag}assistant{close_tag}", F.lit(end_tag)
+    alone = base.where("conv_id is null").select(
+        "conv_id", F.col("speaker").alias("perspective"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("start"),
+        F.lit(1).cast("long").alias("n_turns"), F.lit(1).cast("long").alias("n_own"), F.concat(F.lit(mine_tag), "body", tail).alias("text"),
+        F.concat(F.lit(f"{len(mine_tag)}-"), (F.length("body") + len(mine_tag)).cast("string")).alias("loss_spans"), F.lit("").alias("context_spans"),
     )
+    base = base.where("conv_id is not null")
     who = base.groupBy("conv_id", "speaker").agg(F.lit(1).alias("one")).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective"))
-    base = base.withColumn("part", F.greatest(F.floor(F.coalesce("turn", F.lit(0)) / part_turns), F.lit(0)).cast("long"))
-    parts = base.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "body"))).alias("rows"))
-    seen = parts.join(who, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    # turns are ranked within ranges of their numbers, so that a long dialogue is not sorted by one task
+    base = base.withColumn("range", F.greatest(F.floor(F.coalesce("turn", F.lit(0)) / chunk), F.lit(0)).cast("long"))
+    rank = F.row_number().over(W.partitionBy("conv_id", "range").orderBy("turn", "speaker", "body"))
+    base = base.withColumn("cut", F.floor((rank - 1) / chunk).cast("long"))
+    parts = base.groupBy("conv_id", "range", "cut").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "body"))).alias("rows"))
+    seen = parts.join(who, F.col("conv_id") == F.col("c")).drop("c")
     mine = lambda s: s["speaker"] == F.col("perspective")
     segments = F.transform(
         "rows",
         lambda s: F.struct(
-            F.when(mine(s), F.lit(f"{open_tag}assistant{close_tag}")).otherwise(F.concat(F.lit(f"{open_tag}user name="), s["speaker"], F.lit(close_tag))).alias("head"),
-            s["body"].alias("body"), F.lit(end_tag).alias("tail"), mine(s).alias("mine"),
+            F.when(mine(s), F.lit(mine_tag)).otherwise(F.concat(F.lit(f"{open_tag}user name="), s["speaker"], F.lit(close_tag))).alias("head"),
+            s["body"].alias("body"), tail.alias("tail"), mine(s).alias("mine"),
         ),
     )
-    seen = seen.select("conv_id", "perspective", "part", segments.alias("segments"))
+    seen = seen.select("conv_id", "perspective", "range", "cut", segments.alias("segments"))
+    seen = seen.withColumn("text", F.array_join(F.transform("segments", lambda s: F.concat(s["head"], s["body"], s["tail"])), ""))
+    order = W.partitionBy("conv_id", "perspective").orderBy("range", "cut")
+    before = F.sum(F.length("text").cast("long")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    seen = seen.withColumns({"part": (F.row_number().over(order) - 1).cast("long"), "start": F.coalesce(before, F.lit(0).cast("long"))})
     return seen.select(
-        "conv_id", "perspective", "part",
+        "conv_id", "perspective", "part", "start",
         F.size("segments").cast("long").alias("n_turns"),
         F.size(F.filter("segments", lambda s: s["mine"])).cast("long").alias("n_own"),
-        F.array_join(F.transform("segments", lambda s: F.concat(s["head"], s["body"], s["tail"])), "").alias("text"),
-        _spans(True).alias("loss_spans"), _spans(False).alias("context_spans"),
-    )
+        "text", _spans(True).alias("loss_spans"), _spans(False).alias("context_spans"),
+    ).unionByName(alone)
 
 
 def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All perspectives of all conversations."""
+    """All perspectives of all conversations, as in rotate()."""
     return rotate(table(spark, sf_dir, "conversations"))
 
 
 SQL = """
 WITH base AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body,
-         greatest(coalesce(turn, 0) // 64, 0) AS part FROM conversations),
-who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM base),
+  SELECT conv_id, turn, replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >') AS speaker,
+         replace(replace(coalesce(text, ''), '<|', '< |'), '|>', '| >') AS body, greatest(coalesce(turn, 0) // 64, 0) AS range FROM conversations),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, range ORDER BY turn NULLS FIRST, speaker, body) - 1) // 64 AS cut FROM base WHERE conv_id IS NOT NULL),
+who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM ranked),
 seg AS (
-  SELECT b.conv_id, w.perspective, b.part, b.speaker = w.perspective AS mine, body,
+  SELECT b.conv_id, w.perspective, b.range, b.cut, b.speaker = w.perspective AS mine, body,
     CASE WHEN b.speaker = w.perspective THEN '<|assistant|>' ELSE '<|user name=' || b.speaker || '|>' END AS head,
-    row_number() OVER (PARTITION BY b.conv_id, w.perspective, b.part ORDER BY turn NULLS FIRST, b.speaker, body) AS k
-  FROM base b JOIN who w ON b.conv_id IS NOT DISTINCT FROM w.conv_id),
+    row_number() OVER (PARTITION BY b.conv_id, w.perspective ORDER BY range, turn NULLS FIRST, b.speaker, body) AS k
+  FROM ranked b JOIN who w ON b.conv_id = w.conv_id),
 off AS (
-  SELECT *, length(head) + coalesce(sum(length(head) + length(body) + 8) OVER (PARTITION BY conv_id, perspective, part ORDER BY k
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM seg)
-SELECT conv_id, perspective, part, CAST(count(*) AS BIGINT) AS n_turns, CAST(count(*) FILTER (mine) AS BIGINT) AS n_own,
+  SELECT *, coalesce(sum(length(head) + length(body) + 8) OVER (PARTITION BY conv_id, perspective ORDER BY k
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o, dense_rank() OVER (PARTITION BY conv_id, perspective ORDER BY range, cut) - 1 AS part FROM seg),
+s AS (SELECT *, o + length(head) AS s FROM off)
+SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, CAST(min(o) AS BIGINT) AS start, CAST(count(*) AS BIGINT) AS n_turns, CAST(count(*) FILTER (mine) AS BIGINT) AS n_own,
   string_agg(head || body || '<|end|>' || chr(10), '' ORDER BY k) AS text,
   coalesce(string_agg(CAST(s AS BIGINT) || '-' || CAST(s + length(body) AS BIGINT), ',' ORDER BY k) FILTER (mine), '') AS loss_spans,
   coalesce(string_agg(CAST(s AS BIGINT) || '-' || CAST(s + length(body) AS BIGINT), ',' ORDER BY k) FILTER (NOT mine), '') AS context_spans
-FROM off GROUP BY ALL
+FROM s GROUP BY conv_id, perspective, part
+UNION ALL
+SELECT conv_id, speaker, 0, 0, 1, 1, '<|assistant|>' || body || '<|end|>' || chr(10), '13-' || (13 + length(body)), '' FROM base WHERE conv_id IS NULL
 """

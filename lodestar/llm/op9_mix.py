@@ -18,13 +18,14 @@ SHARE, CAP = 1.5, 2
 STEP, POINTS = 1327217885, 1 << 31
 #: Cells of the unit interval by which points find their source.
 CELLS = 1024
-SPAN = 1 << 62
+SPAN = 1 << 60
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h): the words of each document and its place in the shuffle, a hash of id and text."""
-    h = F.pmod(F.xxhash64(F.lit(9), F.col("doc_id"), F.coalesce("text", F.lit(""))), F.lit(SPAN))
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), h.alias("h"))
+    """(doc_id, source, size, h): the words of each document and its place in the shuffle, a hash of id and size."""
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    name = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    return sized.withColumn("h", F.conv(F.substr(F.md5(name), F.lit(1), F.lit(15)), 16, 10).cast("long"))
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -55,13 +56,11 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     those beyond its target are left out, and the few that low discrepancy still owes it come last.
     """
     spark = goals.sparkSession
-    need = F.ceil(F.floor("target") / block).cast("long")
+    goals = goals.withColumn("goal", F.floor("target").cast("long"))
+    need = F.ceil(F.col("goal") / block).cast("long")
     every = W.partitionBy(F.lit(1))
-    edge = F.sum("target").over(every.orderBy("sid"))
-    marks = goals.withColumn("hi", edge / F.sum("target").over(every)).withColumn("need", need)
-    marks = marks.where("target > 0").withColumn("lo", F.col("hi") - F.col("target") / F.sum("target").over(every))
-    last = F.max("sid").over(every)
-    marks = marks.withColumn("hi", F.when(F.col("sid") == last, 1.0).otherwise(F.col("hi")))
+    edge = F.sum("goal").over(every.orderBy("sid"))
+    marks = goals.withColumn("hi", edge / F.sum("goal").over(every)).withColumn("need", need).where("goal > 0")
     marks = marks.withColumn("lo", F.coalesce(F.lag("hi").over(every.orderBy("sid")), F.lit(0.0)))
     total = goals.agg(F.coalesce(F.sum(need), F.lit(0))).first()[0]
     cells = marks.select("sid", "lo", "hi", "need", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
@@ -73,7 +72,7 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     had = found.groupBy("sid").agg(F.count(F.lit(1)).alias("had"))
     owed = marks.select("sid", "need").join(had, "sid", "left").withColumn("had", F.coalesce("had", F.lit(0)).cast("long")).where("had < need")
     owed = owed.select("sid", F.explode(F.sequence("had", F.col("need") - 1)).alias("rank")).select((F.col("rank") + total).alias("slot"), "sid", "rank")
-    full = kept.union(owed).join(sized_broadcast(goals.select("sid", F.floor("target").cast("long").alias("goal"))), "sid")
+    full = kept.union(owed).join(sized_broadcast(goals.select("sid", "goal")), "sid")
     return full.select("slot", "sid", "rank", (F.col("rank") * block).alias("start"), F.least((F.col("rank") + 1) * block, F.col("goal")).alias("stop"))
 
 
@@ -96,7 +95,8 @@ def pieces(places: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken.
+    """One row per document: doc_id, source, size, source_size, target, taken, first_slot (the first slot of the schedule that
+    holds words of it, null if none does): ordered by slot, the documents' pieces are the mix.
 
     Null texts have size 0; a null source is a source of its own, last; an empty table gives no rows; documents of size 0
     take nothing; repeated rows are documents of their own (which of two equal rows is taken more is left open, their
@@ -105,12 +105,37 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     sized = written(sizes(docs), "sizes")
     goals = written(targets(sized), "targets")
     places = written(placed(sized, goals), "places")
-    taken = pieces(places, schedule(goals, block), block).groupBy("sid", "before").agg(F.sum(F.col("stop") - F.col("start")).alias("taken"))
-    taken = taken.select(F.col("sid").alias("_s"), F.col("before").alias("_b"), "taken")
+    taken = pieces(places, schedule(goals, block), block).groupBy("sid", "before").agg(F.sum(F.col("stop") - F.col("start")).alias("taken"), F.min("slot").alias("first_slot"))
+    taken = taken.select(F.col("sid").alias("_s"), F.col("before").alias("_b"), "taken", "first_slot")
     both = places.join(taken, (F.col("sid") == F.col("_s")) & (F.col("before") == F.col("_b")) & (F.col("size") > 0), "left")
-    return both.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     return mix(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH sized AS (SELECT *, CAST('0x' || substr(md5(concat_ws(' ', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR))), 1, 15) AS BIGINT) AS h
+  FROM (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents)),
+per AS (SELECT *, [3.0, 1.0, 2.0][sid % 3 + 1] AS weight, 2 * CAST(source_size AS DOUBLE) AS most
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM sized GROUP BY source)),
+lev AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(most) OVER o, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0.0)) AS level
+  FROM per WINDOW o AS (ORDER BY most / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+open AS (SELECT level FROM lev WHERE NOT most < weight * level ORDER BY most / weight, sid LIMIT 1),
+goals AS (SELECT *, CAST(floor(target) AS BIGINT) AS goal FROM (SELECT source, source_size, sid,
+  coalesce(CASE WHEN most < weight * level THEN most ELSE weight * (SELECT level FROM open) END, 0.0) AS target FROM lev)),
+marks AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY sid), 0.0) AS lo FROM (SELECT sid, goal, (goal + 1023) // 1024 AS need,
+  sum(goal) OVER (ORDER BY sid) / CAST(sum(goal) OVER () AS DOUBLE) AS hi FROM goals) WHERE goal > 0),
+total AS (SELECT CAST(coalesce(sum(need), 0) AS BIGINT) AS t FROM marks),
+points AS (SELECT i, (i * 1327217885 % 2147483648) / 2147483648.0 AS p FROM (SELECT unnest(range(0, t)) AS i FROM total)),
+slots AS (SELECT sid, i AS slot, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS rank FROM points JOIN marks ON p >= lo AND p < hi),
+places AS (SELECT s.*, g.sid, g.source_size, g.target, g.goal,
+  sum(size) OVER (PARTITION BY g.sid ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+taken AS (SELECT *, CAST(least(greatest(goal - before, 0), size) + least(greatest(goal - source_size - before, 0), size) AS BIGINT) AS taken FROM places)
+SELECT doc_id, source, size, source_size, target, taken,
+  CAST(CASE WHEN taken > 0 THEN coalesce(slots.slot, before // 1024 + (SELECT t FROM total)) END AS BIGINT) AS first_slot
+FROM taken LEFT JOIN slots ON slots.sid = taken.sid AND slots.rank = before // 1024
+"""

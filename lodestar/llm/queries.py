@@ -16,4 +16,4 @@ QUERIES = {
     "op9_mix": op9_mix.op9_mix,
     "op10_embeddings": op10_embeddings.op10_embeddings,
 }
-SQL = {"op10_embeddings": op10_embeddings.SQL, "op2_decontaminate": op2_decontaminate.SQL, "op4_suffixes": op4_suffixes.SQL, "op6_substrings": op6_substrings.SQL, "op8_chat_rotation": op8_chat.SQL}
+SQL = {"op10_embeddings": op10_embeddings.SQL, "op2_decontaminate": op2_decontaminate.SQL, "op4_suffixes": op4_suffixes.SQL, "op6_substrings": op6_substrings.SQL, "op8_chat_rotation": op8_chat.SQL, "op9_mix": op9_mix.SQL}

@@ -1,6 +1,7 @@
 """Training-data operators on small tables: brute force, round trips, nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -399,15 +400,35 @@ def test_components(spark):
 
 
 def test_rotation(spark):
-    turns = [(1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 1, "bob", "yo"), (1, 100, None, "late"), (None, None, "ann", "x")]
-    out = op8_chat.rotate(spark.createDataFrame([(*t, "z") for t in turns], "conv_id long, turn long, role string, text string, part string"))
-    rows = {(r.conv_id, r.perspective, r.part): r for r in out.collect()}
-    assert len(rows) == 7
+    kinds = "conv_id long, turn long, role string, text string, part string"
+    turns = [(1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 1, "bob", "yo"), (1, 1, "bob", "yo"), (1, 100, None, "late"), (None, None, "ann", "x"), (None, 3, None, "<|end|>"), (2, None, "a|>b", "<|assistant|>")]
+    out = op8_chat.rotate(spark.createDataFrame([(*t, "z") for t in turns], kinds)).collect()
+    rows = {(r.conv_id, r.perspective, r.part): r for r in out if r.conv_id is not None}
+    assert len(rows) == 7 and len(out) == 9
     r = rows[1, "bob", 0]
-    assert r.text == "<|user name=ann|>hi<|end|>\n<|assistant|><|end|>\n<|assistant|>yo<|end|>\n" and (r.n_turns, r.n_own) == (3, 2)
-    cut = [tuple(map(int, s.split("-"))) for s in r.loss_spans.split(",")]
-    assert [r.text[a:b] for a, b in cut] == ["", "yo"] and rows[1, "unknown", 1].loss_spans and rows[None, "ann", 0].n_own == 1
-    assert op8_chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    assert r.text == "<|user name=ann|>hi<|end|>\n<|assistant|><|end|>\n" + "<|assistant|>yo<|end|>\n" * 2 and (r.n_turns, r.n_own, r.start) == (4, 3, 0)
+    whole = r.text + rows[1, "bob", 1].text
+    cut = [tuple(map(int, s.split("-"))) for s in f"{r.loss_spans},{rows[1, 'bob', 1].context_spans}".split(",")]
+    assert [whole[a:b] for a, b in cut] == ["", "yo", "yo", "late"] and rows[1, "bob", 1].start == len(r.text)
+    assert rows[2, "a| >b", 0].text == "<|assistant|>< |assistant| ><|end|>\n"
+    assert {(r.perspective, r.text, r.loss_spans) for r in out if r.conv_id is None} == {("ann", "<|assistant|>x<|end|>\n", "13-14"), ("unknown", "<|assistant|>< |end| ><|end|>\n", "13-22")}
+    assert op8_chat.rotate(spark.createDataFrame([], kinds)).count() == 0
+
+
+def test_rotation_hangs_not_on_chunks(spark):
+    """However a dialogue is stored, its rendering and spans are the same: equal turn numbers, sparse ones, a very long text."""
+    turns = [(c, t, RNG.choice(["ann", "bob", "cy"]), prose(RNG.randint(0, 4))) for c in range(3) for t in [5] * 90 + list(range(0, 4000, 37))] + [(0, 7, "ann", "x" * 200000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+
+    def whole(chunk):
+        got = {}
+        for r in sorted(op8_chat.rotate(df, chunk=chunk).collect(), key=lambda r: r.part):
+            text, loss, context, n = got.get((r.conv_id, r.perspective), ("", [], [], 0))
+            assert r.start == len(text) and r.n_turns <= chunk
+            got[r.conv_id, r.perspective] = (text + r.text, loss + [s for s in r.loss_spans.split(",") if s], context + [s for s in r.context_spans.split(",") if s], n + r.n_turns)
+        return got
+
+    assert whole(7) == whole(100000) and all(x[3] == len([t for t in turns if t[0] == c]) for (c, _), x in whole(64).items())
 
 
 # 9
@@ -442,12 +463,34 @@ def test_mix(spark, docs, empty):
     assert op9_mix.mix(empty).count() == 0
 
 
+def test_mix_takes_the_documents_that_the_schedule_says(spark, docs):
+    """Words taken and the first slot of each document, from its place in the shuffle and the slots of its source."""
+    sized = op9_mix.sizes(docs)
+    goals = {r.sid: r for r in op9_mix.targets(sized).collect()}
+    slots = {(r.sid, r.rank): r for r in op9_mix.schedule(op9_mix.targets(sized), 16).collect()}
+    want = []
+    for sid, g in goals.items():
+        mine = sorted((r.h, str(r.doc_id), r.size) for r in sized.collect() if r.source == g.source)
+        at = 0
+        for _, doc, size in mine:
+            hit = [slots[sid, (e * g.source_size + at + i) // 16] for e in range(2) for i in range(size) if e * g.source_size + at + i < int(g.target)]
+            want.append((doc, size, len(hit), min((x.slot for x in hit), default=None)))
+            at += size
+    got = [(str(r.doc_id), r.size, r.taken, r.first_slot) for r in op9_mix.mix(docs, block=16).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_schedule_is_even(spark):
     goals = spark.createDataFrame([(0, 3000.0), (1, 1000.0), (2, 2000.0)], "sid long, target double")
     slots = op9_mix.schedule(goals, 10).orderBy("slot").collect()
     assert len(slots) == 600 and len({(r.sid, r.rank) for r in slots}) == 600
-    n = Counter(r.sid for r in slots[:120])
-    assert all(abs(n[s] - 120 * w / 6) < 6 for s, w in ((0, 3), (1, 1), (2, 2)))
+    for most in (12, 60, 120, 300, 600):  # every beginning of the mix is near the weights, and no run of one source is long
+        n = Counter(r.sid for r in slots[:most])
+        assert all(abs(n[s] - most * w / 6) < 4 for s, w in ((0, 3), (1, 1), (2, 2)))
+    order = [r.sid for r in slots]
+    assert max(len(list(g)) for _, g in itertools.groupby(order[:590])) <= 3
+    points = [(i * op9_mix.STEP) % op9_mix.POINTS / op9_mix.POINTS for i in range(500)]
+    assert order[:500] == [0 if p < 0.5 else 1 if p < 4 / 6 else 2 for p in points]
 
 
 # 10
