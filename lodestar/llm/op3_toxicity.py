@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -14,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import table
+from lodestar.llm.common import discard, table, written
 
 #: Labelled rows that the fit takes at most, terms of the lexicon, and the least documents and log-odds of a term.
 SAMPLE, TERMS, LEAST_DOCS, LEAST_ODDS = 6000, 300, 5, 1.3
 #: Terms are whole words, or beginnings of words of these lengths.
 STEMS = range(4, 9)
 AT = 0.7
+#: What a text is measured by; all but the last grow with its hits.
+FEATURES = 5
 #: Look-alikes of Latin letters, and letters that digits stand for.
 LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝкмнтвαβεικνορτυχ0123456789@", "aeopcyxijshdqwkmhtbabeikvoptuxoizeasgtbga", strict=True))
 
@@ -61,11 +64,11 @@ def word_terms(text: str | None) -> Counter:
 class ToxicityModel:
     weights: dict[str, float]
     exceptions: list[str]
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(4))
-    scale: np.ndarray = field(default_factory=lambda: np.ones(4))
-    low: np.ndarray = field(default_factory=lambda: np.full(4, -np.inf))
-    high: np.ndarray = field(default_factory=lambda: np.full(4, np.inf))
-    coef: np.ndarray = field(default_factory=lambda: np.array([-2.0] + [0.0] * 4))
+    mean: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
+    scale: np.ndarray = field(default_factory=lambda: np.ones(FEATURES))
+    low: np.ndarray = field(default_factory=lambda: np.full(FEATURES, -np.inf))
+    high: np.ndarray = field(default_factory=lambda: np.full(FEATURES, np.inf))
+    coef: np.ndarray = field(default_factory=lambda: np.array([-2.0] + [0.0] * FEATURES))
 
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
@@ -78,7 +81,7 @@ class ToxicityModel:
         return found
 
     def measure(self, found: ahocorasick.Automaton, text: str | None) -> list[float]:
-        """Logarithms of the weighted hits by length, of the hits with and without repeats, and of the length; hits inside an exception don't count."""
+        """Logarithms of the weighted hits by length, of the hits with and without repeats, of those of different words, and of the length; hits inside an exception don't count."""
         s = folded(text)
         hits, spared = [], []
         if len(found):
@@ -87,13 +90,16 @@ class ToxicityModel:
                     spared.append((end - n + 1, end))
                 else:
                     hits.append((end - n + 1, end, term, weight))
-        if spared:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spared)]
+        if spared:  # whole words, none inside another, in the order of the text
+            starts = [a for a, _ in spared]
+            hits = [h for h in hits if not ((k := bisect_right(starts, h[0])) and h[1] <= spared[k - 1][1])]
+        words_hit = {(s[h[0] + 1 : s.find(" ", h[0] + 1)], h[2]) for h in hits}
         each = Counter(h[2] for h in hits)
         total = sum(self.weights[t] * n for t, n in each.items())
         capped = sum(self.weights[t] * min(n, 3) for t, n in each.items())
+        different = sum(self.weights[t] for _, t in words_hit)
         words = len(s.split())
-        return [math.log1p(100 * total / (words + 20)), math.log1p(total), math.log1p(capped), math.log1p(words)]
+        return [math.log1p(100 * total / (words + 20)), math.log1p(total), math.log1p(capped), math.log1p(different), math.log1p(words)]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         x = np.clip(x, self.low, self.high)  # no further than the rows of the fit
@@ -114,7 +120,7 @@ def _calibrated(model: ToxicityModel, x: np.ndarray, y: np.ndarray) -> ToxicityM
         for _ in range(40):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
             w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.5 * np.eye(len(w)), z.T @ (y - p) - 0.5 * w)
-        low = [(c, k) for c, k in zip(w, used, strict=True) if k in (1, 2, 3) and c < 0]
+        low = [(c, k) for c, k in zip(w, used, strict=True) if 0 < k < FEATURES and c < 0]
         if not low:
             break
         used.remove(min(low)[1])
@@ -143,12 +149,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     """
     some = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic")  # at most `sample` rows of 12 bytes
-    rows = rows.repartition(8).persist()
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most `sample` rows of 12 bytes
+    rows = written(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "labelled")  # one row of a repeated id
     n_bad, n_all = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     counts = rows.mapInArrow(_counted, "term string, bad long, good long, docs long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("docs").alias("docs"))
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_all - n_bad + 1))
-    counts = counts.withColumn("odds", odds).persist()
+    counts = written(counts.withColumn("odds", odds), "terms")
     best = counts.where((F.col("docs") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS)).orderBy((F.col("bad") * F.col("odds")).desc(), "term").limit(10 * TERMS).collect()
     weights: dict[str, float] = {}
     for r in best:
@@ -169,9 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(xs, pa.list_(pa.float64()))], ["toxic", "x"])
 
     got = rows.mapInArrow(measured, "toxic int, x array<double>").toPandas()
-    counts.unpersist()
-    rows.unpersist()
-    x = np.array(got["x"].tolist(), float).reshape(-1, 4)
+    discard(counts, rows)
+    x = np.array(got["x"].tolist(), float).reshape(-1, FEATURES)
     order = np.lexsort(x.T)
     return _calibrated(model, x[order], got["toxic"].to_numpy(float)[order])
 
@@ -182,7 +187,7 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = model.automaton()
         for batch in batches:
-            xs = np.array([model.measure(found, t.as_py()) for t in batch.column("text")], float).reshape(-1, 4)
+            xs = np.array([model.measure(found, t.as_py()) for t in batch.column("text")], float).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(xs))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
@@ -194,7 +199,11 @@ def held_out() -> Column:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+    """doc_id, held_out, score, predicted of every row.
+
+    A null or empty text is scored as one of no words; a null doc_id is not held out; repeated rows are scored alike, each
+    on its own; a text of any length is read once; an empty table gives no rows, and without labels no term has a weight.
+    """
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels").where(~held_out()))
     return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= AT).cast("int").alias("predicted"))

@@ -173,6 +173,23 @@ def test_toxicity_learns_a_lexicon(spark):
     assert op3_toxicity.scored(docs, none).count() == len(rows)
 
 
+def test_toxicity_of_held_out_labels(spark):
+    """What README says: recall and precision at 0.7 on labels that the fit hasn't seen."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null")
+    got = op3_toxicity.op3_toxicity(spark, sf).where("held_out").join(labels, "doc_id").select("predicted", "toxic", "score").collect()
+    hit = sum(r.predicted and r.toxic for r in got)
+    assert hit >= 0.9 * sum(r.toxic for r in got) and hit >= 0.97 * sum(r.predicted for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+
+
+def test_toxicity_of_empty_and_repeated_rows(spark):
+    kinds = "doc_id long, text string"
+    docs = spark.createDataFrame([(1, "a fool"), (1, "a fool"), (1, "a fool"), (2, None)], kinds)
+    model = op3_toxicity.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert op3_toxicity.scored(docs, model).count() == 4 and op3_toxicity.scored(docs.limit(0), model).count() == 0
+
+
 def test_exceptions_spare_hits():
     model = op3_toxicity.ToxicityModel({" boc": 3.0}, [" bocadillo "])
     found = model.automaton()
@@ -204,6 +221,19 @@ def test_ordinal_model_orders_grades(spark):
     assert op5_quality.kept(docs.limit(0), labels).count() == 0
 
 
+def test_grades_of_held_out_labels_order(spark):
+    """What README says: mean expected grade of labelled rows that the fit hasn't seen, and how many are kept."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    graded = op5_quality.grades(spark.read.parquet(f"{sf}/labels.parquet")).where("grade is not null")
+    out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = op5_quality.train(docs, graded.where(~out).union(spark.createDataFrame([(1, 3), (2, -1)], "doc_id long, grade int")), 3)
+    rows = op5_quality.scored(docs.join(graded.where(out), "doc_id"), model).select("grade", "expected_grade", F.col("tails")[0].alias("p")).collect()
+    mean = [np.mean([r.expected_grade for r in rows if r.grade == g]) for g in range(3)]
+    assert mean[0] < 0.15 and 0.15 < mean[2] - mean[1] and mean[1] > 1
+    assert np.mean([(r.p >= 0.5) == (r.grade >= 1) for r in rows]) > 0.985
+
+
 # 4 and 6
 
 
