@@ -34,7 +34,13 @@ FRAME = frozenset("nav header footer menu".split())
 #: Share of a page's text that the element around its article holds.
 MOST = 0.6
 BESIDE = frozenset("nav header footer aside form menu dialog fieldset search".split())
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Parts of a name that make a heading of it an article's own, and what names an article that is a reader's or another one.
+OWN_HEADING = frozenset("article post entry story content title main".split())
+OTHER_ARTICLE = frozenset("ad ads advert comment comments disqus promo promoted promotion related replies reply respond sponsored teaser".split())
+#: A tag: its name and its attributes. Quoted values hold anything, a quote that is never closed is part of an unquoted value; nothing is tried twice.
+_TAG = re.compile(r"""</?+([a-zA-Z][^\s/>]*+)((?:[\s/]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)|[^\s/>=][^\s/>=]*+)*+)>""")
+_LETTER = re.compile(r"</?[a-zA-Z]")
+_UNSEEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -57,17 +63,25 @@ class _Open:
 
     def __init__(self, name: str, attributes: str, parent: _Open | None):
         given = ["".join(m).lower() for m in _NAMES.findall(attributes)] if attributes else []
-        words = {w for g in given for w in _WORD.findall(g)}
-        own = name in BESIDE or not ASIDES.isdisjoint(words)
-        if own and name in ("body", "html", "main", "article"):  # a page-wide class says nothing about its text
-            own = False
-        self.main = name in ("article", "main") or (parent is not None and parent.main)
-        if own and name == "header" and self.main:  # an article's own heading
+        within = parent is not None and parent.main
+        words: set[str] = set()
+        for parts in (set(_WORD.findall(token)) for g in given for token in g.split()):
+            if "header" in parts and (within or not OWN_HEADING.isdisjoint(parts)):  # an article's own heading
+                parts.discard("header")
+            if not parts.isdisjoint(("free", "less")):  # `ad-free` is no advert
+                parts.clear()
+            words |= parts
+        if name in ("body", "html", "main"):  # a page-wide class says nothing about its text
             own = False
+        elif name == "article":
+            own = not OTHER_ARTICLE.isdisjoint(words)
+        else:
+            own = (name in BESIDE and not (name == "header" and within)) or not ASIDES.isdisjoint(words)
+        self.main = (name in ("article", "main") and not own) or within
         self.name, self.parent, self.named = name, parent, tuple(given)
         self.depth = 0 if parent is None else parent.depth + 1
         self.box = parent.box if parent is not None and parent.box is not None else self if own else None
-        self.hidden = name in HIDDEN or (parent is not None and parent.hidden)
+        self.hidden = name in HIDDEN or (parent is not None and parent.hidden) or bool(attributes and _UNSEEN.search(attributes))
         self.link = name == "a" or (parent is not None and parent.link)
 
     def kind(self) -> str:
@@ -98,13 +112,16 @@ def _container(found: list[tuple]) -> _Open | None:
     total = 0
     for text, kind, _, at in found:
         if kind in ("loose", "body"):
-            words = text.count(" ") + 1
-            total += words
-            while at is not None:
-                if at.name in HOLDERS:
-                    inside[at] += words
-                at = at.parent
-    held = [at for at, n in inside.items() if n >= MOST * total]
+            inside[at] += text.count(" ") + 1
+            total += text.count(" ") + 1
+    for at in list(inside):
+        while at.parent is not None and at.parent not in inside:
+            at = at.parent
+            inside[at] = 0
+    for at in sorted(inside, key=lambda at: -at.depth):
+        if at.parent is not None:
+            inside[at.parent] += inside[at]
+    held = [at for at, n in inside.items() if at.name in HOLDERS and total and n >= MOST * total]
     return max(held, key=lambda at: at.depth) if held else None
 
 
@@ -166,6 +183,7 @@ def blocks(page: str) -> list[tuple[str, str, list[str]]]:
     found: list[tuple] = []
     root = _Open("", "", None)
     stack: list[_Open] = []
+    opened: Counter = Counter()
     text: list[str] = []
     kinds: Counter = Counter()
     places: dict[str, _Open] = {}
@@ -196,39 +214,56 @@ def blocks(page: str) -> list[tuple[str, str, list[str]]]:
         if not at.hidden and not (at.main and at.box is not None):
             tags.append((tag, at))
 
+    def close(name: str) -> _Open:
+        """Take elements off the stack up to the last one of the name."""
+        while True:
+            at = stack.pop()
+            opened[at.name] -= 1
+            if at.name == name:
+                return at
+
     while pos < n:
-        m = _MARK.search(page, pos)
-        if m is None:
+        start = page.find("<", pos)
+        if start < 0:
             add(page[pos:])
             break
-        add(page[pos : m.start()])
-        pos = m.end()
-        if m[1] is None:
+        add(page[pos:start])
+        m = _TAG.match(page, start)
+        if m is None:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                pos = end + 3 if end >= 0 else n
+            elif page.startswith(("<!", "<?"), start):
+                end = page.find(">", start)
+                pos = end + 1 if end >= 0 else n
+            elif _LETTER.match(page, start):  # a tag that never ends, as the HTML standard has it
+                break
+            else:
+                add("<")
+                pos = start + 1
             continue
-        name, ending = m[1].lower(), page[m.start() + 1] == "/"
+        pos = m.end()
+        name, ending = m[1].lower(), page[start + 1] == "/"
         if name == "br":
             text.append(" ")
             continue
         if name not in INLINE:
             flush()
         if ending:
-            at = stack[-1] if stack else root
-            if any(x.name == name for x in stack):
-                while (at := stack.pop()).name != name:
-                    pass
+            at = close(name) if opened[name] else stack[-1] if stack else root
             if name not in INLINE:
                 mark("/" + name, at)
             continue
-        if name in CLOSES_P and any(x.name == "p" for x in stack):
-            while stack and stack.pop().name != "p":
-                pass
+        if name in CLOSES_P and opened["p"]:
+            close("p")
         if name == "li" and stack and stack[-1].name == "li":
-            stack.pop()
+            close("li")
         at = _Open(name, m[2], stack[-1] if stack else root)
         if name not in INLINE:
             mark(name, at)
         if name not in VOID and not m[2].endswith("/"):
             stack.append(at)
+            opened[name] += 1
             if name in ("script", "style", "textarea", "title", "noscript"):  # their content is not markup
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, pos)
                 pos = end.start() if end else n
@@ -287,5 +322,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main text of all pages."""
+    """page_id, url, text, n_chars of every page.
+
+    A null or empty html has an empty text; repeated rows and null ids stay; a page of any length is read in one pass that is
+    linear in it; an empty table gives no rows; other columns are ignored.
+    """
     return extract(table(spark, sf_dir, "pages"))

@@ -79,6 +79,29 @@ def test_html_keeps_links_and_text_around_boxes():
     assert text(f"<body><div class=top>tag line</div><nav>{a}</nav><div class=content><p>{a}</p><p>{b}</p></div><footer>{b}</footer><div class=end>rights</div></body>") == f"{a} {b}"
 
 
+def test_html_of_odd_pages():
+    text = op1_html.main_text
+    body = "<p>" + "w " * 30 + "</p>"
+    w = " ".join(["w"] * 30)
+    assert text(f'<article><div class="article-header"><h1>Title</h1></div>{body}</article>') == f"Title {w}"
+    assert text(f'<article>{body}<p class="ad-free">no adverts here</p>{body}</article>') == f"{w} no adverts here {w}"
+    assert text(f"<article><p hidden>x</p>{body}<p style='display: none'>y</p><div aria-hidden=true>z</div></article>") == w
+    assert text(f"<article><p data-x=it's>One two</p>{body}<p data-y='a>b'>don't</p></article>") == f"One two {w} don't"
+    assert text(f'<article><p title="a>One</p>{body}</article>') == f"One {w}"
+    assert text(f"<article>{body}</article><article class='comment'>{body}</article><article id=reply-3>{body}</article>") == w
+    assert text(f"<article>{body}<p>1 < 2 and 3 <4 </p><!-- <p>no</p> --><?x y?></article>") == f"{w} 1 < 2 and 3 <4"
+    assert text(f"<div class='site-header'>{body}</div><article>{body}</article><div class='article-comments'>{body}</div>") == w
+
+
+def test_html_reads_long_markup_once():
+    import time
+
+    start = time.process_time()
+    for page in ("<a " * 100000, "<a x=\"'" * 50000, "<div>" * 60000 + "w", "<p>" * 60000, "<p><i>" * 30000 + "</b>" * 60000, "<!--" * 100000, "<script>" * 50000, "<a " * 50000 + 'x=">"', "<ul>" + "<li>w" * 30000, "&amp" * 50000):
+        assert len(op1_html.main_text(page)) <= len(page)
+    assert time.process_time() - start < 20
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, "u", None, "z"), (1, "u", "<p>é</p>", "z"), (None, None, "", "z")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in op1_html.extract(rows).collect()) == [("", 0), ("", 0), ("é", 1)]
