@@ -23,7 +23,10 @@ def _again(df: DataFrame) -> DataFrame:
 def _matrix(column: pd.Series) -> np.ndarray:
     """Vectors as rows of length 1, in double precision."""
     m = np.stack([np.asarray(v, float) for v in column]) if len(column) else np.empty((0, 1))
-    return m / np.sqrt((m * m).sum(1, keepdims=True)) if len(m) else m
+    if not len(m):
+        return m
+    m = m / np.abs(m).max(1, keepdims=True)  # else squares of very large or small components leave the range of doubles
+    return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
 def cover_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,11 +58,12 @@ def cover_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(chosen), np.array(level), np.array(parent)
 
 
-def dual_pairs(centres: np.ndarray, level: np.ndarray, parent: np.ndarray, leaf_radius: np.ndarray, reach: float) -> list[tuple[int, int]]:
-    """Pairs (u <= v) of leaves that may hold points within `reach` of each other; leaf_radius is negative for empty leaves.
+def dual_pairs(centres: np.ndarray, level: np.ndarray, parent: np.ndarray, leaf_radius: np.ndarray, reach: float) -> list[tuple[int, int, bool]]:
+    """(u, v, sure) of leaves u <= v that may hold points within `reach` of each other, sure if all their points are; leaf_radius is negative for empty leaves.
 
     A node's covering radius bounds the distance of all points below it. A pair of nodes is dropped if its centres are
-    farther apart than both radii and the reach; else the node of the larger radius is replaced by its children.
+    farther apart than both radii and the reach; else the node of the larger radius is replaced by its children. Points of
+    two leaves whose centres are no farther apart than the reach less both radii need not be compared.
     """
     n, last = len(level), level.max()
     radius = np.where(level == last, leaf_radius, -1.0)
@@ -77,7 +81,7 @@ def dual_pairs(centres: np.ndarray, level: np.ndarray, parent: np.ndarray, leaf_
         if radius[a] < 0 or radius[b] < 0 or np.linalg.norm(centres[a] - centres[b]) > radius[a] + radius[b] + reach + 1e-9:
             continue
         if not children[a] and not children[b]:
-            out.append((min(a, b), max(a, b)))
+            out.append((min(a, b), max(a, b), bool(np.linalg.norm(centres[a] - centres[b]) + radius[a] + radius[b] <= reach - 1e-6)))
         elif a == b:
             todo += [(x, y) for i, x in enumerate(children[a]) for y in children[a][i:]]
         elif not children[b] or (children[a] and radius[a] >= radius[b]):
@@ -109,8 +113,8 @@ def _traverse(reach: float):
     def run(nodes: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("id")
         pairs = dual_pairs(np.stack(nodes["centre"].to_numpy()), nodes["level"].to_numpy(), nodes["parent"].to_numpy(), nodes["radius"].to_numpy(), reach)
-        u, v = zip(*pairs, strict=True) if pairs else ((), ())
-        return pd.DataFrame({"label": nodes["label"].iloc[0], "dim": nodes["dim"].iloc[0], "u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+        u, v, sure = zip(*pairs, strict=True) if pairs else ((), (), ())
+        return pd.DataFrame({"label": nodes["label"].iloc[0], "dim": nodes["dim"].iloc[0], "u": np.array(u, np.int64), "v": np.array(v, np.int64), "sure": np.array(sure, bool)})
 
     return run
 
@@ -182,10 +186,19 @@ def near(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     spread = trees.join(sized_broadcast(_again(per.select(*_GROUP, "parts"))), _GROUP).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
     keys = [*_GROUP, "salt"]
     placed = written(salted.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(_assign, f"label {kind}, dim int, node long, mult long, e {vector}, leaf long, far double"), "leaves")
-    leaves = placed.groupBy(*_GROUP, "leaf").agg(F.count(F.lit(1)).alias("rows"), F.max("far").alias("radius")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long"))
-    leaves = written(leaves.select(*_GROUP, "leaf", "blocks", "radius"), "radii")
+    leaves = placed.groupBy(*_GROUP, "leaf").agg(F.count(F.lit(1)).alias("rows"), F.max("far").alias("radius"), F.sum("mult").alias("held"), F.min("node").alias("least")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long"))
+    leaves = written(leaves.select(*_GROUP, "leaf", "blocks", "radius", "held", "least"), "radii")
     whole = trees.join(leaves.select(*_GROUP, F.col("leaf").alias("id"), "radius"), [*_GROUP, "id"], "left").withColumn("radius", F.coalesce("radius", F.lit(-1.0)))
-    pairs = whole.groupBy(*_GROUP).applyInPandas(_traverse(float(np.sqrt(2 - 2 * cosine))), f"label {kind}, dim int, u long, v long")
+    pairs = whole.groupBy(*_GROUP).applyInPandas(_traverse(float(np.sqrt(2 - 2 * cosine))), f"label {kind}, dim int, u long, v long, sure boolean")
+    pairs = written(pairs, "pairs")
+    # leaves that link as a whole: every vector links to all of the other leaf, and to the other ones of its own
+    sure = pairs.where("sure")
+    ways = sure.select(*_GROUP, F.col("u").alias("leaf"), F.col("v").alias("to")).union(sure.where("u < v").select(*_GROUP, F.col("v"), F.col("u")))
+    ends = leaves.select(*_GROUP, F.col("leaf").alias("to"), "held", F.col("least").alias("other"))
+    ways = written(ways.join(ends, [*_GROUP, "to"]).groupBy(*_GROUP, "leaf").agg(F.sum("held").alias("held"), F.min("other").alias("other"), F.max(F.col("to") == F.col("leaf")).alias("own")), "whole")
+    met_all = placed.select(*_GROUP, "leaf", "node", "mult").join(sized_broadcast(ways), [*_GROUP, "leaf"])
+    met_all = written(met_all.select("node", F.when(F.col("own"), F.col("held") - F.col("mult")).otherwise(F.col("held")).alias("n"), "other"), "met")
+    pairs = pairs.where("not sure").drop("sure")
     of = lambda leaf, n: leaves.select(*_GROUP, F.col("leaf").alias(leaf), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1).alias(n))
     pairs = pairs.join(of("u", "bus"), [*_GROUP, "u"]).join(of("v", "bvs"), [*_GROUP, "v"])
     pairs = pairs.withColumn("bu", F.explode("bus")).withColumn("bv", F.explode("bvs")).where("u < v or bu <= bv").select(*_GROUP, "u", "bu", "v", "bv")
@@ -196,8 +209,11 @@ def near(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     left = pairs.join(cut.withColumnsRenamed({"leaf": "u", "block": "bu"}), [*_GROUP, "u", "bu"])
     right = _again(pairs).where("u < v or bu < bv").join(_again(cut).withColumnsRenamed({"leaf": "v", "block": "bv"}), [*_GROUP, "v", "bv"])
     met = written(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compare(cosine), "a long, b long, n long"), "met")
-    counts = met.where("n > 0").groupBy("a").agg(F.sum("n").alias("others")).select(F.col("a").alias("node"), "others")
-    known = components(met.where("n < 0").select("a", "b")).select("node", F.col("component").alias("c"))
+    counts = met.where("n > 0").select("a", "n").union(met_all.where("n > 0").select("node", "n")).groupBy("a").agg(F.sum("n").alias("others")).select(F.col("a").alias("node"), "others")
+    # a leaf that links as a whole to other leaves hangs on the least vector of one of them, all of which it links to
+    firsts = sure.join(leaves.select(*_GROUP, F.col("leaf").alias("u"), F.col("least").alias("a")), [*_GROUP, "u"]).join(leaves.select(*_GROUP, F.col("leaf").alias("v"), F.col("least").alias("b")), [*_GROUP, "v"])
+    joined = met.where("n < 0").select("a", "b").union(met_all.where("n > 0").select("node", "other")).union(firsts.select("a", "b"))
+    known = components(joined).select("node", F.col("component").alias("c"))
     result = nodes.join(counts, "node", "left").join(known, "node", "left")
     result = result.select(*[F.col(c).alias(f"_{c}") for c in equal], (F.coalesce("others", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("c", "node").alias("c"))
     every = base.withColumn("_ok", usable).join(result, (F.col("label") == F.col("_label")) & (F.col("e") == F.col("_e")) & F.col("_ok"), "left")

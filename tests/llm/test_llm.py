@@ -572,6 +572,25 @@ def test_embeddings_equal_brute_force(spark):
     assert op10_embeddings.near(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_dense_groups(spark, monkeypatch):
+    """Leaves that link as a whole are counted, not compared; very large components of vectors are no matter."""
+    monkeypatch.setattr(op10_embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=6)
+    v = [(centre if i < 150 else rng.normal(size=6)) + rng.normal(size=6) * (0.02 if i < 150 else 1.0) for i in range(220)]
+    v = [x * (1e200 if i % 3 else 1e-200) for i, x in enumerate(v)]
+    df = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, embedding array<double>")
+    u = np.array([x / np.abs(x).max() for x in v])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = u @ u.T >= 0.93
+    np.fill_diagonal(link, False)
+    comp = np.arange(len(v))
+    for _ in range(len(v)):
+        comp = np.array([min([comp[i], *comp[link[i]]]) for i in range(len(v))])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op10_embeddings.near(df).collect()}
+    assert got == {i: (int(link[i].sum()), int(comp[i])) for i in range(len(v))}
+
+
 def test_dual_traversal_loses_no_pair():
     rng = np.random.default_rng(9)
     p = rng.normal(size=(200, 3))
@@ -584,7 +603,11 @@ def test_dual_traversal_loses_no_pair():
     for k, leaf in enumerate(leaves):
         if (at == k).any():
             radius[leaf] = d[at == k, k].max()
-    pairs = set(op10_embeddings.dual_pairs(p[chosen], level, parent, radius, 0.3))
+    found = op10_embeddings.dual_pairs(p[chosen], level, parent, radius, 0.3)
+    pairs = {(u, v) for u, v, _ in found}
+    for u, v in ((u, v) for u, v, sure in found if sure):
+        a, b = (np.flatnonzero(leaves[at] == x) for x in (u, v))
+        assert np.linalg.norm(p[a][:, None] - p[b][None], axis=2).max() <= 0.3
     n = len([1 for leaf in leaves if radius[leaf] >= 0])
     for i, j in zip(*np.nonzero(np.linalg.norm(p[:, None] - p[None], axis=2) <= 0.3), strict=True):
         a, b = sorted((leaves[at[i]], leaves[at[j]]))
