@@ -219,15 +219,20 @@ def box_mean(img: np.ndarray, radius: int) -> np.ndarray:
     return (box / np.outer(y1 - y0, x1 - x0)).astype(np.float32)
 
 
-def zone_band(img: np.ndarray) -> np.ndarray | None:
-    """The line of text at the top left as a black-on-white image, three times as large with a margin; None if there is none."""
+def ink_mask(img: np.ndarray) -> np.ndarray:
+    """Pixels of the strip at the top left that are brighter than what is around them, where that is dark."""
     h, w = img.shape
     strip = blur_rows(img, 2)[: max(8, math.floor(0.2 * h)), : max(8, math.floor(0.7 * w))]
-    sh, sw = strip.shape
-    local = box_mean(strip, max(4, sh // 3))
+    local = box_mean(strip, max(4, len(strip) // 3))
     ordered = np.sort(strip.ravel())
     bright = float(ordered[min(len(ordered) - 1, math.floor(len(ordered) * 0.8))])
-    ink = (strip.astype(float) - local > 0.08) & (local < bright - 0.06)
+    return (strip.astype(float) - local > 0.08) & (local < bright - 0.06)
+
+
+def zone_band(img: np.ndarray) -> np.ndarray | None:
+    """The line of text at the top left as a black-on-white image, three times as large with a margin; None if there is none."""
+    ink = ink_mask(img)
+    sh, sw = ink.shape
     if not 0.005 <= ink.mean() <= 0.35:
         return None
     kept = []

@@ -10,13 +10,23 @@ from pyspark.sql import Window as W
 #: least confidence of the last rule, and the time-outs in ms.
 RECENT, HITS, CONFLICT, STABLE, STABLE_LEAST, CONFIDENT = 5, 2, 3, 4, 0.25, 0.6
 PATIENCE_MS, ZONE_TTL_MS, SMALL = 5000, 8000, 0.3
+#: Fixed value: least time between two readings of text in a live scan.
+READ_EVERY_MS = 2000
 
 
 def decide(rows: DataFrame, require_zone: bool = False) -> DataFrame:
-    """rows (session, seq, ms, top_id, zone_key, conf, ocr_zone) with confirmed, via and show_candidates.
+    """rows (session, seq, ms, top_id, zone_key, conf, ocr_zone, optional reset) with confirmed, via and show_candidates.
 
-    Windows are bounded to the last observations of a session; only the time-out uses the whole session's past.
+    Windows are bounded to the last observations of a session; only the time-out uses the whole session's past. A row
+    with reset forgets what came before it in its session, and decides nothing.
     """
+    if "reset" in rows.columns:
+        starts = F.sum(F.coalesce("reset", F.lit(False)).cast("int")).over(W.partitionBy("session").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+        whole = rows.withColumn("session", F.struct("session", starts.alias("life")))
+        blank = F.coalesce("reset", F.lit(False))
+        kept = decide(whole.where(~blank).drop("reset"), require_zone).withColumn("session", F.col("session.session"))
+        none = F.lit(None).cast("string")
+        return kept.unionByName(rows.where(blank).select("session", "seq", none.alias("confirmed"), none.alias("via"), F.lit(False).alias("show_candidates")))
     sess = W.partitionBy("session").orderBy("seq")
     has = F.col("top_id").isNotNull()
     sure = has & (F.col("conf") >= CONFIDENT)
@@ -85,6 +95,11 @@ def ring(rows: DataFrame, size: int = 5, age_ms: int = 1600) -> DataFrame:
     return rows.withColumn("_r", recent).withColumn("fresh", F.transform(F.filter("_r", lambda r: F.col("ms") - r["ms"] <= age_ms), lambda r: r["seq"])).drop("_r")
 
 
+def too_small(top_edge: Column, frame_width: Column) -> Column:
+    """Whether the widget fills too little of the frame: its top edge is shorter than SMALL of the frame's width."""
+    return F.coalesce(top_edge < F.lit(SMALL) * frame_width, F.lit(False))
+
+
 def hint(low: Column, zone_locked: Column, small: Column) -> Column:
     """The message that goes first."""
     return F.when(low, "low_confidence").when(zone_locked, "zone_locked").when(small, "too_small").otherwise("default")

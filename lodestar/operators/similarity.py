@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestar.functions.numeric import clamp, hamming
+from lodestar.functions.numeric import clamp
 
 #: Rows that survive the coarse cut of a window, results of a query, and the confidence that counts.
 COARSE, TOP, CONFIDENT = 48, 3, 0.6
-#: A catalogue is broadcast only below this many variants.
-BROADCAST_ROWS = 200_000
+#: A catalogue is sent to the tasks in blocks of this size at most.
+BLOCK_BYTES = 64 << 20
 FLAT = 1e-9
 
 
@@ -40,41 +46,91 @@ def with_units(rows: DataFrame, base: DataFrame, vector: str = "vec", out: str =
     return shifted.withColumn(out, unit_).drop("_s", "_a", "_c", "_n", "mean")
 
 
-def checked(variants: DataFrame, keep: Column | None) -> DataFrame:
-    """The variants the predicate keeps; an empty catalogue or a predicate that keeps nothing is an error."""
+def _blocks(variants: DataFrame, keep: Column | None, units: list[str]) -> list[Broadcast]:
+    """The variants the predicate keeps, in order of flat, cut into blocks of BLOCK_BYTES at most and sent to all tasks.
+
+    An empty catalogue or a predicate that keeps nothing is an error.
+    """
     kept = variants if keep is None else variants.where(keep)
-    if kept.isEmpty():
+    rows = kept.select("flat", "entry", "p", "d", *units)
+    size = 32 + 8 * sum((F.size(F.col(c)) for c in units), F.lit(0))
+    n, total = rows.agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    if not n:
         raise ValueError("no catalogue entry is left to match")
-    return kept
-
-
-def candidates(windows: DataFrame, variants: DataFrame, *, keep: Column | None = None, extra: Column | None = None, coarse: int = COARSE) -> DataFrame:
-    """(qid, w, flat, entry, hd): the coarse cut. windows: (qid, w, p, d); variants: (flat, entry, p, d).
+    parts = -(-total // BLOCK_BYTES)
+    edges = [None, *sorted(set(rows.approxQuantile("flat", [i / parts for i in range(1, parts)], 0.1 / parts))), None] if parts > 1 else [None, None]
+    out = []
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        part = rows if lo is None else rows.where(F.col("flat") >= lo)
+        block = (part if hi is None else part.where(F.col("flat") < hi)).toArrow().sort_by("flat").combine_chunks()
+        hashes = [block.column(c).to_numpy().view(np.uint64) for c in ("p", "d")]
+        out.append(rows.sparkSession.sparkContext.broadcast((block.column("flat").to_numpy(), block.column("entry").combine_chunks(), hashes, [_stacked(block.column(c).combine_chunks(), block.num_rows) for c in units])))
+    return out
+
+
+def _stacked(column: pa.Array, n: int) -> np.ndarray:
+    """A list column as a matrix of n rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+
+
+def _nearest(block: Broadcast, units: list[str], other: bool, coarse: int) -> Callable:
+    """The coarse cut of each query's windows within a block of the catalogue, with correlations."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, entry, hashes, vectors = block.value
+        for batch in batches:
+            sets, ids = batch.column("ws"), batch.column("qid")
+            if not len(sets):
+                continue
+            at, fields = sets.offsets.to_numpy() - sets.offsets[0].as_py(), sets.flatten()
+            w = fields.field("w")
+            own = [fields.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("p", "d")]
+            mine = [_stacked(fields.field(c), len(fields)) for c in units]
+            picks, of, of_w, hds, keys = [], [], [], [], []
+            for q in range(len(batch)):
+                some = np.flatnonzero(flat != ids[q].as_py()) if other else np.arange(len(flat))
+                past: list[np.ndarray] = []
+                for i in range(at[q], at[q + 1]):
+                    past.append(sum(np.bitwise_count(v[some] ^ o[i]).astype(np.int32) for v, o in zip(hashes, own, strict=True)))
+                    h = past[-1]
+                    near = np.flatnonzero(h <= np.partition(h, coarse - 1)[coarse - 1]) if len(h) > coarse else np.arange(len(h))
+                    near = near[np.lexsort((near, *(x[near] for x in past)))[:coarse]]
+                    picks.append(some[near])
+                    of.append(np.full(len(near), q))
+                    of_w.append(np.full(len(near), i))
+                    hds.append(h[near])
+                    keys.append([x[near] for x in reversed(past)])
+            pick, row, win = np.concatenate(picks), np.concatenate(of), np.concatenate(of_w)
+            ncc = sum(np.einsum("ij,ij->i", m[win], v[pick]) for m, v in zip(mine, vectors, strict=True)) / len(units) if units else np.zeros(len(pick))
+            lists = pa.array([k for key in keys for k in np.stack(key, 1)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), w.take(pa.array(win)), pa.array(flat[pick]), entry.take(pa.array(pick)), pa.array(np.concatenate(hds)), lists, pa.array(ncc)], ["qid", "w", "flat", "entry", "hd", "key", "ncc"])
+
+    return run
+
+
+def candidates(windows: DataFrame, variants: DataFrame, *, keep: Column | None = None, other: bool = False, coarse: int = COARSE) -> DataFrame:
+    """(qid, w, flat, entry, hd, ncc): the coarse cut. windows: (qid, w, p, d, units); variants: (flat, entry, p, d, units).
 
     Each window keeps the `coarse` variants of least distance; ties go by the distances of the windows before it, latest
-    first, then by flat. keep filters variants before the cut; extra is a condition on qid and flat. The catalogue is the
-    broadcast side of one pass over the queries; the rank filter runs before the shuffle too.
+    first, then by flat. keep filters variants before the cut; other leaves out the variant whose flat is the qid. ncc is
+    the mean correlation by the unit vectors, unit and unit_bp, that both sides have.
+    Every block of the catalogue meets every batch of queries once; of several blocks the cuts are ranked together.
     """
-    small = checked(variants, keep).select("flat", "entry", F.col("p").alias("vp"), F.col("d").alias("vd"))
-    small = F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-    sets = windows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("w", "p", "d"))).alias("ws"))
-    pairs = sets.join(small) if extra is None else sets.join(small, extra)
-    pairs = pairs.select("qid", "flat", "entry", "ws.w", F.transform("ws", lambda s: hamming(s["p"], F.col("vp")) + hamming(s["d"], F.col("vd"))).alias("hds"))
-    rows = pairs.select("qid", "flat", "entry", F.col("w").alias("_ws"), "hds", F.posexplode("hds").alias("i", "hd"))
-    rows = rows.withColumn("key", F.reverse(F.slice("hds", F.lit(1), F.col("i") + 1)))
-    order = W.partitionBy("qid", "i").orderBy("key", "flat")
-    cut = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= coarse)
-    return cut.select("qid", F.get("_ws", F.col("i")).alias("w"), "flat", "entry", "hd")
-
-
-def best_entries(cut: DataFrame, windows: DataFrame, variants: DataFrame) -> DataFrame:
+    units = [c for c in ("unit", "unit_bp") if c in variants.columns and c in windows.columns]
+    blocks = _blocks(variants, keep, units)
+    sets = windows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("w", "p", "d", *units))).alias("ws"))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    kinds = f"qid {kind(windows, 'qid')}, w {kind(windows, 'w')}, flat long, entry {kind(variants, 'entry')}, hd int, key array<int>, ncc double"
+    cut = reduce(DataFrame.union, [sets.mapInArrow(_nearest(b, units, other, coarse), kinds) for b in blocks])
+    if len(blocks) > 1:
+        order = W.partitionBy("qid", "w").orderBy("key", "flat")
+        cut = cut.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= coarse).drop("rn")
+    return cut.drop("key")
+
+
+def best_entries(cut: DataFrame) -> DataFrame:
     """(qid, entry, ncc, hamming): each entry's best pair of window and variant, by correlation, then distance."""
-    units = [c for c in ("unit", "unit_bp") if c in variants.columns]
-    right = variants.select("flat", *[F.col(c).alias(f"v_{c}") for c in units])
-    full = cut.join(windows.select("qid", "w", *units), ["qid", "w"]).join(right, "flat")
-    score = sum((dot(F.col(c), F.col(f"v_{c}")) for c in units), F.lit(0.0)) / len(units)
-    scored = full.select("qid", "entry", score.alias("ncc"), "hd")
-    best = scored.groupBy("qid", "entry").agg(F.max(F.struct("ncc", (-F.col("hd")).alias("near"))).alias("b"))
+    best = cut.groupBy("qid", "entry").agg(F.max(F.struct("ncc", (-F.col("hd")).alias("near"))).alias("b"))
     return best.select("qid", "entry", F.col("b.ncc").alias("ncc"), (-F.col("b.near")).alias("hamming"))
 
 
@@ -99,9 +155,9 @@ def outcomes(ranks: DataFrame) -> DataFrame:
     return rows.select("qid", "candidates", F.get("candidates", F.lit(0))["entry"].alias("best"), "confidence", (F.col("confidence") >= CONFIDENT).alias("is_confident"))
 
 
-def match(windows: DataFrame, variants: DataFrame, *, keep: Column | None = None, extra: Column | None = None, top: int = TOP, coarse: int = COARSE) -> DataFrame:
+def match(windows: DataFrame, variants: DataFrame, *, keep: Column | None = None, other: bool = False, top: int = TOP, coarse: int = COARSE) -> DataFrame:
     """Ranks of every query; see candidates, best_entries and ranked."""
-    return ranked(best_entries(candidates(windows, variants, keep=keep, extra=extra, coarse=coarse), windows, variants), top)
+    return ranked(best_entries(candidates(windows, variants, keep=keep, other=other, coarse=coarse)), top)
 
 
 def raw_ncc(a: Column, b: Column) -> Column:

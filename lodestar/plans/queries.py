@@ -15,6 +15,8 @@ from lodestar.operators import decisions as dec
 from lodestar.operators import histogram as hist
 from lodestar.operators import similarity as sim
 from lodestar.operators import zones as zon
+from lodestar.plans import image_queries
+from lodestar.sources import catalog as doc
 from lodestar.streaming import scan
 
 
@@ -35,17 +37,11 @@ def _queries(variants: DataFrame) -> DataFrame:
     return variants.select(F.col("flat").alias("qid"), F.lit(0).alias("w"), "p", "d", "unit")
 
 
-def _other():
-    """A query is not matched with itself."""
-    return F.col("qid") != F.col("flat")
-
-
 def hamming_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector's nearest other by sign bits."""
-    v = _t(spark, sf_dir, "embeddings").select("vec_id", num.sign_bits(F.col("embedding")).alias("p"))
-    right = F.broadcast(v.select(F.col("vec_id").alias("other"), F.col("p").alias("q"))) if v.count() <= sim.BROADCAST_ROWS else v.select(F.col("vec_id").alias("other"), F.col("p").alias("q"))
-    pairs = v.join(right, F.col("vec_id") != F.col("other")).select("vec_id", F.struct(num.hamming(F.col("p"), F.col("q")).cast("int").alias("hamming"), "other").alias("s"))
-    return pairs.groupBy("vec_id").agg(F.min("s").alias("s")).select("vec_id", F.col("s.other").alias("nearest"), F.col("s.hamming").alias("hamming"))
+    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("flat"), F.col("label").alias("entry"), num.sign_bits(F.col("embedding")).alias("p"), F.lit(0).cast("bigint").alias("d"))
+    near = sim.candidates(v.select(F.col("flat").alias("qid"), F.lit(0).alias("w"), "p", "d"), v, other=True, coarse=1)
+    return near.select(F.col("qid").alias("vec_id"), F.col("flat").alias("nearest"), F.col("hd").alias("hamming"))
 
 
 def mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +63,7 @@ def raw_ncc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranks(spark: SparkSession, sf_dir: str, keep=None, top: int = sim.TOP) -> DataFrame:
     v = _variants(spark, sf_dir)
-    return sim.match(_queries(v), v, keep=keep, extra=_other(), top=top)
+    return sim.match(_queries(v), v, keep=keep, other=True, top=top)
 
 
 def identify_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +88,7 @@ def identify_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = lambda lo, hi: F.transform("vec", lambda x, i: F.when((i >= lo) & (i < hi), x).otherwise(F.lit(0.0)))
     v = e.withColumn("p", num.sign_bits(F.col("vec"))).withColumn("d", F.lit(0).cast("bigint"))
     w = e.select(F.col("flat").alias("qid"), F.posexplode(F.array(*[num.sign_bits(half(*x)) for x in ((0, 64), (0, 32), (32, 64))])).alias("w", "p")).withColumn("d", F.lit(0).cast("bigint"))
-    cut = sim.candidates(w, v, extra=_other())
+    cut = sim.candidates(w, v, other=True)
     return cut.groupBy("qid", "w").agg(F.count(F.lit(1)).alias("n"), F.sum("hd").cast("bigint").alias("total"), F.sum(F.col("flat") * (F.col("hd") + 1)).cast("bigint").alias("digest")).select(F.col("qid").alias("vec_id"), F.col("w").cast("int").alias("w"), "n", "total", "digest")
 
 
@@ -336,17 +332,84 @@ def component_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image", "n", *[F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+def scan_decisions_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan_decisions where every purchase starts its user's session anew."""
+    rows = _observations(_t(spark, sf_dir, "events"))
+    return dec.decide(rows.withColumn("reset", F.col("top_id") == "purchase"))
+
+
+def stream_decisions_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan_decisions_reset as a stateful stream."""
+    return _streamed(spark, sf_dir, lambda r: scan.decide_stream(r.withColumn("reset", F.col("top_id") == "purchase")))
+
+
+def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which events start a reading of text, when a user's readings are six hours apart at least."""
+    return _streamed(spark, sf_dir, lambda r: scan.throttle_stream(r, 6 * 3_600_000))
+
+
+def identify_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best label of every vector by the mean of two correlations, those of its two halves."""
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("flat"), F.col("label").alias("entry"), F.col("embedding").alias("vec"))
+    rows = e.withColumns({"p": num.sign_bits(F.col("vec")), "d": F.lit(0).cast("bigint"), "a": F.slice("vec", 1, 32), "b": F.slice("vec", 33, 32)})
+    v = sim.with_units(sim.with_units(rows, rows, "a", "unit"), rows, "b", "unit_bp").drop("vec", "a", "b")
+    out = sim.match(v.select(F.col("flat").alias("qid"), F.lit(0).alias("w"), "p", "d", "unit", "unit_bp"), v, other=True, top=1)
+    return out.select(F.col("qid").alias("vec_id"), F.col("entry").alias("label"), F.round("ncc", 6).alias("ncc"))
+
+
+def catalogue_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes and vectors of a catalogue document, made of the suppliers, written and read again."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/lodestar"
+    path = f"{where.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+    h = lambda n: F.lpad(F.hex(F.col("s_suppkey") * n), 16, "F")
+    vec = F.base64(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.lpad(F.hex((F.col("s_suppkey") + i * 3) % 256), 2, "0")), "")))
+    one = F.struct(F.lower(h(7919)).alias("pHash"), F.lower(h(104729)).alias("dHash"), vec.alias("vec16"), vec.alias("vecBp"))
+    entry = F.struct(F.col("s_suppkey").cast("string").alias("id"), F.lit("g1").alias("grade"), F.lit("One").alias("gradeName"), F.col("s_name").alias("zone"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("zoneId"), F.lit(1.5).alias("x"), F.lit(2.5).alias("y"), F.array(one, one).alias("variants"))
+    rows = _t(spark, sf_dir, "supplier").select("s_suppkey", entry.alias("e")).withColumn("doc", F.col("s_suppkey") % 8)
+    docs = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "e"))).alias("l")).select(F.to_json(F.struct(F.lit(1).alias("version"), F.transform("l", lambda s: s["e"]).alias("entries"), F.lit(None).cast("map<string,map<string,string>>").alias("zoneNames"))).alias("value"))
+    docs.write.text(path)
+    read = doc.entries(spark.read.schema(doc.SCHEMA).json(path))
+    v = doc.variants(read).join(read.select("id", "zone_id"), "id")
+    return v.select("id", "zone_id", "p", "d", F.aggregate("vec", F.lit(0), lambda a, x: a + x).alias("total"), (F.col("flat") % 2).cast("int").alias("k"), F.get("vec_bp", F.lit(5)).alias("fifth"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         hamming_nearest, mean_vector, centered_ncc, raw_ncc, identify_top3, identify_confidence, identify_filtered, identify_windows, zone_match, zone_match_bench,
         normalised_texts, gram_counts, dice_pairs, catalog_view, zone_list, scan_decisions, scan_decisions_zone_required, stream_decisions, stream_ring, frame_ring, asof_zone,
         best_attempt, latest_wins, consecutive_duplicates, document_hashes, otsu_threshold, floor_percentile, rounding, guide_rects, component_filter,
+        scan_decisions_reset, stream_decisions_reset, stream_throttle, identify_fused, catalogue_document,
     )
-}
-
+} | image_queries.QUERIES
+
+#: The decision SQL with sessions that start anew at every purchase.
+_RESET = _OBS.replace("user_id AS session", "{'user': user_id, 'life': sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id)} AS session").replace("FROM events)", "FROM events)")
+_RESET = f"""WITH RECURSIVE {_RESET}, all_ AS (SELECT * FROM o), {_DECIDE % 'true'}"""
+_RESET = _RESET.replace("AS same\n  FROM o WINDOW", "AS same\n  FROM (SELECT * FROM o WHERE top_id <> 'purchase') WINDOW").replace("SELECT session, seq, CASE WHEN by_zone", "SELECT session['user'] AS session, seq, CASE WHEN by_zone", 1)
+_RESET += " UNION ALL SELECT user_id, event_id, NULL, NULL, false FROM events WHERE event_type = 'purchase'"
+_HALVES = """
+v AS (SELECT vec_id, label, {signs} AS p, CAST(embedding[1:32] AS DOUBLE[]) AS a, CAST(embedding[33:64] AS DOUBLE[]) AS b FROM embeddings),
+am AS (SELECT list(m ORDER BY i) AS ma FROM (SELECT i, avg(a[i]) AS m FROM v, (SELECT unnest(range(1, 33)) AS i) GROUP BY i)),
+bm AS (SELECT list(m ORDER BY i) AS mb FROM (SELECT i, avg(b[i]) AS m FROM v, (SELECT unnest(range(1, 33)) AS i) GROUP BY i)),
+s AS (SELECT vec_id, label, p, list_transform(list_zip(a, ma), lambda z: z[1] - z[2]) AS a, list_transform(list_zip(b, mb), lambda z: z[1] - z[2]) AS b FROM v, am, bm),
+c AS (SELECT vec_id, label, p, list_transform(a, lambda x: x - list_avg(a)) AS a, list_transform(b, lambda x: x - list_avg(b)) AS b FROM s),
+cut AS (SELECT q.vec_id AS qid, v.label, hamming(q.p, v.p) AS hd, (list_dot_product(q.a, v.a) / sqrt(list_dot_product(q.a, q.a) * list_dot_product(v.a, v.a)) + list_dot_product(q.b, v.b) / sqrt(list_dot_product(q.b, q.b) * list_dot_product(v.b, v.b))) / 2 AS ncc
+  FROM c q JOIN c v ON q.vec_id <> v.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY hamming(q.p, v.p), v.vec_id) <= 48)
+SELECT qid AS vec_id, label, round(ncc, 6) AS ncc FROM cut QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ncc DESC, hd, label) = 1
+""".replace("{signs}", _SIGNS)
 _LATIN_NORMAL = "regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^a-z]', '', 'g')"
-SQL = {
+SQL = image_queries.SQL | {
+    "scan_decisions_reset": _RESET,
+    "stream_decisions_reset": _RESET,
+    "stream_throttle": f"""WITH RECURSIVE {_OBS}, n AS (SELECT session, seq, ms, row_number() OVER (PARTITION BY session ORDER BY ms, seq) AS i FROM o),
+        go(session, seq, i, last, started) AS (SELECT session, seq, i, ms, true FROM n WHERE i = 1 UNION ALL
+          SELECT n.session, n.seq, n.i, CASE WHEN n.ms - go.last >= 21600000 THEN n.ms ELSE go.last END, n.ms - go.last >= 21600000 FROM go JOIN n ON n.session = go.session AND n.i = go.i + 1)
+        SELECT session, seq, started FROM go""",
+    "identify_fused": f"WITH {_HALVES}",
+    "catalogue_document": """SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS zone_id, CAST(('0x' || lpad(printf('%X', s_suppkey * 7919), 16, 'F'))::UBIGINT::HUGEINT - 18446744073709551616 AS BIGINT) AS p,
+        CAST(('0x' || lpad(printf('%X', s_suppkey * 104729), 16, 'F'))::UBIGINT::HUGEINT - 18446744073709551616 AS BIGINT) AS d, CAST(list_sum(list_transform(range(0, 256), lambda i: (s_suppkey + i * 3) % 256)) AS INTEGER) AS total,
+        CAST(k AS INTEGER) AS k, CAST((s_suppkey + 15) % 256 AS INTEGER) AS fifth FROM supplier, (SELECT unnest([0, 1]) AS k)""",
     "hamming_nearest": f"WITH s AS (SELECT vec_id, {_SIGNS} AS p FROM embeddings) SELECT a.vec_id, b.vec_id AS nearest, CAST(hamming(a.p, b.p) AS INTEGER) AS hamming FROM s a JOIN s b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY hamming(a.p, b.p), b.vec_id) = 1",
     "mean_vector": "SELECT CAST(pos AS INTEGER) AS pos, round(avg(x), 6) AS mean FROM (SELECT unnest(range(0, 64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY pos",
     "centered_ncc": "WITH " + _MATCH % "" + " SELECT a.vec_id, round(list_dot_product(a.v, b.v), 6) AS ncc FROM u a JOIN u b ON b.vec_id = a.vec_id + 1",

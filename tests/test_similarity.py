@@ -53,6 +53,13 @@ def test_match_equals_sequential_form(small, limit):
     assert got == want
 
 
+def test_catalogue_in_blocks(small, monkeypatch):
+    """Several blocks give the same cut as one."""
+    whole = sorted(map(tuple, sim.candidates(small[3], small[2], coarse=9).select("qid", "w", "flat", "hd", F.round("ncc", 9)).collect()))
+    monkeypatch.setattr(sim, "BLOCK_BYTES", 2000)
+    assert sorted(map(tuple, sim.candidates(small[3], small[2], coarse=9).select("qid", "w", "flat", "hd", F.round("ncc", 9)).collect())) == whole
+
+
 def test_filter_that_keeps_nothing_is_an_error(small):
     with pytest.raises(ValueError):
         sim.match(small[3], small[2], keep=F.col("entry") < 0)
