@@ -94,8 +94,8 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     """
     docs, found = _identified(docs.select("doc_id", "text")), written(phrases(benchmark, window), "phrases")
     starts = _candidates(docs, found, exact=True).groupBy(*_DOC).agg(F.collect_set(F.struct("start", "n")).alias("c"))
-    some = docs.select(*_DOC, "text").join(sized_broadcast(written(starts, "lists")), _DOC).groupBy(*_DOC).agg(F.first("text").alias("text"), F.first("c").alias("c"))
-    read = some.select(*_DOC, tokens(F.col("text")).alias("w"), F.explode("c").alias("c"))
+    some = docs.select(*_DOC, "text").join(sized_broadcast(written(starts, "lists")), _DOC).select(*_DOC, tokens(F.col("text")).alias("w"), "c")
+    read = some.groupBy(*_DOC).agg(F.first("w").alias("w"), F.first("c").alias("c")).select(*_DOC, "w", F.explode("c").alias("c"))  # words before starts: else each start splits the text again
     said = read.select(*_DOC, "c.start", "c.n", F.array_join(F.slice("w", F.col("c.start") + 1, F.col("c.n")), " ").alias("phrase"))
     return written(said.join(sized_broadcast(found.select("phrase", F.col("n").alias("size"), "items")), "phrase").where("n = size").select(*_DOC, "start", "n", "items"), "hits")
 
