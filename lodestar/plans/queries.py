@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lodestar.functions import numeric as num
 from lodestar.functions import text as txt
@@ -112,7 +111,7 @@ _TOP3 = "SELECT qid AS vec_id, CAST(rank AS INTEGER) AS rank, label, round(ncc,
 
 def _noisy_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     names = _t(spark, sf_dir, "part").select("p_name").distinct()
-    zones = names.select(F.col("p_name").alias("zone"), F.row_number().over(W.orderBy("p_name")).alias("ord"))
+    zones = names.select(F.col("p_name").alias("zone"), F.col("p_name").alias("ord"))
     cut = F.transform(F.sequence(F.lit(1), F.length("p_name")), lambda i: F.concat(F.substring("p_name", F.lit(1), i - 1), F.substring("p_name", i + 1, F.length("p_name"))))
     return names.select(F.explode(cut).alias("text")), zones
 
