@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import discard, written
 
-#: Links that a task takes together before the joins.
+#: Links that a task takes together before the joins, and about how many it is given.
 TOGETHER = 1 << 18
+_KINDS = "lo long, hi long"
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -53,6 +54,15 @@ def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _packed(links: DataFrame) -> DataFrame:
+    """links of a written table, which is deleted, written with shorter paths: tasks take about TOGETHER links each, however
+    many files the table has, so that the more links meet in a task the fewer steps of joins are left."""
+    parts = max(1, -(-links.count() // TOGETHER))
+    out = written(links.coalesce(parts).mapInArrow(_shortened, _KINDS), "links")
+    discard(links)
+    return out
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component), written: component is the smallest node reachable by links; nodes without links are absent. Nodes are longs.
 
@@ -62,7 +72,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Null ends and self-links are ignored. No link table reaches the driver, only whether one is not yet made of stars.
     """
     lo, hi = F.least(a, b).cast("long").alias("lo"), F.greatest(a, b).cast("long").alias("hi")
-    edges = written(links.where(f"`{a}` is not null and `{b}` is not null and `{a}` <> `{b}`").select(lo, hi).mapInArrow(_shortened, "lo long, hi long"), "links")
+    some = links.where(f"`{a}` is not null and `{b}` is not null and `{a}` <> `{b}`").select(lo, hi)
+    edges = _packed(written(some.mapInArrow(_shortened, _KINDS), "links"))
     while True:
         ends = edges.select(F.col("hi").alias("n"), F.col("lo").alias("up")).union(edges.select(F.col("lo").alias("n"), F.lit(None).cast("long")))
         seen = ends.groupBy("n").agg(F.min("up").alias("l"), F.max("up").alias("m"), F.max(F.col("up").isNull()).alias("top"))
@@ -74,7 +85,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: every node's smaller neighbours go to the smallest of them
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(lowest, "hi").select(F.col("m").alias("lo"), F.explode(F.array("hi", "lo")).alias("hi")).where("lo < hi")
-        before, edges = edges, written(small.mapInArrow(_shortened, "lo long, hi long"), "links")
+        before, edges = edges, _packed(written(small.mapInArrow(_shortened, _KINDS), "links"))
         discard(before)
     found = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(edges.select("lo", "lo")).distinct()
     out = written(found, "components")
