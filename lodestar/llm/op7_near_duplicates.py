@@ -168,15 +168,18 @@ def _bounds(named: DataFrame, copies: DataFrame, docs: DataFrame) -> tuple[DataF
 def _probed(few: DataFrame, every: DataFrame, units: DataFrame, useful: DataFrame) -> DataFrame:
     """(x, y) in different components that may be similar. few: (x, cx, nx, ux); every: (y, cy, ny, uy).
 
-    If y shares t of the ux useful shingles of x, it has one of any ux - t + 1 of them, so the rarest ones are looked up.
+    The useful shingles of every node are ranked from the rarest on, in one order for all. If x and y share t of them, the
+    rarest shared one is among the first ux - t + 1 of x and the first uy - t + 1 of y, so only those are looked up.
+    A pair of which both are among the few is found once.
     """
-    rank = F.row_number().over(W.partitionBy("x").orderBy("df", "u"))
-    mine = few.join(units.withColumnRenamed("node", "x"), "x").join(useful, "u").withColumn("rank", rank)
-    mine = mine.where(F.col("rank") <= F.col("ux") - F.ceil(SIMILAR * F.col("nx") - 1e-6) + 1)
-    theirs = every.join(units.withColumnRenamed("node", "y"), "y").withColumnRenamed("u", "u2")
+    rank = F.row_number().over(W.partitionBy("y").orderBy("df", "u"))
+    ranked = every.join(units.withColumnRenamed("node", "y"), "y").join(useful, "u").withColumn("ry", rank)
+    rare = written(ranked.where(F.col("ry") <= F.col("uy") - F.ceil(SIMILAR * F.col("ny") - 1e-6) + 1), "rare")
+    mine = few.join(rare.select(F.col("y").alias("x"), "u", F.col("ry").alias("rx")), "x")
+    theirs = rare.join(few.select(F.col("x").alias("y"), F.lit(True).alias("both")), "y", "left").withColumnRenamed("u", "u2").drop("df")
     shared = F.ceil(SIMILAR / (1 + SIMILAR) * (F.col("nx") + F.col("ny")) - 1e-6)
-    near = (F.col("u") == F.col("u2")) & (F.col("cx") != F.col("cy")) & (F.col("rank") <= F.col("ux") - shared + 1) & (F.col("uy") >= shared)
-    return mine.join(theirs, near).select("x", "y")
+    near = (F.col("u") == F.col("u2")) & (F.col("cx") != F.col("cy")) & (F.least(F.col("ux") - F.col("rx"), F.col("uy") - F.col("ry")) + 1 >= shared)
+    return mine.join(theirs, near & (F.col("both").isNull() | (F.col("x") < F.col("y")))).select("x", "y")
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
