@@ -433,6 +433,24 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert len({c1 for _, _, c1 in names}) == 2 and {frozenset(i for i, _, x in names if x == c1) for _, _, c1 in names} == {frozenset({1, 2, 4}), frozenset({1, 3, 8})}
 
 
+def test_probes_lose_no_similar_pair(spark):
+    """Every pair of a probed node and a node of another component that shares enough shingles is looked up, and pairs of two probed nodes once."""
+    rng = random.Random(5)
+    base = rng.sample(range(1000), 40)
+    bags = [set(rng.sample(base, 40 - rng.randint(0, 8)) + rng.sample(range(1000, 1100), rng.randint(0, 6))) for _ in range(40)]
+    own = {x: x % 4 for x in range(40)}
+    df = Counter(u for b in bags for u in b)
+    useful = {u for u in df if len({own[x] for x in range(40) if u in bags[x]}) > 1}
+    nodes = [(x, own[x], len(bags[x]), len(bags[x] & useful)) for x in range(40)]
+    few = spark.createDataFrame([r for r in nodes if r[1]], "x long, cx long, nx long, ux long")
+    every = spark.createDataFrame(nodes, "y long, cy long, ny long, uy long")
+    units = spark.createDataFrame([(x, u) for x, b in enumerate(bags) for u in b], "node long, u long")
+    found = {(r.x, r.y) for r in op7_near_duplicates._probed(few, every, units, spark.createDataFrame([(u, df[u]) for u in useful], "u long, df long")).collect()}
+    similar = {(x, y) for x, y in itertools.combinations(range(40), 2) if own[x] != own[y] and len(bags[x] & bags[y]) >= 0.8 * len(bags[x] | bags[y])}
+    assert similar and similar <= {tuple(sorted(p)) for p in found}
+    assert all(own[x] != own[y] and own[x] and (not own[y] or x < y) for x, y in found)
+
+
 def test_bag_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     keys = rng.integers(1, 1 << 62, 60).astype(np.uint64)
