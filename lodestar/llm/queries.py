@@ -15,5 +15,8 @@ QUERIES = {
     "op8_chat_rotation": op8_chat.op8_chat_rotation,
     "op9_mix": op9_mix.op9_mix,
     "op10_embeddings": op10_embeddings.op10_embeddings,
+    "op11_codes": op11_codes.op11_codes,
+    "op12_periods": op12_periods.op12_periods,
+    "op13_token_counts": op13_tokens.op13_token_counts,
 }
-SQL = {"op10_embeddings": op10_embeddings.SQL, "op2_decontaminate": op2_decontaminate.SQL, "op4_suffixes": op4_suffixes.SQL, "op6_substrings": op6_substrings.SQL, "op8_chat_rotation": op8_chat.SQL, "op9_mix": op9_mix.SQL}
+SQL = {"op10_embeddings": op10_embeddings.SQL, "op11_codes": op11_codes.SQL, "op2_decontaminate": op2_decontaminate.SQL, "op4_suffixes": op4_suffixes.SQL, "op6_substrings": op6_substrings.SQL, "op8_chat_rotation": op8_chat.SQL, "op9_mix": op9_mix.SQL}
