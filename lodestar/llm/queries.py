@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import op1_html, op10_embeddings, op2_decontaminate, op3_toxicity, op4_suffixes, op5_quality, op6_substrings, op7_near_duplicates, op8_chat, op9_mix
+from lodestar.llm import op1_html, op10_embeddings, op11_codes, op12_periods, op13_tokens, op2_decontaminate, op3_toxicity, op4_suffixes, op5_quality, op6_substrings, op7_near_duplicates, op8_chat, op9_mix
 
 QUERIES = {
     "op1_html": op1_html.op1_html,
