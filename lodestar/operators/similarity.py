@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,8 +14,8 @@ from lodestar.functions.numeric import clamp
 
 #: Rows that survive the coarse cut of a window, results of a query, and the confidence that counts.
 COARSE, TOP, CONFIDENT = 48, 3, 0.6
-#: A catalogue is sent to the tasks in blocks of this size at most.
-BLOCK_BYTES = 64 << 20
+#: Queries and catalogue meet in blocks of this size at most; copies of a catalogue take this much at most if its size allows.
+BLOCK_BYTES, COPIES_BYTES = 64 << 20, 1 << 30
 FLAT = 1e-9
 
 
@@ -46,83 +44,86 @@ def with_units(rows: DataFrame, base: DataFrame, vector: str = "vec", out: str =
     return shifted.withColumn(out, unit_).drop("_s", "_a", "_c", "_n", "mean")
 
 
-def _blocks(variants: DataFrame, keep: Column | None, units: list[str]) -> list[Broadcast]:
-    """The variants the predicate keeps, in order of flat, cut into blocks of BLOCK_BYTES at most and sent to all tasks.
-
-    An empty catalogue or a predicate that keeps nothing is an error.
-    """
-    kept = variants if keep is None else variants.where(keep)
-    rows = kept.select("flat", "entry", "p", "d", *units)
-    size = 32 + 8 * sum((F.size(F.col(c)) for c in units), F.lit(0))
-    n, total = rows.agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
-    if not n:
-        raise ValueError("no catalogue entry is left to match")
-    parts = -(-total // BLOCK_BYTES)
-    edges = [None, *sorted(set(rows.approxQuantile("flat", [i / parts for i in range(1, parts)], 0.1 / parts))), None] if parts > 1 else [None, None]
-    out = []
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        part = rows if lo is None else rows.where(F.col("flat") >= lo)
-        block = (part if hi is None else part.where(F.col("flat") < hi)).toArrow().sort_by("flat").combine_chunks()
-        hashes = [block.column(c).to_numpy().view(np.uint64) for c in ("p", "d")]
-        out.append(rows.sparkSession.sparkContext.broadcast((block.column("flat").to_numpy(), block.column("entry").combine_chunks(), hashes, [_stacked(block.column(c).combine_chunks(), block.num_rows) for c in units])))
-    return out
-
-
 def _stacked(column: pa.Array, n: int) -> np.ndarray:
     """A list column as a matrix of n rows."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
 
 
-def _nearest(block: Broadcast, units: list[str], other: bool, coarse: int) -> Callable:
-    """The coarse cut of each query's windows within a block of the catalogue, with correlations."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, entry, hashes, vectors = block.value
-        for batch in batches:
-            sets, ids = batch.column("ws"), batch.column("qid")
-            if not len(sets):
-                continue
-            at, fields = sets.offsets.to_numpy() - sets.offsets[0].as_py(), sets.flatten()
-            w = fields.field("w")
-            own = [fields.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("p", "d")]
-            mine = [_stacked(fields.field(c), len(fields)) for c in units]
-            picks, of, of_w, hds, keys = [], [], [], [], []
-            for q in range(len(batch)):
-                some = np.flatnonzero(flat != ids[q].as_py()) if other else np.arange(len(flat))
-                past: list[np.ndarray] = []
-                for i in range(at[q], at[q + 1]):
-                    past.append(sum(np.bitwise_count(v[some] ^ o[i]).astype(np.int32) for v, o in zip(hashes, own, strict=True)))
-                    h = past[-1]
-                    near = np.flatnonzero(h <= np.partition(h, coarse - 1)[coarse - 1]) if len(h) > coarse else np.arange(len(h))
-                    near = near[np.lexsort((near, *(x[near] for x in past)))[:coarse]]
-                    picks.append(some[near])
-                    of.append(np.full(len(near), q))
-                    of_w.append(np.full(len(near), i))
-                    hds.append(h[near])
-                    keys.append([x[near] for x in reversed(past)])
-            pick, row, win = np.concatenate(picks), np.concatenate(of), np.concatenate(of_w)
-            ncc = sum(np.einsum("ij,ij->i", m[win], v[pick]) for m, v in zip(mine, vectors, strict=True)) / len(units) if units else np.zeros(len(pick))
-            lists = pa.array([k for key in keys for k in np.stack(key, 1)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), w.take(pa.array(win)), pa.array(flat[pick]), entry.take(pa.array(pick)), pa.array(np.concatenate(hds)), lists, pa.array(ncc)], ["qid", "w", "flat", "entry", "hd", "key", "ncc"])
+def _bytes(rows: DataFrame, units: list[str]) -> Column:
+    """About how many bytes a row of hashes and unit vectors takes."""
+    return (32 + 8 * sum((F.size(F.col(c)) for c in units), F.lit(0))).cast("long")
+
+
+def _nearest(units: list[str], other: bool, coarse: int) -> Callable:
+    """The coarse cut of the windows of one slice of queries within one block of the catalogue, with correlations."""
+
+    def run(asked: pa.Table, block: pa.Table) -> pa.Table:
+        block, asked = block.sort_by("flat").combine_chunks(), asked.combine_chunks()
+        flat, entry = block.column("flat").to_numpy(), block.column("entry").combine_chunks()
+        hashes = [block.column(c).to_numpy().view(np.uint64) for c in ("p", "d")]
+        sets, ids = asked.column("ws").combine_chunks(), asked.column("qid").combine_chunks()
+        at, fields = sets.offsets.to_numpy() - (sets.offsets[0].as_py() if len(sets) else 0), sets.flatten()
+        w = fields.field("w")
+        own = [fields.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("p", "d")]
+        picks, of, of_w, hds, keys = [], [], [], [], []
+        for q in range(len(asked)):
+            some = np.flatnonzero(flat != ids[q].as_py()) if other else np.arange(len(flat))
+            past: list[np.ndarray] = []
+            for i in range(at[q], at[q + 1]):
+                past.append(sum(np.bitwise_count(v[some] ^ o[i]).astype(np.int32) for v, o in zip(hashes, own, strict=True)))
+                h = past[-1]
+                near = np.flatnonzero(h <= np.partition(h, coarse - 1)[coarse - 1]) if len(h) > coarse else np.arange(len(h))
+                near = near[np.lexsort((near, *(x[near] for x in past)))[:coarse]]
+                picks.append(some[near])
+                of.append(np.full(len(near), q))
+                of_w.append(np.full(len(near), i))
+                hds.append(h[near])
+                keys.append([x[near] for x in reversed(past)])
+        pick, row, win = (np.concatenate([np.empty(0, np.int64), *x]) for x in (picks, of, of_w))
+        ncc = np.zeros(len(pick))
+        if units and len(pick):
+            mine, theirs = ([_stacked(x.field(c) if x is fields else x.column(c).combine_chunks(), len(x)) for c in units] for x in (fields, block))
+            ncc = sum(np.einsum("ij,ij->i", m[win], v[pick]) for m, v in zip(mine, theirs, strict=True)) / len(units)
+        lists = pa.array([k for key in keys for k in np.stack(key, 1)], pa.list_(pa.int32()))
+        columns = [ids.take(pa.array(row)), w.take(pa.array(win)), pa.array(flat[pick]), entry.take(pa.array(pick)), pa.array(np.concatenate([np.empty(0, np.int32), *hds])), lists, pa.array(ncc)]
+        return pa.Table.from_arrays(columns, ["qid", "w", "flat", "entry", "hd", "key", "ncc"])
 
     return run
 
 
+def _shares(windows: DataFrame, rows: DataFrame, units: list[str]) -> tuple[int, int]:
+    """(slices, blocks) that queries and catalogue are dealt into, from their counts and sizes: BLOCK_BYTES each at most, and
+    otherwise as many slices as give every task of a shuffle something to do, while all copies of the catalogue take COPIES_BYTES."""
+    n, total = rows.agg(F.count(F.lit(1)), F.sum(_bytes(rows, units))).first()
+    if not n:
+        raise ValueError("no catalogue entry is left to match")
+    queries, asked = windows.agg(F.approx_count_distinct("qid"), F.sum(_bytes(windows, units))).first()
+    blocks, tasks = -(-total // BLOCK_BYTES), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(-(-tasks // blocks), COPIES_BYTES // total, queries)
+    return max(-(-(asked or 0) // BLOCK_BYTES), wanted, 1), blocks
+
+
 def candidates(windows: DataFrame, variants: DataFrame, *, keep: Column | None = None, other: bool = False, coarse: int = COARSE) -> DataFrame:
     """(qid, w, flat, entry, hd, ncc): the coarse cut. windows: (qid, w, p, d, units); variants: (flat, entry, p, d, units).
 
     Each window keeps the `coarse` variants of least distance; ties go by the distances of the windows before it, latest
-    first, then by flat. keep filters variants before the cut; other leaves out the variant whose flat is the qid. ncc is
-    the mean correlation by the unit vectors, unit and unit_bp, that both sides have.
-    Every block of the catalogue meets every batch of queries once; of several blocks the cuts are ranked together.
+    first, then by flat. keep filters variants before the cut, and one that leaves none is an error; other leaves out the
+    variant whose flat is the qid. ncc is the mean correlation by the unit vectors, unit and unit_bp, that both sides have.
+    Queries are dealt into slices and the catalogue into blocks, and each slice meets each block in one task: neither
+    side passes through the driver, and no task holds more than a slice and a block. Of several blocks the cuts are
+    ranked together.
     """
     units = [c for c in ("unit", "unit_bp") if c in variants.columns and c in windows.columns]
-    blocks = _blocks(variants, keep, units)
+    rows = (variants if keep is None else variants.where(keep)).select("flat", "entry", "p", "d", *units)
+    slices, blocks = _shares(windows, rows, units)
     sets = windows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("w", "p", "d", *units))).alias("ws"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = sets.withColumn("slice", F.pmod(F.xxhash64("qid"), F.lit(slices))).withColumn("block", each(blocks))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("flat"), F.lit(blocks))).withColumn("slice", each(slices))
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     kinds = f"qid {kind(windows, 'qid')}, w {kind(windows, 'w')}, flat long, entry {kind(variants, 'entry')}, hd int, key array<int>, ncc double"
-    cut = reduce(DataFrame.union, [sets.mapInArrow(_nearest(b, units, other, coarse), kinds) for b in blocks])
-    if len(blocks) > 1:
+    cut = asked.groupBy("slice", "block").cogroup(dealt.groupBy("slice", "block")).applyInArrow(_nearest(units, other, coarse), kinds)
+    if blocks > 1:
         order = W.partitionBy("qid", "w").orderBy("key", "flat")
         cut = cut.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= coarse).drop("rn")
     return cut.drop("key")

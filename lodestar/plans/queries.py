@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +9,13 @@ from lodestar.functions import numeric as num
 from lodestar.functions import text as txt
 from lodestar.operators import catalog_view as cat
 from lodestar.operators import decisions as dec
+from lodestar.operators import hash_index
 from lodestar.operators import histogram as hist
 from lodestar.operators import similarity as sim
 from lodestar.operators import zones as zon
 from lodestar.plans import image_queries
 from lodestar.sources import catalog as doc
+from lodestar.sources.shared import new_path
 from lodestar.streaming import scan
 
 
@@ -91,6 +91,27 @@ def identify_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.groupBy("qid", "w").agg(F.count(F.lit(1)).alias("n"), F.sum("hd").cast("bigint").alias("total"), F.sum(F.col("flat") * (F.col("hd") + 1)).cast("bigint").alias("digest")).select(F.col("qid").alias("vec_id"), F.col("w").cast("int").alias("w"), "n", "total", "digest")
 
 
+def _stored(spark: SparkSession, variants: DataFrame) -> hash_index.HashIndex:
+    """The variants as a stored catalogue whose zones are the labels' remainders by 5; only sign bits vary, so only they are indexed."""
+    path = new_path(spark, "variants")
+    hash_index.write(variants.withColumn("zone_key", F.concat(F.lit("z"), F.col("entry") % 5)), path, "zone_key", ("p",))
+    return hash_index.HashIndex(spark, path, "zone_key", ("p",))
+
+
+def identify_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The match within one zone of a catalogue that is stored by zone: only that zone's folder is read."""
+    v = _variants(spark, sf_dir)
+    ranks = sim.match(_queries(v), _stored(spark, v).rows("z2"), other=True)
+    return ranks.select(F.col("qid").alias("vec_id"), F.col("rank").cast("int").alias("rank"), F.col("entry").alias("label"), F.round("ncc", 6).alias("ncc"), F.col("hamming").cast("int").alias("hamming"))
+
+
+def hamming_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of vectors whose sign bits differ in 17 places at most, from the buckets of the hashes' bytes."""
+    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("flat"), F.col("label").alias("entry"), num.sign_bits(F.col("embedding")).alias("p"), F.lit(0).cast("bigint").alias("d"))
+    near = _stored(spark, v).within(v.select(F.col("flat").alias("vec_id"), "p", "d"), 17)
+    return near.where("vec_id <> flat").select("vec_id", F.col("flat").alias("other"), F.col("hd").cast("int").alias("hamming"))
+
+
 _SIGNS = "array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')"
 _MATCH = f"""
 m AS (SELECT pos, avg(x) AS mean FROM (SELECT unnest(range(1, 65)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY pos),
@@ -218,8 +239,7 @@ def scan_decisions_zone_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str, make) -> DataFrame:
     """Run a query over the events file as a stream to its end and read its sink."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/lodestar"
-    base = f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     schema = _t(spark, sf_dir, "events").schema
     rows = make(_observations(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")))
     rows.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
@@ -358,8 +378,7 @@ def identify_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalogue_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes and vectors of a catalogue document, made of the suppliers, written and read again."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/lodestar"
-    path = f"{where.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+    path = new_path(spark, "catalogue")
     h = lambda n: F.lpad(F.hex(F.col("s_suppkey") * n), 16, "F")
     vec = F.base64(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.lpad(F.hex((F.col("s_suppkey") + i * 3) % 256), 2, "0")), "")))
     one = F.struct(F.lower(h(7919)).alias("pHash"), F.lower(h(104729)).alias("dHash"), vec.alias("vec16"), vec.alias("vecBp"))
@@ -378,7 +397,7 @@ QUERIES = {
         hamming_nearest, mean_vector, centered_ncc, raw_ncc, identify_top3, identify_confidence, identify_filtered, identify_windows, zone_match, zone_match_bench,
         normalised_texts, gram_counts, dice_pairs, catalog_view, zone_list, scan_decisions, scan_decisions_zone_required, stream_decisions, stream_ring, frame_ring, asof_zone,
         best_attempt, latest_wins, consecutive_duplicates, document_hashes, otsu_threshold, floor_percentile, rounding, guide_rects, component_filter,
-        scan_decisions_reset, stream_decisions_reset, stream_throttle, identify_fused, catalogue_document,
+        scan_decisions_reset, stream_decisions_reset, stream_throttle, identify_fused, catalogue_document, identify_zone, hamming_within,
     )
 } | image_queries.QUERIES
 
@@ -414,6 +433,8 @@ SQL = image_queries.SQL | {
     "centered_ncc": "WITH " + _MATCH % "" + " SELECT a.vec_id, round(list_dot_product(a.v, b.v), 6) AS ncc FROM u a JOIN u b ON b.vec_id = a.vec_id + 1",
     "raw_ncc": "WITH c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT vec_id, list_transform(e, lambda x: x - list_avg(e)) AS v FROM c) SELECT a.vec_id, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS ncc FROM d a JOIN d b ON b.vec_id = a.vec_id + 1",
     "identify_top3": "WITH " + _MATCH % "" + _TOP3,
+    "identify_zone": "WITH " + _MATCH % "AND v.label % 5 = 2" + _TOP3,
+    "hamming_within": f"WITH s AS (SELECT vec_id, {_SIGNS} AS p FROM embeddings) SELECT a.vec_id, b.vec_id AS other, CAST(hamming(a.p, b.p) AS INTEGER) AS hamming FROM s a JOIN s b ON a.vec_id <> b.vec_id WHERE hamming(a.p, b.p) <= 17",
     "identify_filtered": "WITH " + _MATCH % "AND v.label < 5" + _TOP3,
     "identify_confidence": "WITH " + _MATCH % "" + """, k AS (SELECT qid, label, sqrt(greatest(0, least(1, (ncc - 0.45) / 0.15)) * greatest(0, least(1, (CASE WHEN next IS NULL THEN 1.0 ELSE ncc - next END - 0.02) / 0.04))) AS confidence FROM ranks WHERE rank = 1)
         SELECT qid AS vec_id, label, round(confidence, 5) AS confidence, CAST(floor(confidence * 100 + 0.5) AS INTEGER) AS pct, confidence >= 0.6 AS is_confident FROM k""",
