@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodestar.functions.numeric import clamp, floor_percentile
+from lodestar.sources.shared import stored
 
 BINS = 64
+#: Groups whose ranges are broadcast, at most; each takes a few numbers.
+BROADCAST_GROUPS = 100_000
 
 
 def otsu(rows: DataFrame, group: str, value: str, low: float | None = 0.3, high: float | None = 0.8) -> DataFrame:
@@ -27,11 +30,51 @@ def otsu(rows: DataFrame, group: str, value: str, low: float | None = 0.3, high:
     return best.select(group, (cut if low is None else clamp(cut, low, high)).alias("threshold"))
 
 
-def percentile(rows: DataFrame, group: str, value: str, p: float) -> DataFrame:
-    """(group, value): the element at floor(n * p) of each group in order, found by rank so that no group is collected."""
-    order = W.partitionBy(group).orderBy(value)
-    x = rows.where(F.col(value).isNotNull()).select(group, value, F.row_number().over(order).alias("rn"), F.count(F.lit(1)).over(W.partitionBy(group)).alias("n"))
-    return x.where(F.col("rn") - 1 == F.least(F.col("n") - 1, F.floor(F.col("n") * p))).select(group, F.col(value).alias("percentile"))
+def _range_holding(parts: Column, rank: Column) -> Column:
+    """Of counted ranges (n, low, high, ...) in order, the one that holds the element of a rank, and the rank within it."""
+    none = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at"), F.lit(0).cast("long").alias("rank"), F.lit(0).alias("i"))
+
+    def step(s: Column, x: Column) -> Column:
+        here = s["at"].isNull() & (s["seen"] + x["n"] > rank)
+        return F.struct((s["seen"] + x["n"]).alias("seen"), F.when(here, s["i"]).otherwise(s["at"]).alias("at"), F.when(here, rank - s["seen"]).otherwise(s["rank"]).alias("rank"), (s["i"] + 1).alias("i"))
+
+    return F.aggregate(parts, none, step)
+
+
+def percentile(rows: DataFrame, group: str, value: str, p: float, ranges: int = 1024, few: int = 4096) -> DataFrame:
+    """(group, percentile): the element at floor(n * p), at most the last, of each group's values in order, nulls left out.
+
+    Found by counts alone: each pass counts a group's values in `ranges` ranges of equal width, before the shuffle, and
+    goes on in the range that holds the rank; passes end when no range that is left holds more than `few` values or can
+    be narrowed. Only of those ranges are the distinct values and their counts brought together. No group is sorted,
+    whatever its size. Null is a group; NaN counts as the largest value.
+    """
+    data = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    state = data.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    state = stored(state.select("g", "n", "low", "high", F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p)).cast("long")).alias("rank")), "percentile")
+    most = 1.7e308
+    place = lambda c: F.greatest(F.least(F.nanvl(F.col(c).cast("double"), F.lit(most)), F.lit(most)), F.lit(-most)) / 2
+    width = place("high") - place("low")
+
+    def held(state: DataFrame, groups: int) -> DataFrame:
+        """The values of the ranges that are left."""
+        left = (F.broadcast(state) if groups <= BROADCAST_GROUPS else state).withColumnRenamed("g", "_g")
+        return data.join(left, F.col("g").eqNullSafe(F.col("_g")) & (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
+
+    while True:
+        wide = (F.col("n") > few) & (width > 0)  # a pass narrows each of these: their least and greatest values part
+        groups, open_ = state.agg(F.count(F.lit(1)), F.count_if(wide)).first()
+        if not open_:
+            break
+        part = F.least(F.floor((place("v") - place("low")) / width * ranges), F.lit(ranges - 1)).cast("int")
+        counts = held(state.where(wide), open_).groupBy("g", "rank", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        lists = counts.groupBy("g", "rank").agg(F.array_sort(F.collect_list(F.struct("part", "n", "low", "high"))).alias("parts"))
+        found = lists.withColumn("f", _range_holding(F.col("parts"), F.col("rank"))).withColumn("x", F.get("parts", F.col("f.at")))
+        state = stored(state.where(~wide).unionByName(found.select("g", "x.n", "x.low", "x.high", F.col("f.rank").alias("rank"))), "percentile")
+    last = held(state.where("low <> high"), groups).groupBy("g", "rank", "v").agg(F.count(F.lit(1)).alias("n"))
+    lists = last.groupBy("g", "rank").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("parts"))
+    picked = lists.select("g", F.get("parts", _range_holding(F.col("parts"), F.col("rank"))["at"])["v"].alias("percentile"))
+    return state.where("low = high").select("g", F.col("low").alias("percentile")).unionByName(picked).withColumnRenamed("g", group)
 
 
 def glyphs(shapes: DataFrame, strip_width: str = "strip_w", strip_height: str = "strip_h") -> DataFrame:

@@ -149,17 +149,6 @@ def match_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", (F.col("entry") % 5).cast("int").alias("zone"), (F.col("entry") == F.col("id").cast("long")).alias("itself"))
 
 
-def zone_match_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recognised names in four scripts against their zone lists: exact, misread, ambiguous and foreign ones."""
-    out = None
-    for script, zones in ZONES.items():
-        z = spark.createDataFrame([(n, i) for i, n in enumerate(zones)], "zone string, ord int")
-        texts = spark.createDataFrame([(t,) for s, t, _ in READINGS if s == script], "text string")
-        found = zon.match_zones(texts, z, script).select(F.lit(script).alias("script"), "text", "zone")
-        out = found if out is None else out.union(found)
-    return out
-
-
 def zone_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zone names, as read, with the keys of the zones they name."""
     letters = F.translate(F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), "0123456789", "abcdefghij")
@@ -202,25 +191,11 @@ def read_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     return part.select("p_partkey", src.within(F.col("p_name"), F.col("p_partkey") * 7 % 8000).alias("text"))
 
-
-#: Zone names and readings of them, which must agree with the specification, with the zone each one is.
-ZONES = {
-    "ja": ["高地ドラヴァニア", "低地ドラヴァニア", "ドラヴァニア雲海", "クルザス西部高地", "クルザス中央高地", "アバラシア雲海", "ギラバニア湖畔地帯"],
-    "ko": ["검은장막 숲 중부삼림", "검은장막 숲 동부삼림", "검은장막 숲 남부삼림", "얀샤"],
-    "zh": ["黑衣森林中央林区", "黑衣森林东部林区", "黑衣森林南部林区", "延夏", "迷津", "中萨纳兰", "西萨纳兰", "东萨纳兰", "北萨纳兰", "南萨纳兰"],
-    "latin": ["Eastern Thanalan", "Western Thanalan", "Southern Thanalan", "Forêt centrale", "Forêt du sud", "Forêt de l'est"],
-}
-READINGS = (
-    ("ja", "ドラ ヴァ ニア 青海", "ドラヴァニア雲海"), ("ja", "クル ザス 西部 高地", "クルザス西部高地"), ("ja", "ウタ クン 88 癌 攻守", None), ("ja", "", None), ("ja", "アバラシア雲海", "アバラシア雲海"),
-    ("latin", "Eastem Thanalan", "Eastern Thanalan"), ("latin", "Foret centrale", "Forêt centrale"), ("ko", "검은장막 숲 중부삼림", "검은장막 숲 중부삼림"), ("ko", "얀샤", "얀샤"),
-    ("zh", "黑衣森林 中央林区", "黑衣森林中央林区"), ("zh", "延夏", "延夏"), ("zh", "迷津", "迷津"), ("zh", "中辽纳兰", "中萨纳兰"), ("zh", "東萨纳兰", None),
-)
-
 QUERIES = {
     f.__name__: f
     for f in (
         image_resized, image_hashes, image_vectors, image_windows, image_shapes, image_largest_shapes, image_otsu, image_ink, image_quads, image_rectified, image_average, image_preview,
-        match_crops, match_framed, match_in_zone, zone_match_scripts, zone_keys, languages, normalised_scripts, grade_names, scan_hints, read_in_time,
+        match_crops, match_framed, match_in_zone, zone_keys, languages, normalised_scripts, grade_names, scan_hints, read_in_time,
     )
 }
 
@@ -279,7 +254,6 @@ SQL = {
     "match_crops": "SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(n_nationkey AS BIGINT) AS entry, 1.0::DOUBLE AS ncc, CAST(0 AS INTEGER) AS hamming, true AS sure FROM nation",
     "match_framed": "SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(n_nationkey AS BIGINT) AS entry, 1.0::DOUBLE AS ncc FROM nation",
     "match_in_zone": "SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(3 AS INTEGER) AS zone, n_nationkey % 5 = 3 AS itself FROM nation",
-    "zone_match_scripts": "SELECT * FROM (VALUES " + ", ".join("('{}', '{}', {})".format(s, t, "NULL" if z is None else f"'{z}'") for s, t, z in READINGS) + ") t(script, text, zone)",
     "zone_keys": "SELECT upper(repeat(translate(lpad(CAST(n_nationkey AS VARCHAR), 2, '0'), '0123456789', 'abcdefghij'), 4)) || ' 7' AS text, CAST(n_nationkey AS VARCHAR) AS zone_key FROM nation",
     "languages": f"""WITH c AS (SELECT c_custkey, c_mktsegment, lower(left(l[c_custkey * 3 % 8 + 1], 2)) AS b1, lower(left(l[c_custkey * 5 % 8 + 1], 2)) AS b2, lower(left(l[c_custkey * 7 % 8 + 1], 2)) AS b3, l[c_custkey % 8 + 1] AS saved
           FROM customer, (SELECT ['ja', 'pt-BR', 'fr-CA', 'xx', 'KO', 'zh_TW', 'de-AT', ''] AS l)),

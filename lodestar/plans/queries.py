@@ -130,6 +130,9 @@ _TOP3 = "SELECT qid AS vec_id, CAST(rank AS INTEGER) AS rank, label, round(ncc,
 # Text.
 
 
+_ROMAN, _KANA = "abcdefghijklmnopqrstuvwxyz", "アイウエオカキクケコサシスセソタチツテトナニヌネノハ"
+
+
 def _noisy_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     names = _t(spark, sf_dir, "part").select("p_name").distinct()
     zones = names.select(F.col("p_name").alias("zone"), F.col("p_name").alias("ord"))
@@ -144,6 +147,14 @@ def zone_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("text", "zone", F.round("score", 6).alias("score"), F.round("gap", 6).alias("gap"))
 
 
+def zone_match_kana(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """zone_match with all names written in kana, a letter for a letter, where single letters count as well."""
+    texts, zones = _noisy_names(spark, sf_dir)
+    kana = lambda c: F.translate(F.lower(c), _ROMAN, _KANA)
+    out = zon.match_zones(texts.select(kana("text").alias("text")).distinct(), zones.select(kana("zone").alias("zone"), "ord"), "ja")
+    return out.select("text", "zone", F.round("score", 6).alias("score"), F.round("gap", 6).alias("gap"))
+
+
 def zone_match_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts against part names: long texts that name none of them are refused."""
     zones = _noisy_names(spark, sf_dir)[1]
@@ -186,6 +197,13 @@ sc AS (SELECT text, zone, ord, greatest(d1.dice, d2.dice) + 0.25 * len(list_filt
    FROM pair JOIN d d1 ON d1.a = t AND d1.b = z JOIN d d2 ON d2.a = h AND d2.b = z),
 f AS (SELECT *, coalesce(lead(score) OVER w, 0.0) AS second, row_number() OVER w AS rn FROM sc WHERE score > 0 WINDOW w AS (PARTITION BY text ORDER BY score DESC, ord))
 """
+_ZKANA = (
+    _ZSCORE.replace("regexp_replace(strip_accents(replace(lower(p_name), 'ß', 'ss')), '[^a-z]', '', 'g')", "regexp_replace(zone, '[^ア-ン]', '', 'g')")
+    .replace("SELECT p_name AS zone, row_number() OVER (ORDER BY p_name) AS ord,", "SELECT zone, ord,").replace("AS z FROM names)", f"AS z FROM (SELECT translate(lower(p_name), '{_ROMAN}', '{_KANA}') AS zone, row_number() OVER (ORDER BY p_name) AS ord FROM names))")
+    .replace("regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^a-z]', '', 'g')", "regexp_replace(text, '[^ア-ン]', '', 'g')").replace("length(t) >= 3", "length(t) >= 2")
+    .replace(" WHERE length(a) < 2 OR length(b) < 2 GROUP BY a, b)", " GROUP BY a, b)").replace("END AS dice\n", "END AS dice, CASE WHEN length(a) = 0 OR length(b) = 0 THEN 0.0 ELSE 2.0 * coalesce(o1.o, 0) / (length(a) + length(b)) END AS one\n")
+    .replace("greatest(d1.dice, d2.dice)", "greatest(d1.dice, d2.dice, 0.9 * d1.one, 0.9 * d2.one)")
+)
 _NOISY = "texts AS (SELECT DISTINCT left(p_name, i - 1) || substr(p_name, i + 1) AS text FROM (SELECT p_name, unnest(range(1, length(p_name) + 1)) AS i FROM (SELECT DISTINCT p_name FROM part)))"
 
 
@@ -394,7 +412,7 @@ def catalogue_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        hamming_nearest, mean_vector, centered_ncc, raw_ncc, identify_top3, identify_confidence, identify_filtered, identify_windows, zone_match, zone_match_bench,
+        hamming_nearest, mean_vector, centered_ncc, raw_ncc, identify_top3, identify_confidence, identify_filtered, identify_windows, zone_match, zone_match_kana, zone_match_bench,
         normalised_texts, gram_counts, dice_pairs, catalog_view, zone_list, scan_decisions, scan_decisions_zone_required, stream_decisions, stream_ring, frame_ring, asof_zone,
         best_attempt, latest_wins, consecutive_duplicates, document_hashes, otsu_threshold, floor_percentile, rounding, guide_rects, component_filter,
         scan_decisions_reset, stream_decisions_reset, stream_throttle, identify_fused, catalogue_document, identify_zone, hamming_within,
@@ -444,6 +462,7 @@ SQL = image_queries.SQL | {
               SELECT qid, 1, flat, h1, row_number() OVER (PARTITION BY qid ORDER BY h1, h0, flat) FROM h UNION ALL SELECT qid, 2, flat, h2, row_number() OVER (PARTITION BY qid ORDER BY h2, h1, h0, flat) FROM h)
         SELECT qid AS vec_id, CAST(w AS INTEGER) AS w, count(*) AS n, CAST(sum(hd) AS BIGINT) AS total, CAST(sum(flat * (hd + 1)) AS BIGINT) AS digest FROM c WHERE rn <= 48 GROUP BY qid, w""",
     "zone_match": f"WITH {_NOISY}, {_ZSCORE} SELECT t.text, CASE WHEN score >= 0.4 AND score - second >= 0.06 THEN zone END AS zone, round(score, 6) AS score, round(score - second, 6) AS gap FROM t LEFT JOIN f ON f.text = t.text AND rn = 1",
+    "zone_match_kana": f"WITH {_NOISY.replace('texts AS (SELECT DISTINCT left(', f'texts AS (SELECT DISTINCT translate(lower(left(').replace(' AS text FROM', f"), '{_ROMAN}', '{_KANA}') AS text FROM")}, {_ZKANA} SELECT t.text, CASE WHEN score >= 0.4 AND score - second >= 0.06 THEN zone END AS zone, round(score, 6) AS score, round(score - second, 6) AS gap FROM t LEFT JOIN f ON f.text = t.text AND rn = 1",
     "zone_match_bench": f"WITH texts AS (SELECT DISTINCT text FROM benchmark), {_ZSCORE} SELECT t.text, CASE WHEN score >= 0.4 AND score - second >= 0.06 THEN zone END AS zone FROM t LEFT JOIN f ON f.text = t.text AND rn = 1",
     "normalised_texts": f"SELECT doc_id, length({_LATIN_NORMAL}) AS n, sha256({_LATIN_NORMAL}) AS sha FROM documents",
     "gram_counts": "SELECT g AS gram, count(*) AS n FROM (SELECT substr(p_name, unnest(range(1, length(p_name))), 2) AS g FROM part) GROUP BY g",
