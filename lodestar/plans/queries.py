@@ -287,6 +287,30 @@ def asof_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dec.latest_zone(rows.where("top_id <> 'signup'"), zones, 8 * 3_600_000).select("session", "seq", "zone")
 
 
+def stream_asof_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asof_zone as a stateful stream."""
+    read = F.col("top_id") == "signup"
+    kinds = lambda r: r.select("session", "seq", "ms", F.when(read, 0).otherwise(1).alias("kind"), F.when(read, (F.col("seq") % 7).cast("string")).alias("zone"))
+    return _streamed(spark, sf_dir, lambda r: scan.latest_zone_stream(kinds(r), 8 * 3_600_000))
+
+
+def _crowded(events: DataFrame) -> DataFrame:
+    """Events where a third of all users are one."""
+    return events.withColumn("user_id", F.when(F.col("user_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("user_id")))
+
+
+def scan_decisions_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan_decisions where one session holds a third of all observations, in segments of a thousand."""
+    return dec.decide(_observations(_crowded(_t(spark, sf_dir, "events"))), segment=1000)
+
+
+def asof_zone_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asof_zone where one user has a third of all events."""
+    rows = _observations(_crowded(_t(spark, sf_dir, "events")))
+    zones = rows.where("top_id = 'signup'").select("session", "seq", "ms", (F.col("seq") % 7).cast("string").alias("zone"))
+    return dec.latest_zone(rows.where("top_id <> 'signup'"), zones, 8 * 3_600_000).select("session", "seq", "zone")
+
+
 def best_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as attempts of one query."""
     rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("attempt"), (F.col("l_quantity") / 60).alias("conf"))
@@ -329,6 +353,8 @@ e AS (SELECT *, min(CASE WHEN NOT reset THEN ms END) OVER (PARTITION BY session,
 SELECT session, seq, CASE WHEN by_zone OR by_score THEN top_id END AS confirmed, CASE WHEN by_zone THEN 'ocrStable' WHEN by_score THEN 'score' END AS via,
   NOT reset AND ms - since >= 5000 AS show_candidates FROM e
 """
+_ASOF = f"WITH {_OBS}, z AS (SELECT session, ms, seq, CAST(seq % 7 AS VARCHAR) AS zone FROM o WHERE top_id = 'signup') SELECT o.session, o.seq, CASE WHEN o.ms - z.ms < 28800000 THEN z.zone END AS zone FROM o ASOF LEFT JOIN z ON o.session = z.session AND o.ms >= z.ms WHERE o.top_id <> 'signup'"
+_CROWD = "SELECT CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS session"
 _RING = """SELECT session, seq, array_to_string(list_transform(list_filter(r, lambda x: ms - x['ms'] <= 3600000), lambda x: CAST(x['seq'] AS VARCHAR)), ',') AS fresh
 FROM (SELECT *, list({'seq': seq, 'ms': ms}) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS r FROM o)"""
 
@@ -413,7 +439,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hamming_nearest, mean_vector, centered_ncc, raw_ncc, identify_top3, identify_confidence, identify_filtered, identify_windows, zone_match, zone_match_kana, zone_match_bench,
-        normalised_texts, gram_counts, dice_pairs, catalog_view, zone_list, scan_decisions, scan_decisions_zone_required, stream_decisions, stream_ring, frame_ring, asof_zone,
+        normalised_texts, gram_counts, dice_pairs, catalog_view, zone_list, scan_decisions, scan_decisions_zone_required, stream_decisions, stream_ring, frame_ring, asof_zone, asof_zone_crowded, stream_asof_zone, scan_decisions_crowded,
         best_attempt, latest_wins, consecutive_duplicates, document_hashes, otsu_threshold, floor_percentile, rounding, guide_rects, component_filter,
         scan_decisions_reset, stream_decisions_reset, stream_throttle, identify_fused, catalogue_document, identify_zone, hamming_within,
     )
@@ -479,7 +505,10 @@ SQL = image_queries.SQL | {
     "scan_decisions_zone_required": f"WITH {_OBS}, {_DECIDE % 'agrees'}",
     "frame_ring": f"WITH {_OBS} {_RING}",
     "stream_ring": f"WITH {_OBS} {_RING}",
-    "asof_zone": f"WITH {_OBS}, z AS (SELECT session, ms, seq, CAST(seq % 7 AS VARCHAR) AS zone FROM o WHERE top_id = 'signup') SELECT o.session, o.seq, CASE WHEN o.ms - z.ms < 28800000 THEN z.zone END AS zone FROM o ASOF LEFT JOIN z ON o.session = z.session AND o.ms >= z.ms WHERE o.top_id <> 'signup'",
+    "asof_zone": _ASOF,
+    "stream_asof_zone": _ASOF,
+    "asof_zone_crowded": _ASOF.replace("SELECT user_id AS session", _CROWD),
+    "scan_decisions_crowded": f"WITH {_OBS}, {_DECIDE % 'true'}".replace("SELECT user_id AS session", _CROWD),
     "best_attempt": """WITH r AS (SELECT l_orderkey AS qid, l_linenumber AS attempt, max(l_quantity / 60) AS conf FROM lineitem GROUP BY ALL),
         t AS (SELECT *, coalesce(max(CASE WHEN conf >= 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM r)
         SELECT qid, CAST(attempt AS INTEGER) AS attempt, round(conf, 6) AS conf, count(*) OVER (PARTITION BY qid) AS tried FROM t WHERE over = 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY conf DESC, attempt) = 1""",

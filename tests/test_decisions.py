@@ -28,10 +28,12 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize(("obs", "need", "expected"), CASES)
-def test_confirmations(spark, obs, need, expected):
-    out = dec.decide(spark.createDataFrame(obs, COLUMNS), need).orderBy("seq").collect()
-    assert [r.confirmed for r in out] == expected
+@pytest.mark.parametrize("need", [False, True])
+def test_confirmations(spark, need):
+    """Every case is a session of its own."""
+    some = [(i, obs, expected) for i, (obs, n, expected) in enumerate(CASES) if n == need]
+    out = dec.decide(spark.createDataFrame([(i, *o[1:]) for i, obs, _ in some for o in obs], COLUMNS), need).orderBy("session", "seq").collect()
+    assert [[r.confirmed for r in out if r.session == i] for i, _, _ in some] == [expected for _, _, expected in some]
 
 
 @pytest.mark.parametrize(("obs", "expected"), [
@@ -42,21 +44,23 @@ def test_time_out(spark, obs, expected):
     assert dec.decide(spark.createDataFrame(obs, COLUMNS)).orderBy("seq").collect()[-1].show_candidates == expected
 
 
-def test_window_form_agrees_with_the_machine(spark):
+@pytest.mark.parametrize(("need", "segment"), [(False, 100_000), (True, 100_000), (False, 5), (True, 13)])
+def test_window_form_agrees_with_the_machine(spark, need, segment):
+    """Also if sessions are cut into small segments, and where some of their rows start them anew."""
     rng, obs = random.Random(3), []
-    for s in range(30):
+    for s in range(20):
         ms = 0
-        for i in range(40):
+        for i in range(40 if s else 300):
             ms += rng.choice([200, 900, 3000])
             top = rng.choice(["a", "a", "a", "b", None])
-            obs.append((s, i, ms, top, None if top is None else f"z{top}", rng.choice([0.1, 0.3, 0.7, 0.9]), rng.choice([None, "za", "zb"])))
-    for need in (False, True):
-        got = {(r.session, r.seq): (r.confirmed, r.via, r.show_candidates) for r in dec.decide(spark.createDataFrame(obs, COLUMNS), need).collect()}
-        state = {}
-        for o in obs:
-            row = dict(zip([c.split()[0] for c in COLUMNS.split(", ")], o, strict=True))
-            want = step(state.setdefault(o[0], {"ring": [], "since": None}), row, need)
-            assert got[o[0], o[1]] == want, o
+            obs.append((s, i, ms, top, None if top is None else f"z{top}", rng.choice([0.1, 0.1, 0.3, 0.7, 0.9] if s % 2 else [0.1, 0.3]), rng.choice([None, "za", "zb"]), rng.choice([None, False, i % 17 == 3]) if s % 3 == 0 else None))
+    names = [c.split()[0] for c in COLUMNS.split(", ")] + ["reset"]
+    got = {(r.session, r.seq): (r.confirmed, r.via, r.show_candidates) for r in dec.decide(spark.createDataFrame(obs, COLUMNS + ", reset boolean"), need, segment).collect()}
+    state = {}
+    for o in obs:
+        want = step(state.setdefault(o[0], {"ring": [], "since": None}), dict(zip(names, o, strict=True)), need)
+        assert got[o[0], o[1]] == want, o
+    assert len(got) == len(obs)
 
 
 def test_reset_clears_the_machine():
@@ -74,6 +78,19 @@ def test_as_of_zone_expires(spark):
     assert got == {(1, 1): "z", (1, 2): "z", (1, 3): None, (2, 1): None}
 
 
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_as_of_zone_of_random_times(spark, parts):
+    rng = random.Random(9)
+    frames = [(rng.randrange(3), i, rng.randrange(400)) for i in range(200)]
+    zones = [(rng.randrange(3), i, rng.randrange(400), f"z{i}") for i in range(40)]
+    out = dec.latest_zone(spark.createDataFrame(frames, "session long, seq long, ms long"), spark.createDataFrame(zones, "session long, seq long, ms long, zone string"), 30, parts)
+    want = []
+    for s, i, ms in frames:
+        past = max(((m, k, z) for t, k, m, z in zones if t == s and m <= ms), default=None)
+        want.append((s, i, ms, past[2] if past and ms - past[0] < 30 else None))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_attempts_stop_at_the_first_confident_one(spark):
     data = [(1, 0, 0.2), (1, 1, 0.2), (1, 2, 0.1), (2, 0, 0.1), (2, 1, 0.7), (2, 2, 0.9), (3, 0, 0.8)]
     got = {r.qid: (r.attempt, r.conf) for r in dec.best_attempt(spark.createDataFrame(data, "qid long, attempt int, conf double")).collect()}
