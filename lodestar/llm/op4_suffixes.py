@@ -38,7 +38,7 @@ def _heads(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffixes(texts: DataFrame, windows: Windows, edges: list[float]) -> DataFrame:
-    """(range, p1, p2, id, place, met, aside): sampled suffixes by their first 16 bytes. place is the first window of the run sampled there.
+    """(range, p1, p2, id, place, met, aside): sampled suffixes by their first 16 bytes. id is the rk of the text, place the first window of the run sampled there.
 
     Where a task finds suffixes of several documents with the same 16 bytes, all are met; the first stays to meet those of
     other tasks, and the others are put aside: they need no order and are spread over the ranges.
@@ -62,7 +62,7 @@ def suffixes(texts: DataFrame, windows: Windows, edges: list[float]) -> DataFram
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (ranges, p1, p2, ids, place, met, aside)], list(_NAMES))
 
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids = batch.column("rk").to_numpy()
             for p in portions(batch.column("text"), windows):
                 runs = p.runs()
                 have.append((*_heads(np.frombuffer(p.text, np.uint8), runs.sample), ids[p.row[runs.text]], runs.place()))
@@ -73,13 +73,13 @@ def suffixes(texts: DataFrame, windows: Windows, edges: list[float]) -> DataFram
         if have:
             yield out()
 
-    return texts.select("id", "text").mapInArrow(run, _KINDS)
+    return texts.select("rk", "text").mapInArrow(run, _KINDS)
 
 
 def range_edges(texts: DataFrame, windows: Windows, parts: int) -> list[int]:
     """parts - 1 heads that cut the suffixes of a sample of the texts evenly; all tables of a family are cut alike."""
     n = texts.count()
-    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // RANGE_SAMPLE))) == 0)
+    some = texts.where(F.pmod(F.xxhash64("rk"), F.lit(max(1, n // RANGE_SAMPLE))) == 0)
     at = suffixes(some, windows, []).select(F.col("p1").cast("double").alias("p")).approxQuantile("p", [i / parts for i in range(1, parts)], 0.001)
     return [int(x) for x in at]
 
@@ -130,7 +130,7 @@ class SuffixLevels:
         self.windows, self.levels, self.edges, self.across = windows, [], None, []
 
     def add(self, texts: DataFrame, *, last: bool = False) -> None:
-        """Merge-scan the suffixes of a batch (id, th, text) with the levels: those of its own size become one with it, larger
+        """Merge-scan the suffixes of a batch (rk, text) with the levels: those of its own size become one with it, larger
         ones are scanned against it. Of the last batch only what is met is kept, and one pass meets all levels."""
         if self.edges is None:
             self.parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -170,14 +170,15 @@ class SuffixLevels:
 
 
 def candidates(texts: DataFrame, windows: Windows = WINDOWS, batches: int = BATCHES) -> DataFrame:
-    """(id, place), written, of the suffixes met in several documents; the batches are added in the order of id."""
+    """(rk, place), written, of the suffixes met in several documents; the batches are added in the order of id, null ids with the last."""
     parts = [i / batches for i in range(1, batches)]
-    cuts = [int(x) for x in texts.select("id").approxQuantile("id", parts, 0.01)] if parts else []
+    known = texts.where(F.col("id") != LAST_ID).select("id")
+    cuts = [min(int(x), LAST_ID) for x in known.approxQuantile("id", parts, 0.01)] if parts else []
     edges = [-(1 << 63), *sorted(set(cuts)), None]
     levels = SuffixLevels(windows)
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         levels.add(texts.where(F.col("id") >= lo) if hi is None else texts.where((F.col("id") >= lo) & (F.col("id") < hi)), last=hi is None)
-    return levels.finished()
+    return levels.finished().withColumnRenamed("id", "rk")
 
 
 def _digest(text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[int, int, int, str]:
@@ -195,7 +196,7 @@ def _digest(text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[int, int,
 def deduped(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs.
 
-    A null text is empty; an empty table gives no rows; a null doc_id counts as larger than all others; rows of one id don't
+    A null text is empty; an empty table gives no rows; a null doc_id counts as the largest number; rows of one id don't
     match each other; of texts that occur twice or more all but those of the smallest id go as a whole if they have 50
     bytes; a text of any length is worked on in pieces. Strings are taken as equal by a 128-bit cryptographic digest.
     """

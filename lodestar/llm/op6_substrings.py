@@ -26,7 +26,7 @@ class FingerprintIndex:
         self.windows, self.runs = windows, []
 
     def add(self, texts: DataFrame) -> DataFrame:
-        """Store a batch (id, text) as a run; returns (key), written, of its keys that repeat, within the batch or with any earlier run (merge joins)."""
+        """Store a batch (rk, text) as a run; returns (key), written, of its keys that repeat, within the batch or with any earlier run (merge joins)."""
         batch = sampled(texts, self.windows).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         batch = written(batch, "run", sort=["key"])
         seen = batch
@@ -54,18 +54,18 @@ class FingerprintIndex:
 
 
 def candidates(texts: DataFrame, windows: Windows = WINDOWS, batches: int = BATCHES) -> DataFrame:
-    """(id, place), written, of the runs of windows whose fingerprint repeats.
+    """(rk, place), written, of the runs of windows whose fingerprint repeats.
 
     The batches enter the index in turn; keys known to repeat, from any of them, select the runs of all documents.
     """
     index, found = FingerprintIndex(windows), []
     for i in range(batches):
-        found.append(index.add(texts.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == i)))
+        found.append(index.add(texts.where(F.pmod(F.xxhash64("rk"), F.lit(batches)) == i)))
     index.drop()
     keys = found[0]
     for more in found[1:]:
         keys = keys.union(more)
-    places = written(sampled(texts, windows).join(written(keys.distinct(), "keys"), "key").select("id", "place"), "places")
+    places = written(sampled(texts, windows).join(written(keys.distinct(), "keys"), "key").select("rk", "place"), "places")
     discard(*found)
     return places
 

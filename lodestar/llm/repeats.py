@@ -91,12 +91,13 @@ class Portion:
         end = np.concatenate([new[1:], [len(start)]]) - 1 if len(start) else none
         return Runs(self, grams, start[new], start[end], sample[new], of[start[new]])
 
-    def flat(self, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which, flat position) of the places of this portion among (row in the batch, symbol number of the text)."""
+    def flat(self, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which, flat position, flat position of the text's last window) of the windows of this portion among (row in the
+        batch, number of the first symbol). The symbols at a piece's end with which no whole window starts are the next one's."""
         text = np.minimum(np.searchsorted(self.row, row), len(self.row) - 1)
-        at = place - self.base[text]
-        some = np.flatnonzero((self.row[text] == row) & (at >= 0) & (at < self.first[text + 1] - self.first[text]))
-        return some, at[some] + self.first[text[some]]
+        at, last = place - self.base[text], self.first[text + 1] - self.first[text] - self.windows.size
+        some = np.flatnonzero((self.row[text] == row) & (at >= 0) & (at <= last))
+        return some, at[some] + self.first[text[some]], last[some] + self.first[text[some]]
 
 
 @dataclass
@@ -173,36 +174,50 @@ def portions(column: pa.Array, w: Windows) -> Iterator[Portion]:
 
 
 def named(docs: DataFrame) -> DataFrame:
-    """(id, th, text): a document's id, last if null, its text's hash and its text, empty if null."""
+    """(doc_id, id, rk, th, text): a document's id as it is and as the largest number if null, what names the row in lists (see once()),
+    its text's hash and its text, empty if null."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return rows.select("doc_id", "id", F.col("id").alias("rk"), "th", "text")
 
 
 def copies(texts: DataFrame, *, earlier: bool) -> DataFrame:
-    """(id, th, gone, again) of texts that occur more than once, written: gone if all windows of the row count as repeated,
-    again if the row need not be looked at since the text's first row stands for it. Texts go by their SHA-256."""
+    """(id, th, gone, again, rows) of texts that occur more than once, written: gone if all windows of the row count as repeated,
+    again if the row need not be looked at since the text's first row stands for it; rows of an id that have the text. Texts go by their SHA-256."""
     marked = texts.select("id", "th", F.unhex(F.sha2("text", 256)).alias("sha"))
     sets = marked.groupBy("sha").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = F.col("id") > F.col("least")
-    return written(marked.join(sets, "sha").select("id", "th", (later if earlier else F.lit(True)).alias("gone"), later.alias("again")).distinct(), "copies")
+    each = marked.join(sets, "sha").select("id", "th", (later if earlier else F.lit(True)).alias("gone"), later.alias("again"))
+    return written(each.groupBy("id", "th", "gone", "again").agg(F.count(F.lit(1)).alias("rows")), "copies")
 
 
 def once(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """texts without the rows that known, of copies(), marks as again."""
-    return texts.join(sized_broadcast(known.where("again").select("id", "th")), ["id", "th"], "left_anti")
+    """(id, th, rk, text): texts without the rows that known, of copies(), marks as again; of several rows of one id and text one stays.
+
+    rk names the row in lists of places: its id, or a hash of id and text where an id, such as null, has several texts, so
+    that no list holds the places of other texts.
+    """
+    left = texts.select("id", "th", "text").join(sized_broadcast(known.where("again or rows > 1").select("id", "th")), ["id", "th"], "left_anti")
+    several = known.where("not again and rows > 1").select("id", "th")
+    if not several.isEmpty():
+        some = texts.join(sized_broadcast(several), ["id", "th"], "left_semi")
+        left = left.unionByName(written(some.groupBy("id", "th").agg(F.first("text").alias("text")), "once"))
+    shared = written(texts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit(True).alias("shared")), "ids")
+    left = left.join(sized_broadcast(shared), "id", "left")
+    return left.select("id", "th", F.when(F.col("shared"), F.xxhash64("id", "th")).otherwise(F.col("id")).alias("rk"), "text")
 
 
 def sampled(texts: DataFrame, w: Windows) -> DataFrame:
-    """(key, id, place) of every run."""
+    """(key, rk, place) of every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids = batch.column("rk").to_numpy()
             for p in portions(batch.column("text"), w):
                 runs = p.runs()
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (runs.keys().view(np.int64), ids[p.row[runs.text]], runs.place())], ["key", "id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (runs.keys().view(np.int64), ids[p.row[runs.text]], runs.place())], ["key", "rk", "place"])
 
-    return texts.select("id", "text").mapInArrow(run, "key long, id long, place long")
+    return texts.select("rk", "text").mapInArrow(run, "key long, rk long, place long")
 
 
 def with_lists(texts: DataFrame, rows: DataFrame, *, by: list[str], lists: list[str], how: str) -> DataFrame:
@@ -303,8 +318,8 @@ def _window_rows(w: Windows) -> Callable:
         high, _ = _flat(batch.column("high"))
         ids, ths = batch.column("id").to_numpy(), batch.column("th").to_numpy()
         for p in portions(batch.column("text"), w):
-            some, flat = p.flat(row, low)
-            count = high[some] - low[some] + 1
+            some, flat, last = p.flat(row, low)
+            count = np.minimum(high[some] - low[some], last - flat) + 1
             flat = np.unique(np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(flat, count))
             text = np.searchsorted(p.first, flat, side="right") - 1
             d1, d2 = p.digests(flat, flat + w.size)
@@ -370,7 +385,7 @@ _ORDER = ("key", "d1", "d2", "id", "th", "low")
 
 
 def repeated(texts: DataFrame, candidates: DataFrame, w: Windows, *, earlier: bool) -> DataFrame:
-    """(id, th, low, high), written: windows low..high of the document repeat. texts: (id, th, text); candidates: (id, place)
+    """(id, th, low, high), written: windows low..high of the document repeat. texts: those of once(); candidates: (rk, place)
     of the runs to be judged.
 
     earlier: a window counts if it also starts in a document with a smaller id; else if it also starts anywhere else.
@@ -378,7 +393,7 @@ def repeated(texts: DataFrame, candidates: DataFrame, w: Windows, *, earlier: bo
     split a hot key. All windows of a half repeat if its digest does; where a key has several digests, one half of each is
     taken apart into windows, which are sorted and scanned in the same way.
     """
-    lists = with_lists(texts, candidates, by=["id"], lists=["place"], how="inner")
+    lists = with_lists(texts, candidates, by=["rk"], lists=["place"], how="inner")
     halves = written(lists.select("id", "th", "text", "place").mapInArrow(_gathered(_half_rows(w), earlier=earlier), _KINDS), "halves")
     judged = written(halves.repartitionByRange("key", "d1").sortWithinPartitions(*_ORDER).mapInArrow(_judge(earlier=earlier), _RANGES), "judged")
     discard(halves)
@@ -403,8 +418,7 @@ def merged(low: np.ndarray, high: np.ndarray, size: int) -> tuple[np.ndarray, np
 def digested(docs: DataFrame, ranges: DataFrame, known: DataFrame, w: Windows, each: Callable, columns: list[tuple[str, str]]) -> DataFrame:
     """doc_id and what each(text bytes, start, stop) returns, for every row of docs; start, stop are the stretches to be
     removed, LAST_ID as stop for the whole text of a copy. columns: (name, Spark type)."""
-    base = named(docs).withColumn("doc_id", F.when(F.col("id") != LAST_ID, F.col("id")))
-    base = base.join(sized_broadcast(known.select("id", "th", "gone")), ["id", "th"], "left")
+    base = named(docs).join(sized_broadcast(known.select("id", "th", "gone")), ["id", "th"], "left")
     base = with_lists(base, ranges, by=["id", "th"], lists=["low", "high"], how="left")
     names, kinds = [c for c, _ in columns], ", ".join(f"{c} {t}" for c, t in columns)
 

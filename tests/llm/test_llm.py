@@ -357,6 +357,104 @@ def test_long_texts_are_worked_on_in_pieces(spark, monkeypatch):
     assert [w for part in repeats.word_lists(raw) for w in part] == raw.split()
 
 
+def brute_words(rows):
+    """(doc_id, n_words, n_removed, kept_sha256) of (doc_id, words)."""
+    seen = Counter(hash(tuple(w[i : i + 35])) for _, w in rows for i in range(len(w) - 34))
+    out = []
+    for doc, w in rows:
+        gone = np.zeros(len(w) + 1, bool)
+        for i in range(len(w) - 34):
+            if seen[hash(tuple(w[i : i + 35]))] > 1:
+                gone[i : i + 35] = True
+        out.append((doc, len(w), int(gone.sum()), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=False) if not g).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def judged_words(docs):
+    from lodestar.llm.repeats import digested, named
+
+    ranges, known = op6_substrings.passages(named(docs))
+    out = digested(docs, ranges, known, op6_substrings.WINDOWS, op6_substrings._digest, [("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")])
+    return sorted((tuple(r) for r in out.collect()), key=str)
+
+
+def judged_bytes(docs):
+    return sorted((tuple(r) for r in op4_suffixes.deduped(docs).collect()), key=str)
+
+
+def brute_bytes(rows):
+    """brute_suffixes with null as the largest number, in the order of judged_bytes."""
+    last = (1 << 63) - 1
+    return sorted(((None if doc is None else doc, *out[1:]) for doc, out in ((d, brute_suffixes_of(rows, last, d, t)) for d, t in rows)), key=str)
+
+
+def brute_suffixes_of(rows, last, doc, text):
+    if not hasattr(brute_suffixes_of, "of") or brute_suffixes_of.of is not rows:
+        first = {}
+        for d, t in rows:
+            b, d = (t or "").encode(), last if d is None else d
+            for i in range(len(b) - 49):
+                k = b[i : i + 50]
+                first[k] = min(first.get(k, d), d)
+        brute_suffixes_of.of, brute_suffixes_of.first = rows, first
+    b, doc = (text or "").encode(), last if doc is None else doc
+    gone = np.zeros(len(b) + 1, bool)
+    for i in range(len(b) - 49):
+        if brute_suffixes_of.first[b[i : i + 50]] < doc:
+            gone[i : i + 50] = True
+    gone = gone[: len(b)]
+    left = np.frombuffer(b, np.uint8)[~gone].tobytes() if b else b""
+    return (doc, len(b), int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if b else 0, hashlib.sha256(left).hexdigest())
+
+
+NULLS = {
+    "two of three": [(None, BASE), (1, BASE + " tail"), (None, PASSAGE + " x " + BASE)],
+    "all": [(None, BASE), (None, BASE), (None, PASSAGE), (None, None)],
+    "largest": [((1 << 63) - 1, BASE), (3, PASSAGE + " y " + BASE), (-(1 << 63), PASSAGE), ((1 << 63) - 2, BASE + " z")],
+    "one id": [(5, BASE), (5, PASSAGE + " " + BASE), (5, BASE), (6, "q " + BASE), (5, PASSAGE)],
+}
+
+
+@pytest.mark.parametrize("name", sorted(NULLS))
+def test_null_largest_and_repeated_ids(spark, name):
+    rows = NULLS[name]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert judged_bytes(table) == brute_bytes(rows)
+    assert judged_words(table) == brute_words([(d, words(t)) for d, t in rows])
+
+
+def test_lists_of_null_ids_hold_a_text_s_own_places(spark):
+    """Lists of many texts without an id grow with the texts, not with their square."""
+    from lodestar.llm.repeats import copies, named, once, with_lists
+
+    rows = [(None, f"{prose(12)} {PASSAGE} {prose(12)} {i}") for i in range(300)] + [(None, BASE)] * 50
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    first = once(named(table), copies(named(table), earlier=False))
+    lists = with_lists(first, op6_substrings.candidates(first), by=["rk"], lists=["place"], how="inner")
+    entries = [len(r.place) for r in lists.collect()]
+    assert first.count() == 301 and len(entries) == 300 and sum(entries) < 20 * 300
+    assert judged_words(table) == brute_words([(d, words(t)) for d, t in rows])
+
+
+def test_texts_of_megabytes_in_spark(spark):
+    """Longer than two pieces: without a repeat, with one across a piece's edge, and with a copy of that in a short text."""
+    from lodestar.llm.repeats import PIECE
+
+    rng = random.Random(77)
+    unique = lambda n: " ".join(f"{rng.randrange(1 << 40):x}" for _ in range(n))
+    plain, first, second = unique(260_000), unique(95_000), unique(130_000)
+    cut = len(first.encode()) - PIECE  # the passage lies across the end of the first piece
+    first = first[: len(first) - cut - 300] if cut > 0 else first + " " + unique((-cut) // 9)
+    first = first[: PIECE - 300].rsplit(" ", 1)[0]
+    crossing = f"{first} {PASSAGE} {second}"
+    rows = [(1, plain), (2, crossing), (3, "short " + PASSAGE + " end"), (4, None)]
+    assert min(len(plain), len(crossing)) > 2 * PIECE
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert judged_words(table) == brute_words([(d, words(t)) for d, t in rows])
+    assert {r.doc_id: len(words(r.text)) for r in op6_substrings.removed(table.where("doc_id <> 4")).collect()} == {d: n - gone for d, n, gone, _ in judged_words(table) if d != 4}
+    assert judged_bytes(table) == brute_bytes(rows)
+
+
 def test_levels_merge_geometrically(spark):
     from lodestar.llm.repeats import named
 
