@@ -166,7 +166,8 @@ def near(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Vectors link only within a label. Null labels, ids, vectors or components, zero vectors, infinities and NaN link with
     nothing; so do vectors of different length. Equal vectors are compared once and counted as often as they occur; an
-    empty table gives no rows; other columns are ignored. A repeated vec_id has the links of all its rows' vectors.
+    empty table gives no rows; other columns are ignored. Rows of one vec_id are vectors of
+    their own, each with the other rows it links to.
 
     Each label's cover tree is grown from a bounded hash sample; all vectors go to their nearest leaf, whose covering
     radius is the largest distance found. The dual traversal yields leaf pairs, leaves are cut into blocks, and each
@@ -175,7 +176,9 @@ def near(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     usable = F.col("e").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.forall("e", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("e", lambda x: x != 0)
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").alias("e"))
     equal = ["label", "e"]
-    nodes = written(base.where(usable).groupBy(*equal).agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("mult")).withColumn("dim", F.size("e")), "vectors")
+    # a node is a distinct vector of a label, whatever ids it has; written, its number is fixed
+    nodes = base.where(usable).groupBy(*equal).agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("mult"))
+    nodes = written(nodes.withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("e")}), "vectors")
     kind, vector = nodes.schema["label"].dataType.simpleString(), nodes.schema["e"].dataType.simpleString()
     per = nodes.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("first"))
     per = written(per.withColumn("leaves", F.least(F.ceil(F.col("rows") / BLOCK), F.lit(LEAVES))).withColumn("parts", F.ceil(F.col("rows") / BLOCK)), "labels")
@@ -213,9 +216,11 @@ def near(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     # a leaf that links as a whole to other leaves hangs on the least vector of one of them, all of which it links to
     firsts = sure.join(leaves.select(*_GROUP, F.col("leaf").alias("u"), F.col("least").alias("a")), [*_GROUP, "u"]).join(leaves.select(*_GROUP, F.col("leaf").alias("v"), F.col("least").alias("b")), [*_GROUP, "v"])
     joined = met.where("n < 0").select("a", "b").union(met_all.where("n > 0").select("node", "other")).union(firsts.select("a", "b"))
-    known = components(joined).select("node", F.col("component").alias("c"))
-    result = nodes.join(counts, "node", "left").join(known, "node", "left")
-    result = result.select(*[F.col(c).alias(f"_{c}") for c in equal], (F.coalesce("others", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("c", "node").alias("c"))
+    known = components(joined).select("node", "component").join(nodes.select("node", "id"), "node")
+    known = written(known, "components")
+    least = known.groupBy("component").agg(F.min("id").alias("c"))
+    result = nodes.join(counts, "node", "left").join(known.join(least, "component").select("node", "c"), "node", "left")
+    result = result.select(*[F.col(c).alias(f"_{c}") for c in equal], (F.coalesce("others", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("c", "id").alias("c"))
     every = base.withColumn("_ok", usable).join(result, (F.col("label") == F.col("_label")) & (F.col("e") == F.col("_e")) & F.col("_ok"), "left")
     component = F.coalesce("c", "vec_id")
     return every.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -688,6 +688,12 @@ def test_embeddings_equal_brute_force(spark):
     assert op10_embeddings.near(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_vec_id_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [2.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (2, [0.0, -1.0], 0), (0, [0.0, -1.0], 0), (7, [1.0, 0.0], 1)]
+    out = op10_embeddings.near(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out.collect()) == [(0, 1, 0, True), (1, 0, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 0, False), (2, 2, 1, False), (7, 0, 7, True)]
+
+
 def test_embeddings_of_dense_groups(spark, monkeypatch):
     """Leaves that link as a whole are counted, not compared; very large components of vectors are no matter."""
     monkeypatch.setattr(op10_embeddings, "BLOCK", 16)
