@@ -11,6 +11,7 @@ from lodestar.operators import catalog_view as cat
 from lodestar.operators import decisions as dec
 from lodestar.operators import hash_index
 from lodestar.operators import histogram as hist
+from lodestar.operators import identify as ident
 from lodestar.operators import similarity as sim
 from lodestar.operators import zones as zon
 from lodestar.plans import image_queries
@@ -91,6 +92,22 @@ def identify_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.groupBy("qid", "w").agg(F.count(F.lit(1)).alias("n"), F.sum("hd").cast("bigint").alias("total"), F.sum(F.col("flat") * (F.col("hd") + 1)).cast("bigint").alias("digest")).select(F.col("qid").alias("vec_id"), F.col("w").cast("int").alias("w"), "n", "total", "digest")
 
 
+def identify_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three attempts at every vector, by the signs of its first half, of its second half and of all of it, each for the vectors that none before made sure."""
+    v = _variants(spark, sf_dir)
+    masks = (0xFFFFFFFF, -(1 << 32), -1)
+
+    def attempt(mask: int):
+        def run(left: DataFrame) -> DataFrame:
+            asked = left.withColumn("p", F.col("p").bitwiseAND(F.lit(mask).cast("long")))
+            return sim.match(asked, v, other=True).withColumn("confidence", F.round("confidence", 9))
+
+        return run
+
+    out = ident.staged_attempts(_queries(v), [attempt(m) for m in masks])
+    return out.select(F.col("qid").alias("vec_id"), "attempt", "tried", F.col("rank").cast("int").alias("rank"), F.col("entry").alias("label"), F.round("ncc", 6).alias("ncc"), F.col("hamming").cast("int").alias("hamming"))
+
+
 def _stored(spark: SparkSession, variants: DataFrame) -> hash_index.HashIndex:
     """The variants as a stored catalogue whose zones are the labels' remainders by 5; only sign bits vary, so only they are indexed."""
     path = new_path(spark, "variants")
@@ -127,6 +144,19 @@ ranks AS (SELECT *, row_number() OVER w AS rank, lead(ncc) OVER w AS next FROM b
 _TOP3 = "SELECT qid AS vec_id, CAST(rank AS INTEGER) AS rank, label, round(ncc, 6) AS ncc, CAST(hd AS INTEGER) AS hamming FROM ranks WHERE rank <= 3"
 
 
+_STAGED = (
+    _MATCH.split("cut AS (")[0] % ()
+    + """t AS (SELECT vec_id AS qid, k, v, CASE k WHEN 0 THEN left(p, 32) || repeat('0', 32) WHEN 1 THEN repeat('0', 32) || right(p, 32) ELSE p END AS q FROM u, (SELECT unnest([0, 1, 2]) AS k)),
+cut AS (SELECT qid, k, label, hamming(q, p) AS hd, list_dot_product(t.v, u.v) AS ncc FROM t JOIN u ON qid <> vec_id QUALIFY row_number() OVER (PARTITION BY qid, k ORDER BY hamming(q, p), vec_id) <= 48),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY qid, k, label ORDER BY ncc DESC, hd) = 1),
+ranks AS (SELECT *, row_number() OVER w AS rank, lead(ncc) OVER w AS next FROM best WINDOW w AS (PARTITION BY qid, k ORDER BY ncc DESC, hd, label)),
+conf AS (SELECT qid, k, round(sqrt(greatest(0, least(1, (ncc - 0.45) / 0.15)) * greatest(0, least(1, (CASE WHEN next IS NULL THEN 1.0 ELSE ncc - next END - 0.02) / 0.04))), 9) AS c FROM ranks WHERE rank = 1),
+live AS (SELECT * FROM conf a WHERE NOT EXISTS (SELECT 1 FROM conf b WHERE b.qid = a.qid AND b.k < a.k AND b.c >= 0.6)),
+one AS (SELECT qid, k, count(*) OVER (PARTITION BY qid) AS tried FROM live QUALIFY row_number() OVER (PARTITION BY qid ORDER BY c DESC, k) = 1)
+SELECT qid AS vec_id, CAST(k AS INTEGER) AS attempt, tried, CAST(rank AS INTEGER) AS rank, label, round(ncc, 6) AS ncc, CAST(hd AS INTEGER) AS hamming FROM ranks JOIN one USING (qid, k) WHERE rank <= 3"""
+)
+
+
 # Text.
 
 
@@ -441,7 +471,7 @@ QUERIES = {
         hamming_nearest, mean_vector, centered_ncc, raw_ncc, identify_top3, identify_confidence, identify_filtered, identify_windows, zone_match, zone_match_kana, zone_match_bench,
         normalised_texts, gram_counts, dice_pairs, catalog_view, zone_list, scan_decisions, scan_decisions_zone_required, stream_decisions, stream_ring, frame_ring, asof_zone, asof_zone_crowded, stream_asof_zone, scan_decisions_crowded,
         best_attempt, latest_wins, consecutive_duplicates, document_hashes, otsu_threshold, floor_percentile, rounding, guide_rects, component_filter,
-        scan_decisions_reset, stream_decisions_reset, stream_throttle, identify_fused, catalogue_document, identify_zone, hamming_within,
+        scan_decisions_reset, stream_decisions_reset, stream_throttle, identify_fused, catalogue_document, identify_zone, hamming_within, identify_staged,
     )
 } | image_queries.QUERIES
 
@@ -477,6 +507,7 @@ SQL = image_queries.SQL | {
     "centered_ncc": "WITH " + _MATCH % "" + " SELECT a.vec_id, round(list_dot_product(a.v, b.v), 6) AS ncc FROM u a JOIN u b ON b.vec_id = a.vec_id + 1",
     "raw_ncc": "WITH c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT vec_id, list_transform(e, lambda x: x - list_avg(e)) AS v FROM c) SELECT a.vec_id, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS ncc FROM d a JOIN d b ON b.vec_id = a.vec_id + 1",
     "identify_top3": "WITH " + _MATCH % "" + _TOP3,
+    "identify_staged": "WITH " + _STAGED,
     "identify_zone": "WITH " + _MATCH % "AND v.label % 5 = 2" + _TOP3,
     "hamming_within": f"WITH s AS (SELECT vec_id, {_SIGNS} AS p FROM embeddings) SELECT a.vec_id, b.vec_id AS other, CAST(hamming(a.p, b.p) AS INTEGER) AS hamming FROM s a JOIN s b ON a.vec_id <> b.vec_id WHERE hamming(a.p, b.p) <= 17",
     "identify_filtered": "WITH " + _MATCH % "AND v.label < 5" + _TOP3,

@@ -90,3 +90,25 @@ def test_numbers(spark):
 def test_raw_ncc(spark):
     r = spark.range(1).select(sim.raw_ncc(F.array(*map(F.lit, (1, 2, 3))), F.array(*map(F.lit, (2, 4, 6)))).alias("a"), sim.raw_ncc(F.array(*map(F.lit, (1, 1))), F.array(*map(F.lit, (2, 4)))).alias("b")).first()
     assert r.a == pytest.approx(1.0) and r.b == 0.0
+
+
+def test_attempts_run_for_what_is_left(small):
+    """Each attempt is given the queries that no earlier one made sure, and the best list of all that ran is taken."""
+    from lodestar.operators import identify
+
+    _, _, vs, qs = small
+    given, sets = [], ({0, 1}, {3}, set())
+
+    def attempt(k):
+        def run(left):
+            given.append(sorted({r.qid for r in left.collect()}))
+            ranks = sim.match(left, vs, coarse=9).where("qid <> 5")
+            sure = F.col("qid").isin(*sets[k]) if sets[k] else F.lit(False)
+            return ranks.withColumn("confidence", F.when(sure, 0.9).when(F.col("qid") == 4, 0.1 + 0.1 * (k == 1)).otherwise(0.2))
+
+        return run
+
+    out = identify.staged_attempts(qs, [attempt(k) for k in range(3)]).collect()
+    assert given == [[0, 1, 2, 3, 4, 5], [2, 3, 4, 5], [2, 4, 5]]
+    assert {r.qid: (r.attempt, r.tried) for r in out} == {0: (0, 1), 1: (0, 1), 2: (0, 3), 3: (1, 2), 4: (1, 3)}
+    assert all(sorted(r.rank for r in out if r.qid == q) == [1, 2, 3] for q in range(5))
