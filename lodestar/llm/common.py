@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.shared import new_path
+
 #: A word as split by ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,19 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="lodestar-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def written(df: DataFrame, name: str, *, sort: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage so that a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     kept = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # the shuffle files of a written table serve nothing any more
     try:
