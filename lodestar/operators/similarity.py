@@ -91,10 +91,12 @@ def _nearest(units: list[str], other: bool, coarse: int) -> Callable:
     return run
 
 
-def _shares(windows: DataFrame, rows: DataFrame, units: list[str]) -> tuple[int, int]:
+def _shares(windows: DataFrame, rows: DataFrame, units: list[str], gated: bool = False) -> tuple[int, int]:
     """(slices, blocks) that queries and catalogue are dealt into, from their counts and sizes: BLOCK_BYTES each at most, and
     otherwise as many slices as give every task of a shuffle something to do, while all copies of the catalogue take COPIES_BYTES."""
     n, total = rows.agg(F.count(F.lit(1)), F.sum(_bytes(rows, units))).first()
+    if not n and gated:
+        return 1, 1
     if not n:
         raise ValueError("no catalogue entry is left to match")
     queries, asked = windows.agg(F.approx_count_distinct("qid"), F.sum(_bytes(windows, units))).first()
@@ -103,26 +105,28 @@ def _shares(windows: DataFrame, rows: DataFrame, units: list[str]) -> tuple[int,
     return max(-(-(asked or 0) // BLOCK_BYTES), wanted, 1), blocks
 
 
-def candidates(windows: DataFrame, variants: DataFrame, *, keep: Column | None = None, other: bool = False, coarse: int = COARSE) -> DataFrame:
+def candidates(windows: DataFrame, variants: DataFrame, *, keep: Column | None = None, other: bool = False, coarse: int = COARSE, gate: str | None = None) -> DataFrame:
     """(qid, w, flat, entry, hd, ncc): the coarse cut. windows: (qid, w, p, d, units); variants: (flat, entry, p, d, units).
 
     Each window keeps the `coarse` variants of least distance; ties go by the distances of the windows before it, latest
     first, then by flat. keep filters variants before the cut, and one that leaves none is an error; other leaves out the
-    variant whose flat is the qid. ncc is the mean correlation by the unit vectors, unit and unit_bp, that both sides have.
+    variant whose flat is the qid. gate names a column of both sides, the same for all windows of a query: a window only
+    meets variants of its own value, and none if there are none. ncc is the mean correlation by the unit vectors, unit and unit_bp, that both sides have.
     Queries are dealt into slices and the catalogue into blocks, and each slice meets each block in one task: neither
     side passes through the driver, and no task holds more than a slice and a block. Of several blocks the cuts are
     ranked together.
     """
     units = [c for c in ("unit", "unit_bp") if c in variants.columns and c in windows.columns]
-    rows = (variants if keep is None else variants.where(keep)).select("flat", "entry", "p", "d", *units)
-    slices, blocks = _shares(windows, rows, units)
-    sets = windows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("w", "p", "d", *units))).alias("ws"))
+    within = [] if gate is None else [gate]
+    rows = (variants if keep is None else variants.where(keep)).select("flat", "entry", "p", "d", *units, *within)
+    slices, blocks = _shares(windows, rows, units, bool(within))
+    sets = windows.groupBy("qid", *within).agg(F.array_sort(F.collect_list(F.struct("w", "p", "d", *units))).alias("ws"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     asked = sets.withColumn("slice", F.pmod(F.xxhash64("qid"), F.lit(slices))).withColumn("block", each(blocks))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("flat"), F.lit(blocks))).withColumn("slice", each(slices))
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     kinds = f"qid {kind(windows, 'qid')}, w {kind(windows, 'w')}, flat long, entry {kind(variants, 'entry')}, hd int, key array<int>, ncc double"
-    cut = asked.groupBy("slice", "block").cogroup(dealt.groupBy("slice", "block")).applyInArrow(_nearest(units, other, coarse), kinds)
+    cut = asked.groupBy(*within, "slice", "block").cogroup(dealt.groupBy(*within, "slice", "block")).applyInArrow(_nearest(units, other, coarse), kinds)
     if blocks > 1:
         order = W.partitionBy("qid", "w").orderBy("key", "flat")
         cut = cut.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= coarse).drop("rn")
@@ -156,9 +160,9 @@ def outcomes(ranks: DataFrame) -> DataFrame:
     return rows.select("qid", "candidates", F.get("candidates", F.lit(0))["entry"].alias("best"), "confidence", (F.col("confidence") >= CONFIDENT).alias("is_confident"))
 
 
-def match(windows: DataFrame, variants: DataFrame, *, keep: Column | None = None, other: bool = False, top: int = TOP, coarse: int = COARSE) -> DataFrame:
+def match(windows: DataFrame, variants: DataFrame, *, keep: Column | None = None, other: bool = False, top: int = TOP, coarse: int = COARSE, gate: str | None = None) -> DataFrame:
     """Ranks of every query; see candidates, best_entries and ranked."""
-    return ranked(best_entries(candidates(windows, variants, keep=keep, other=other, coarse=coarse)), top)
+    return ranked(best_entries(candidates(windows, variants, keep=keep, other=other, coarse=coarse, gate=gate)), top)
 
 
 def raw_ncc(a: Column, b: Column) -> Column:

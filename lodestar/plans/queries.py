@@ -17,7 +17,7 @@ from lodestar.operators import zones as zon
 from lodestar.plans import image_queries
 from lodestar.sources import catalog as doc
 from lodestar.sources.shared import new_path
-from lodestar.streaming import scan
+from lodestar.streaming import live, scan
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -324,6 +324,42 @@ def stream_asof_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, lambda r: scan.latest_zone_stream(kinds(r), 8 * 3_600_000))
 
 
+def _live(spark: SparkSession, sf_dir: str) -> str:
+    """Run the live match over the events file as a stream to its end; where its tables are.
+
+    An event shows the vector that its user looks at for two days, disturbed by another one. Signups are readings of the
+    shown vector's zone, a third of them one zone off.
+    """
+    e = _t(spark, sf_dir, "embeddings")
+    path, base, n = new_path(spark, "variants"), new_path(spark, "live"), e.count()
+    hash_index.write(_variants(spark, sf_dir).withColumn("zone_key", F.concat(F.lit("z"), F.col("entry") % 5)), path, "zone_key", ("p",))
+    sim.mean_vector(e, "embedding").agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("m")).select(F.transform("m", lambda s: s["mean"]).alias("vec")).write.parquet(f"{base}/mean")
+    rows = spark.readStream.schema(_t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = rows.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), ms.alias("ms"), (F.col("event_type") == "signup").alias("read"))
+    shown = F.pmod(F.col("session") * 31 + F.floor(F.col("ms") / 172_800_000), F.lit(n))
+    side = lambda name: e.select(F.col("vec_id").alias(name), F.col("embedding").cast("array<double>").alias(f"{name}_vec"), F.col("label").alias(f"{name}_label"))
+    rows = rows.withColumns({"a": shown, "b": F.pmod(F.col("seq") * 7, F.lit(n))}).join(side("a"), "a").join(side("b"), "b")
+    off = F.when(F.col("seq") % 3 == 0, 1).otherwise(0)
+    rows = rows.select(
+        "session", "seq", "ms", F.when(F.col("read"), 0).otherwise(1).alias("kind"), F.when(F.col("read"), F.concat(F.lit("z"), ((F.col("a_label") + off) % 5).cast("string"))).alias("zone"),
+        F.when(~F.col("read"), F.zip_with("a_vec", "b_vec", lambda x, y: x + y)).alias("vec"),
+    )
+    live.start(rows, hash_index.HashIndex(spark, path, "zone_key", ("p",)), spark.read.parquet(f"{base}/mean"), base, once=True, age_ms=86_400_000, ttl_ms=43_200_000)
+    return base
+
+
+def stream_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames matched within the zone read last, by their composite if that is surer, as a stream."""
+    out = live.matches(spark, _live(spark, sf_dir))
+    return out.select("session", "seq", "ocr_zone", "attempt", F.col("top_id").cast("int").alias("label"), F.round("conf", 5).alias("conf"), F.array_join(F.transform("candidates", lambda c: c["entry"]), ",").alias("candidates"))
+
+
+def stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decisions on these matches, as a stream."""
+    return live.decisions(spark, _live(spark, sf_dir))
+
+
 def _crowded(events: DataFrame) -> DataFrame:
     """Events where a third of all users are one."""
     return events.withColumn("user_id", F.when(F.col("user_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("user_id")))
@@ -471,7 +507,7 @@ QUERIES = {
         hamming_nearest, mean_vector, centered_ncc, raw_ncc, identify_top3, identify_confidence, identify_filtered, identify_windows, zone_match, zone_match_kana, zone_match_bench,
         normalised_texts, gram_counts, dice_pairs, catalog_view, zone_list, scan_decisions, scan_decisions_zone_required, stream_decisions, stream_ring, frame_ring, asof_zone, asof_zone_crowded, stream_asof_zone, scan_decisions_crowded,
         best_attempt, latest_wins, consecutive_duplicates, document_hashes, otsu_threshold, floor_percentile, rounding, guide_rects, component_filter,
-        scan_decisions_reset, stream_decisions_reset, stream_throttle, identify_fused, catalogue_document, identify_zone, hamming_within, identify_staged,
+        scan_decisions_reset, stream_decisions_reset, stream_throttle, identify_fused, catalogue_document, identify_zone, hamming_within, identify_staged, stream_matches, stream_live,
     )
 } | image_queries.QUERIES
 
@@ -490,8 +526,32 @@ cut AS (SELECT q.vec_id AS qid, v.label, hamming(q.p, v.p) AS hd, (list_dot_prod
   FROM c q JOIN c v ON q.vec_id <> v.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY hamming(q.p, v.p), v.vec_id) <= 48)
 SELECT qid AS vec_id, label, round(ncc, 6) AS ncc FROM cut QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ncc DESC, hd, label) = 1
 """.replace("{signs}", _SIGNS)
+_LIVE = f"""
+vm AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY i)),
+ev AS (SELECT user_id AS session, event_id AS seq, epoch_ms(ts) AS ms, event_type = 'signup' AS read, a.label,
+  list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda z: z[1] + z[2]) AS vec
+  FROM events JOIN (SELECT count(*) AS n FROM embeddings) ON true JOIN embeddings a ON a.vec_id = (user_id * 31 + epoch_ms(ts) // 172800000) % n JOIN embeddings b ON b.vec_id = event_id * 7 % n),
+z AS (SELECT session, ms, 'z' || ((label + CASE WHEN seq % 3 = 0 THEN 1 ELSE 0 END) % 5) AS zone FROM ev WHERE read),
+g AS (SELECT f.session, f.seq, f.ms, f.vec, CASE WHEN f.ms - z.ms < 43200000 THEN z.zone END AS gate FROM (SELECT * FROM ev WHERE NOT read) f ASOF LEFT JOIN z ON f.session = z.session AND f.ms >= z.ms),
+r AS (SELECT *, list_filter(l, lambda x: ms - x['ms'] <= 86400000) AS fresh FROM (SELECT *, list({{'ms': ms, 'vec': vec}}) OVER (PARTITION BY session ORDER BY ms, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS l FROM g)),
+w AS (SELECT session, seq, gate, 0 AS k, vec AS embedding FROM r UNION ALL SELECT session, seq, gate, 1, list_transform(range(1, 65), lambda i: list_avg(list_transform(fresh, lambda x: x['vec'][i]))) FROM r WHERE len(fresh) >= 3),
+ws AS (SELECT session, seq, gate, k, {_SIGNS} AS p, list_transform(list_zip(embedding, m), lambda y: y[1] - y[2]) AS s FROM w, vm),
+vs AS (SELECT vec_id, label, {_SIGNS} AS p, list_transform(list_zip(CAST(embedding AS DOUBLE[]), m), lambda y: y[1] - y[2]) AS s FROM embeddings, vm),
+wc AS (SELECT session, seq, gate, k, p, list_transform(s, lambda x: x - list_avg(s)) AS s FROM ws), vc AS (SELECT vec_id, label, p, list_transform(s, lambda x: x - list_avg(s)) AS s FROM vs),
+pairs AS (SELECT session, seq, k, vec_id, label, hamming(wc.p, vc.p) AS hd FROM wc JOIN vc ON gate IS NULL OR gate = 'z' || (label % 5) QUALIFY row_number() OVER (PARTITION BY session, seq, k ORDER BY hd, vec_id) <= 48),
+ncc AS (SELECT session, seq, k, pairs.label, hd, list_dot_product(wc.s, vc.s) / sqrt(list_dot_product(wc.s, wc.s) * list_dot_product(vc.s, vc.s)) AS ncc FROM pairs JOIN wc USING (session, seq, k) JOIN vc USING (vec_id)),
+be AS (SELECT * FROM ncc QUALIFY row_number() OVER (PARTITION BY session, seq, k, label ORDER BY ncc DESC, hd) = 1),
+rk AS (SELECT *, row_number() OVER q AS rn, lead(ncc) OVER q AS nx FROM be WINDOW q AS (PARTITION BY session, seq, k ORDER BY ncc DESC, hd, label)),
+cf AS (SELECT session, seq, k, label, round(sqrt(greatest(0, least(1, (ncc - 0.45) / 0.15)) * greatest(0, least(1, (coalesce(ncc - nx, 1.0) - 0.02) / 0.04))), 9) AS conf FROM rk WHERE rn = 1),
+tk AS (SELECT x.session, x.seq, CASE WHEN x.conf < 0.6 AND y.conf > x.conf THEN 1 ELSE 0 END AS k FROM cf x LEFT JOIN cf y ON x.session = y.session AND x.seq = y.seq AND y.k = 1 WHERE x.k = 0),
+mt AS (SELECT g.session, g.seq, g.ms, g.gate AS ocr_zone, tk.k AS attempt, cf.label, coalesce(cf.conf, 0.0) AS conf FROM g LEFT JOIN tk USING (session, seq) LEFT JOIN cf USING (session, seq, k)),
+o AS (SELECT session, seq, ms, CAST(label AS VARCHAR) AS top_id, 'z' || (label % 5) AS zone_key, conf, ocr_zone FROM mt)
+"""
 _LATIN_NORMAL = "regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^a-z]', '', 'g')"
 SQL = image_queries.SQL | {
+    "stream_matches": f"""WITH {_LIVE} SELECT session, seq, ocr_zone, CAST(attempt AS INTEGER) AS attempt, label, round(conf, 5) AS conf,
+        (SELECT string_agg(CAST(rk.label AS VARCHAR), ',' ORDER BY rn) FROM rk WHERE rk.session = mt.session AND rk.seq = mt.seq AND rk.k = mt.attempt AND rn <= 3) AS candidates FROM mt""",
+    "stream_live": f"WITH {_LIVE}, {_DECIDE % 'true'}",
     "scan_decisions_reset": _RESET,
     "stream_decisions_reset": _RESET,
     "stream_throttle": f"""WITH RECURSIVE {_OBS}, n AS (SELECT session, seq, ms, row_number() OVER (PARTITION BY session ORDER BY ms, seq) AS i FROM o),
