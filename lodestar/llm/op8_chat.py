@@ -8,8 +8,10 @@ from pyspark.sql import Window as W
 
 from lodestar.llm.common import table
 
-#: Turns in one chunk of a rendering, at most; only longer dialogues have several chunks.
+#: Turns in one part of a rendering, at most; only longer dialogues have several parts.
 CHUNK = 64
+#: Turn numbers that are ranked together; says nothing about results.
+RANGE = 64
 
 
 def _spans(masked: bool) -> Column:
@@ -27,7 +29,7 @@ def _spans(masked: bool) -> Column:
 
 
 def rotate(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text",
-           chunk: int = CHUNK, open_tag: str = "<|", close_tag: str = "|>", end_tag: str = "<|end|>\n") -> DataFrame:
+           chunk: int | None = CHUNK, open_tag: str = "<|", close_tag: str = "|>", end_tag: str = "<|end|>\n") -> DataFrame:
     """The rendering of every dialogue from the perspective of each of its participants.
 
     Columns: conv_id, perspective (the participant who becomes the assistant), part, start, n_turns, n_own, text,
@@ -36,8 +38,9 @@ def rotate(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", speak
 
     There is one rendering, of the whole dialogue; `chunk` only says how it is stored. A dialogue of up to `chunk` turns
     is one row. A longer one is stored in parts 0, 1, ... whose texts, joined in order, are the rendering; start and the
-    spans count from the beginning of the rendering, so that nothing hangs on where it is cut. No group that is collected
-    holds more than `chunk` turns, however many there are, and whatever their numbers.
+    spans count from the beginning of the rendering, so that nothing hangs on where it is cut. Parts are cut by the place
+    of a turn in its dialogue, whatever the numbers of turns. No group that is collected holds more than `chunk` turns,
+    unless chunk is None, which gives whole dialogues as one row each. A very long text is rendered whole.
 
     A turn without a conversation is a dialogue of its own. A null speaker is named `unknown`; a null text is empty;
     a null turn sorts first. Equal turns go by speaker, then text; repeated rows stay. Marks that texts and names hold
@@ -56,11 +59,18 @@ def rotate(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", speak
     )
     base = base.where("conv_id is not null")
     who = base.groupBy("conv_id", "speaker").agg(F.lit(1).alias("one")).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective"))
-    # turns are ranked within ranges of their numbers, so that a long dialogue is not sorted by one task
-    base = base.withColumn("range", F.greatest(F.floor(F.coalesce("turn", F.lit(0)) / chunk), F.lit(0)).cast("long"))
-    rank = F.row_number().over(W.partitionBy("conv_id", "range").orderBy("turn", "speaker", "body"))
-    base = base.withColumn("cut", F.floor((rank - 1) / chunk).cast("long"))
-    parts = base.groupBy("conv_id", "range", "cut").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "body"))).alias("rows"))
+    # turns are ranked within ranges of their numbers, and the ranges' counts run up, so that no task sorts a long dialogue
+    base = base.withColumn("range", F.greatest(F.floor(F.coalesce("turn", F.lit(0)) / RANGE), F.lit(0)).cast("long"))
+    if chunk is None:
+        base = base.withColumn("cut", F.lit(0).cast("long"))
+    else:
+        before = F.sum("n").over(W.partitionBy("conv_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+        counts = base.groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before).where("before > 0")
+        counts = counts.select(F.col("conv_id").alias("_c"), F.col("range").alias("_r"), "before")
+        base = base.withColumn("place", F.row_number().over(W.partitionBy("conv_id", "range").orderBy("turn", "speaker", "body")) - 1)
+        base = base.join(counts, (F.col("conv_id") == F.col("_c")) & (F.col("range") == F.col("_r")), "left")
+        base = base.withColumn("cut", F.floor((F.col("place") + F.coalesce("before", F.lit(0))) / chunk).cast("long"))
+    parts = base.groupBy("conv_id", "cut").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "body"))).alias("rows"))
     seen = parts.join(who, F.col("conv_id") == F.col("c")).drop("c")
     mine = lambda s: s["speaker"] == F.col("perspective")
     segments = F.transform(
@@ -70,11 +80,11 @@ def rotate(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", speak
             s["body"].alias("body"), tail.alias("tail"), mine(s).alias("mine"),
         ),
     )
-    seen = seen.select("conv_id", "perspective", "range", "cut", segments.alias("segments"))
+    seen = seen.select("conv_id", "perspective", F.col("cut").alias("part"), segments.alias("segments"))
     seen = seen.withColumn("text", F.array_join(F.transform("segments", lambda s: F.concat(s["head"], s["body"], s["tail"])), ""))
-    order = W.partitionBy("conv_id", "perspective").orderBy("range", "cut")
+    order = W.partitionBy("conv_id", "perspective").orderBy("part")
     before = F.sum(F.length("text").cast("long")).over(order.rowsBetween(W.unboundedPreceding, -1))
-    seen = seen.withColumns({"part": (F.row_number().over(order) - 1).cast("long"), "start": F.coalesce(before, F.lit(0).cast("long"))})
+    seen = seen.withColumn("start", F.coalesce(before, F.lit(0).cast("long")))
     return seen.select(
         "conv_id", "perspective", "part", "start",
         F.size("segments").cast("long").alias("n_turns"),
@@ -91,17 +101,17 @@ def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH base AS (
   SELECT conv_id, turn, replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >') AS speaker,
-         replace(replace(coalesce(text, ''), '<|', '< |'), '|>', '| >') AS body, greatest(coalesce(turn, 0) // 64, 0) AS range FROM conversations),
-ranked AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, range ORDER BY turn NULLS FIRST, speaker, body) - 1) // 64 AS cut FROM base WHERE conv_id IS NOT NULL),
+         replace(replace(coalesce(text, ''), '<|', '< |'), '|>', '| >') AS body FROM conversations),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, body) - 1) // 64 AS cut FROM base WHERE conv_id IS NOT NULL),
 who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM ranked),
 seg AS (
-  SELECT b.conv_id, w.perspective, b.range, b.cut, b.speaker = w.perspective AS mine, body,
+  SELECT b.conv_id, w.perspective, b.cut AS part, b.speaker = w.perspective AS mine, body,
     CASE WHEN b.speaker = w.perspective THEN '<|assistant|>' ELSE '<|user name=' || b.speaker || '|>' END AS head,
-    row_number() OVER (PARTITION BY b.conv_id, w.perspective ORDER BY range, turn NULLS FIRST, b.speaker, body) AS k
+    row_number() OVER (PARTITION BY b.conv_id, w.perspective ORDER BY turn NULLS FIRST, b.speaker, body) AS k
   FROM ranked b JOIN who w ON b.conv_id = w.conv_id),
 off AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 8) OVER (PARTITION BY conv_id, perspective ORDER BY k
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o, dense_rank() OVER (PARTITION BY conv_id, perspective ORDER BY range, cut) - 1 AS part FROM seg),
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM seg),
 s AS (SELECT *, o + length(head) AS s FROM off)
 SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, CAST(min(o) AS BIGINT) AS start, CAST(count(*) AS BIGINT) AS n_turns, CAST(count(*) FILTER (mine) AS BIGINT) AS n_own,
   string_agg(head || body || '<|end|>' || chr(10), '' ORDER BY k) AS text,

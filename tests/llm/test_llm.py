@@ -573,12 +573,11 @@ def test_rotation(spark):
     turns = [(1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 1, "bob", "yo"), (1, 1, "bob", "yo"), (1, 100, None, "late"), (None, None, "ann", "x"), (None, 3, None, "<|end|>"), (2, None, "a|>b", "<|assistant|>")]
     out = op8_chat.rotate(spark.createDataFrame([(*t, "z") for t in turns], kinds)).collect()
     rows = {(r.conv_id, r.perspective, r.part): r for r in out if r.conv_id is not None}
-    assert len(rows) == 7 and len(out) == 9
+    assert len(rows) == 4 and len(out) == 6  # turn 100 is the fifth of its dialogue, not one of another part
     r = rows[1, "bob", 0]
-    assert r.text == "<|user name=ann|>hi<|end|>\n<|assistant|><|end|>\n" + "<|assistant|>yo<|end|>\n" * 2 and (r.n_turns, r.n_own, r.start) == (4, 3, 0)
-    whole = r.text + rows[1, "bob", 1].text
-    cut = [tuple(map(int, s.split("-"))) for s in f"{r.loss_spans},{rows[1, 'bob', 1].context_spans}".split(",")]
-    assert [whole[a:b] for a, b in cut] == ["", "yo", "yo", "late"] and rows[1, "bob", 1].start == len(r.text)
+    assert r.text == "<|user name=ann|>hi<|end|>\n<|assistant|><|end|>\n" + "<|assistant|>yo<|end|>\n" * 2 + "<|user name=unknown|>late<|end|>\n" and (r.n_turns, r.n_own, r.start) == (5, 3, 0)
+    cut = [tuple(map(int, s.split("-"))) for s in f"{r.loss_spans},{r.context_spans}".split(",")]
+    assert [r.text[a:b] for a, b in cut] == ["", "yo", "yo", "hi", "late"]
     assert rows[2, "a| >b", 0].text == "<|assistant|>< |assistant| ><|end|>\n"
     assert {(r.perspective, r.text, r.loss_spans) for r in out if r.conv_id is None} == {("ann", "<|assistant|>x<|end|>\n", "13-14"), ("unknown", "<|assistant|>< |end| ><|end|>\n", "13-22")}
     assert op8_chat.rotate(spark.createDataFrame([], kinds)).count() == 0
@@ -597,9 +596,21 @@ def test_rotation_hangs_not_on_chunks(spark):
             got[r.conv_id, r.perspective] = (text + r.text, loss + [s for s in r.loss_spans.split(",") if s], context + [s for s in r.context_spans.split(",") if s], n + r.n_turns)
         return got
 
+    one = op8_chat.rotate(df, chunk=None).collect()
+    assert {(r.conv_id, r.perspective): r.text for r in one} == {k: x[0] for k, x in whole(64).items()} and len(one) == 9 and not any(r.part or r.start for r in one)
     assert whole(7) == whole(100000) and all(x[3] == len([t for t in turns if t[0] == c]) for (c, _), x in whole(64).items())
 
 
+def test_sparse_turns_stay_together(spark):
+    """Places cut a dialogue, not turn numbers: two turns a thousand apart, negative, null and equal ones, are one part."""
+    df = spark.createDataFrame([(1, 0, "a", "x"), (1, 1000, "b", "y"), (2, -70, "a", "x"), (2, None, "a", "n"), (2, 3, "b", "z"), (2, 3, "b", "z"), (2, 1 << 40, "a", "w")], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.perspective): r for r in op8_chat.rotate(df, chunk=5).collect()}
+    assert {k: (r.part, r.n_turns) for k, r in got.items()} == {(1, "a"): (0, 2), (1, "b"): (0, 2), (2, "a"): (0, 5), (2, "b"): (0, 5)}
+    bodies = [got[2, "a"].text[slice(*map(int, s.split("-")))] for s in got[2, "a"].loss_spans.split(",")]
+    assert bodies == ["n", "x", "w"]
+    assert sorted((r.part, r.n_turns) for r in op8_chat.rotate(df, chunk=2).where("conv_id = 2 and perspective = 'a'").collect()) == [(0, 2), (1, 2), (2, 1)]
+
+
 # 9
 
 
