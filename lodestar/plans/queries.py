@@ -16,6 +16,7 @@ from lodestar.operators import similarity as sim
 from lodestar.operators import zones as zon
 from lodestar.plans import image_queries
 from lodestar.sources import catalog as doc
+from lodestar.sources import reader
 from lodestar.sources.shared import new_path
 from lodestar.streaming import live, scan
 
@@ -191,6 +192,32 @@ def zone_match_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zon.match_zones(_t(spark, sf_dir, "benchmark").select("text"), zones, "latin").select("text", "zone")
 
 
+def _loads():
+    """A recogniser of bands that hold a status and the bytes of a text: it raises an error, finds nothing or is too slow where these say so."""
+    import time
+
+    def read(band):
+        how, text = band[0, 0], band[0, 1:].tobytes().decode()
+        if how == 1:
+            raise ValueError("can't be read")
+        if how == 2:
+            time.sleep(5)
+        return None if how == 3 else text
+
+    return read
+
+
+def zone_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names without their second letter, read within a second each and matched with all part names: the largest parts can't be read,
+    every five hundredth takes too long, and the smallest show no text."""
+    part, zones = _t(spark, sf_dir, "part"), _noisy_names(spark, sf_dir)[1]
+    how = F.when(F.col("p_size") == 50, "01").when(F.col("p_partkey") % 500 == 7, "02").when(F.col("p_size") == 1, "03").otherwise("00")
+    text = F.concat(F.substring("p_name", 1, 1), F.expr("substring(p_name, 3)"))
+    bands = part.select(F.col("p_partkey").alias("id"), F.concat(F.unhex(how), F.encode(text, "utf-8")).alias("data"))
+    bands = bands.select("id", F.octet_length("data").alias("width"), F.lit(1).alias("height"), "data")
+    return reader.zone_readings(bands, _loads, "part names", zones, "latin", 1000).select(F.col("id").cast("bigint").alias("p_partkey"), "text", "status", "zone")
+
+
 def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents in Latin normal form, as length and hash."""
     return _t(spark, sf_dir, "documents").withColumn("t", txt.normalise(F.col("text"), "latin")).select("doc_id", F.length("t").cast("bigint").alias("n"), F.sha2("t", 256).alias("sha"))
@@ -507,7 +534,7 @@ QUERIES = {
         hamming_nearest, mean_vector, centered_ncc, raw_ncc, identify_top3, identify_confidence, identify_filtered, identify_windows, zone_match, zone_match_kana, zone_match_bench,
         normalised_texts, gram_counts, dice_pairs, catalog_view, zone_list, scan_decisions, scan_decisions_zone_required, stream_decisions, stream_ring, frame_ring, asof_zone, asof_zone_crowded, stream_asof_zone, scan_decisions_crowded,
         best_attempt, latest_wins, consecutive_duplicates, document_hashes, otsu_threshold, floor_percentile, rounding, guide_rects, component_filter,
-        scan_decisions_reset, stream_decisions_reset, stream_throttle, identify_fused, catalogue_document, identify_zone, hamming_within, identify_staged, stream_matches, stream_live,
+        scan_decisions_reset, stream_decisions_reset, stream_throttle, identify_fused, catalogue_document, identify_zone, hamming_within, identify_staged, stream_matches, stream_live, zone_readings,
     )
 } | image_queries.QUERIES
 
@@ -581,6 +608,9 @@ SQL = image_queries.SQL | {
     "zone_match": f"WITH {_NOISY}, {_ZSCORE} SELECT t.text, CASE WHEN score >= 0.4 AND score - second >= 0.06 THEN zone END AS zone, round(score, 6) AS score, round(score - second, 6) AS gap FROM t LEFT JOIN f ON f.text = t.text AND rn = 1",
     "zone_match_kana": f"WITH {_NOISY.replace('texts AS (SELECT DISTINCT left(', f'texts AS (SELECT DISTINCT translate(lower(left(').replace(' AS text FROM', f"), '{_ROMAN}', '{_KANA}') AS text FROM")}, {_ZKANA} SELECT t.text, CASE WHEN score >= 0.4 AND score - second >= 0.06 THEN zone END AS zone, round(score, 6) AS score, round(score - second, 6) AS gap FROM t LEFT JOIN f ON f.text = t.text AND rn = 1",
     "zone_match_bench": f"WITH texts AS (SELECT DISTINCT text FROM benchmark), {_ZSCORE} SELECT t.text, CASE WHEN score >= 0.4 AND score - second >= 0.06 THEN zone END AS zone FROM t LEFT JOIN f ON f.text = t.text AND rn = 1",
+    "zone_readings": f"""WITH texts AS (SELECT DISTINCT left(p_name, 1) || substr(p_name, 3) AS text FROM part), {_ZSCORE},
+        k AS (SELECT p_partkey, left(p_name, 1) || substr(p_name, 3) AS t, CASE WHEN p_size = 50 THEN 'failed' WHEN p_partkey % 500 = 7 THEN 'timeout' WHEN p_size = 1 THEN 'empty' ELSE 'read' END AS status FROM part)
+        SELECT p_partkey, CASE WHEN status = 'read' THEN k.t END AS text, status, CASE WHEN status = 'read' AND score >= 0.4 AND score - second >= 0.06 THEN zone END AS zone FROM k LEFT JOIN f ON f.text = k.t AND rn = 1""",
     "normalised_texts": f"SELECT doc_id, length({_LATIN_NORMAL}) AS n, sha256({_LATIN_NORMAL}) AS sha FROM documents",
     "gram_counts": "SELECT g AS gram, count(*) AS n FROM (SELECT substr(p_name, unnest(range(1, length(p_name))), 2) AS g FROM part) GROUP BY g",
     "dice_pairs": """WITH p AS (SELECT n_nationkey, r_regionkey, lower(n_name) AS a, lower(r_name) AS b FROM nation, region),

@@ -133,14 +133,3 @@ def bands(rows: DataFrame) -> DataFrame:
 def within(text: Column, took_ms: Column, limit_ms: int = READ_MS) -> Column:
     """What a reading gave, null if it came after the time-out of a one-shot query."""
     return F.when(took_ms < limit_ms, text)
-
-
-def recognised(rows: DataFrame, read: Callable[[], Callable[[np.ndarray], str | None]]) -> DataFrame:
-    """(id, text) of bands() by a text recogniser; read() loads it once per task. No recogniser comes with the library."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = read()
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "text": [model(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width)) for r in batch.itertuples()]})
-
-    return rows.mapInPandas(run, "id string, text string")
