@@ -16,7 +16,7 @@ from lodestar.operators import similarity as sim
 from lodestar.operators import zones as zon
 from lodestar.plans import image_queries
 from lodestar.sources import catalog as doc
-from lodestar.sources import reader
+from lodestar.sources import frames, reader
 from lodestar.sources.shared import new_path
 from lodestar.streaming import live, scan
 
@@ -351,6 +351,51 @@ def stream_asof_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, lambda r: scan.latest_zone_stream(kinds(r), 8 * 3_600_000))
 
 
+def recorded_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recording of all vectors by label, read as a table: the number of each frame and the sum of its vector, in thousandths."""
+    path, e = new_path(spark, "recording"), _t(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    frames.record(e, path, ["label", "vec_id"])
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return frames.recorded(spark, path).select("frame", "vec_id", "label", F.round(total * 1000).cast("long").alias("total_milli"))
+
+
+#: Frames of a micro-batch of a played recording, at most.
+_BATCH = 1_000_000
+
+
+def _played(spark: SparkSession, sf_dir: str, sink) -> str:
+    """Play a recording of the events, by their number, in micro-batches of a quarter of it or _BATCH frames; stop after the first, go on to the end.
+
+    sink(frames, folder) gives the writer of a stream; its rows are in that folder.
+    """
+    path, base = new_path(spark, "recording"), new_path(spark, "played")
+    total = frames.record(_observations(_t(spark, sf_dir, "events")), path, ["seq"])
+    rows = frames.played(spark, path, batch=max(1, min(_BATCH, -(-total // 4))))
+    writer = lambda: sink(rows, f"{base}/out").option("checkpointLocation", f"{base}/state")
+    writer().trigger(availableNow=True).start().awaitTermination()
+    if total:
+        frames.Playback(lambda: writer().trigger(processingTime="0 seconds").start()).resume().until(total).pause()
+    return f"{base}/out"
+
+
+def played_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan_decisions over frames that are played, stopped and played on."""
+    return spark.read.schema(scan.OUTPUT).parquet(_played(spark, sf_dir, lambda rows, out: scan.decide_stream(rows).writeStream.format("parquet").option("path", out)))
+
+
+def played_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """latest_wins over frames that are played: each micro-batch hands on its newest row of a user and hour, and the newest of these stays."""
+    keys, order, schema = ["user_id", "hour_ms"], ["ms", "event_id"], "user_id long, hour_ms long, ms long, event_id long, event_type string"
+
+    def sink(rows: DataFrame, out: str):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+        events = rows.select(F.col("session").alias("user_id"), (F.floor(F.col("ms") / 3_600_000) * 3_600_000).alias("hour_ms"), "ms", F.col("seq").alias("event_id"), F.col("top_id").alias("event_type"))
+        return scan.latest_writer(events, keys, order, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+
+    newest = dec.latest(spark.read.schema(schema).parquet(_played(spark, sf_dir, sink)), keys, order)
+    return newest.select("user_id", "hour_ms", "event_id", "event_type")
+
+
 def _live(spark: SparkSession, sf_dir: str) -> str:
     """Run the live match over the events file as a stream to its end; where its tables are.
 
@@ -535,6 +580,7 @@ QUERIES = {
         normalised_texts, gram_counts, dice_pairs, catalog_view, zone_list, scan_decisions, scan_decisions_zone_required, stream_decisions, stream_ring, frame_ring, asof_zone, asof_zone_crowded, stream_asof_zone, scan_decisions_crowded,
         best_attempt, latest_wins, consecutive_duplicates, document_hashes, otsu_threshold, floor_percentile, rounding, guide_rects, component_filter,
         scan_decisions_reset, stream_decisions_reset, stream_throttle, identify_fused, catalogue_document, identify_zone, hamming_within, identify_staged, stream_matches, stream_live, zone_readings,
+        recorded_frames, played_decisions, played_latest,
     )
 } | image_queries.QUERIES
 
@@ -574,11 +620,14 @@ tk AS (SELECT x.session, x.seq, CASE WHEN x.conf < 0.6 AND y.conf > x.conf THEN
 mt AS (SELECT g.session, g.seq, g.ms, g.gate AS ocr_zone, tk.k AS attempt, cf.label, coalesce(cf.conf, 0.0) AS conf FROM g LEFT JOIN tk USING (session, seq) LEFT JOIN cf USING (session, seq, k)),
 o AS (SELECT session, seq, ms, CAST(label AS VARCHAR) AS top_id, 'z' || (label % 5) AS zone_key, conf, ocr_zone FROM mt)
 """
+_LATEST = "SELECT user_id, epoch_ms(date_trunc('hour', ts)) AS hour_ms, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) = 1"
 _LATIN_NORMAL = "regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^a-z]', '', 'g')"
 SQL = image_queries.SQL | {
     "stream_matches": f"""WITH {_LIVE} SELECT session, seq, ocr_zone, CAST(attempt AS INTEGER) AS attempt, label, round(conf, 5) AS conf,
         (SELECT string_agg(CAST(rk.label AS VARCHAR), ',' ORDER BY rn) FROM rk WHERE rk.session = mt.session AND rk.seq = mt.seq AND rk.k = mt.attempt AND rn <= 3) AS candidates FROM mt""",
     "stream_live": f"WITH {_LIVE}, {_DECIDE % 'true'}",
+    "recorded_frames": "SELECT row_number() OVER (ORDER BY label NULLS FIRST, vec_id) - 1 AS frame, vec_id, label, CAST(round(list_sum(CAST(embedding AS DOUBLE[])) * 1000) AS BIGINT) AS total_milli FROM embeddings",
+    "played_decisions": f"WITH {_OBS}, {_DECIDE % 'true'}",
     "scan_decisions_reset": _RESET,
     "stream_decisions_reset": _RESET,
     "stream_throttle": f"""WITH RECURSIVE {_OBS}, n AS (SELECT session, seq, ms, row_number() OVER (PARTITION BY session ORDER BY ms, seq) AS i FROM o),
@@ -633,7 +682,8 @@ SQL = image_queries.SQL | {
     "best_attempt": """WITH r AS (SELECT l_orderkey AS qid, l_linenumber AS attempt, max(l_quantity / 60) AS conf FROM lineitem GROUP BY ALL),
         t AS (SELECT *, coalesce(max(CASE WHEN conf >= 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM r)
         SELECT qid, CAST(attempt AS INTEGER) AS attempt, round(conf, 6) AS conf, count(*) OVER (PARTITION BY qid) AS tried FROM t WHERE over = 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY conf DESC, attempt) = 1""",
-    "latest_wins": "SELECT user_id, epoch_ms(date_trunc('hour', ts)) AS hour_ms, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) = 1",
+    "latest_wins": _LATEST,
+    "played_latest": _LATEST,
     "consecutive_duplicates": "SELECT event_id, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type, false) AS repeated FROM events",
     "document_hashes": "SELECT doc_id, sha256(text) AS sha, lower(hex(encode(left(text, 4)))) AS head FROM documents",
     "otsu_threshold": """WITH b AS (SELECT event_type, CAST(least(63, greatest(0, floor(least(value / 200, 1.0) * 64))) AS INTEGER) AS bin, count(*) AS n FROM events GROUP BY ALL),
