@@ -23,12 +23,6 @@ def gray(width: int, height: int, data: bytes, channels: int = 4, bgr: bool = Fa
     return ((0.299 * raw[:, :, red] + 0.587 * raw[:, :, 1] + 0.114 * raw[:, :, blue]) / 255).astype(np.float32)
 
 
-def checked(pixels: np.ndarray) -> np.ndarray:
-    if pixels.ndim != 2 or 0 in pixels.shape:
-        raise ValueError("an image needs a positive width and height")
-    return pixels.astype(np.float32, copy=False)
-
-
 def resize(img: np.ndarray, width: int, height: int) -> np.ndarray:
     """Mean over boxes with whole-pixel edges; a box has one pixel at least, so boxes overlap when growing."""
     h, w = img.shape

@@ -90,3 +90,20 @@ def text_line(shapes: DataFrame) -> DataFrame:
     mid = x.groupBy("image").agg(floor_percentile(F.collect_list("cy"), 0.5).alias("my"), floor_percentile(F.collect_list("h"), 0.5).alias("mh"))
     on = x.join(mid, "image").where(F.abs(F.col("cy") - F.col("my")) < F.col("mh"))
     return on.groupBy("image").agg(F.count(F.lit(1)).alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).where("n >= 3")
+
+
+#: The margin around a text line, its least height, and its least width as a share of the strip's.
+LINE_MARGIN, LINE_HEIGHT, LINE_SHARE = 4, 10, 0.1
+
+
+def line_box(shapes: DataFrame, margin: int = LINE_MARGIN, least_height: int = LINE_HEIGHT, least_share: float = LINE_SHARE) -> DataFrame:
+    """(image, n, x0, y0, x1, y1): text_line with a margin that ends at the strip's edges, if it is large enough to be read.
+
+    shapes are glyphs with the size of their image's strip (strip_w, strip_h; the largest counts where they differ).
+    """
+    strips = shapes.groupBy("image").agg(F.max("strip_w").alias("sw"), F.max("strip_h").alias("sh"))
+    low = lambda c: F.greatest(F.lit(0), F.col(c) - margin).alias(c)
+    high = lambda c, edge: F.least(F.col(edge) - 1, F.col(c) + margin).alias(c)
+    boxes = text_line(shapes).join(strips, "image").select("image", "n", low("x0"), low("y0"), high("x1", "sw"), high("y1", "sh"), "sw")
+    enough = (F.col("y1") - F.col("y0") + 1 >= least_height) & (F.col("x1") - F.col("x0") + 1 >= least_share * F.col("sw"))
+    return boxes.where(enough).drop("sw")

@@ -16,7 +16,7 @@ from lodestar.operators import similarity as sim
 from lodestar.operators import zones as zon
 from lodestar.plans import image_queries
 from lodestar.sources import catalog as doc
-from lodestar.sources import frames, reader
+from lodestar.sources import frames, images, reader
 from lodestar.sources.shared import new_path
 from lodestar.streaming import live, scan
 
@@ -525,14 +525,29 @@ def guide_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("c", c).select("p_partkey", F.round("g.x", 4).alias("gx"), F.round("g.width", 4).alias("gw"), *[F.col(f"c.{k}").cast("bigint").alias(f"s{k[0]}") for k in ("x", "y", "width", "height")])
 
 
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("image"), F.col("l_quantity").cast("int").alias("area"), (F.col("l_linenumber") * 20).alias("x0"), (F.col("l_partkey") % 9).cast("int").alias("y0"), F.lit(600).alias("strip_w"), F.lit(60).alias("strip_h"), (F.col("l_linenumber") * 20 + 4 + F.col("l_suppkey") % 12).cast("int").alias("x1"), (F.col("l_partkey") % 9 + 7 + F.col("l_suppkey") % 30).cast("int").alias("y1"))
+
+
 def component_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glyph and text-line filters over boxes made of line items: an order is an image."""
-    li = _t(spark, sf_dir, "lineitem")
-    boxes = li.select(F.col("l_orderkey").alias("image"), F.col("l_quantity").cast("int").alias("area"), (F.col("l_linenumber") * 20).alias("x0"), (F.col("l_partkey") % 9).cast("int").alias("y0"), F.lit(600).alias("strip_w"), F.lit(60).alias("strip_h"), (F.col("l_linenumber") * 20 + 4 + F.col("l_suppkey") % 12).cast("int").alias("x1"), (F.col("l_partkey") % 9 + 7 + F.col("l_suppkey") % 30).cast("int").alias("y1"))
-    out = hist.text_line(hist.glyphs(boxes))
+    out = hist.text_line(hist.glyphs(_boxes(spark, sf_dir)))
     return out.select("image", "n", *[F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of component_filter with their margin, of those with a tenth of the strip's width."""
+    out = hist.line_box(hist.glyphs(_boxes(spark, sf_dir)))
+    return out.select("image", "n", *[F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def image_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as the bytes of pictures whose sides are made of sizes and keys."""
+    p = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 9 - 1).alias("w"), (F.col("p_partkey") % 4).alias("h"), F.encode("p_name", "utf-8").alias("data"))
+    return p.select("p_partkey", images.fault(F.col("w"), F.col("h"), F.lit(1), F.col("data")).alias("fault"))
+
+
 def scan_decisions_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scan_decisions where every purchase starts its user's session anew."""
     rows = _observations(_t(spark, sf_dir, "events"))
@@ -580,7 +595,7 @@ QUERIES = {
         normalised_texts, gram_counts, dice_pairs, catalog_view, zone_list, scan_decisions, scan_decisions_zone_required, stream_decisions, stream_ring, frame_ring, asof_zone, asof_zone_crowded, stream_asof_zone, scan_decisions_crowded,
         best_attempt, latest_wins, consecutive_duplicates, document_hashes, otsu_threshold, floor_percentile, rounding, guide_rects, component_filter,
         scan_decisions_reset, stream_decisions_reset, stream_throttle, identify_fused, catalogue_document, identify_zone, hamming_within, identify_staged, stream_matches, stream_live, zone_readings,
-        recorded_frames, played_decisions, played_latest,
+        recorded_frames, played_decisions, played_latest, line_boxes, image_faults,
     )
 } | image_queries.QUERIES
 
@@ -620,6 +635,11 @@ tk AS (SELECT x.session, x.seq, CASE WHEN x.conf < 0.6 AND y.conf > x.conf THEN
 mt AS (SELECT g.session, g.seq, g.ms, g.gate AS ocr_zone, tk.k AS attempt, cf.label, coalesce(cf.conf, 0.0) AS conf FROM g LEFT JOIN tk USING (session, seq) LEFT JOIN cf USING (session, seq, k)),
 o AS (SELECT session, seq, ms, CAST(label AS VARCHAR) AS top_id, 'z' || (label % 5) AS zone_key, conf, ocr_zone FROM mt)
 """
+_LINE = """WITH b AS (SELECT l_orderkey AS image, CAST(l_quantity AS INTEGER) AS area, l_linenumber * 20 AS x0, l_partkey % 9 AS y0, l_linenumber * 20 + 4 + l_suppkey % 12 AS x1, l_partkey % 9 + 7 + l_suppkey % 30 AS y1 FROM lineitem),
+        g AS (SELECT *, (y0 + y1) / 2 AS cy, y1 - y0 + 1 AS h FROM b WHERE area >= 12 AND y1 - y0 + 1 >= 0.08 * 60 AND y1 - y0 + 1 <= 0.6 * 60 AND x1 - x0 + 1 <= 3 * (y1 - y0 + 1) AND x1 - x0 + 1 <= 0.2 * 600),
+        k AS (SELECT *, count(*) OVER (PARTITION BY image) AS c, row_number() OVER (PARTITION BY image ORDER BY cy) AS rc, row_number() OVER (PARTITION BY image ORDER BY h) AS rh FROM g),
+        m AS (SELECT image, max(CASE WHEN rc - 1 = c // 2 THEN cy END) AS my, max(CASE WHEN rh - 1 = c // 2 THEN h END) AS mh FROM k WHERE c >= 3 GROUP BY image)
+        SELECT k.image, count(*) AS n, CAST(min(x0) AS INTEGER) AS x0, CAST(min(y0) AS INTEGER) AS y0, CAST(max(x1) AS INTEGER) AS x1, CAST(max(y1) AS INTEGER) AS y1 FROM k JOIN m ON k.image = m.image WHERE abs(cy - my) < mh GROUP BY k.image HAVING count(*) >= 3"""
 _LATEST = "SELECT user_id, epoch_ms(date_trunc('hour', ts)) AS hour_ms, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) = 1"
 _LATIN_NORMAL = "regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^a-z]', '', 'g')"
 SQL = image_queries.SQL | {
@@ -697,9 +717,7 @@ SQL = image_queries.SQL | {
         g AS (SELECT *, least(w * 0.85 / (439.0::DOUBLE / 380), h * 0.85) AS gh, CASE WHEN w * 0.85 / (439.0::DOUBLE / 380) > h * 0.85 THEN h * 0.85 * (439.0::DOUBLE / 380) ELSE w * 0.85 END AS gw, greatest(w / 1920, h / 1080) AS s FROM p),
         c AS (SELECT *, CAST(greatest(0, least(1919, floor(((w - gw) / 2 - (w - 1920 * s) / 2) / s + 0.5))) AS BIGINT) AS sx, CAST(greatest(0, least(1079, floor(((h - gh) / 2 - (h - 1080 * s) / 2) / s + 0.5))) AS BIGINT) AS sy FROM g)
         SELECT p_partkey, round((w - gw) / 2, 4) AS gx, round(gw, 4) AS gw, sx, sy, CAST(greatest(1, least(1920 - sx, floor(gw / s + 0.5))) AS BIGINT) AS sw, CAST(greatest(1, least(1080 - sy, floor(gh / s + 0.5))) AS BIGINT) AS sh FROM c""",
-    "component_filter": """WITH b AS (SELECT l_orderkey AS image, CAST(l_quantity AS INTEGER) AS area, l_linenumber * 20 AS x0, l_partkey % 9 AS y0, l_linenumber * 20 + 4 + l_suppkey % 12 AS x1, l_partkey % 9 + 7 + l_suppkey % 30 AS y1 FROM lineitem),
-        g AS (SELECT *, (y0 + y1) / 2 AS cy, y1 - y0 + 1 AS h FROM b WHERE area >= 12 AND y1 - y0 + 1 >= 0.08 * 60 AND y1 - y0 + 1 <= 0.6 * 60 AND x1 - x0 + 1 <= 3 * (y1 - y0 + 1) AND x1 - x0 + 1 <= 0.2 * 600),
-        k AS (SELECT *, count(*) OVER (PARTITION BY image) AS c, row_number() OVER (PARTITION BY image ORDER BY cy) AS rc, row_number() OVER (PARTITION BY image ORDER BY h) AS rh FROM g),
-        m AS (SELECT image, max(CASE WHEN rc - 1 = c // 2 THEN cy END) AS my, max(CASE WHEN rh - 1 = c // 2 THEN h END) AS mh FROM k WHERE c >= 3 GROUP BY image)
-        SELECT k.image, count(*) AS n, CAST(min(x0) AS INTEGER) AS x0, CAST(min(y0) AS INTEGER) AS y0, CAST(max(x1) AS INTEGER) AS x1, CAST(max(y1) AS INTEGER) AS y1 FROM k JOIN m ON k.image = m.image WHERE abs(cy - my) < mh GROUP BY k.image HAVING count(*) >= 3""",
+    "component_filter": _LINE,
+    "line_boxes": f"""SELECT * FROM (SELECT image, n, greatest(0, x0 - 4) AS x0, greatest(0, y0 - 4) AS y0, least(599, x1 + 4) AS x1, least(59, y1 + 4) AS y1 FROM ({_LINE})) WHERE y1 - y0 + 1 >= 10 AND x1 - x0 + 1 >= 0.1 * 600""",
+    "image_faults": """SELECT p_partkey, CASE WHEN p_size % 9 - 1 <= 0 OR p_partkey % 4 <= 0 THEN 'size' WHEN strlen(p_name) <> (p_size % 9 - 1) * (p_partkey % 4) THEN 'bytes' END AS fault FROM part""",
 }

@@ -25,6 +25,18 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("origin").alias("id"), "width", "height", F.col("nChannels").alias("channels"), "data", (F.col("height") > 0).alias("ok"))
 
 
+def fault(width: Column, height: Column, channels: Column, data: Column) -> Column:
+    """What is wrong with an image: `size` if a side isn't positive or is null, `bytes` if its bytes aren't as many as its pixels need or are null; null if nothing is."""
+    need = width.cast("long") * height * channels
+    sides = F.coalesce((width > 0) & (height > 0), F.lit(False))
+    return F.when(~sides, "size").when(~F.coalesce(F.octet_length(data) == need, F.lit(False)), "bytes")
+
+
+def sound(rows: DataFrame) -> DataFrame:
+    """Images (id, width, height, channels, data) without a fault: what one task fails on would end the job for all."""
+    return rows.where(fault(F.col("width"), F.col("height"), F.col("channels"), F.col("data")).isNull())
+
+
 def _each(rows: DataFrame, schema: str, f: Callable[[str, np.ndarray], list[tuple]]) -> DataFrame:
     """f(id, image) for every row (id, width, height, channels, data); one batch of images at a time."""
     names = [c.split()[0] for c in schema.split(", ")]

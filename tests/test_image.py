@@ -116,3 +116,12 @@ def test_catalogue(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps(doc))
     with pytest.raises(Exception, match="without variants"):
         cat.variants(cat.entries(cat.read_catalog(spark, str(tmp_path / "m.json")))).collect()
+
+
+def test_faults(spark):
+    """Sides that are null, 0 or negative, and bytes that are null or not as many as the pixels need."""
+    rows = [(1, 2, 3, 1, b"123456"), (2, 0, 3, 1, b""), (3, -1, -6, 1, b"123456"), (4, None, 3, 1, b"123"), (5, 2, 3, 4, b"123456"), (6, 2, 3, 1, None), (7, 1, 1, 4, "é¢".encode()), (8, 1, 2, None, b"12")]
+    table = spark.createDataFrame(rows, "id int, width int, height int, channels int, data binary")
+    got = {r.id: r.f for r in table.select("id", images.fault(*[table[c] for c in ("width", "height", "channels", "data")]).alias("f")).collect()}
+    assert got == {1: None, 2: "size", 3: "size", 4: "size", 5: "bytes", 6: "bytes", 7: None, 8: "bytes"}
+    assert sorted(r.id for r in images.sound(table).collect()) == [1, 7]

@@ -47,3 +47,17 @@ def test_numbered(spark, n):
     assert "SinglePartition" not in out._jdf.queryExecution().toString() and "exchange" not in out._jdf.queryExecution().toString().lower()
     assert [tuple(r) for r in out.orderBy("ord").collect()] == [(a, b, k + 1) for k, (a, b) in enumerate(sorted(rows))]
     assert out.where(F.col("ord").isNull()).count() == 0
+
+
+def test_line_box(spark):
+    """The margin ends at the strip's edges; lines that are too low or too narrow are left out."""
+    from lodestar.operators.histogram import line_box
+
+    def line(image, x, step, y, h):
+        return [(image, 20, x + k * step, y, x + k * step + 5, y + h - 1, 200, 40) for k in range(3)]
+
+    rows = line(1, 1, 20, 2, 30) + line(2, 50, 20, 20, 1) + line(3, 90, 1, 10, 12) + line(4, 150, 22, 25, 14)
+    shapes = spark.createDataFrame(rows, "image int, area int, x0 int, y0 int, x1 int, y1 int, strip_w int, strip_h int")
+    assert sorted(map(tuple, line_box(shapes).collect())) == [(1, 3, 0, 0, 50, 35), (4, 3, 146, 21, 199, 39)]
+    assert [r.image for r in line_box(shapes, margin=0).orderBy("image").collect()] == [1, 4]
+    assert line_box(shapes.limit(0)).collect() == []
