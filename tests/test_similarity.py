@@ -112,3 +112,33 @@ def test_attempts_run_for_what_is_left(small):
     assert given == [[0, 1, 2, 3, 4, 5], [2, 3, 4, 5], [2, 4, 5]]
     assert {r.qid: (r.attempt, r.tried) for r in out} == {0: (0, 1), 1: (0, 1), 2: (0, 3), 3: (1, 2), 4: (1, 3)}
     assert all(sorted(r.rank for r in out if r.qid == q) == [1, 2, 3] for q in range(5))
+
+
+def test_a_task_holds_few_pairs_at_a_time():
+    """All pairs of 4,000 queries and their 48 nearest would take 200 MB of unit vectors at once; only what ranks need is handed on."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, rng = 4000, np.random.default_rng(3)
+    unit = rng.normal(size=(n, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    p = rng.integers(0, 1 << 62, n)
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), 64).cast(pa.list_(pa.float64()))
+    common = {"p": pa.array(p), "d": pa.array(np.zeros(n, int)), "unit": vectors}
+    asked = pa.table({"qid": pa.array(np.arange(n)), "w": pa.array(np.zeros(n, np.int32)), **common})
+    block = pa.table({"flat": pa.array(np.arange(n)), "entry": pa.array(np.arange(n, dtype=np.int32) % 50), **common})
+    tracemalloc.start()
+    out = sim._nearest(["unit"], True, 48, 3)(asked, block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20 and out.num_rows == 4 * n
+    q = 17
+    h = np.bitwise_count(p ^ p[q])
+    near = np.array([i for i in np.lexsort((np.arange(n), h)) if i != q][:48])
+    best = {}
+    for i in near:
+        best[i % 50] = max(best.get(i % 50, (-9.0, 0)), (float(unit[q] @ unit[i]), -int(h[i])))
+    want = sorted(best.items(), key=lambda x: (-x[1][0], -x[1][1]))[:4]
+    got = sorted((r for r in out.to_pylist() if r["qid"] == q), key=lambda r: -r["ncc"])
+    assert [(r["entry"], r["hamming"]) for r in got] == [(e, -h) for e, (_, h) in want]
