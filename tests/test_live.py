@@ -112,3 +112,17 @@ def test_edges(spark, catalogue, tmp_path):
     assert got[2][2:] == ("nowhere", None, None, 0.0) and got[3][2:] == (None, None, None, 0.0) and got[4][4] == "9" and got[4][5] == 1.0
     put(spark, [], f"{tmp_path}/none", 0)
     assert run(spark, catalogue, f"{tmp_path}/none", f"{tmp_path}/empty") == ([], [])
+
+
+def test_query_plays_bounded_batches(spark, monkeypatch):
+    """The query's micro-batches are bounded, whatever the size of the file."""
+    import duckdb
+    from conftest import SF
+
+    from lodestar.plans import queries
+
+    monkeypatch.setattr(queries, "_LIVE_BATCH", 600)
+    base = queries._live(spark, SF)
+    sizes = sorted(len(spark.read.parquet(f"{base}/matches/batch={k}").collect()) for k in range(2))
+    frames_ = duckdb.sql(f"SELECT count(*) FROM '{SF}/events.parquet' WHERE event_type <> 'signup'").fetchall()[0][0]
+    assert sum(sizes) == frames_ == live.decisions(spark, base).count() and 0 < sizes[0] and sizes[1] <= 600
