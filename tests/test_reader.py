@@ -72,3 +72,21 @@ def test_zone_of_a_reading(spark):
     zones = spark.createDataFrame([("Northern Harbour", 0), ("Silver Meadow", 1)], "zone string, ord long")
     got = reader.zone_readings(bands(spark, ["nothern harbor", "silvr meadow", "silvr meadow", "qqqq", None]), load, "third", zones, "latin").orderBy("id").collect()
     assert [(r.status, r.zone) for r in got] == [("read", "Northern Harbour"), ("read", "Silver Meadow"), ("read", "Silver Meadow"), ("read", None), ("empty", None)]
+
+
+def test_slow_bands_of_one_file_are_dealt(spark):
+    """Forty bands in one partition that take too long: half a minute one after the other."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    def load():
+        def read(band):
+            time.sleep(3)
+
+        return read
+
+    bands = spark.range(40).coalesce(1).select("id", F.lit(1).alias("width"), F.lit(1).alias("height"), F.unhex(F.lit("01")).alias("data"))
+    began = time.monotonic()
+    rows = reader.recognised(bands, load, "slow", 750, lanes=4).collect()
+    assert {r.status for r in rows} == {"timeout"} and len({r.id for r in rows}) == len(rows) == 40 and time.monotonic() - began < 20
