@@ -1,10 +1,11 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import decisions as dec
-from lodestar.streaming.scan import step
+from lodestar.streaming.scan import OUTPUT, _steps, decide_stream, step
 
 C, U = 0.9, 0.3
 COLUMNS = "session long, seq long, ms long, top_id string, zone_key string, conf double, ocr_zone string"
@@ -101,3 +102,41 @@ def test_ring_and_hint(spark):
     out = dec.ring(spark.createDataFrame([(1, i, i * 500) for i in range(7)], "session long, seq long, ms long")).orderBy("seq").collect()
     assert out[-1].fresh == [3, 4, 5, 6] and out[1].fresh == [0, 1]
     assert spark.range(1).select(dec.hint(F.lit(False), F.lit(True), F.lit(True)).alias("h")).first().h == "zone_locked"
+
+
+@pytest.mark.parametrize("need", [False, True])
+def test_sessions_worked_on_together_agree_with_the_machine(need):
+    """In micro-batches, with rows that come late or twice, resets, values that are missing, and times that go back."""
+    rng, names = random.Random(5), ["session", "seq", "ms", "top_id", "zone_key", "conf", "ocr_zone", "reset"]
+    obs = []
+    for s in range(9):
+        ms = 0
+        for i in range(120):
+            ms += rng.choice([200, 900, 3000, -2000 if s % 4 == 1 else 10])
+            top = rng.choice(["a", "a", "a", "b", None])
+            obs.append((s, i, ms, top, rng.choice([None, f"z{top}", f"z{top}"]), rng.choice([0.1, 0.3, None] if s % 2 else [0.1, 0.3, 0.7, 0.9]), rng.choice([None, "za", "za", "zb"]), s % 3 == 0 and rng.choice([None, False, i % 17 == 3])))
+    obs.sort(key=lambda o: o[1] + rng.random() * 6)
+    obs += rng.sample(obs, 40)
+    states, got, single, want = {}, [], {}, []
+    while obs:
+        batch = pd.DataFrame([obs.pop(0) for _ in range(min(len(obs), rng.choice([1, 5, 60, 200])))], columns=names)
+        got += _steps(batch.astype({"conf": float}), states, need).itertuples(index=False, name=None)
+        for o in batch.astype(object).where(batch.notna(), None).sort_values(["session", "seq"], kind="stable").to_dict("records"):
+            state = single.setdefault(o["session"], {"ring": [], "since": None, "last": -1})
+            if o["seq"] > state["last"]:
+                state["last"] = o["seq"]
+                want.append((o["session"], o["seq"], *step(state, o, need)))
+        assert states == single
+    assert got == want and {r[3] for r in got} == {None, "ocrStable", "score"} and any(r[4] for r in got)
+
+
+def test_stream_keeps_one_state_for_sessions_together(spark, tmp_path):
+    """A micro-batch of 640 sessions takes 21 groups, not one for each session; one without a number is a session too."""
+    obs = [(s, i, i * 3000, "a", "za", 0.3, None) for s in [*range(3, 643), None] for i in range(4)]
+    spark.createDataFrame(obs, COLUMNS).write.parquet(f"{tmp_path}/in")
+    out = decide_stream(spark.readStream.schema(COLUMNS).parquet(f"{tmp_path}/in"))
+    query = out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+    query.awaitTermination()
+    assert sum(p.stateOperators[0].numRowsUpdated for p in query.recentProgress) == 22
+    rows = spark.read.schema(OUTPUT).parquet(f"{tmp_path}/out").collect()
+    assert sorted((-1 if r.session is None else r.session, r.seq, r.confirmed, r.via, r.show_candidates) for r in rows) == sorted((-1 if s is None else s, i, None, None, i > 1) for s, i, *_ in obs)
