@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,8 +22,10 @@ WINDOWS = Windows(50, 16, words=False)
 BATCHES = 3
 #: Documents of the first batch from whose suffixes the ranges are cut, about.
 RANGE_SAMPLE = 2000
-_NAMES = ("range", "p1", "p2", "id", "place", "met", "aside")
-_KINDS = "range int, p1 long, p2 long, id long, place long, met boolean, aside boolean"
+#: A suffix: its range, its first 16 bytes, the rk of its text, and 4 * place + 2 * met + aside, where place is the first
+#: window of the run sampled there.
+_NAMES = ("range", "p1", "p2", "id", "at")
+_KINDS = "range int, p1 long, p2 long, id long, at long"
 
 
 def _heads(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +40,7 @@ def _heads(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffixes(texts: DataFrame, windows: Windows, edges: list[float]) -> DataFrame:
-    """(range, p1, p2, id, place, met, aside): sampled suffixes by their first 16 bytes. id is the rk of the text, place the first window of the run sampled there.
+    """_NAMES of the sampled suffixes.
 
     Where a task finds suffixes of several documents with the same 16 bytes, all are met; the first stays to meet those of
     other tasks, and the others are put aside: they need no order and are spread over the ranges.
@@ -59,7 +61,7 @@ def suffixes(texts: DataFrame, windows: Windows, edges: list[float]) -> DataFram
             met = np.repeat(ids[at] != ids[at + size - 1], size) if len(at) else new
             aside = met & ~new
             ranges = np.where(aside, mixed((ids * 31 + place).view(np.uint64)) % np.uint64(len(cuts) + 1), np.searchsorted(cuts, p1, side="right")).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ranges, p1, p2, ids, place, met, aside)], list(_NAMES))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ranges, p1, p2, ids, place * 4 + met * 2 + aside)], list(_NAMES))
 
         for batch in batches:
             ids = batch.column("rk").to_numpy()
@@ -84,43 +86,54 @@ def range_edges(texts: DataFrame, windows: Windows, parts: int) -> list[int]:
     return [int(x) for x in at]
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mark, in suffixes sorted by their bytes and ids, those with a neighbour of another document that agrees in all 16 bytes.
+def _scan(edges: list[int], *, met_only: bool) -> Callable:
+    """A mapInArrow function over suffixes (p1, p2, id, at) sorted by these: marks those with a neighbour of another document that agrees in all 16 bytes.
 
     One suffix is kept from batch to batch. It stands for those of its document with the same bytes, which are marked when
-    there are several of them, whatever follows.
+    there are several of them, whatever follows. Of met suffixes with the same bytes the first stands for all from now on
+    and the others are put aside; nothing is ordered by their bytes any more. met_only: (id, place) of the met ones.
     """
-    held, several = None, False
+    cuts = np.array(edges, np.int64)
 
-    def out(cols: list[np.ndarray], met: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols[:5], met, cols[6])], list(_NAMES))
+    def out(p1: np.ndarray, p2: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        if met_only:
+            some = (at & 2) > 0
+            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(at[some] >> 2)], ["id", "place"])
+        stays = (at & 1) == 0
+        ranges = np.where(stays, np.searchsorted(cuts, p1, side="right"), 0).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ranges, np.where(stays, p1, 0), np.where(stays, p2, 0), ids, at)], list(_NAMES))
 
-    for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in _NAMES]
-        aside = cols[6]
-        if aside.any():
-            yield out([c[aside] for c in cols], cols[5][aside])
-            cols = [c[~aside] for c in cols]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, several = None, False
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in _NAMES[1:]]
+            aside = (cols[3] & 1) > 0
+            if aside.any():
+                yield out(*[c[aside] for c in cols])
+                cols = [c[~aside] for c in cols]
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+            p1, p2, ids, at = cols
+            if not len(p1):
+                continue
+            common = np.zeros(len(p1), bool)  # whether all 16 bytes agree with the suffix before
+            common[1:] = ((p1[1:] ^ p1[:-1]) | (p2[1:] ^ p2[:-1])) == 0
+            new = np.flatnonzero(~common)
+            size = np.diff(np.append(new, len(p1)))
+            some = (ids[new] != ids[new + size - 1]) | np.logical_or.reduceat((at & 2) > 0, new)
+            some[0] |= several
+            met = np.repeat(some, size)
+            last = new[-1]
+            met[last + 1 :] = True
+            marked = at | (met * 2) | (met & common)
+            stays = np.ones(len(p1), bool)
+            stays[last] = False
+            yield out(p1[stays], p2[stays], ids[stays], marked[stays])
+            held, several = [c[last : last + 1] for c in cols], bool(some[-1])
         if held is not None:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        _, p1, p2, ids, _, known, _ = cols
-        if not len(p1):
-            continue
-        common = np.zeros(len(p1), bool)  # whether all 16 bytes agree with the suffix before
-        common[1:] = ((p1[1:] ^ p1[:-1]) | (p2[1:] ^ p2[:-1])) == 0
-        at = np.flatnonzero(~common)
-        size = np.diff(np.append(at, len(p1)))
-        some = (ids[at] != ids[at + size - 1]) | np.logical_or.reduceat(known, at)
-        some[0] |= several
-        met = np.repeat(some, size)
-        last = at[-1]
-        met[last + 1 :] = True
-        stays = np.ones(len(p1), bool)
-        stays[last] = False
-        yield out([c[stays] for c in cols], met[stays])
-        held, several = [c[last : last + 1] for c in cols], bool(some[-1])
-    if held is not None:
-        yield out(held, held[5] | several)
+            yield out(*held[:3], held[3] | (2 if several else 0))
+
+    return run
 
 
 class SuffixLevels:
@@ -136,26 +149,27 @@ class SuffixLevels:
             self.parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             self.edges = range_edges(texts, self.windows, self.parts)
         new = suffixes(texts, self.windows, self.edges)
+        ordered, aside = F.col("at").bitwiseAND(1) == 0, F.col("at").bitwiseAND(1) == 1
         if last:
             for _, level in self.levels:
-                new = new.union(level)
-            self.across.append(self._scanned(new, "met", met=True))
+                new = new.union(level.where(ordered))
+            found = [self._scanned(new, met_only=True), *[_met(level.where(aside)) for _, level in self.levels]]
+            self.across.append(written(reduce(DataFrame.union, found), "met"))
             return
         size, due = 1, []
         while self.levels and self.levels[-1][0] == size:
             due.append(self.levels.pop()[1])
             size *= 2
         for _, level in self.levels:
-            self.across.append(self._scanned(new.union(level.where("not aside")), "met", met=True))
+            self.across.append(written(self._scanned(new.union(level.where(ordered)), met_only=True), "met"))
         for level in due:
-            new = new.union(level)
-        self.levels.append((size, self._scanned(new, "level")))
+            new = new.union(level.where(ordered))
+        self.levels.append((size, written(reduce(DataFrame.union, [self._scanned(new), *[level.where(aside) for level in due]]), "level")))
         discard(*due)
 
     def met(self) -> DataFrame:
         """(id, place) of all suffixes met in several documents so far, some of them twice."""
-        found = [level.where("met").select("id", "place") for _, level in self.levels] + self.across
-        return reduce(DataFrame.union, found)
+        return reduce(DataFrame.union, [_met(level) for _, level in self.levels] + self.across)
 
     def finished(self) -> DataFrame:
         """met(), written, after a last batch that met all levels, which are deleted."""
@@ -163,10 +177,15 @@ class SuffixLevels:
         self.levels = []
         return self.met() if len(self.across) == 1 else written(self.met(), "met")
 
-    def _scanned(self, rows: DataFrame, name: str, *, met: bool = False) -> DataFrame:
-        """rows brought into the order of suffixes within their ranges, and scanned once; met: (id, place) of the met ones only."""
-        done = rows.repartitionById(self.parts, "range").sortWithinPartitions("p1", "p2", "id", "place").mapInArrow(_scan, _KINDS)
-        return written(done.where("met").select("id", "place") if met else done, name)
+    def _scanned(self, rows: DataFrame, *, met_only: bool = False) -> DataFrame:
+        """rows brought into the order of suffixes within their ranges, and scanned once; met_only: (id, place) of the met ones only."""
+        dealt = rows.repartitionById(self.parts, "range").select(*_NAMES[1:]).sortWithinPartitions(*_NAMES[1:])
+        return dealt.mapInArrow(_scan(self.edges, met_only=met_only), "id long, place long" if met_only else _KINDS)
+
+
+def _met(level: DataFrame) -> DataFrame:
+    """(id, place) of a level's met suffixes."""
+    return level.where(F.col("at").bitwiseAND(2) == 2).select("id", F.shiftright("at", 2).alias("place"))
 
 
 def candidates(texts: DataFrame, windows: Windows = WINDOWS, batches: int = BATCHES) -> DataFrame:

@@ -395,7 +395,9 @@ def repeated(texts: DataFrame, candidates: DataFrame, w: Windows, *, earlier: bo
     """
     lists = with_lists(texts, candidates, by=["rk"], lists=["place"], how="inner")
     halves = written(lists.select("id", "th", "text", "place").mapInArrow(_gathered(_half_rows(w), earlier=earlier), _KINDS), "halves")
-    judged = written(halves.repartitionByRange("key", "d1").sortWithinPartitions(*_ORDER).mapInArrow(_judge(earlier=earlier), _RANGES), "judged")
+    sure = halves.where("over").select("id", "th", "low", "high", "over", F.lit(False).alias("open"))
+    judged = halves.where("not over").repartitionByRange("key", "d1").sortWithinPartitions(*_ORDER).mapInArrow(_judge(earlier=earlier), _RANGES)
+    judged = written(judged.union(sure), "judged")
     discard(halves)
     single = with_lists(texts, judged.where("open").select("id", "th", "low", "high"), by=["id", "th"], lists=["low", "high"], how="inner")
     single = single.select("id", "th", "text", "low", "high").mapInArrow(_gathered(_window_rows(w), earlier=earlier), _KINDS)

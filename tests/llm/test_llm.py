@@ -468,6 +468,22 @@ def test_levels_merge_geometrically(spark):
     assert {r.id for r in levels.finished().collect()} == {0, 1, 2, 3, 4, 9}
 
 
+def test_levels_order_one_of_equal_suffixes(spark):
+    """What is met leaves the order of a level but for one of equal bytes, and stays met."""
+    from lodestar.llm.repeats import named
+
+    levels = op4_suffixes.SuffixLevels()
+    for i in range(2):
+        levels.add(named(spark.createDataFrame([(10 * i + k, PASSAGE * 2 + prose(30)) for k in range(4)], "doc_id long, text string").repartition(4)))
+    (size, level), = levels.levels
+    ordered = level.where("at & 1 = 0")
+    assert size == 2 and ordered.count() < level.count() and ordered.where("at & 2 = 2").count() > 0
+    assert ordered.where("at & 2 = 2").groupBy("p1", "p2").count().where("count > 1").count() == 0
+    assert {r.id for r in levels.met().collect()} == {10 * i + k for i in range(2) for k in range(4)}
+    levels.add(named(spark.createDataFrame([(99, PASSAGE)], "doc_id long, text string")), last=True)
+    assert {r.id for r in levels.finished().collect()} == {99, *(10 * i + k for i in range(2) for k in range(4))}
+
+
 # 7
 
 
