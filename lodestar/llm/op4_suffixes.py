@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import discard, table, written
-from lodestar.llm.repeats import GATHER, LAST_ID, Windows, copies, digested, named, once, portions, repeated
-from lodestar.llm.words import mixed
+from lodestar.llm.repeats import GATHER, HELD, LAST_ID, Windows, copies, digested, named, once, packed, parts_for, portions, repeated, unpacked
 
 #: Matches of 50 bytes. Suffixes start at sampled positions, one or more in any 50 bytes, and every match of 50 bytes
 #: holds one such position with the 16 bytes after it: suffixes that are to match agree in as many bytes.
@@ -22,10 +21,15 @@ WINDOWS = Windows(50, 16, words=False)
 BATCHES = 3
 #: Documents of the first batch from whose suffixes the ranges are cut, about.
 RANGE_SAMPLE = 2000
-#: A suffix: its range, its first 16 bytes, the rk of its text, and 4 * place + 2 * met + aside, where place is the first
-#: window of the run sampled there.
-_NAMES = ("range", "p1", "p2", "id", "at")
-_KINDS = "range int, p1 long, p2 long, id long, at long"
+#: A suffix: its first 16 bytes, the rk of its text, and 4 * place + 2 * met + aside, where place is the first window of the
+#: run sampled there.
+_NAMES = ("p1", "p2", "id", "at")
+_KINDS = "p1 long, p2 long, id long, at long"
+#: Suffixes travel and are stored in blocks, sorted by their bytes, one for each range that a task finds them in; those set
+#: aside are blocks of their own, of (id, at), in no order.
+_BLOCKS = "range int, aside boolean, block binary"
+#: Suffixes of a block at most.
+BLOCK = 1 << 16
 
 
 def _heads(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,153 +43,190 @@ def _heads(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def suffixes(texts: DataFrame, windows: Windows, edges: list[float]) -> DataFrame:
-    """_NAMES of the sampled suffixes.
-
-    Where a task finds suffixes of several documents with the same 16 bytes, all are met; the first stays to meet those of
-    other tasks, and the others are put aside: they need no order and are spread over the ranges.
-    """
+def _sampled(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[tuple[np.ndarray, ...]]:
+    """_NAMES of the sampled suffixes of texts (rk, text), some texts at a time."""
+    for batch in batches:
+        ids = batch.column("rk").to_numpy()
+        for p in portions(batch.column("text"), windows):
+            runs = p.runs()
+            yield (*_heads(np.frombuffer(p.text, np.uint8), runs.sample), ids[p.row[runs.text]], runs.place() * 4)
+
+
+def _scanned(have: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Sorted pieces brought into one order of suffixes and scanned: a suffix is met if one of another document agrees in
+    all 16 bytes, or with one that is met. Of met suffixes with the same bytes the first stands for all from now on and the
+    others are put aside; nothing is ordered by their bytes any more."""
+    p1, p2, ids, at = (np.concatenate(c) for c in zip(*have, strict=True))
+    order = np.lexsort((p2, p1))
+    p1, p2, ids, at = p1[order], p2[order], ids[order], at[order]
+    if not len(p1):
+        return p1, p2, ids, at
+    common = np.zeros(len(p1), bool)  # whether all 16 bytes agree with the suffix before
+    common[1:] = ((p1[1:] ^ p1[:-1]) | (p2[1:] ^ p2[:-1])) == 0
+    new = np.flatnonzero(~common)
+    some = (np.minimum.reduceat(ids, new) != np.maximum.reduceat(ids, new)) | ((np.bitwise_or.reduceat(at, new) & 2) > 0)
+    met = np.repeat(some, np.diff(np.append(new, len(p1))))
+    return p1, p2, ids, at | (met * 2) | (met & common)
+
+
+def _blocks(cols: tuple[np.ndarray, ...], cuts: np.ndarray) -> pa.RecordBatch:
+    """_BLOCKS of scanned suffixes."""
+    aside = (cols[3] & 1) > 0
+    stays = [c[~aside] for c in cols]
+    edges = [0, *np.searchsorted(stays[0], cuts, side="left").tolist(), len(stays[0])]
+    ranges, blocks = [], []
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        for i in range(a, b, BLOCK):
+            ranges.append(k)
+            blocks.append(packed([c[i : min(i + BLOCK, b)] for c in stays]))
+    ordered, rest = len(blocks), [c[aside] for c in cols[2:]]
+    for i in range(0, len(rest[0]), BLOCK):
+        ranges.append(int(rest[0][i] * 31 + (rest[1][i] >> 2)) % (len(cuts) + 1))
+        blocks.append(packed([c[i : i + BLOCK] for c in rest]))
+    kinds = [False] * ordered + [True] * (len(blocks) - ordered)
+    return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(kinds, pa.bool_()), pa.array(blocks, pa.binary())], ["range", "aside", "block"])
+
+
+def suffixes(texts: DataFrame, windows: Windows, edges: list[int]) -> DataFrame:
+    """_BLOCKS of the sampled suffixes. Where a task finds suffixes of several documents with the same 16 bytes, all are met;
+    the first stays to meet those of other tasks, and the others are put aside."""
     cuts = np.array(edges, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, rows = [], 0
-
-        def out() -> pa.RecordBatch:
-            p1, p2, ids, place = (np.concatenate(c) for c in zip(*have, strict=True))
-            order = np.lexsort((place, ids, p2, p1))
-            p1, p2, ids, place = p1[order], p2[order], ids[order], place[order]
-            new = np.ones(len(p1), bool)
-            new[1:] = (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])
-            at = np.flatnonzero(new)
-            size = np.diff(np.append(at, len(p1)))
-            met = np.repeat(ids[at] != ids[at + size - 1], size) if len(at) else new
-            aside = met & ~new
-            ranges = np.where(aside, mixed((ids * 31 + place).view(np.uint64)) % np.uint64(len(cuts) + 1), np.searchsorted(cuts, p1, side="right")).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ranges, p1, p2, ids, place * 4 + met * 2 + aside)], list(_NAMES))
-
-        for batch in batches:
-            ids = batch.column("rk").to_numpy()
-            for p in portions(batch.column("text"), windows):
-                runs = p.runs()
-                have.append((*_heads(np.frombuffer(p.text, np.uint8), runs.sample), ids[p.row[runs.text]], runs.place()))
-                rows += len(runs.low)
-                if rows >= GATHER:
-                    yield out()
-                    have, rows = [], 0
+        for cols in _sampled(batches, windows):
+            have.append(cols)
+            rows += len(cols[0])
+            if rows >= GATHER:
+                yield _blocks(_scanned(have), cuts)
+                have, rows = [], 0
         if have:
-            yield out()
+            yield _blocks(_scanned(have), cuts)
 
-    return texts.select("rk", "text").mapInArrow(run, _KINDS)
+    return texts.select("rk", "text").mapInArrow(run, _BLOCKS)
 
 
-def range_edges(texts: DataFrame, windows: Windows, parts: int) -> list[int]:
-    """parts - 1 heads that cut the suffixes of a sample of the texts evenly; all tables of a family are cut alike."""
-    n = texts.count()
+def range_edges(texts: DataFrame, windows: Windows, conf: str) -> list[int]:
+    """Heads that cut the suffixes of a sample of the texts evenly, so that a range of some batches like this one is held by
+    a task; all tables of a family are cut alike."""
+    n, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = parts_for(size * 2 * BATCHES // (windows.size - windows.gram), conf)
     some = texts.where(F.pmod(F.xxhash64("rk"), F.lit(max(1, n // RANGE_SAMPLE))) == 0)
-    at = suffixes(some, windows, []).select(F.col("p1").cast("double").alias("p")).approxQuantile("p", [i / parts for i in range(1, parts)], 0.001)
-    return [int(x) for x in at]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _sampled(batches, windows):
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.float64))], ["p"])
 
-def _scan(edges: list[int], *, met_only: bool) -> Callable:
-    """A mapInArrow function over suffixes (p1, p2, id, at) sorted by these: marks those with a neighbour of another document that agrees in all 16 bytes.
+    heads = some.select("rk", "text").mapInArrow(run, "p double")
+    return [int(x) for x in heads.approxQuantile("p", [i / parts for i in range(1, parts)], min(0.001, 0.1 / parts))]
 
-    One suffix is kept from batch to batch. It stands for those of its document with the same bytes, which are marked when
-    there are several of them, whatever follows. Of met suffixes with the same bytes the first stands for all from now on
-    and the others are put aside; nothing is ordered by their bytes any more. met_only: (id, place) of the met ones.
-    """
-    cuts = np.array(edges, np.int64)
 
-    def out(p1: np.ndarray, p2: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        if met_only:
-            some = (at & 2) > 0
-            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(at[some] >> 2)], ["id", "place"])
-        stays = (at & 1) == 0
-        ranges = np.where(stays, np.searchsorted(cuts, p1, side="right"), 0).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ranges, np.where(stays, p1, 0), np.where(stays, p2, 0), ids, at)], list(_NAMES))
+def _met_rows(cols: list[np.ndarray] | tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    ids, at = cols[-2:]
+    some = (at & 2) > 0
+    return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(at[some] >> 2)], ["id", "place"])
+
+
+def _scan(edges: list[int], *, met_only: bool) -> Callable:
+    """A mapInArrow function over all _BLOCKS of a range: scans their suffixes in one order. Beyond HELD of them, those put
+    aside are handed on at once. met_only: (id, place) of the met ones."""
+    cuts = np.array(edges, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, several = None, False
+        have, rows, most = [], 0, HELD
+
+        def out(cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return _met_rows(cols) if met_only else _blocks(cols, cuts)
+
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in _NAMES[1:]]
-            aside = (cols[3] & 1) > 0
+            aside = batch.column("aside").to_numpy(zero_copy_only=False)
             if aside.any():
-                yield out(*[c[aside] for c in cols])
-                cols = [c[~aside] for c in cols]
-            if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            p1, p2, ids, at = cols
-            if not len(p1):
-                continue
-            common = np.zeros(len(p1), bool)  # whether all 16 bytes agree with the suffix before
-            common[1:] = ((p1[1:] ^ p1[:-1]) | (p2[1:] ^ p2[:-1])) == 0
-            new = np.flatnonzero(~common)
-            size = np.diff(np.append(new, len(p1)))
-            some = (ids[new] != ids[new + size - 1]) | np.logical_or.reduceat((at & 2) > 0, new)
-            some[0] |= several
-            met = np.repeat(some, size)
-            last = new[-1]
-            met[last + 1 :] = True
-            marked = at | (met * 2) | (met & common)
-            stays = np.ones(len(p1), bool)
-            stays[last] = False
-            yield out(p1[stays], p2[stays], ids[stays], marked[stays])
-            held, several = [c[last : last + 1] for c in cols], bool(some[-1])
-        if held is not None:
-            yield out(*held[:3], held[3] | (2 if several else 0))
+                if met_only:
+                    yield from (_met_rows(unpacked(block, 2)) for block in batch.column("block").filter(pa.array(aside)))
+                else:
+                    yield batch.filter(pa.array(aside))
+            for block in batch.column("block").filter(pa.array(~aside)):
+                have.append(tuple(unpacked(block, 4)))
+                rows += len(have[-1][0])
+                if rows > most:
+                    cols = _scanned(have)
+                    gone = (cols[3] & 1) > 0
+                    yield out(tuple(c[gone] for c in cols))
+                    have = [tuple(c[~gone] for c in cols)]
+                    rows = len(have[0][0])
+                    most = max(most, 2 * rows)
+        if have:
+            yield out(_scanned(have))
 
     return run
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffixes of _BLOCKS; those put aside have no bytes."""
+    for batch in batches:
+        for aside, block in zip(batch.column("aside").to_pylist(), batch.column("block"), strict=True):
+            cols = unpacked(block, 2 if aside else 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in ([np.zeros_like(c) for c in cols] if aside else []) + cols], list(_NAMES))
+
+
+def _met_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for aside, block in zip(batch.column("aside").to_pylist(), batch.column("block"), strict=True):
+            yield _met_rows(unpacked(block, 2 if aside else 4))
+
+
 class SuffixLevels:
-    """Levels of sorted suffixes, each of twice as many batches as the next; a new batch merges with those of its own size."""
+    """Levels of sorted suffixes, each of twice as many batches as the next; a new batch merges with those of its own size.
+
+    levels: (size, rows of the level); the blocks that they are stored as are kept by size."""
 
     def __init__(self, windows: Windows = WINDOWS):
-        self.windows, self.levels, self.edges, self.across = windows, [], None, []
+        self.windows, self.levels, self.edges, self.across, self.blocks = windows, [], None, [], {}
 
     def add(self, texts: DataFrame, *, last: bool = False) -> None:
         """Merge-scan the suffixes of a batch (rk, text) with the levels: those of its own size become one with it, larger
         ones are scanned against it. Of the last batch only what is met is kept, and one pass meets all levels."""
         if self.edges is None:
-            self.parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            self.edges = range_edges(texts, self.windows, self.parts)
+            self.edges = range_edges(texts, self.windows, texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         new = suffixes(texts, self.windows, self.edges)
-        ordered, aside = F.col("at").bitwiseAND(1) == 0, F.col("at").bitwiseAND(1) == 1
         if last:
-            for _, level in self.levels:
-                new = new.union(level.where(ordered))
-            found = [self._scanned(new, met_only=True), *[_met(level.where(aside)) for _, level in self.levels]]
+            for blocks in self.blocks.values():
+                new = new.union(blocks.where("not aside"))
+            found = [self._merged(new, met_only=True), *[_met(blocks.where("aside")) for blocks in self.blocks.values()]]
             self.across.append(written(reduce(DataFrame.union, found), "met"))
             return
         size, due = 1, []
         while self.levels and self.levels[-1][0] == size:
-            due.append(self.levels.pop()[1])
+            self.levels.pop()
+            due.append(self.blocks.pop(size))
             size *= 2
-        for _, level in self.levels:
-            self.across.append(written(self._scanned(new.union(level.where(ordered)), met_only=True), "met"))
-        for level in due:
-            new = new.union(level.where(ordered))
-        self.levels.append((size, written(reduce(DataFrame.union, [self._scanned(new), *[level.where(aside) for level in due]]), "level")))
+        for blocks in self.blocks.values():
+            self.across.append(written(self._merged(new.union(blocks.where("not aside")), met_only=True), "met"))
+        for blocks in due:
+            new = new.union(blocks.where("not aside"))
+        level = written(reduce(DataFrame.union, [self._merged(new), *[blocks.where("aside") for blocks in due]]), "level")
+        self.blocks[size] = level
+        self.levels.append((size, level.mapInArrow(_rows, _KINDS)))
         discard(*due)
 
     def met(self) -> DataFrame:
         """(id, place) of all suffixes met in several documents so far, some of them twice."""
-        return reduce(DataFrame.union, [_met(level) for _, level in self.levels] + self.across)
+        return reduce(DataFrame.union, [_met(blocks) for blocks in self.blocks.values()] + self.across)
 
     def finished(self) -> DataFrame:
         """met(), written, after a last batch that met all levels, which are deleted."""
-        discard(*[level for _, level in self.levels])
-        self.levels = []
+        discard(*self.blocks.values())
+        self.levels, self.blocks = [], {}
         return self.met() if len(self.across) == 1 else written(self.met(), "met")
 
-    def _scanned(self, rows: DataFrame, *, met_only: bool = False) -> DataFrame:
-        """rows brought into the order of suffixes within their ranges, and scanned once; met_only: (id, place) of the met ones only."""
-        dealt = rows.repartitionById(self.parts, "range").select(*_NAMES[1:]).sortWithinPartitions(*_NAMES[1:])
-        return dealt.mapInArrow(_scan(self.edges, met_only=met_only), "id long, place long" if met_only else _KINDS)
+    def _merged(self, rows: DataFrame, *, met_only: bool = False) -> DataFrame:
+        """The blocks of each range brought together and scanned once; met_only: (id, place) of the met ones only."""
+        return rows.repartitionById(len(self.edges) + 1, "range").mapInArrow(_scan(self.edges, met_only=met_only), "id long, place long" if met_only else _BLOCKS)
 
 
-def _met(level: DataFrame) -> DataFrame:
-    """(id, place) of a level's met suffixes."""
-    return level.where(F.col("at").bitwiseAND(2) == 2).select("id", F.shiftright("at", 2).alias("place"))
+def _met(blocks: DataFrame) -> DataFrame:
+    """(id, place) of the met suffixes of blocks."""
+    return blocks.mapInArrow(_met_of, "id long, place long")
 
 
 def candidates(texts: DataFrame, windows: Windows = WINDOWS, batches: int = BATCHES) -> DataFrame:

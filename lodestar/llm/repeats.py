@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import discard, flat_bytes, packets, sized_broadcast, written
-from lodestar.llm.words import Prefix, bytes_symbols, mixed, word_hashes
+from lodestar.llm.words import Prefix, bytes_symbols, word_hashes
 
 #: Documents without an id come last.
 LAST_ID = (1 << 63) - 1
@@ -29,6 +29,8 @@ LAST_ID = (1 << 63) - 1
 PIECE = 1 << 20
 #: Rows that a task gathers before it combines equal ones.
 GATHER = 1 << 18
+#: Rows that a task holds before it hands on what it can.
+HELD = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BREAK, _WORD = re.compile(rb"[ \t-\r]"), re.compile(rb"[^ \t-\r]+")
 
@@ -234,14 +236,27 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Columns of rows to be judged: key, the digest of what windows low..high of document (id, th) cover, and how many such
-#: rows this one stands for, 2 for more; rows known to repeat (over) pass through under a key of their own.
-_NAMES = ("key", "d1", "d2", "id", "th", "low", "high", "n", "over")
-_KINDS = "key long, d1 long, d2 long, id long, th long, low long, high long, n long, over boolean"
+#: rows this one stands for, 2 for more.
+_NAMES = ("key", "d1", "d2", "id", "th", "low", "high", "n")
+#: Rows travel in blocks, one for each task and part of the keys; done: (id, th, low, high) that are known to repeat.
+_BLOCKS = "part int, done boolean, block binary"
+_RANGES = "id long, th long, low long, high long, over boolean, open boolean"
+
+
+def packed(cols: list[np.ndarray]) -> bytes:
+    """Columns of whole numbers as a block, their first bytes first, which compresses better."""
+    return np.ascontiguousarray(np.stack(cols).astype(np.int64, copy=False).view(np.uint8).reshape(len(cols), -1, 8).transpose(0, 2, 1)).tobytes()
+
 
+def unpacked(block: pa.Scalar, n: int) -> list[np.ndarray]:
+    """The n columns of a block."""
+    raw = np.frombuffer(block.as_buffer(), np.uint8).reshape(n, 8, -1)
+    return list(np.ascontiguousarray(raw.transpose(0, 2, 1)).view(np.int64)[:, :, 0])
 
-def _ordered(cols: list[np.ndarray]) -> list[np.ndarray]:
-    order = np.lexsort(tuple(cols[k] for k in (5, 4, 3, 2, 1, 0)))
-    return [c[order] for c in cols]
+
+def parts_for(rows: int, conf: str) -> int:
+    """Parts that rows are dealt to, so that a task holds some hundred thousand of them, whatever their number."""
+    return max(int(conf), -(-rows // HELD))
 
 
 def _starts(cols: list[np.ndarray], by: int) -> np.ndarray:
@@ -254,35 +269,47 @@ def _starts(cols: list[np.ndarray], by: int) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _combined(cols: list[np.ndarray], *, earlier: bool) -> list[np.ndarray]:
-    """Rows of a task with those marked over whose like, in the same task, already shows that they repeat."""
-    cols = _ordered(cols)
-    at = _starts(cols, 3)
-    size = np.diff(np.append(at, len(cols[0])))
+def _compared(cols: list[np.ndarray], *, earlier: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(cols in the order of key and digest, over, stays, several): rows that repeat, those that stand for their equals
+    from now on, and those of a key with several digests."""
+    order = np.lexsort((cols[2], cols[1], cols[0]))
+    cols = [c[order] for c in cols]
+    n = len(order)
+    span, key = _starts(cols, 3), _starts(cols, 1)
+    size = np.diff(np.append(span, n))
+    of_key = np.searchsorted(key, span, side="right") - 1
+    several = np.repeat((np.bincount(of_key, minlength=len(key)) > 1)[of_key], size)
+    if not n:
+        return cols, several, several, several
     if earlier:
-        over = cols[3] > np.repeat(cols[3][at], size)
-    else:
-        over = np.repeat(size > 1, size)
-        over[at] = False
-        double = at[size > 1]  # the first stays to meet rows of other tasks, and is over itself
-        cols = [np.concatenate([c, c[double]]) for c in cols]
-        cols[7][double] = 2
-        over = np.concatenate([over, np.ones(len(double), bool)])
-    spread = mixed((cols[3] * 31 + cols[5] * 7 + cols[4]).view(np.uint64)).view(np.int64)
-    cols[0] = np.where(over, spread, cols[0])
-    cols[1], cols[2] = np.where(over, 0, cols[1]), np.where(over, 0, cols[2])
-    return [*cols[:8], over]
-
-
-def _gathered(each: Callable, *, earlier: bool) -> Callable:
-    """A mapInArrow function that combines what each(batch) yields, some hundred thousand rows at a time."""
+        over = cols[3] > np.repeat(np.minimum.reduceat(cols[3], span), size)
+        return cols, over, ~over, several
+    total = np.add.reduceat(cols[7], span)
+    stays = np.zeros(n, bool)
+    stays[span] = True
+    cols[7] = np.minimum(np.repeat(total, size), 2)
+    return cols, np.repeat(total > 1, size), stays, several
+
+
+def _gathered(each: Callable, parts: int, *, earlier: bool) -> Callable:
+    """A mapInArrow function that combines what each(batch) yields, some hundred thousand rows at a time, into _BLOCKS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, rows = [], 0
 
         def out() -> pa.RecordBatch:
-            cols = [np.concatenate(c) for c in zip(*have, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in _combined(cols, earlier=earlier)], list(_NAMES))
+            cols, over, stays, _ = _compared([np.concatenate(c) for c in zip(*have, strict=True)], earlier=earlier)
+            left = [c[stays] for c in cols]
+            part = ((left[0] >> 32) + (1 << 31)) * parts >> 32  # keys are spread evenly: parts are ranges of them
+            at = np.searchsorted(part, np.arange(parts + 1))
+            some = np.flatnonzero(np.diff(at))
+            blocks = [packed([c[at[k] : at[k + 1]] for c in left]) for k in some]
+            number, done = [*some.tolist()], [False] * len(some)
+            if over.any():
+                number.append((int(cols[3][0]) * 31 + int(cols[5][0])) % parts)
+                done.append(True)
+                blocks.append(packed([c[over] for c in cols[3:7]]))
+            return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(done, pa.bool_()), pa.array(blocks, pa.binary())], ["part", "done", "block"])
 
         for batch in batches:
             for cols in each(batch):
@@ -329,81 +356,76 @@ def _window_rows(w: Windows) -> Callable:
     return each
 
 
-def _judge(*, earlier: bool) -> Callable:
-    """A mapInArrow function over rows sorted by (key, d1, d2, id, th, low): those that repeat (over) and those that stand
-    for their equals against other digests of the key (open). It keeps one row from batch to batch, whatever the key's size.
+def _judge(*, earlier: bool, opens: bool) -> Callable:
+    """A mapInArrow function over the _BLOCKS of a part: windows that repeat (over) and those that stand for their equals
+    against other digests of the key (open).
 
-    The first and last key of a task may go on in its neighbours and count as having several digests.
+    Where a part grows beyond HELD rows, those that stand for no others are handed on at once. If many are left and opens,
+    keys with several digests hand on all of theirs as open, which leaves them to be judged window by window, and keep two
+    rows each that stand for the several digests: memory does not grow with a key's rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, several = None, True
+        have, rows, most = [], 0, HELD
 
         def out(cols: list[np.ndarray], over: np.ndarray, open_: np.ndarray) -> pa.RecordBatch:
             some = np.flatnonzero(over | open_)
-            return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (*cols[3:7], over, open_)], ["id", "th", "low", "high", "over", "open"])
+            return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (*cols, over, open_)], ["id", "th", "low", "high", "over", "open"])
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in _NAMES]
-            known = cols.pop()
-            if known.any():
-                yield out([c[known] for c in cols], np.ones(int(known.sum()), bool), np.zeros(int(known.sum()), bool))
-                cols = [c[~known] for c in cols]
-            if not len(cols[0]):
-                continue
-            if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            n = len(cols[0])
-            span, key = _starts(cols, 3), _starts(cols, 1)
-            size = np.diff(np.append(span, n))
-            of_key = np.searchsorted(key, span, side="right") - 1
-            many = np.bincount(of_key, minlength=len(key)) > 1
-            many[0] |= several
-            multi = np.repeat(many[of_key], size)
-            if earlier:
-                least = np.repeat(cols[3][span], size)
-                over, open_ = cols[3] > least, (cols[3] == least) & multi
-                open_[span[-1] + 1 :] = (cols[3] == least)[span[-1] + 1 :]
-            else:
-                total = np.add.reduceat(cols[7], span)
-                over, open_ = np.repeat(total > 1, size), np.zeros(n, bool)
-                open_[span] = multi[span]
-                cols[7] = cols[7].copy()
-                cols[7][span[-1]] = min(int(total[-1]), 2)
-            stays = np.ones(n, bool)
-            stays[span[-1]] = False  # the last digest may go on: its first row waits
-            yield out([c[stays] for c in cols], over[stays], open_[stays])
-            held, several = [c[span[-1] : span[-1] + 1] for c in cols], bool(several and len(key) == 1) or int((of_key == of_key[-1]).sum()) > 1
-        if held is not None:
-            yield out(held, (held[7] > 1) & (not earlier), np.ones(1, bool))
+            for done, block in zip(batch.column("done").to_pylist(), batch.column("block"), strict=True):
+                if done:
+                    cols = unpacked(block, 4)
+                    sure = np.ones(len(cols[0]), bool)
+                    yield out(cols, sure, ~sure)
+                    continue
+                have.append(unpacked(block, len(_NAMES)))
+                rows += len(have[-1][0])
+                if rows <= most:
+                    continue
+                cols, over, stays, several = _compared([np.concatenate(c) for c in zip(*have, strict=True)], earlier=earlier)
+                yield out(cols[3:7], over, np.zeros(len(over), bool))
+                cols, several = [c[stays] for c in cols], several[stays]
+                if opens and len(several) > most // 2:
+                    yield out(cols[3:7], np.zeros(len(several), bool), several)
+                    span, key = _starts(cols, 3), _starts(cols, 1)
+                    second = span[np.minimum(np.searchsorted(span, key) + 1, len(span) - 1)]
+                    keeps = ~several
+                    keeps[key] = True
+                    keeps[second] = True
+                    cols = [c[keeps] for c in cols]
+                have, rows = [cols], len(cols[0])
+                most = max(most, 2 * rows)
+        if have:
+            cols, over, stays, several = _compared([np.concatenate(c) for c in zip(*have, strict=True)], earlier=earlier)
+            yield out(cols[3:7], over, stays & several)
 
     return run
 
 
-_RANGES = "id long, th long, low long, high long, over boolean, open boolean"
-_ORDER = ("key", "d1", "d2", "id", "th", "low")
-
-
 def repeated(texts: DataFrame, candidates: DataFrame, w: Windows, *, earlier: bool) -> DataFrame:
     """(id, th, low, high), written: windows low..high of the document repeat. texts: those of once(); candidates: (rk, place)
     of the runs to be judged.
 
     earlier: a window counts if it also starts in a document with a smaller id; else if it also starts anywhere else.
-    Rows are sorted by key and digest and scanned; equal rows of a task are combined before, and ranges of (key, digest)
-    split a hot key. All windows of a half repeat if its digest does; where a key has several digests, one half of each is
-    taken apart into windows, which are sorted and scanned in the same way.
+    Rows of a task are sorted by key and digest, equal ones combined, and handed to the tasks of their keys in blocks.
+    All windows of a half repeat if its digest does; where a key has several digests, one half of each is taken apart into
+    windows, which are compared in the same way.
     """
+    conf = texts.sparkSession.conf.get("spark.sql.shuffle.partitions")
+
+    def judged(rows: DataFrame, each: Callable, n: int, *, opens: bool) -> DataFrame:
+        parts = parts_for(n, conf)
+        return rows.mapInArrow(_gathered(each, parts, earlier=earlier), _BLOCKS).repartitionById(parts, "part").mapInArrow(_judge(earlier=earlier, opens=opens), _RANGES)
+
     lists = with_lists(texts, candidates, by=["rk"], lists=["place"], how="inner")
-    halves = written(lists.select("id", "th", "text", "place").mapInArrow(_gathered(_half_rows(w), earlier=earlier), _KINDS), "halves")
-    sure = halves.where("over").select("id", "th", "low", "high", "over", F.lit(False).alias("open"))
-    judged = halves.where("not over").repartitionByRange("key", "d1").sortWithinPartitions(*_ORDER).mapInArrow(_judge(earlier=earlier), _RANGES)
-    judged = written(judged.union(sure), "judged")
+    halves = written(judged(lists.select("id", "th", "text", "place"), _half_rows(w), 2 * candidates.count(), opens=True), "judged")
+    opened = halves.where("open").select("id", "th", "low", "high")
+    n = opened.agg(F.sum(F.col("high") - F.col("low") + 1)).first()[0] or 0
+    single = with_lists(texts, opened, by=["id", "th"], lists=["low", "high"], how="inner")
+    found = judged(single.select("id", "th", "text", "low", "high"), _window_rows(w), n, opens=False).where("over")
+    ranges = written(halves.where("over").union(found).select("id", "th", "low", "high"), "ranges")
     discard(halves)
-    single = with_lists(texts, judged.where("open").select("id", "th", "low", "high"), by=["id", "th"], lists=["low", "high"], how="inner")
-    single = single.select("id", "th", "text", "low", "high").mapInArrow(_gathered(_window_rows(w), earlier=earlier), _KINDS)
-    found = single.repartition("key").sortWithinPartitions(*_ORDER).mapInArrow(_judge(earlier=earlier), _RANGES).where("over")
-    ranges = written(judged.where("over").union(found).select("id", "th", "low", "high"), "ranges")
-    discard(judged)
     return ranges
 
 

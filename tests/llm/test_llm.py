@@ -484,6 +484,78 @@ def test_levels_order_one_of_equal_suffixes(spark):
     assert {r.id for r in levels.finished().collect()} == {99, *(10 * i + k for i in range(2) for k in range(4))}
 
 
+def test_suffixes_travel_in_blocks(spark):
+    """A shuffle of a level moves a block for each range that a task finds suffixes in, not a row for each suffix."""
+    from lodestar.llm.repeats import named
+
+    levels = op4_suffixes.SuffixLevels()
+    for i in range(2):
+        levels.add(named(spark.createDataFrame([(10 * i + k, prose(3000)) for k in range(4)], "doc_id long, text string").coalesce(1)))
+    (size, level), = levels.levels
+    blocks = levels.blocks[size]
+    assert level.where("at & 1 = 0").count() > 20 * blocks.where("not aside").count()
+    assert blocks.where("not aside").groupBy("range").count().where("count > 1").count() == 0
+
+
+def fed(function, blocks, most):
+    """What a mapInArrow function hands on of blocks, each a batch of its own."""
+    import pyarrow as pa
+
+    names = {2: ["aside", "block"], 4: ["aside", "block"], 8: ["done", "block"]}
+    from lodestar.llm.repeats import packed
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([False]), pa.array([packed([np.array(c, np.int64) for c in zip(*rows, strict=True)])], pa.binary())], names[len(rows[0])]) for rows in blocks]
+    out = [list(r.values()) for b in function(iter(batches)) for r in b.to_pylist()]
+    assert most is None or max(len(b) for b in blocks) <= most
+    return out
+
+
+def test_a_range_beyond_memory_is_scanned_in_parts(monkeypatch):
+    """A range of more suffixes than a task holds gives the same met ones; equal ones don't stay in memory."""
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(0, 40)), int(rng.integers(0, 3)), int(rng.integers(0, 6)), 4 * i) for i in range(600)]
+    rows += [(-5, 1, 7, 4 * i) for i in range(600, 640)]  # of one document only
+    docs = defaultdict(set)
+    for p1, p2, doc, _ in rows:
+        docs[p1, p2].add(doc)
+    want = sorted((doc, at >> 2) for p1, p2, doc, at in rows if len(docs[p1, p2]) > 1)
+    for held in (1 << 20, 50):
+        monkeypatch.setattr(op4_suffixes, "HELD", held)
+        out = fed(op4_suffixes._scan([0, 10, 20], met_only=True), [rows[i : i + 20] for i in range(0, len(rows), 20)], 20)
+        assert sorted(map(tuple, out)) == want
+
+
+@pytest.mark.parametrize("earlier", [True, False])
+@pytest.mark.parametrize("opens", [True, False])
+def test_a_hot_key_is_judged_in_bounded_memory(monkeypatch, earlier, opens):
+    """Rows of one key with many digests: beyond what a task holds they are handed on, to be judged by their windows."""
+    from lodestar.llm import repeats
+
+    rng = np.random.default_rng(4)
+    rows = [(9, int(d), 0, int(i), 0, k, k, 1) for k, (d, i) in enumerate(zip(rng.integers(0, 150, 400), rng.integers(0, 50, 400), strict=True))]  # 150 digests of a key
+    rows += [(100 + k % 30, 5, 5, int(rng.integers(0, 50)), 0, 1000 + k, 1000 + k, 1) for k in range(90)]  # one digest a key
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[:3]].append(r)
+    over = {r[5] for g in groups.values() for r in g if (r[3] > min(x[3] for x in g) if earlier else len(g) > 1)}
+    hot = {r[5] for r in rows if r[0] == 9}
+    sizes = []
+    compared = repeats._compared
+    monkeypatch.setattr(repeats, "_compared", lambda cols, earlier: (sizes.append(len(cols[0])), compared(cols, earlier=earlier))[1])
+    for held in (1 << 20, 40):
+        monkeypatch.setattr(repeats, "HELD", held)
+        out = fed(repeats._judge(earlier=earlier, opens=opens), [rows[i : i + 10] for i in range(0, len(rows), 10)], 10)
+        found, open_ = {r[2] for r in out if r[4]}, {r[2] for r in out if r[5]}
+        assert found <= over and over - hot <= found and open_ <= hot
+        if held > len(rows) or not opens:
+            assert found == over
+        if opens:
+            assert hot <= found | open_
+            assert all({r[5] for r in g if r[3] == min(x[3] for x in g)} <= open_ for g in groups.values() if g[0][0] == 9) or not earlier
+    if opens:
+        assert max(sizes[1:]) < len(rows) // 2
+
+
 # 7
 
 
