@@ -18,9 +18,9 @@ READ_EVERY_MS = 2000
 SEGMENT, TTL_PARTS = 100_000, 8
 
 
-def _segments(rows: DataFrame, size: int) -> DataFrame:
-    """rows with their place _n in the order of session and seq, and the segment _seg of `size` places they are in."""
-    return numbered(rows, ["session", "seq"], "_n").withColumn("_seg", F.floor(F.col("_n") / size).cast("long"))
+def _segments(rows: DataFrame, size: int, ties: list[str]) -> DataFrame:
+    """rows without ties, with their place _n in the order of session, seq and ties, and the segment _seg of `size` places they are in."""
+    return numbered(rows, ["session", "seq", *ties], "_n").drop(*ties).withColumn("_seg", F.floor(F.col("_n") / size).cast("long"))
 
 
 def _lives(rows: DataFrame) -> DataFrame:
@@ -38,16 +38,17 @@ def _lives(rows: DataFrame) -> DataFrame:
     return out.where(blank == 0).withColumn("session", F.struct("session", life.alias("life"))).drop("reset", "_local", "_s", "_g", "_before")
 
 
-def decide(rows: DataFrame, require_zone: bool = False, segment: int = SEGMENT) -> DataFrame:
+def decide(rows: DataFrame, require_zone: bool = False, segment: int = SEGMENT, ties: list[str] | None = None) -> DataFrame:
     """rows (session, seq, ms, top_id, zone_key, conf, ocr_zone, optional reset) with confirmed, via and show_candidates.
 
     Sessions are cut into segments of `segment` rows at most, with the last rows of the segment before as context, since
     no rule but the time-out looks farther back. The start of low confidence is found within segments and carried from
     one to the next by one row each. So a task sorts a segment, however long the session. A row with reset forgets what
-    came before it in its session, and decides nothing.
+    came before it in its session, and decides nothing. Rows of a session with the same seq are taken in the order of
+    the columns `ties`, which have to tell them apart if the result is to be the same each time.
     """
     segment = max(segment, RECENT)
-    placed = _segments(rows, segment)
+    placed = _segments(rows, segment, ties or [])
     if "reset" in rows.columns:
         kept = _decided(_lives(placed), require_zone, segment).withColumn("session", F.col("session.session"))
         none = F.lit(None).cast("string")

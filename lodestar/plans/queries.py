@@ -295,21 +295,30 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
 # Decisions: an event is an observation of its user.
 
 
+#: Where a row stands in its table: the file, by name, and the row of that.
+_PLACE = ["at_file", "at_row"]
+
+
 def _observations(events: DataFrame) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     return events.select(
         F.col("user_id").alias("session"), F.col("event_id").alias("seq"), ms.alias("ms"), F.col("event_type").alias("top_id"),
         (F.length("event_type") % 3).cast("string").alias("zone_key"), F.least(F.col("value") / 100, F.lit(1.0)).alias("conf"),
-        F.when(F.col("event_id") % 2 == 0, (F.floor(F.col("event_id") / 2) % 3).cast("string")).alias("ocr_zone"),
+        F.when(F.col("event_id") % 2 == 0, (F.expr("event_id div 2") % 3).cast("string")).alias("ocr_zone"), *[c for c in _PLACE if c in events.columns],
     )
 
 
+def _placed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with their place in the table, which orders those of a session with the same number."""
+    return _t(spark, sf_dir, "events").select("*", F.col("_metadata.file_name").alias(_PLACE[0]), F.col("_metadata.row_index").alias(_PLACE[1]))
+
+
 def scan_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dec.decide(_observations(_t(spark, sf_dir, "events")))
+    return dec.decide(_observations(_placed_events(spark, sf_dir)), ties=_PLACE)
 
 
 def scan_decisions_zone_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dec.decide(_observations(_t(spark, sf_dir, "events")), require_zone=True)
+    return dec.decide(_observations(_placed_events(spark, sf_dir)), require_zone=True, ties=_PLACE)
 
 
 def _streamed(spark: SparkSession, sf_dir: str, make) -> DataFrame:
@@ -440,7 +449,7 @@ def _crowded(events: DataFrame) -> DataFrame:
 
 def scan_decisions_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scan_decisions where one session holds a third of all observations, in segments of a thousand."""
-    return dec.decide(_observations(_crowded(_t(spark, sf_dir, "events"))), segment=1000)
+    return dec.decide(_observations(_crowded(_placed_events(spark, sf_dir))), segment=1000, ties=_PLACE)
 
 
 def asof_zone_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -551,8 +560,8 @@ def image_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_decisions_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scan_decisions where every purchase starts its user's session anew."""
-    rows = _observations(_t(spark, sf_dir, "events"))
-    return dec.decide(rows.withColumn("reset", F.col("top_id") == "purchase"))
+    rows = _observations(_placed_events(spark, sf_dir))
+    return dec.decide(rows.withColumn("reset", F.col("top_id") == "purchase"), ties=_PLACE)
 
 
 def stream_decisions_reset(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import decisions as dec
+from lodestar.plans.queries import QUERIES
 from lodestar.streaming.scan import OUTPUT, _steps, decide_stream, step
 
 C, U = 0.9, 0.3
@@ -140,3 +141,34 @@ def test_stream_keeps_one_state_for_sessions_together(spark, tmp_path):
     assert sum(p.stateOperators[0].numRowsUpdated for p in query.recentProgress) == 22
     rows = spark.read.schema(OUTPUT).parquet(f"{tmp_path}/out").collect()
     assert sorted((-1 if r.session is None else r.session, r.seq, r.confirmed, r.via, r.show_candidates) for r in rows) == sorted((-1 if s is None else s, i, None, None, i > 1) for s, i, *_ in obs)
+
+
+def _by_the_machine(events):
+    """scan_decisions_crowded of events (event_id, ms, user_id, event_type, value), one after the other."""
+    names, states, out = [c.split()[0] for c in COLUMNS.split(", ")], {}, []
+    for i, ms, user, kind, value in sorted(events, key=lambda e: e[0]):  # a stable sort
+        s = user if user % 3 else 0
+        o = (s, i, ms, kind, str(len(kind) % 3), min(value / 100, 1.0), str(i // 2 % 3) if i % 2 == 0 else None)
+        out.append((s, i, *step(states.setdefault(s, {"ring": [], "since": None}), dict(zip(names, o, strict=True)), False)))
+    return sorted(out, key=str)
+
+
+def _decided(spark, path, files):
+    (path / "events.parquet").mkdir()
+    for k, events in enumerate(files):
+        table = pd.DataFrame(events, columns=["event_id", "ts", "user_id", "event_type", "value"])
+        table.assign(ts=pd.to_datetime(table["ts"], unit="ms").astype("datetime64[us]")).to_parquet(path / "events.parquet" / f"part-{k}.parquet", index=False)
+    return sorted(map(tuple, QUERIES["scan_decisions_crowded"](spark, str(path)).collect()), key=str)
+
+
+def test_events_of_one_number_keep_the_order_of_the_table(spark, tmp_path):
+    """The files are the larger the later they come; Spark reads the largest first."""
+    rng = random.Random(7)
+    files = [[(i, rng.randrange(10**7), 3 * rng.randrange(3) + (rng.random() < 0.1), rng.choice(["view", "error"]), rng.uniform(0, 90)) for i in range(n)] for n in (300, 900, 2700)]
+    assert _decided(spark, tmp_path, files) == _by_the_machine([e for f in files for e in f])
+
+
+def test_large_numbers_are_halved_exactly(spark, tmp_path):
+    """Numbers from 2^54 on aren't all doubles."""
+    events = [((1 << 60) + i, i * 1000, 0, "view", 30.0) for i in range(600)]
+    assert _decided(spark, tmp_path, [events]) == _by_the_machine(events)
