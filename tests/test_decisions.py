@@ -93,6 +93,16 @@ def test_as_of_zone_of_random_times(spark, parts):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
 
 
+def test_readings_of_one_moment_are_taken_by_seq_and_zone(spark):
+    """Whatever order they come in, and the same one in the moment's own bucket and in later ones."""
+    zones = [(1, 7, 1000, z) for z in "cab"] + [(2, s, 1000, f"z{s}") for s in (3, 5, 4)]
+    frames = [(s, i, ms) for s in (1, 2) for i, ms in enumerate((1000, 1001, 2000, 8999))]
+    for some in (zones, zones[::-1]):
+        readings = spark.createDataFrame(some, "session long, seq long, ms long, zone string").coalesce(1)
+        out = dec.latest_zone(spark.createDataFrame(frames, "session long, seq long, ms long"), readings)
+        assert {(r.session, r.zone) for r in out.collect()} == {(1, "c"), (2, "z5")}
+
+
 def test_attempts_stop_at_the_first_confident_one(spark):
     data = [(1, 0, 0.2), (1, 1, 0.2), (1, 2, 0.1), (2, 0, 0.1), (2, 1, 0.7), (2, 2, 0.9), (3, 0, 0.8)]
     got = {r.qid: (r.attempt, r.conf) for r in dec.best_attempt(spark.createDataFrame(data, "qid long, attempt int, conf double")).collect()}
