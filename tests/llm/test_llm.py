@@ -748,6 +748,20 @@ def test_mix_takes_the_documents_that_the_schedule_says(spark, docs):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_running_total_of_many_rows(spark):
+    """From 524,416 rows on the ranges' own totals are run up in ranges too; here a few rows are dealt as if they were so many."""
+    from lodestar.llm.common import running_total
+
+    n, span = 40_000_000, 1 << 40
+    rows = spark.range(9000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 8999 * (span // 8999)).alias("k"), "id", (F.col("id") % 11).alias("v"))
+    got = {r.id: r.before for r in running_total(rows, "g", "k", ["id"], "v", n, span).collect()}
+    want, sums = {}, Counter()
+    for r in sorted(rows.collect(), key=lambda r: (r.k, r.id)):
+        want[r.id] = sums[r.g]
+        sums[r.g] += r.v
+    assert got == want
+
+
 def test_schedule_is_even(spark):
     goals = spark.createDataFrame([(0, 3000.0), (1, 1000.0), (2, 2000.0)], "sid long, target double")
     slots = op9_mix.schedule(goals, 10).orderBy("slot").collect()
