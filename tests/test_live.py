@@ -126,3 +126,25 @@ def test_query_plays_bounded_batches(spark, monkeypatch):
     sizes = sorted(len(spark.read.parquet(f"{base}/matches/batch={k}").collect()) for k in range(2))
     frames_ = duckdb.sql(f"SELECT count(*) FROM '{SF}/events.parquet' WHERE event_type <> 'signup'").fetchall()[0][0]
     assert sum(sizes) == frames_ == live.decisions(spark, base).count() and 0 < sizes[0] and sizes[1] <= 600
+
+
+def test_the_disk_holds_one_batch(spark, monkeypatch):
+    """Shuffle files don't add up from one micro-batch to the next, and what was held for a micro-batch is gone."""
+    from conftest import SF
+
+    from lodestar.plans import queries
+    from lodestar.sources.shared import shared_dir
+
+    held = lambda: {f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith(("live-frames", "attempt", "left"))}
+    folders = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs())
+    match, seen, before = live.match_frames, [], held()
+
+    def counted(*args, **options):
+        seen.append(sum(f.startswith("shuffle_") for d in folders for _, _, fs in os.walk(str(d)) for f in fs))
+        return match(*args, **options)
+
+    monkeypatch.setattr(live, "match_frames", counted)
+    monkeypatch.setattr(queries, "_LIVE_BATCH", 350)
+    queries._live(spark, SF)
+    assert len(seen) > 2 and max(seen) < 2 * seen[0]
+    assert held() == before
